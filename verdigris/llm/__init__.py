@@ -1,10 +1,13 @@
 """Operators for preparing training data at scale.  Nothing else in the library imports this subpackage."""
 
-from . import license_scan, line_dedup, packing, quality_rules, substring_dedup
+from . import license_scan, line_dedup, mixing, packing, quality_rules, substring_dedup, subword, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_quality_classifier": subword.op5_quality_classifier,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_packing": packing.op9_packing,
     "op10_license_scan": license_scan.op10_license_scan,
