@@ -1,6 +1,6 @@
 """Operators for preparing training data at scale.  Nothing else in the library imports this subpackage."""
 
-from . import jaccard_join, license_scan, line_dedup, mixing, packing, quality_rules, substring_dedup, subword, toxicity
+from . import jaccard_join, license_scan, line_dedup, mixing, neighbours, packing, quality_rules, substring_dedup, subword, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_quality_classifier": subword.op5_quality_classifier,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_nearest_neighbours": neighbours.op7_nearest_neighbours,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_packing": packing.op9_packing,
     "op10_license_scan": license_scan.op10_license_scan,

@@ -34,13 +34,11 @@ from pyspark.sql import functions as F
 
 from .chars import Words, chunks, mix
 from .components import relabel
-from .tables import cut, table
+from .tables import cut, few, table
 
 LEVELS = 6
 HUB_ROUNDS = 3
 VERIFY_COST = 20.0
-#: Ids are broadcast to filter documents up to this many; beyond it the same join is a shuffle.
-BROADCAST_IDS = 2_000_000
 _U = np.uint64
 
 
@@ -136,10 +134,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
-
-
 def _fresh(df: DataFrame, key: str) -> DataFrame:
     """The same rows, whose partitioning by ``key`` the planner does not take over: both sides of a join are then
     dealt out anew, which lets adaptive execution split a hot key."""
@@ -218,9 +212,9 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     full = profile.where("n > 0")
     classes = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     same = cut(full.join(classes.where("copies > 1").drop("copies"), ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "rep"))
-    reps = src.join(_few(same.select("doc_id").distinct()), "doc_id", "left_anti")
+    reps = src.join(few(same.select("doc_id").distinct()), "doc_id", "left_anti")
     ids = cut(candidates(reps, n, num, den))
-    chosen = src.join(_few(ids.distinct().withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
+    chosen = src.join(few(ids.distinct().withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
     every = chosen.mapInArrow(_tokens(n, num, den, True), TOKENS).select("token", "rep", "n")
     frequency = every.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     shared = every.join(_fresh(frequency, "token"), "token")
@@ -265,6 +259,13 @@ def _assembled(profile: DataFrame, ends: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def without_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without those that link, over any path, to one of smaller id."""
+    groups = cut(similar_components(docs, n, num, den))
+    out = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_out"))
+    return docs.join(few(out), docs["doc_id"] == F.col("_out"), "left_anti")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import subword
-from .tables import cut, table
+from .tables import cut, few, table
 
 #: Domains of the labelled table, in the order of the classes.
 DOMAINS = ("clean", "low", "toxic")
@@ -111,8 +111,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGH
 
 def draw(docs: DataFrame, rated: DataFrame) -> DataFrame:
     """Each document at most once: surely if its rate is one or more, else with its rate as the chance."""
-    keep = rated.where((F.col("rate") >= 1) | (chance(F.col("doc_id")) < F.col("rate"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"] == F.col("_kept"), "left_semi")
+    out = rated.where((F.col("rate") < 1) & (chance(F.col("doc_id")) >= F.col("rate"))).select(F.col("doc_id").alias("_out")).distinct()
+    return docs.join(few(out), docs["doc_id"].eqNullSafe(F.col("_out")), "left_anti")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

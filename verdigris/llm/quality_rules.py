@@ -93,6 +93,26 @@ SCHEMA = (
 )
 
 
+def _measures(texts: list[str], ratio: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """The columns of ``SCHEMA`` after doc_id."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+    for lo, hi in chunks(texts):
+        w = Words(texts[lo:hi])
+        n = w.count
+        chars = sum_by(w.doc, (w.end - w.start).astype(float), w.n_docs).astype(np.int64)
+        symbol = np.concatenate([[0], np.cumsum(np.isin(w.cp, SYMBOLS))])
+        symbols = np.diff(symbol[w.doc_start])
+        dup = np.array([duplicate_lines(t) for t in texts[lo:hi]], np.int64)
+        repeat = repeated_words(w).astype(np.int64)
+        bucket, doc = ngram_buckets(w)
+        total = sum_by(doc, None, w.n_docs)
+        llr = sum_by(doc, ratio[bucket], w.n_docs) / np.maximum(total, 1)
+        failed = (n < 50) | (100 * repeat > 50 * n)
+        for c, x in zip(cols, (n, chars, symbols, dup, repeat, failed, llr, ~failed & (llr >= threshold)), strict=True):
+            c.append(x)
+    return [np.concatenate(c) for c in cols]
+
+
 def score(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """Base counts, score and verdict of every document.  ``ratio``: ``BUCKETS`` doubles (512 kB), sent to executors."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
@@ -100,27 +120,24 @@ def score(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            cols: list[list[np.ndarray]] = [[] for _ in range(8)]
-            for lo, hi in chunks(texts):
-                w = Words(texts[lo:hi])
-                n = w.count
-                chars = sum_by(w.doc, (w.end - w.start).astype(float), w.n_docs).astype(np.int64)
-                symbol = np.concatenate([[0], np.cumsum(np.isin(w.cp, SYMBOLS))])
-                symbols = np.diff(symbol[w.doc_start])
-                dup = np.array([duplicate_lines(t) for t in texts[lo:hi]], np.int64)
-                repeat = repeated_words(w).astype(np.int64)
-                bucket, doc = ngram_buckets(w)
-                total = sum_by(doc, None, w.n_docs)
-                llr = sum_by(doc, shared.value[bucket], w.n_docs) / np.maximum(total, 1)
-                failed = (n < 50) | (100 * repeat > 50 * n)
-                for c, x in zip(cols, (n, chars, symbols, dup, repeat, failed, llr, ~failed & (llr >= threshold)), strict=True):
-                    c.append(x)
             if texts:
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(np.concatenate(c)) for c in cols)], [x.split()[0] for x in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, _measures(texts, shared.value, threshold))], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def keep(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(ratio), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_measures([t or "" for t in batch.column(at).to_pylist()], shared.value, threshold)[-1]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Documents of good quality and without toxicity."""
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")

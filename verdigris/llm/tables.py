@@ -23,3 +23,14 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder; lineage ends there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of ids that are broadcast at most (8 bytes each); beyond it the same join is a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """Marked for broadcast if a count shows that it is small; left to the planner otherwise."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
