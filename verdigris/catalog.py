@@ -1,13 +1,449 @@
-"""All queries of the library with their SQL oracles, by name."""
+"""All queries of the library over the driver's tables, each with the SQL that DuckDB runs for comparison."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from .functions import text as t
+from .functions import urls
+from .operators import assertions, baselines, generate, html, judges, prompts
+from .plans import runs
+from .streaming import scores
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Cases: a user's turn and the assistant's answer right after it.
+
+CASES = """c AS (SELECT conv_id, turn, text AS prompt, r2, t2 AS response FROM (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'user' AND r2 = 'assistant')"""
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = read(spark, sf_dir, "conversations").withColumns({"r2": F.lead("role").over(w), "response": F.lead("text").over(w)})
+    return rows.where("role = 'user' AND r2 = 'assistant'").select("conv_id", "turn", F.col("text").alias("prompt"), "response")
+
+
+def _check(kind: str, value=None, values=None, pattern=None, chars=None, sensitive=True):
+    v = value if value is None or not isinstance(value, str) else F.lit(value)
+    null = lambda x, kind: (F.lit(None) if x is None else x).cast(kind)
+    return F.struct(
+        F.lit(kind).alias("type"), null(v, "string").alias("value"), null(F.array(*map(F.lit, values)) if values else None, "array<string>").alias("values"),
+        F.lit(pattern).cast("string").alias("pattern"), F.lit(None).cast("double").alias("min_score"), F.lit(chars).cast("int").alias("chars"), F.lit(sensitive).alias("case_sensitive"),
+        F.lit(None).cast("string").alias("criteria"), F.lit(None).cast("string").alias("mode"), F.lit(None).cast("string").alias("schema"),
+    )
+
+
+def suite_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = [
+        _check("contains", "the"), _check("contains", "THE", sensitive=False), _check("contains_number", "0"), _check("exact_match", F.col("prompt")), _check("regex", pattern="^[A-Z][a-z]+ "),
+        _check("one_of", values=["able", "iones"]), _check("max_length", chars=900), _check("min_length", chars=200), _check("json_valid"), _check("semantic_similarity", "x"), _check("council_judge"),
+        _check("contains"), _check("one_of"), _check("min_length", "50"),
+    ]
+    return cases(spark, sf_dir).withColumn("assertions", F.array(*checks))
+
+
+CHECKS = f"""{CASES}, r AS (
+  SELECT conv_id, turn, 0 AS position, 'contains' AS type, contains(response, 'the') AS passed FROM c
+  UNION ALL SELECT conv_id, turn, 1, 'contains', contains(lower(response), 'the') FROM c
+  UNION ALL SELECT conv_id, turn, 2, 'contains_number', list_contains(list_transform(regexp_extract_all(response, '[$€£¥₹]?[\\d,]+\\.?\\d*'), lambda x: regexp_replace(replace(regexp_replace(x, '[$€£¥₹\\s]', '', 'g'), ',', ''), '\\.0+$', '')), '0') FROM c
+  UNION ALL SELECT conv_id, turn, 3, 'exact_match', trim(response) = trim(prompt) FROM c
+  UNION ALL SELECT conv_id, turn, 4, 'regex', regexp_matches(response, '^[A-Z][a-z]+ ') FROM c
+  UNION ALL SELECT conv_id, turn, 5, 'one_of', contains(response, 'able') OR contains(response, 'iones') FROM c
+  UNION ALL SELECT conv_id, turn, 6, 'max_length', length(response) <= 900 FROM c
+  UNION ALL SELECT conv_id, turn, 7, 'min_length', length(response) >= 200 FROM c
+  UNION ALL SELECT conv_id, turn, 8, 'json_valid', json_valid(response) FROM c
+  UNION ALL SELECT conv_id, turn, 9, 'semantic_similarity', false FROM c
+  UNION ALL SELECT conv_id, turn, 10, 'council_judge', true FROM c
+  UNION ALL SELECT conv_id, turn, 11, 'contains', false FROM c
+  UNION ALL SELECT conv_id, turn, 12, 'one_of', false FROM c
+  UNION ALL SELECT conv_id, turn, 13, 'min_length', false FROM c)"""
+
+
+@query(f"WITH {CHECKS} SELECT conv_id, turn, position, type, passed FROM r")
+def assertion_results(spark, sf_dir):
+    return assertions.evaluate(suite_cases(spark, sf_dir)).select("conv_id", "turn", "position", "type", "passed")
+
+
+@query(f"WITH {CHECKS}, s AS (SELECT conv_id, turn, bool_and(passed) AS ok FROM r WHERE position IN (1, 6, 7, 10) GROUP BY ALL) "
+       "SELECT conv_id % 10 AS bucket, count(*) AS total, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, 0::BIGINT AS errors, count(*) FILTER (ok) / count(*) AS pass_rate FROM s GROUP BY ALL")
+def run_summary(spark, sf_dir):
+    checks = F.array(_check("contains", "THE", sensitive=False), _check("max_length", chars=900), _check("min_length", chars=200), _check("council_judge"))
+    rows = cases(spark, sf_dir).withColumn("assertions", checks)
+    _, statuses, _ = runs.suite_run(rows, ["conv_id", "turn"])
+    return assertions.run_summary(statuses.withColumn("bucket", F.col("conv_id") % 10), ["bucket"])
+
+
+@query(f"""WITH {CASES}, v AS (SELECT conv_id, turn, (conv_id + turn) % 3 <> 0 AS passed FROM c WHERE conv_id % 2 = 0)
+SELECT c.conv_id, c.turn, CASE WHEN coalesce(v.passed, true) AND length(response) >= 200 THEN 'passed' ELSE 'failed' END AS status,
+  CASE WHEN length(response) < 200 THEN 'min_length failed' WHEN NOT coalesce(v.passed, true) THEN 'council_judge failed' END AS detail FROM c LEFT JOIN v USING (conv_id, turn)""")
+def council_override(spark, sf_dir):
+    rows = cases(spark, sf_dir).withColumn("assertions", F.array(_check("min_length", chars=200), _check("council_judge")))
+    verdicts = rows.where("conv_id % 2 = 0").select("conv_id", "turn", F.lit(1).alias("position"), ((F.col("conv_id") + F.col("turn")) % 3 != 0).alias("passed"))
+    checks = assertions.with_verdicts(assertions.evaluate(rows), verdicts, ["conv_id", "turn"])
+    checks = checks.withColumn("message", F.when(F.col("passed"), "ok").otherwise(F.concat("type", F.lit(" failed"))))
+    return assertions.case_status(checks, rows, ["conv_id", "turn"]).select("conv_id", "turn", "status", "detail")
+
+
+@query("""SELECT doc_id, coalesce(len(n), 0) AS n_numbers, array_to_string(n[1:5], ' ') AS first_numbers, list_contains(n, '24') AS has_24 FROM (SELECT doc_id, list_filter(list_transform(
+  regexp_extract_all(text, '[$€£¥₹]?[\\d,]+\\.?\\d*'), lambda x: regexp_replace(replace(regexp_replace(x, '[$€£¥₹\\s]', '', 'g'), ',', ''), '\\.0+$', '')), lambda x: x <> '') AS n FROM documents)""")
+def number_extraction(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", t.numbers(F.col("text")).alias("n"))
+    return d.select("doc_id", F.size("n").cast("long").alias("n_numbers"), F.array_join(F.slice("n", 1, 5), " ").alias("first_numbers"), F.array_contains("n", "24").alias("has_24"))
+
+
+@query("SELECT event_id, json_valid(props) AS valid FROM events")
+def json_validity(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", assertions.json_valid("props").alias("valid"))
+
+
+@query("""SELECT event_id, CASE WHEN model <> '' THEN model WHEN user_id % 2 = 0 THEN 'openai/suite' ELSE 'ollama/config' END AS model,
+  CASE WHEN t IS NOT NULL THEN t WHEN user_id % 2 = 0 THEN 0.5 ELSE 0.0 END AS temperature, CASE WHEN m = 0 THEN 1000 ELSE m END AS max_tokens, CASE WHEN event_type = 'view' THEN 'bsp' WHEN user_id % 2 = 0 THEN 'suite' END AS system_prompt
+FROM (SELECT *, CASE WHEN event_type = 'click' THEN 'anthropic/x/y' ELSE '' END AS model, CASE WHEN event_type = 'error' THEN value END AS t, (event_id % 3 * 500)::INT AS m FROM events)""")
+def default_merging(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    d = F.when(F.col("user_id") % 2 == 0, F.struct(F.lit("openai/suite").alias("model"), F.lit(0.5).alias("temperature"), F.lit("suite").alias("system_prompt")))
+    rows = e.select("event_id", F.when(F.col("event_type") == "click", "anthropic/x/y").otherwise("").alias("model"), F.when(F.col("event_type") == "error", F.col("value")).alias("temperature"), (F.col("event_id") % 3 * 500).cast("int").alias("max_tokens"), d.alias("defaults"), F.when(F.col("event_type") == "view", "bsp").otherwise("").alias("bsp"))
+    out = runs.settings(rows, "ollama/config")
+    return out.select("event_id", "model", "temperature", "max_tokens", runs.system_prompt(F.col("bsp"), F.col("defaults")).alias("system_prompt"))
+
+
+@query("""SELECT event_id, CASE WHEN contains(m, '/') THEN split_part(m, '/', 1) ELSE 'ollama' END AS provider, CASE WHEN contains(m, '/') THEN substr(m, strpos(m, '/') + 1) ELSE m END AS name
+FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'openai/gpt/x' WHEN 'view' THEN 'local' ELSE event_type || '/m' END AS m FROM events)""")
+def model_routing(spark, sf_dir):
+    m = F.when(F.col("event_type") == "click", "openai/gpt/x").when(F.col("event_type") == "view", "local").otherwise(F.concat("event_type", F.lit("/m")))
+    return read(spark, sf_dir, "events").select("event_id", runs.provider(m).alias("p")).select("event_id", "p.provider", "p.name")
+
+
+@query("SELECT conv_id, turn, substr(sha256(text), 1, 12) AS hash, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS short FROM conversations")
+def prompt_hashes(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", t.prompt_hash(F.col("text")).alias("hash"), t.shorten(F.col("text")).alias("short"))
+
+
+# Pages.
+
+
+@query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_replace(url, '#.*$', '') AS normal,
+  regexp_matches(url, '^https?:') AND NOT regexp_matches(lower(url), '\\.pdf$|\\.jpg$|\\.png$|\\.gif$|\\.css$|\\.js$|login|signup|register|logout|cart|checkout') AS valid FROM pages""")
+def url_fields(spark, sf_dir):
+    u = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", urls.authority(u).alias("host"), urls.normalise(u).alias("normal"), urls.is_valid(u).alias("valid"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title,
+  len(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]+)"', 1))) AS n_links, regexp_matches(lower(html), 'id="__next"|id="app"|id="root"|please enable javascript|this site requires javascript|noscript|loading\\.\\.\\.|cloudflare') AS javascript FROM pages""")
+def page_fields(spark, sf_dir):
+    h = F.col("html")
+    return read(spark, sf_dir, "pages").select("page_id", html.title(h).alias("title"), F.size(html.links(h)).cast("long").alias("n_links"), html.has_javascript_sign(h).alias("javascript"))
+
+
+@query("""WITH l AS (SELECT url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]+)"', 1)) AS href FROM pages)
+SELECT DISTINCT url, regexp_replace(CASE WHEN regexp_matches(href, '^https?://') THEN href ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href END, '#.*$', '') AS link FROM l WHERE regexp_matches(href, '^(https?://|/[^/])')""")
+def link_table(spark, sf_dir):
+    return html.page_links(read(spark, sf_dir, "pages").where("html is not null")).select("url", "link")
+
+
+@query()
+def page_text(spark, sf_dir):
+    out = html.extract(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "title", "text", F.size("hrefs").alias("n_hrefs"), "content_length")
+
+
+@query("""WITH p AS (SELECT DISTINCT url FROM pages), e AS (SELECT a.url, b.url AS link, row_number() OVER (PARTITION BY a.url ORDER BY b.url) AS place FROM p a JOIN p b
+  ON regexp_extract(a.url, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(b.url, '^[a-z]+://([^/?#]*)', 1) AND a.url <> b.url),
+s AS (SELECT min(url) AS url FROM p), n AS (SELECT e.link AS url FROM s JOIN e USING (url) WHERE place <= 10),
+m AS (SELECT DISTINCT e.link AS url FROM n JOIN e USING (url) WHERE place <= 10 AND e.link NOT IN (SELECT url FROM n UNION SELECT url FROM s))
+SELECT url, 0 AS depth FROM s UNION ALL SELECT url, 1 FROM n UNION ALL SELECT url, 2 FROM m""")
+def crawl_by_host(spark, sf_dir):
+    """A bounded crawl from the smallest URL; pages of one host, in order, stand for links."""
+    pages = read(spark, sf_dir, "pages").select("url").distinct()
+    host = urls.authority(F.col("url"))
+    near = pages.select("url", host.alias("h"))
+    edges = near.alias("a").join(near.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.url") != F.col("b.url")))
+    edges = edges.select("a.url", F.col("b.url").alias("link")).withColumn("place", F.row_number().over(Window.partitionBy("url").orderBy("link")))
+    starts = pages.agg(F.min("url").alias("url")).withColumn("rank", F.lit(0))
+    return html.crawl(starts, pages, edges, max_pages=10_000).select("url", "depth")
+
+
+@query("""WITH r AS (SELECT page_id // 5 AS query, ['serp', 'duck', 'brave'][1 + page_id % 3] AS provider, page_id AS rank, url FROM pages),
+v AS (SELECT *, CASE provider WHEN 'brave' THEN 1 WHEN 'duck' THEN 2 END AS p FROM r WHERE provider <> 'serp'),
+b AS (SELECT query, min(p) AS p FROM v GROUP BY query), u AS (SELECT query, provider, url, min(rank) AS rank FROM v JOIN b USING (query, p) GROUP BY ALL)
+SELECT query, provider, url, rank FROM u QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, url) <= 1""")
+def search_provider(spark, sf_dir):
+    p = F.element_at(F.array(*map(F.lit, ["serp", "duck", "brave"])), (F.col("page_id") % 3 + 1).cast("int"))
+    rows = read(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 5).alias("query"), p.alias("provider"), F.col("page_id").alias("rank"), "url")
+    return html.pick_provider(rows, ["brave", "duck"], 1).select("query", "provider", "url", "rank")
+
+
+@query("""SELECT page_id, url FROM pages WHERE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) NOT IN (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) FROM pages WHERE page_id % 7 = 0)""")
+def unseen_domains(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select("page_id", "url", urls.authority(F.col("url")).alias("host"))
+    return p.join(p.where("page_id % 7 = 0").select("host").distinct(), "host", "left_anti").select("page_id", "url")
+
+
+# Text: sentences, definitions, questions, cloze tests.
+
+SENTENCES = """s0 AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')),
+  lambda x: length(x) > 30 AND length(x) < 500 AND NOT regexp_matches(x, '^[|\\-><»«]')) AS all_ FROM documents),
+s AS (SELECT doc_id, unnest(all_[1:50]) AS sentence, unnest(range(len(all_[1:50]))) AS position FROM s0)"""
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, position::INT AS position, sentence FROM s")
+def sentence_split(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("position", "sentence"))
+
+
+_NOISE = "|".join(generate.NOISE).replace("'", "''")
+_GENERIC = ", ".join(f"'{x}'" for x in generate.GENERIC_SUBJECTS)
+_DEF = "^((?:The\\s+)?[A-Z][A-Za-z0-9\\s]+?) (?:is|are) (?:a |an |the )?(.+)"
+
+
+@query(f"""WITH {SENTENCES}, m AS (SELECT doc_id, position, trim(regexp_extract(sentence, '{_DEF}', 1)) AS subject, trim(regexp_extract(sentence, '{_DEF}', 2)) AS what FROM s WHERE position < 30 AND regexp_matches(sentence, '{_DEF}')),
+q AS (SELECT doc_id, position, 'What is ' || subject || '?' AS question, CASE WHEN length(what) > 150 THEN substr(what, 1, 150) || '...' ELSE what END AS answer FROM m
+  WHERE length(subject) BETWEEN 4 AND 50 AND length(what) >= 20 AND lower(subject) NOT IN ({_GENERIC})),
+v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(question) ORDER BY position) AS k FROM q WHERE NOT regexp_matches(lower(question), '{_NOISE}') AND NOT regexp_matches(lower(answer), '{_NOISE}') AND length(question) > 15 AND length(answer) > 10 AND length(answer) < 250)
+SELECT doc_id, question, answer FROM v WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY position) <= 25""")
+def definition_questions(spark, sf_dir):
+    return generate.qa_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"), "General").select("doc_id", "question", "answer")
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' ') AS w FROM documents WHERE lang = 'en'),
+p AS (SELECT doc_id, array_to_string(w[2:5], ' ') AS a, array_to_string(w[6:9], ' ') AS b FROM w WHERE len(w) > 12), x AS (SELECT doc_id, 'How to ' || a || '?' AS question, b || ' ' || a || '.' AS answer FROM p)
+SELECT doc_id, question, answer FROM x WHERE length(question) > 15 AND length(answer) BETWEEN 11 AND 249 AND NOT regexp_matches(lower(question), '""" + _NOISE + """') AND NOT regexp_matches(lower(answer), '""" + _NOISE + """')""")
+def pattern_questions(spark, sf_dir):
+    w = F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")
+    d = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", w.alias("w")).where(F.size("w") > 12)
+    a, b = F.array_join(F.slice("w", 2, 4), " "), F.array_join(F.slice("w", 6, 4), " ")
+    text = F.concat(F.lit("How to "), a, F.lit("? "), b, F.lit(" "), a, F.lit("."))
+    return d.select("doc_id", F.explode(generate.qa_patterns(text)).alias("p")).select("doc_id", "p.question", "p.answer")
+
+
+_STOP = ", ".join(f"'{x}'" for x in generate.CLOZE_STOP)
+
+
+@query(f"""WITH {SENTENCES}, f AS (SELECT doc_id, position, sentence, string_split(regexp_replace(sentence, '\\s+', ' ', 'g'), ' ') AS w FROM s WHERE position < 30 AND length(sentence) BETWEEN 40 AND 300),
+c0 AS (SELECT doc_id, position, sentence, w, unnest(w) AS word, unnest(range(len(w))) AS i FROM f WHERE len(w) >= 6),
+c1 AS (SELECT *, regexp_replace(word, '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS bare FROM c0),
+c2 AS (SELECT *, CASE WHEN regexp_matches(bare, '\\p{{Lu}}|_') THEN 'medium' WHEN regexp_matches(bare, '^\\p{{Nd}}+$') THEN 'easy' WHEN length(bare) >= 6 THEN 'hard' END AS difficulty FROM c1 WHERE length(bare) >= 4 AND lower(bare) NOT IN ({_STOP})),
+c3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, position ORDER BY md5('0|' || sentence || '|' || i::VARCHAR)) AS k FROM c2 WHERE difficulty IS NOT NULL)
+SELECT doc_id, array_to_string(list_transform(w, lambda x, j: CASE WHEN j = i + 1 THEN '____' ELSE x END), ' ') AS masked_text, bare AS answer, i::INT AS mask_position, difficulty FROM c3 WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY position) <= 15""")
+def cloze(spark, sf_dir):
+    return generate.cloze_tests(read(spark, sf_dir, "documents").select("doc_id", "text"), "General").select("doc_id", "masked_text", "answer", "mask_position", "difficulty")
+
+
+@query("SELECT min(doc_id) AS doc_id, lower(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS key FROM documents GROUP BY 2")
+def first_of_each_text(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return generate.first_by_key(d, "text", ["doc_id"]).select("doc_id", t.strip(F.lower("text")).alias("key"))
+
+
+@query(f"""WITH {SENTENCES}, q AS (SELECT 'general-qa-' || row_number() OVER (ORDER BY doc_id, position) AS id, sentence FROM (SELECT * FROM s ORDER BY doc_id, position LIMIT 30))
+SELECT id, CASE WHEN length(sentence) < 100 THEN 'contains' ELSE 'min_length' END AS type, CASE WHEN length(sentence) < 100 THEN substr(split_part(sentence, '.', 1), 1, 50) END AS value, CASE WHEN length(sentence) >= 100 THEN 50 END AS chars FROM q""")
+def quota_cases(spark, sf_dir):
+    """The quota of 50 tests: 30 questions, as suite rows."""
+    rows = sentence_split(spark, sf_dir).select("doc_id", "position", F.lit("?").alias("question"), F.col("sentence").alias("answer"), F.array(F.lit("general")).alias("tags"))
+    qa, _ = generate.quota(rows, rows, 50, order=["doc_id", "position"])
+    out = generate.qa_cases(qa, "General", ["doc_id", "position"]).withColumn("a", F.col("assertions")[0])
+    return out.select("id", "a.type", "a.value", "a.chars")
+
+
+@query(f"""WITH {SENTENCES} SELECT '{{"messages":[{{"role":"user","content":"Say it"}},{{"role":"assistant","content":' || to_json(sentence) || '}}]}}' AS value FROM s WHERE position < 2""")
+def finetune_messages(spark, sf_dir):
+    rows = sentence_split(spark, sf_dir).where("position < 2").select(F.lit("Say it").alias("question"), F.col("sentence").alias("answer"), F.lit("").alias("masked_text"))
+    return generate.finetune(rows, rows.where("false"))
+
+
+# System prompts.
+
+PROMPT = "'You are a ' || split_part(text, ' ', 2) || ' tutor who can help with code review, ' || split_part(text, ' ', 3) || '. Never mention \"' || split_part(text, ' ', 4) || 'x\". Only answer questions about ' || lower(split_part(text, ' ', 5)) || ' law.'"
+_DOMAINS = ", ".join(f"('{d}', {i}, '{w}', {len(w.split())})" for i, (d, ws) in enumerate(prompts.DOMAIN_KEYWORDS.items()) for w in ws)
+
+
+def system_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
+    text = F.concat(F.lit("You are a "), w(2), F.lit(" tutor who can help with code review, "), w(3), F.lit('. Never mention "'), w(4), F.lit('x". Only answer questions about '), F.lower(w(5)), F.lit(" law."))
+    return read(spark, sf_dir, "documents").select("doc_id", text.alias("prompt"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, {PROMPT} AS prompt FROM documents), k(name, ord, kw, weight) AS (VALUES {_DOMAINS}),
+s AS (SELECT doc_id, name, ord, sum(weight) AS score FROM p JOIN k ON contains(lower(prompt), kw) GROUP BY ALL)
+SELECT p.doc_id, coalesce(name, 'general') AS domain, substr(sha256(prompt), 1, 12) AS hash FROM p LEFT JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1) USING (doc_id)""")
+def prompt_domain(spark, sf_dir):
+    return system_prompts(spark, sf_dir).select("doc_id", prompts.domain(F.col("prompt")).alias("domain"), t.prompt_hash(F.col("prompt")).alias("hash"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, {PROMPT} AS prompt FROM documents)
+SELECT doc_id, substr(trim(regexp_extract(prompt, '(?i)you are (?:a |an )?(.+?)(?:\\.|,|who|that|$)', 1)), 1, 100) AS role,
+  array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(prompt, '(?i)(?:only|exclusively|solely) (.+?)(?:\\.|,|$)', 1), lambda x: trim(x)), lambda x: length(x) > 5), lambda x: substr(x, 1, 100)), '|') AS only_ FROM p WHERE NOT regexp_matches(prompt, '[\\n\\t]')""")
+def prompt_role(spark, sf_dir):
+    p = system_prompts(spark, sf_dir).where(~F.col("prompt").rlike(r"[\n\t]"))
+    return p.select("doc_id", prompts.role(F.col("prompt")).alias("role"), F.array_join(prompts.phrases(F.col("prompt"), prompts.CONSTRAINT_PATTERNS[1:2]), "|").alias("only_"))
+
+
+@query()
+def prompt_analysis(spark, sf_dir):
+    return prompts.analyse(read(spark, sf_dir, "conversations").where("role = 'system'").select("conv_id", F.col("text").alias("prompt"))).drop("prompt")
+
+
+# Judges.
+
+REPLY = """CASE l_linenumber % 4 WHEN 0 THEN 'OVERALL_SCORE: ' || (100 - l_quantity)::INT::VARCHAR || chr(10) || 'Consistency: 0.' || l_partkey::VARCHAR || chr(10) || 'WEAK_AREAS: tone, ' || l_returnflag
+  WHEN 1 THEN 'The rating = ' || (l_quantity)::INT::VARCHAR || '.' || l_partkey::VARCHAR || ' for this' WHEN 2 THEN 'good and clear but lacks depth' ELSE 'overall score: 0.' || l_partkey::VARCHAR || chr(10) || 'WEAK AREAS: none' END"""
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, p = F.col("l_quantity").cast("int").cast("string"), F.col("l_partkey").cast("string")
+    k = F.col("l_linenumber") % 4
+    text = (
+        F.when(k == 0, F.concat(F.lit("OVERALL_SCORE: "), (100 - F.col("l_quantity")).cast("int").cast("string"), F.lit("\nConsistency: 0."), p, F.lit("\nWEAK_AREAS: tone, "), "l_returnflag"))
+        .when(k == 1, F.concat(F.lit("The rating = "), q, F.lit("."), p, F.lit(" for this")))
+        .when(k == 2, "good and clear but lacks depth")
+        .otherwise(F.concat(F.lit("overall score: 0."), p, F.lit("\nWEAK AREAS: none")))
+    )
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", text.alias("reply"))
+
+
+PARSED = f"""j AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity AS q, (l_quantity::INT::VARCHAR || '.' || l_partkey::VARCHAR)::DOUBLE AS qp, ('0.' || l_partkey::VARCHAR)::DOUBLE AS p, l_returnflag AS f, {REPLY} AS reply FROM lineitem),
+k AS (SELECT *, CASE l_linenumber % 4 WHEN 0 THEN least(1.0, greatest(0.0, 100 - q)) WHEN 1 THEN CASE WHEN qp <= 1 THEN qp WHEN qp <= 10 THEN qp / 10 ELSE qp / 100 END WHEN 2 THEN 0.5 + 0.3 * (2 - 1) / (2 + 1 + 1) ELSE p END::DOUBLE AS o FROM j),
+s AS (SELECT *, CASE WHEN l_linenumber % 4 = 0 THEN p WHEN o = 0 THEN 0.5 ELSE o END AS c, CASE WHEN l_linenumber % 4 = 0 THEN ['tone', f] ELSE [] END AS areas FROM k)"""
+
+
+@query(f"WITH {PARSED} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(o, 6) AS overall, round(c, 6) AS consistency, array_to_string(areas, '|') AS areas FROM s")
+def judge_replies(spark, sf_dir):
+    p = replies(spark, sf_dir).withColumn("s", judges.batch_reply(F.col("reply")))
+    return p.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("s.overall_score", 6).alias("overall"), F.round("s.consistency", 6).alias("consistency"), F.array_join("s.weak_areas", "|").alias("areas"))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(CASE WHEN l_linenumber % 2 = 0 THEN least(1.0, l_quantity / 40) ELSE 0.5 END, 6) AS score FROM lineitem""")
+def single_replies(spark, sf_dir):
+    text = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("SCORE: "), (F.col("l_quantity") / 40).cast("string"), F.lit("\nREASONING: fine"))).otherwise("SCORE: high")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", judges.single_reply(text).alias("s"))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("s.score", 6).alias("score"))
+
+
+@query("""SELECT l_orderkey AS case_id, count(*) AS judges, count(*) FILTER (1 - 5 * l_discount >= 0.7) AS in_favour, round(avg(1 - 5 * l_discount), 6) AS final_score,
+  2 * count(*) FILTER (1 - 5 * l_discount >= 0.7) > count(*) AS passed, count(*) FILTER (1 - 5 * l_discount >= 0.7) || '/' || count(*) || ' judges passed' AS summary FROM lineitem GROUP BY 1""")
+def judge_vote(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), (1 - 5 * F.col("l_discount")).alias("score"))
+    return judges.vote(rows, ["case_id"]).select("case_id", "judges", "in_favour", F.round("final_score", 6).alias("final_score"), "passed", "summary")
+
+
+@query("""SELECT l_orderkey AS case_id, round(avg(1 - 5 * l_discount + l_partkey / 1e5), 9) AS final_score, avg(1 - 5 * l_discount + l_partkey / 1e5) >= 0.6999999 AS passed, round(stddev_pop(1 - 5 * l_discount + l_partkey / 1e5), 9) AS std, stddev_pop(1 - 5 * l_discount + l_partkey / 1e5) > 0.15 AS disagreed FROM lineitem GROUP BY 1""")
+def judge_synthesis(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), (1 - 5 * F.col("l_discount") + F.col("l_partkey") / 1e5).alias("score"))
+    out = judges.synthesise(rows, ["case_id"], min_score=0.6999999)
+    return out.select("case_id", F.round("final_score", 9).alias("final_score"), "passed", F.round("std", 9).alias("std"), F.col("disagreement").isNotNull().alias("disagreed"))
+
+
+@query(f"""WITH {PARSED}, g AS (SELECT l_orderkey AS run_id, avg(o) AS o, avg(c) AS c, stddev_pop(o) AS d FROM s GROUP BY 1)
+SELECT run_id, round(o, 9) AS final_score, round(c, 9) AS consistency, CASE WHEN d < 0.1 THEN 'high' WHEN d < 0.2 THEN 'medium' ELSE 'low' END AS confidence FROM g""")
+def batch_verdicts(spark, sf_dir):
+    rows = replies(spark, sf_dir).withColumn("s", judges.batch_reply(F.col("reply"))).select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("judge"), "s.*")
+    out = judges.batch_verdict(rows, ["run_id"])
+    return out.select("run_id", F.round("final_score", 9).alias("final_score"), F.round("breakdown.consistency", 9).alias("consistency"), "confidence")
+
+
+@query(f"""WITH {PARSED}, a AS (SELECT l_orderkey AS run_id, unnest(areas) AS area FROM s) SELECT run_id, area, count(*) AS n FROM a GROUP BY ALL HAVING count(*) >= 2""")
+def weak_areas(spark, sf_dir):
+    rows = replies(spark, sf_dir).withColumn("s", judges.batch_reply(F.col("reply"))).select(F.col("l_orderkey").alias("run_id"), F.explode("s.weak_areas").alias("area"))
+    return rows.groupBy("run_id", "area").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query(f"""WITH {CASES}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) AS n, count(*) OVER (PARTITION BY conv_id % 8) AS total FROM c),
+b AS (SELECT conv_id % 8 AS run_id, total, string_agg(chr(10) || '### Test ' || n || ': ' || conv_id || '-' || turn || chr(10) || '**Prompt:** ' || substr(prompt, 1, 200) || chr(10) || '**Response:** ' || substr(response, 1, 400), chr(10) || '---' ORDER BY n) AS text FROM n WHERE n <= 25 GROUP BY ALL)
+SELECT run_id, text || CASE WHEN total > 25 THEN chr(10) || '---' || chr(10) || '... and ' || (total - 25) || ' more tests (showing representative sample)' ELSE '' END AS text FROM b""")
+def judge_prompts(spark, sf_dir):
+    rows = cases(spark, sf_dir).select((F.col("conv_id") % 8).alias("run_id"), "conv_id", "turn", F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("test_id"), "prompt", "response", F.lit(None).cast("string").alias("expected"))
+    return judges.batch_prompt(rows.withColumn("o", F.struct("conv_id", "turn")), ["run_id"], "o")
+
+
+@query(f"WITH {CASES} SELECT conv_id, turn, judge FROM c, (VALUES ('a/x'), ('b/y'), ('c/z')) AS m(judge)")
+def judge_matrix(spark, sf_dir):
+    return judges.matrix(cases(spark, sf_dir), ["a/x", "b/y", "c/z"]).select("conv_id", "turn", "judge")
+
+
+@query(f"""WITH {CASES}, m AS (SELECT prompt, min(response) AS response FROM c WHERE conv_id % 2 = 0 GROUP BY 1) SELECT conv_id, turn, m.response, CASE WHEN m.response IS NULL THEN 'no recording' END AS error FROM c LEFT JOIN m USING (prompt)""")
+def recorded_completions(spark, sf_dir):
+    rows = cases(spark, sf_dir).withColumns({"model": F.lit("m"), "system_prompt": F.lit(None).cast("string")})
+    rec = rows.where("conv_id % 2 = 0").groupBy("model", "system_prompt", "prompt").agg(F.min("response").alias("response"))
+    rec = rec.withColumns({"latency_ms": F.lit(1), "tokens_in": F.lit(1), "tokens_out": F.lit(1)})
+    return runs.from_recordings(rows.drop("response"), rec).select("conv_id", "turn", "response", "error")
+
+
+# Baselines: events as results.  A case is (user, type); runs are the two halves of the events.
+
+STATUS = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'error' ELSE 'passed' END"
+SNAPSHOTS = f"""e AS (SELECT user_id AS case_id, event_id, event_id % 2 AS run, {STATUS} AS status, floor(value * 10)::INT AS latency_ms, round(value / 100, 6) AS score FROM events),
+l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY run, case_id ORDER BY event_id DESC) = 1)"""
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_type")
+    status = F.when(e == "error", "failed").when(e == "signup", "error").otherwise("passed")
+    rows = read(spark, sf_dir, "events").select((F.col("event_id") % 2).alias("run"), F.col("user_id").alias("case_id"), F.col("event_id").alias("position"), status.alias("status"), F.col("props").alias("response"), F.floor(F.col("value") * 10).cast("int").alias("latency_ms"), F.round(F.col("value") / 100, 6).alias("score"))
+    return baselines.snapshot(rows, ["run", "case_id"])
+
+
+@query(f"""WITH {SNAPSHOTS}, j AS (SELECT c.case_id, b.status AS bs, c.status AS cs, b.latency_ms AS bl, c.latency_ms AS cl, b.score AS bq, c.score AS cq FROM l c JOIN l b ON c.case_id = b.case_id AND c.run = 1 AND b.run = 0)
+SELECT case_id, 'status' AS kind, 'high' AS severity FROM j WHERE bs = 'passed' AND cs = 'failed'
+UNION ALL SELECT case_id, 'latency', 'medium' FROM j WHERE bl > 0 AND cl > 1.5 * bl UNION ALL SELECT case_id, 'score', 'medium' FROM j WHERE bq <> 0 AND cq <> 0 AND cq < bq - 0.15""")
+def regressions(spark, sf_dir):
+    rows = results(spark, sf_dir)
+    return baselines.compare(rows.where("run = 1"), rows.where("run = 0")).select("case_id", "kind", "severity")
+
+
+@query(f"WITH {SNAPSHOTS} SELECT run, case_id, status, latency_ms, score FROM l")
+def baseline_snapshot(spark, sf_dir):
+    return results(spark, sf_dir).select("run", "case_id", "status", "latency_ms", "score")
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("position"), F.date_format("ts", "yyyy-MM-dd'T'HH").alias("timestamp"), F.col("value").alias("score"), (F.col("event_type") != "error").alias("passed"), F.col("user_id").cast("string").alias("tag"), F.lit("v1").alias("bsp_version"))
+
+
+HISTORY = "h AS (SELECT event_id AS position, strftime(ts, '%Y-%m-%dT%H') AS timestamp, value AS score, event_type <> 'error' AS passed, user_id::VARCHAR AS tag FROM events)"
+
+
+@query(f"WITH {HISTORY} SELECT tag, timestamp, position, score FROM h QUALIFY row_number() OVER (PARTITION BY tag ORDER BY timestamp DESC, position) = 1")
+def latest_baselines(spark, sf_dir):
+    return baselines.latest(history(spark, sf_dir), ["tag"]).select("tag", "timestamp", "position", "score")
+
+
+@query(f"WITH {HISTORY} SELECT timestamp, score, passed, tag FROM h WHERE tag = '7' ORDER BY timestamp DESC, position LIMIT 10")
+def score_history(spark, sf_dir):
+    return baselines.score_history(history(spark, sf_dir), 10, "7").drop("bsp_version")
+
+
+@query(f"""WITH {HISTORY}, p AS (SELECT *, lag(score) OVER (PARTITION BY tag ORDER BY timestamp, position) AS previous FROM h)
+SELECT tag, position, round(score - previous, 6) AS improvement, CASE WHEN previous IS NULL THEN passed ELSE score - previous > 0.5 END AS push FROM p""")
+def score_improvements(spark, sf_dir):
+    return baselines.improvements(history(spark, sf_dir), ["tag"], 0.5).select("tag", "position", F.round("improvement", 6).alias("improvement"), "push")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_scores(spark, sf_dir):
+    out = scores.windowed_scores(read(spark, sf_dir, "events"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("role").agg(F.count("*").alias("n"))
+    return run_summary(spark, sf_dir)
