@@ -5,8 +5,8 @@ A document is its set of distinct n-word shingles (64-bit hashes); two link if t
 like of y, in any order common to all and for any l.
 
 1. Documents with the same set form a class; its smallest id stands for it.
-2. Prefixes in hash order: tokens that only one document has are dropped, and a document stays if for every l up to
-   ``LEVELS`` it has l others among its first ones.
+2. Prefixes in hash order, lengthened to l = a tenth of the document (``LEVELS`` at least): tokens that only one
+   document has there are dropped, and a document stays if l of its own are left.
 3. For those that stay, exact frequencies among themselves give the order (rare tokens first).  A token that nobody
    else has lessens what a document can share, which bounds the length of its partners.
 4. Each document is verified against one hub for a few rounds: the most central document with which it shares most
@@ -83,7 +83,7 @@ def _profile(n: int):
 
 
 def _tokens(n: int, num: int, den: int, whole: bool):
-    """Tokens of each text: all of them, or those of its longest prefix in hash order with the level each needs."""
+    """Tokens of each text: all of them, or those of its lengthened prefix in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,21 +93,19 @@ def _tokens(n: int, num: int, den: int, whole: bool):
                 h, doc = shingle_sets(texts[lo:hi], n)
                 size = np.bincount(doc, minlength=hi - lo)
                 length = size[doc]
-                level = np.ones(len(h), np.int64)
                 if not whole:
                     place = np.arange(len(h)) - np.concatenate([[0], np.cumsum(size)])[doc]
                     need = -(-num * length // den)
-                    level = np.maximum(1, place - (length - need) + 1)
-                    stay = level <= np.maximum(1, np.minimum(LEVELS, need))
-                    h, doc, length, level = h[stay], doc[stay], length[stay], level[stay]
+                    stay = place < length - need + np.minimum(np.maximum(LEVELS, length // 10), need)
+                    h, doc, length = h[stay], doc[stay], length[stay]
                 for a in range(0, len(h), 100_000):
                     b = a + 100_000
-                    yield pa.RecordBatch.from_arrays([pa.array(h[a:b].view(np.int64)), pa.array(ids[lo + doc[a:b]]), pa.array(length[a:b].astype(np.int32)), pa.array(level[a:b].astype(np.int32))], ["token", "rep", "n", "level"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[a:b].view(np.int64)), pa.array(ids[lo + doc[a:b]]), pa.array(length[a:b].astype(np.int32))], ["token", "rep", "n"])
 
     return run
 
 
-TOKENS = "token long, rep long, n int, level int"
+TOKENS = "token long, rep long, n int"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +195,9 @@ def candidates(reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
     parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), reps.rdd.getNumPartitions())
     rows = reps.mapInArrow(_tokens(n, num, den, False), TOKENS)
     live = rows.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_shared, TOKENS)
-    counts = live.groupBy("rep", "n").agg(*[F.count_if(F.col("level") <= k).alias(f"c{k}") for k in range(1, LEVELS + 1)])
     need = _ceil(num, den, F.col("n"))
-    passes = F.lit(True)
-    for k in range(1, LEVELS + 1):
-        passes = passes & ((F.col(f"c{k}") >= k) | (need < k))
-    return counts.where(passes).select("rep")
+    shared = F.least(F.greatest(F.lit(LEVELS), F.floor(F.col("n") / 10)), need)
+    return live.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= shared).select("rep")
 
 
 def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -215,7 +210,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     reps = src.join(few(same.select("doc_id").distinct()), "doc_id", "left_anti")
     ids = cut(candidates(reps, n, num, den))
     chosen = src.join(few(ids.distinct().withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
-    every = chosen.mapInArrow(_tokens(n, num, den, True), TOKENS).select("token", "rep", "n")
+    every = chosen.mapInArrow(_tokens(n, num, den, True), TOKENS)
     frequency = every.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     shared = every.join(_fresh(frequency, "token"), "token")
     ranked = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"))
