@@ -28,9 +28,9 @@ HISTORY = "run_id string, timestamp string, score double, bsp_hash string, bsp_v
 
 
 def discover(spark: SparkSession, directory: str, pattern: str = "*.{yaml,yml}") -> DataFrame:
-    """(path, text) of suite files below a directory, sorted by path."""
-    files = spark.read.text(directory, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).orderBy("path")
+    """(path, text) of suite files below a directory, sorted by path.  Spark passes over files without a byte."""
+    files = spark.read.format("binaryFile").load(directory, recursiveFileLookup=True, pathGlobFilter=pattern)
+    return files.select("path", F.decode("content", "UTF-8").alias("text")).orderBy("path")
 
 
 def _text(x):
