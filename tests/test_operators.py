@@ -9,7 +9,7 @@ from verdigris.functions import text as t
 from verdigris.functions import urls
 from verdigris.operators import assertions, baselines, generate, html, judges, prompts
 from verdigris.plans import runs
-from verdigris.sources import suites
+from verdigris.sources import config, suites
 
 
 def one(spark, column, **values):
@@ -114,7 +114,7 @@ def test_quota_and_first_by_key(spark):
 
 
 def test_suite_rows(spark):
-    assert generate.persona_cases(spark, "Tax law").count() == 3
+    assert generate.persona_cases(spark, "Tax law").count() == 1
     rows = spark.createDataFrame([("x ____ y", "word", ["d"], 1)], "masked_text string, answer string, tags array<string>, position int")
     assert generate.cloze_cases(rows, "Tax law", ["position"]).first()["id"] == "tax-law-cloze-1"
 
@@ -231,3 +231,12 @@ def test_plans(spark):
     assert "Python" not in plan and "Cartesian" not in plan
     h = spark.range(3).select(F.col("id").cast("string").alias("timestamp"), F.col("id").alias("position"), F.lit(1.0).alias("score"), F.lit("v").alias("bsp_version"), F.lit(True).alias("passed"), F.lit("t").alias("tag"))
     assert "TakeOrderedAndProject" in baselines.score_history(h, 2)._jdf.queryExecution().toString()
+
+
+def test_config(tmp_path):
+    assert config.load(tmp_path / "none").council.members == []
+    (tmp_path / "p.txt").write_text("be brief")
+    (tmp_path / config.NAME).write_text("models: {providers: {x: {api_key: '${KEY}'}}}\nbsp: {prompt_file: p.txt, min_score: 0.8, odd: 1}\ntesting: {parallelism: 9}\n")
+    c = config.load(tmp_path / config.NAME, {"KEY": "k"})
+    assert c.models.providers["x"]["api_key"] == "k" and c.bsp.min_score == 0.8 and c.parallelism == 9
+    assert config.root(tmp_path) == tmp_path and config.system_prompt(c, tmp_path) == "be brief"

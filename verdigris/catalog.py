@@ -304,6 +304,24 @@ def prompt_analysis(spark, sf_dir):
     return prompts.analyse(read(spark, sf_dir, "conversations").where("role = 'system'").select("conv_id", F.col("text").alias("prompt"))).drop("prompt")
 
 
+_FALLBACK = " ".join(f"WHEN key = '{k}' THEN {len(u)}" for k, u in prompts.FALLBACK_URLS.items()) + " " + " ".join(f"WHEN contains(d, '{k}') OR contains('{k}', d) THEN {len(u)}" for k, u in prompts.FALLBACK_URLS.items())
+
+
+@query(f"""SELECT doc_id, CASE {_FALLBACK} ELSE 3 END::BIGINT AS n_urls FROM (SELECT doc_id, replace(x, '_', ' ') AS d, replace(replace(x, '_', ' '), ' ', '_') AS key
+  FROM (SELECT doc_id, lower(['Code_Review', 'legal', 'java', 'python web', 'Medical', 'script'][1 + doc_id % 6]) AS x FROM documents))""")
+def fallback_pages(spark, sf_dir):
+    names = F.array(*map(F.lit, ["Code_Review", "legal", "java", "python web", "Medical", "script"]))
+    d = F.element_at(names, (F.col("doc_id") % 6 + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(prompts.fallback_urls(d)).cast("long").alias("n_urls"))
+
+
+@query(f"""WITH {CASES} SELECT conv_id, turn, CASE WHEN length(response) >= 200 THEN 'PASSED' ELSE 'FAILED' END AS mark, CASE WHEN length(response) >= 200 THEN '' ELSE 'min_length failed' END AS detail FROM c""")
+def run_report(spark, sf_dir):
+    rows = cases(spark, sf_dir).withColumn("assertions", F.array(_check("min_length", chars=200)))
+    _, statuses, _ = runs.suite_run(rows, ["conv_id", "turn"])
+    return assertions.report(statuses, ["conv_id", "turn"])
+
+
 # Judges.
 
 REPLY = """CASE l_linenumber % 4 WHEN 0 THEN 'OVERALL_SCORE: ' || (100 - l_quantity)::INT::VARCHAR || chr(10) || 'Consistency: 0.' || l_partkey::VARCHAR || chr(10) || 'WEAK_AREAS: tone, ' || l_returnflag

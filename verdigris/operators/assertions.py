@@ -144,3 +144,10 @@ def run_summary(statuses: DataFrame, keys: list[str] = ()) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s)
     rate = F.coalesce(F.try_divide(count("passed"), F.count("*")), F.lit(0.0))
     return statuses.groupBy(*keys).agg(F.count("*").alias("total"), count("passed").alias("passed"), count("failed").alias("failed"), count("error").alias("errors"), rate.alias("pass_rate"))
+
+
+def report(statuses: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows for a console: a mark and the detail (first failed check, else the error), worst first."""
+    place = F.when(F.col("status") == "error", 0).when(F.col("status") == "failed", 1).otherwise(2)
+    error = F.col("error") if "error" in statuses.columns else F.lit(None).cast("string")
+    return statuses.select(*keys, F.upper("status").alias("mark"), F.substring(F.coalesce("detail", error, F.lit("")), 1, 50).alias("detail")).orderBy(place, *keys)

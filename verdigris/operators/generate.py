@@ -30,6 +30,7 @@ FAMILIES = (
     r"(?iuU)(When (?:should|do|does|is|are|to) [^?]+\?)\s*([^.!?]+[.!?](?:[^.!?]+[.!?])?)",
     r"(?iuU)(Which [^?]+\?)\s*([^.!?]+[.!?])",
 )
+#: Fixed value: a sentence that defines its subject.
 DEFINITION = r"(?U)^((?:The\s+)?[A-Z][A-Za-z0-9\s]+?) (?:is|are) (?:a |an |the )?(.+)"
 PAIR = "array<struct<question:string,answer:string>>"
 
@@ -135,7 +136,13 @@ def finetune(qa: DataFrame, cloze: DataFrame) -> DataFrame:
 
 def persona(domain: str) -> dict:
     """A constant role with its dialogues; ``persona_cases`` makes suite rows of it."""
-    return {"name": f"{domain} expert", "role": f"an expert in {domain}", "dialogues": [f"What should a beginner know about {domain}?", f"Which mistakes are common in {domain}?", f"How do you keep up with {domain}?"]}
+    return {
+        "name": f"{domain.title()} Expert",
+        "description": f"An AI assistant specialized in {domain}",
+        "system_prompt": f"You are a helpful {domain} expert. Answer questions accurately and concisely.",
+        "dialogues": [f"Tell me about {domain}"],
+        "traits": ["knowledgeable", "helpful", "precise"],
+    }
 
 
 def persona_cases(spark, domain: str) -> DataFrame:

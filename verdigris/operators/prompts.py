@@ -54,6 +54,39 @@ DOMAIN_TESTS = {
 }
 
 
+#: Pages to fall back to, by domain; the order decides between partial matches.
+FALLBACK_URLS = {
+    "code": ["https://google.github.io/styleguide/", "https://docs.python.org/3/tutorial/", "https://developer.mozilla.org/en-US/docs/Web/JavaScript/Guide", "https://wiki.c2.com/?CodeSmell"],
+    "code_review": [
+        "https://google.github.io/eng-practices/review/reviewer/",
+        "https://smartbear.com/learn/code-review/best-practices-for-peer-code-review/",
+        "https://wiki.c2.com/?CodeReviewPatterns",
+        "https://docs.github.com/en/pull-requests/collaborating-with-pull-requests/reviewing-changes-in-pull-requests/about-pull-request-reviews",
+    ],
+    "programming": ["https://docs.python.org/3/faq/programming.html", "https://docs.python.org/3/tutorial/errors.html", "https://developer.mozilla.org/en-US/docs/Learn/JavaScript"],
+    "python": ["https://docs.python.org/3/faq/programming.html", "https://docs.python.org/3/tutorial/", "https://wiki.python.org/moin/BeginnersGuide/NonProgrammers", "https://realpython.com/python-best-practices/"],
+    "javascript": ["https://developer.mozilla.org/en-US/docs/Web/JavaScript/Guide", "https://developer.mozilla.org/en-US/docs/Learn/JavaScript/First_steps", "https://javascript.info/first-steps"],
+    "support": ["https://www.zendesk.com/blog/customer-service-skills/", "https://help.zendesk.com/hc/en-us/articles/4408832479386-Best-practices-for-agents"],
+    "writing": ["https://developers.google.com/style", "https://docs.microsoft.com/en-us/style-guide/welcome/"],
+    "security": ["https://owasp.org/www-project-top-ten/", "https://cheatsheetseries.owasp.org/"],
+    "medical": ["https://www.mayoclinic.org/diseases-conditions", "https://www.cdc.gov/health-topics.html"],
+}
+DEFAULT_URLS = ["https://docs.python.org/3/faq/programming.html", "https://developer.mozilla.org/en-US/docs/Learn", "https://wiki.c2.com/?DesignPatterns"]
+
+
+def fallback_urls(domain_: Column) -> Column:
+    """Of the domain itself, else of the first key that is part of it or has it as a part, else the default."""
+    spoken = F.replace(F.lower(domain_), F.lit("_"), F.lit(" "))
+    listed = lambda urls: F.array(*map(F.lit, urls))
+    key = F.replace(spoken, F.lit(" "), F.lit("_"))
+    rules = [(key == k, u) for k, u in FALLBACK_URLS.items()]
+    rules += [(F.contains(spoken, F.lit(k)) | F.contains(F.lit(k), spoken), u) for k, u in FALLBACK_URLS.items()]
+    out = F.when(rules[0][0], listed(rules[0][1]))
+    for rule, u in rules[1:]:
+        out = out.when(rule, listed(u))
+    return out.otherwise(listed(DEFAULT_URLS))
+
+
 def role(prompt: Column) -> Column:
     def cut(c: Column) -> Column:
         for word in ("who", "that"):
