@@ -44,12 +44,13 @@ def is_valid_qa(question: Column, answer: Column) -> Column:
 
 def qa_patterns(text: Column, most: int = 20) -> Column:
     """Pairs that match the question families, family by family; the first ``most`` valid ones."""
-    found = []
-    for k, pattern in enumerate(FAMILIES):
-        q, a = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
+    def pairs(x: Column, k: int) -> Column:
+        q, a = (F.regexp_extract_all(x, F.lit(FAMILIES[k]), F.lit(g)) for g in (1, 2))
         cut = (lambda x, n: F.substring(t.strip(x), 1, n)) if k == 0 else (lambda x, n: t.strip(x))
-        found.append(F.zip_with(q, a, lambda x, y: F.struct(cut(x, 200).alias("question"), cut(y, 500).alias("answer"))))
-    return F.slice(F.filter(F.concat(*found), lambda p: is_valid_qa(p["question"], p["answer"])), 1, most)
+        return F.zip_with(q, a, lambda x, y: F.struct(cut(x, 200).alias("question"), cut(y, 500).alias("answer")))
+
+    found = t.bound(text, lambda x: F.concat(*[pairs(x, k) for k in range(len(FAMILIES))]))
+    return F.slice(F.filter(found, lambda p: is_valid_qa(p["question"], p["answer"])), 1, most)
 
 
 def definitions(text: Column) -> Column:
