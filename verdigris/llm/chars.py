@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Odd, so that it has an inverse mod 2**64; under 2**62, so that SQL engines with 128-bit integers can follow.
 BASE = 0x2545F4914F6CDD1D
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+#: Rows whose texts a worker holds as strings at a time.
+ROWS = 1024
 _U = np.uint64
 _tables: dict[str, np.ndarray] = {}
 
@@ -33,6 +36,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices, which share the batches' memory."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters; a longer text has a range of its own."""
     lo, size = 0, 0

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chars import Words, chunks, mix
+from .chars import chunks, mix, small, Words
 from .components import relabel
 from .tables import cut, few, table
 
@@ -65,7 +65,7 @@ def shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             cols: list[list[np.ndarray]] = [[], [], []]
             for lo, hi in chunks(texts):
@@ -86,7 +86,7 @@ def _tokens(n: int, num: int, den: int, whole: bool):
     """Tokens of each text: all of them, or those of its lengthened prefix in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             for lo, hi in chunks(texts):

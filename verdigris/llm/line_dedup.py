@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chars import small
 from .tables import table
 
 RATIO = 0.05
@@ -67,7 +68,7 @@ def drop_lines(pages: DataFrame, found: DataFrame, host: str = "source", text: s
         src = keyed.join(hits, "_row_", "left").select(*[keyed[c] for c in pages.columns], "_site_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, totals, drops = [], [], []
             for body, site in zip(batch.column(at).to_pylist(), batch.column(site_at).to_pylist(), strict=True):
                 bad = shared.value.get(site, ()) if shared is not None else set(site or ())

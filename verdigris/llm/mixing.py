@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import subword
+from .chars import small
 from .tables import cut, few, table
 
 #: Domains of the labelled table, in the order of the classes.
@@ -56,7 +57,7 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     def sums(steps: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = np.zeros(k)
-            for batch in batches:
+            for batch in small(batches):
                 p = _matrix(batch.column(0), k)
                 got += (rates_of(p, steps) * batch.column(1).to_numpy()) @ p
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in got], names=[f"s{i}" for i in range(k)])
@@ -89,7 +90,7 @@ def with_rates(members: DataFrame, steps: np.ndarray, keep: list[str]) -> DataFr
     k, width = len(DOMAINS), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rate = rates_of(_matrix(batch.column(width), k), steps)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate, pa.float64())], names=[*batch.schema.names, "rate"])
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .chars import small
 from .tables import table
 from .wordcache import CachedTokenizer
 
@@ -137,7 +138,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
             return out
 
         packer, serial, buffered = Packer(emit, tiers), 0, 0
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(texts, END_ID), strict=True):
                 held[serial] = (doc_id, ids)

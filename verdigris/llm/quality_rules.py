@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chars import BASE, Words, chunks, sum_by
+from .chars import BASE, chunks, small, sum_by, Words
 from .tables import table
 
 BUCKETS = 1 << 16
@@ -43,7 +43,7 @@ def ngram_buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in small(batches):
         texts = [t or "" for t in batch.column(0).to_pylist()]
         trusted = np.array([bool(x) for x in batch.column(1).to_pylist()], bool)
         for lo, hi in chunks(texts):
@@ -118,7 +118,7 @@ def score(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             if texts:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, _measures(texts, shared.value, threshold))], [x.split()[0] for x in SCHEMA.split(", ")])
@@ -131,7 +131,7 @@ def keep(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> Da
     shared, at = docs.sparkSession.sparkContext.broadcast(ratio), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
                 yield batch.filter(pa.array(_measures([t or "" for t in batch.column(at).to_pylist()], shared.value, threshold)[-1]))
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chars import small
 from .tables import table
 
 MIN_RUN_WORDS = 25
@@ -45,7 +46,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in UNITS.split(", ")]
     rows: list[tuple] = []
-    for batch in batches:
+    for batch in small(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows += [(doc_id, *u) for u in units_of(text)]
             if len(rows) >= 50_000:
@@ -81,7 +82,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     joined = docs.join(cuts, docs["doc_id"] == F.col("_cut_id"), "left").select(*[docs[c] for c in docs.columns], "_cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, kept = [], []
             for text, cut in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
                 spans, end = [], 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chars import Words, _powers, chunks, mix
+from .chars import chunks, mix, _powers, small, Words
 from .tables import table
 
 WORD_BUCKETS = 1 << 17
@@ -75,7 +75,7 @@ def training_ids(labels: DataFrame, target: Column, rows: int = TRAIN_ROWS) -> D
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         texts = [t or "" for t in batch.column(0).to_pylist()]
         at, n = [], []
         for lo, hi in chunks(texts):
@@ -142,7 +142,7 @@ def posteriors(docs: DataFrame, model: np.ndarray, keep: list[str], words: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns, bias = shared.value
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             parts, counts = [np.zeros((0, len(bias)))], [np.zeros(0, np.int64)]
             for lo, hi in chunks(texts):

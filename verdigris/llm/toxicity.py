@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chars import chunks
+from .chars import chunks, small
 from .subword import held_out, training_ids
 from .tables import table
 
@@ -216,7 +216,7 @@ def _vocabulary(rows: DataFrame, known: list[str] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = None if known is None else set(known)
         count: Counter = Counter()
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 words = set(TOKEN.findall((text or "").lower()))
                 count.update(words if only is None else words & only)
@@ -263,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, target: Column, rows: int = TRAIN_
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((len(terms), 2), np.int64)
-        for batch in batches:
+        for batch in small(batches):
             texts = [(t or "").lower() for t in batch.column(0).to_pylist()]
             y = np.array(batch.column(1).to_pylist(), np.int64)
             for lo, hi in chunks(texts):
@@ -279,7 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame, target: Column, rows: int = TRAIN_
     automaton = Automaton(terms, fuzzy)
 
     def rowwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x = doc_features([t or "" for t in batch.column(0).to_pylist()], automaton, weights)
             yield pa.RecordBatch.from_arrays([batch.column(1), _pack(x)], ["y", "x"])
 
@@ -299,7 +299,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             score = shared.value.score([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score, pa.float64())], ["doc_id", "score"])
 
@@ -312,7 +312,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model.automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [(t or "").lower() for t in batch.column(1).to_pylist()]
             ids = batch.column(0).to_pylist()
             rows = []

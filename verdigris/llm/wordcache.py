@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Chunks remembered by a worker, in two generations of this size.
-GENERATION = 400_000
+GENERATION = 300_000
 _LETTERS = re.compile(rb"[a-z]+")
 
 
