@@ -51,6 +51,7 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
 def drop_lines(pages: DataFrame, found: DataFrame, host: str = "source", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The pages without their host's boilerplate, with ``n_lines`` and ``n_dropped`` (long) appended."""
     spark = pages.sparkSession
+    pages = pages.drop("n_lines", "n_dropped")  # columns of these names are replaced
     rows = found.limit(broadcast_lines + 1).collect()
     schema = T.StructType([*pages.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at, site_at = pages.columns.index(text), len(pages.columns)

@@ -75,7 +75,8 @@ def repeated_spans(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataF
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The documents with the spans cut out of ``text``; ``kept`` has (start, length) of what stays, in the original."""
-    kept_type = T.ArrayType(T.StructType().add("start", "int").add("length", "int"))
+    docs = docs.drop("kept")  # a column of that name is replaced
+    kept_type = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("length", T.IntegerType()))
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", kept_type)])
     at, width = docs.columns.index("text"), len(docs.columns)
     cuts = spans.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cuts"))
