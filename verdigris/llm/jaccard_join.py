@@ -8,12 +8,13 @@ like of y, in any order common to all and for any l.
 2. Prefixes in hash order, lengthened to l = a tenth of the document (``LEVELS`` at least): tokens that only one
    document has there are dropped, and a document stays if l of its own are left.
 3. For those that stay, exact frequencies among themselves give the order (rare tokens first).  A token that nobody
-   else has lessens what a document can share, which bounds the length of its partners.
+   else has lessens what a document can share, which bounds the length of its partners or rules it out; done twice,
+   as those ruled out change the frequencies.
 4. Each document is verified against one hub for a few rounds: the most central document with which it shares most
    prefix tokens.  Links merge components, and only tokens that join two components go on.
 5. Every pair left, of different components, meets on its prefix tokens.  Each document lengthens its prefix to the l
    of least estimated cost (entries read, plus ``VERIFY_COST`` for each of at most entries / l candidates), asks for l
-   shared tokens, and what passes is verified.
+   shared tokens; each pair comes up once, at its first shared token, and what passes is verified.
 
 So a group of m copies needs about m verifications, no link between different components is lost, and nothing is
 capped: hub rounds only save work.
@@ -172,29 +173,48 @@ def _hub_pairs(live: DataFrame, turn: int) -> DataFrame:
     return count.groupBy(F.col("rep").alias("a")).agg(F.max(F.struct("c", "h_rep")).alias("m")).select("a", F.col("m.h_rep").alias("b"))
 
 
-def _pairs(live: DataFrame) -> DataFrame:
-    """Every pair of different components that its longer document's adaptive prefix cannot rule out."""
+def _pairs(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Every pair of different components that its longer document's adaptive prefix cannot rule out, once: at the
+    first token that both prefixes have, if places there leave room for enough shared tokens."""
     f = live.groupBy("token").agg(F.count("*").alias("f"))
     read = [F.sum(F.when(F.col("level") <= k, F.col("f") - 1).otherwise(0)).alias(f"r{k}") for k in range(1, LEVELS + 1)]
-    cost = live.join(f, "token").groupBy("rep").agg(F.max("need").alias("need"), *read)
+    cost = live.join(_fresh(f, "token"), "token").groupBy("rep").agg(F.max("need").alias("need"), *read)
     best = F.array_min(F.array(*[F.struct(F.when(F.col("need") >= k, F.col(f"r{k}") * (1 + VERIFY_COST / k)).otherwise(float("inf")).alias("c"), F.lit(k).alias("k")) for k in range(1, LEVELS + 1)]))["k"]
-    level = cost.select("rep", best.alias("l"))
-    side = cut(live.join(level, "rep"))
+    heads = sets.select("rep", F.slice("tokens", F.lit(1), F.greatest(F.col("n") - F.col("need") + LEVELS - F.col("alone"), F.lit(0))).alias("head"))
+    side = cut(live.join(cost.select("rep", best.alias("l")).join(heads, "rep"), "rep"))
     most = side.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
-    side = side.join(most, "token")
-    x, y = side.where("comp <> main").alias("x"), side.alias("y")
+    side = side.join(_fresh(most, "token"), "token")
+    x, y = side.where("comp <> main").alias("x"), _fresh(side, "token").alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-    longer = F.struct("x.n", "x.rep") > F.struct("y.n", "y.rep")
-    l = F.when(longer, F.col("x.l")).otherwise(F.col("y.l"))
-    met = x.join(y, on & _reach("x", "y") & (F.greatest("x.level", "y.level") <= l))
-    return met.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("c"), F.max(l).alias("l")).where("c >= l").select("a", "b")
+    l = F.when(F.struct("x.n", "x.rep") > F.struct("y.n", "y.rep"), F.col("x.l")).otherwise(F.col("y.l"))
+    at = lambda d: F.col(f"{d}.place") + F.col(f"{d}.alone")
+    room = F.least(at("x"), at("y")) + 1 + F.least(F.col("x.n") - 1 - at("x"), F.col("y.n") - 1 - at("y"))
+    enough = room * (num + den) >= num * (F.col("x.n") + F.col("y.n"))
+    before = lambda d: F.slice(F.col(f"{d}.head"), F.lit(1), F.col(f"{d}.place"))
+    head = lambda d: F.slice(F.col(f"{d}.head"), F.lit(1), F.greatest(F.col(f"{d}.n") - F.col(f"{d}.need") + l - F.col(f"{d}.alone"), F.lit(0)))
+    first = ~F.arrays_overlap(before("x"), before("y"))
+    matched = F.size(F.array_intersect(head("x"), head("y"))) >= l
+    met = x.join(y, on & _reach("x", "y") & (F.greatest("x.level", "y.level") <= l) & enough & first & matched)
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def _ranked(tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """Documents with the tokens that they share with another of these documents, rare ones first; those whose other
+    tokens are too many to link with anyone are left out."""
+    frequency = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    shared = tokens.join(_fresh(frequency, "token"), "token")
+    ranked = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"))
+    need = _ceil(num, den, F.col("n"))
+    ranked = ranked.select("rep", "n", need.alias("need"), (F.col("n") - F.size("s")).alias("alone"), F.col("s.token").alias("tokens"))
+    ranked = ranked.where(F.size("tokens") >= F.col("need"))
+    most = F.floor(F.size("tokens") * F.lit(num + den) / num - F.col("n") + 1e-6).cast("int")
+    return ranked.withColumn("least", need).withColumn("most", most)
 
 
 def candidates(reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Ids of documents that may link, by prefixes in hash order (step 2)."""
-    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), reps.rdd.getNumPartitions())
     rows = reps.mapInArrow(_tokens(n, num, den, False), TOKENS)
-    live = rows.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_shared, TOKENS)
+    live = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, TOKENS)
     need = _ceil(num, den, F.col("n"))
     shared = F.least(F.greatest(F.lit(LEVELS), F.floor(F.col("n") / 10)), need)
     return live.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= shared).select("rep")
@@ -211,14 +231,8 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     ids = cut(candidates(reps, n, num, den))
     chosen = src.join(few(ids.distinct().withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
     every = chosen.mapInArrow(_tokens(n, num, den, True), TOKENS)
-    frequency = every.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    shared = every.join(_fresh(frequency, "token"), "token")
-    ranked = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"))
-    need = _ceil(num, den, F.col("n"))
-    ranked = ranked.select("rep", "n", need.alias("need"), (F.col("n") - F.size("s")).alias("alone"), F.col("s.token").alias("tokens"))
-    ranked = ranked.where(F.size("tokens") >= F.col("need"))
-    ranked = ranked.withColumn("least", need).withColumn("most", F.floor(F.size("tokens") * (F.lit(num + den)) / num - F.col("n") + 1e-6).cast("int"))
-    sets = cut(ranked.select("rep", "n", "need", "alone", "least", "most", "tokens"))
+    sets = cut(_ranked(every, num, den))
+    sets = cut(_ranked(sets.select(F.explode("tokens").alias("token"), "rep", "n"), num, den))
     head = F.col("n") - F.col("need") + F.least(F.lit(LEVELS), F.col("need")) - F.col("alone")
     entries = sets.select("rep", "n", "need", "alone", "least", "most", F.posexplode(F.slice("tokens", F.lit(1), F.greatest(head, F.lit(0)))).alias("place", "token"))
     entries = entries.withColumn("level", F.greatest(F.lit(1), F.col("place") + F.col("alone") - (F.col("n") - F.col("need")) + 1))
@@ -233,7 +247,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         labels = relabel(labels, links)
         live = _mixed(live.drop("comp"), labels)
     if not live.isEmpty():
-        labels = relabel(labels, cut(_verified(_pairs(live), sets, num, den)))
+        labels = relabel(labels, cut(_verified(_pairs(live, sets, num, den), sets, num, den)))
     moved = labels.where("id <> comp")
     ends = same.join(moved.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
     ends = ends.unionByName(moved.select(F.col("id").alias("doc_id"), "comp"))
