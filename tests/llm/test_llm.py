@@ -204,6 +204,12 @@ def test_jaccard_join_loses_no_link(spark, n, num, den):
     assert [tuple(r) for r in got] == brute_components(texts, n, num, den)
 
 
+def test_one_document_with_two_texts_ties_groups(spark):
+    d = spark.createDataFrame([(5, "a b c d"), (6, "a b c d"), (6, "x y z w"), (7, "x y z w"), (6, "x y z w"), (8, "other words here")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(d, 3, 90, 100).collect()}
+    assert got == {5: 5, 6: 5, 7: 5, 8: 8}
+
+
 def test_components_of_long_paths(spark):
     ids = spark.createDataFrame([(i, i) for i in range(60)], "id long, comp long")
     links = spark.createDataFrame([(i, i + 1) for i in range(40)][::-1] + [(50, 55)], "a long, b long")

@@ -257,14 +257,14 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 def _assembled(profile: DataFrame, ends: DataFrame) -> DataFrame:
     """``ends``: (doc_id, comp) of documents that are not the smallest of their group; a document with several texts
     may occur more than once, and then ties its groups together."""
-    once = cut(ends.distinct())
-    twice = once.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("comp").alias("comp"))
-    tied = twice.where("c > 1").select("doc_id")
-    if not tied.isEmpty():
-        ids = profile.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp")).distinct()
-        twice = relabel(ids, once.select(F.col("doc_id").alias("a"), F.col("comp").alias("b"))).withColumnRenamed("id", "doc_id")
-    sizes = profile.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
-    out = sizes.join(twice.select("doc_id", "comp"), "doc_id", "left")
+    sizes = cut(profile.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.count("*").alias("texts")))
+    once = ends.distinct()
+    if sizes.where("texts > 1").isEmpty():
+        groups = once
+    else:
+        ids = sizes.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"))
+        groups = relabel(ids, cut(once.select(F.col("doc_id").alias("a"), F.col("comp").alias("b")))).withColumnRenamed("id", "doc_id")
+    out = sizes.join(groups, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
