@@ -13,8 +13,10 @@ returned; an empty table gives an empty result; only named columns are read.
 
 from __future__ import annotations
 
+import operator
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,9 @@ NAMES = {
 }
 
 
+COMMON = {"a", "an", "and", "any", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with"}
+
+
 def templates() -> list[tuple[str, str, str]]:
     """(template, licence, text); the notices follow from the forms and names."""
     out = [(f"{k}/text", k, t) for k, t in TEXTS.items()]
@@ -74,7 +79,7 @@ def anchors(texts: list[str], threshold: float = THRESHOLD) -> list[str]:
         rest = {g for g in grams if not set(g) & set(chosen)}
         while 2 * len(rest) >= threshold * (len(rest) + len(grams)) and rest:
             count = Counter(w for g in rest for w in set(g))
-            chosen.append(min(count, key=lambda w: (-count[w] * min(len(w), 7), w)))
+            chosen.append(min(count, key=lambda w: (len(w) < 5, w in COMMON or not w.isalpha(), -count[w], w)))  # rarer in other texts first
             rest = {g for g in rest if chosen[-1] not in g}
     return chosen
 
@@ -87,8 +92,9 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def _literal(rows: list[tuple]) -> list[Column]:
-    return [F.lit(x) for x in rows]
+def _holds(text: Column, words: list[str]) -> Column:
+    """Whether the lower-cased text, made once, holds any of the words as a substring."""
+    return F.transform(F.array(F.lower(text)), lambda low: reduce(operator.or_, (F.contains(low, F.lit(w)) for w in words)))[0]
 
 
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD, known: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -108,11 +114,10 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, known: list[tupl
     side = spark.range(1).select(F.inline(F.array(*rows))).withColumn("t_size", F.size("t_grams"))
     side = side.withColumn("size", F.explode(F.sequence(F.ceil(F.lit(low - 1e-9) * F.col("t_size")).cast("int"), F.floor(F.col("t_size") / F.lit(low - 1e-9)).cast("int"))))
     words = anchors([t for _, _, t in known], threshold)
-    likely = F.lower("text").rlike("|".join(map(re.escape, words)))
-    src = docs.select("doc_id", "text").where(likely)
+    src = docs.select("doc_id", "text").where(_holds(F.col("text"), words))
     units = src.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
     units = units.unionByName(src.where(F.instr("text", "\n") > 0).select("doc_id", F.lit(-1).alias("line"), F.col("text").alias("unit")))
-    units = units.where(F.lower("unit").rlike("|".join(map(re.escape, words)))).select("doc_id", "line", _words(F.col("unit")).alias("words"))
+    units = units.where(_holds(F.col("unit"), words)).select("doc_id", "line", _words(F.col("unit")).alias("words"))
     units = units.where((F.size("words") > 1) & F.arrays_overlap("words", F.array(*map(F.lit, words))))
     units = units.select("doc_id", "line", _grams(F.col("words")).alias("grams")).withColumn("size", F.size("grams"))
     hits = units.join(F.broadcast(side), "size")
