@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verdigris.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
 from verdigris.llm.tables import cut, table
 
-#: Target shares of tokens after the quality rules; the total is the most that needs no document twice, and a little.
+#: Target shares of tokens after the quality rules; the total uses up the clean ones, and a little.
 TARGETS = {"clean": 0.95, "low": 0.0, "toxic": 0.05}
 SLACK = 1.05
 

@@ -167,6 +167,26 @@ def test_mixing_meets_targets(spark):
     assert np.allclose(got["rate"], r)
 
 
+@pytest.mark.parametrize("toxic", [0, 2, 5, 20, 60])
+def test_scarce_domain_does_not_thin_the_main_one(spark, toxic):
+    rng = np.random.default_rng(toxic)
+    p = np.vstack([rng.dirichlet([60, 0.05, 0.3], 500 - toxic), rng.dirichlet([0.3, 0.05, 60], toxic)])
+    n = rng.integers(50, 500, 500)
+    members = spark.createDataFrame([(i, [float(y) for y in x], int(k)) for i, (x, k) in enumerate(zip(p, n, strict=True))], "doc_id long, p array<double>, n_words long")
+    weights = [corpus_pipeline.TARGETS[d] for d in mixing.DOMAINS]
+    steps = mixing.fit_rates(members, weights, slack=corpus_pipeline.SLACK)
+    rated = mixing.with_rates(members, steps, ["doc_id"], corpus_pipeline.SLACK)
+    r = rated.orderBy("doc_id").toPandas()["rate"].to_numpy()
+    assert (r[: 500 - toxic] >= 1).all()
+    if toxic == 60:  # more than the share: as many as asked
+        kept = (np.minimum(r, 1) * n) @ p
+        assert kept[2] / kept.sum() == pytest.approx(0.05, abs=0.01)
+    else:
+        assert (r[500 - toxic :] >= 1).all()
+    drawn = {x["doc_id"] for x in mixing.draw(members, rated).collect()}
+    assert set(range(500 - toxic)) <= drawn
+
+
 def brute_components(texts, n, num, den):
     def shingles(t):
         w = "".join(c.lower() if c.isascii() else c for c in t or "").split()

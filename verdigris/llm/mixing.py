@@ -8,6 +8,11 @@ tokens at rate one and T_k = weight_k * total.  In the metric of token counts a
 matrix D^-1 M of that problem is stochastic.  A rate follows from p_d and the list of all g so far, so each round is
 one aggregate over a compact table, and nothing of documents' size is kept between rounds.
 
+For a draw without repeats (``slack``) the total follows from the domain of the greatest weight: it is to be used up,
+``slack`` times over.  No rate and no domain's target is then above ``slack`` times what there is, and no rate of a
+document that this domain fits best is below one, so that a scarce domain falls short of its share instead of thinning
+the others.
+
 Defined results: a null text counts as empty (no tokens; its rate follows from the prior); repeated rows count as
 often as they occur; a domain without expected tokens is left out of the fit; without labels all rates are equal; an
 empty table gives an empty result; only named columns are read, and ``draw`` returns all columns of its input.
@@ -38,10 +43,12 @@ def domain(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.col(toxic) == 1, 2).when(F.col(quality) == 0, 1).when(F.col(quality) == 1, 0)
 
 
-def rates_of(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
+def rates_of(p: np.ndarray, steps: np.ndarray, slack: float | None = None, main: int = 0) -> np.ndarray:
+    """With ``slack``: at most that, and at least one for documents that ``main`` fits best."""
     r = np.ones(len(p))
+    least = 0.0 if slack is None else (p.argmax(1) == main).astype(float)
     for g in steps:
-        r = np.maximum(0.0, r - p @ g)
+        r = np.clip(r - p @ g, least, slack)
     return r
 
 
@@ -51,15 +58,16 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
 
 def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, slack: float | None = None) -> np.ndarray:
     """The list of steps g.  ``members``: ``p`` (array) and ``n_words``.  ``total``: tokens to draw, by default as
-    many as there are; with ``slack``, that factor times the most that needs no document twice."""
-    k = len(weights)
+    many as there are; with ``slack``, that factor (one at least) times what uses up the domain of the greatest
+    weight, and no rate is above it."""
+    k, main = len(weights), int(np.argmax(weights))
 
     def sums(steps: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = np.zeros(k)
             for batch in small(batches):
                 p = _matrix(batch.column(0), k)
-                got += (rates_of(p, steps) * batch.column(1).to_numpy()) @ p
+                got += (rates_of(p, steps, slack, main) * batch.column(1).to_numpy()) @ p
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in got], names=[f"s{i}" for i in range(k)])
 
         out = members.select("p", "n_words").mapInArrow(run, ", ".join(f"s{i} double" for i in range(k)))
@@ -74,24 +82,26 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     share /= share.sum()
     whole = base.sum() if total is None else total
     if slack is not None:
-        asked = share > 0
-        whole = slack * (base[asked] / share[asked]).min()
+        whole = slack * base[share.argmax()] / share.max()
+    goal = whole * share if slack is None else np.minimum(whole * share, slack * base)
     for _ in range(ROUNDS):
-        g = np.where(live, (now - whole * share) / np.where(live, base, 1), 0.0)
+        g = np.where(live, (now - goal) / np.where(live, base, 1), 0.0)
         if np.abs(g * base).max() <= TOLERANCE * whole:
             break
         steps = np.vstack([steps, g])
-        now = sums(steps)
+        last, now = now, sums(steps)
+        if slack is not None and np.abs(now - last).max() <= TOLERANCE * whole:
+            break  # rates at their bounds: a goal that documents of mixed domains cannot meet
     return steps
 
 
-def with_rates(members: DataFrame, steps: np.ndarray, keep: list[str]) -> DataFrame:
+def with_rates(members: DataFrame, steps: np.ndarray, keep: list[str], slack: float | None = None, main: int = 0) -> DataFrame:
     """Columns ``keep``, ``p``, ``n_words`` and ``rate``."""
     k, width = len(DOMAINS), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            rate = rates_of(_matrix(batch.column(width), k), steps)
+            rate = rates_of(_matrix(batch.column(width), k), steps, slack, main)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate, pa.float64())], names=[*batch.schema.names, "rate"])
 
     schema = ", ".join([*(f"`{c}` {members.schema[c].dataType.simpleString()}" for c in keep), "p array<double>", "n_words long", "rate double"])
@@ -107,7 +117,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGH
     """(doc_id, p, n_words, rate) of every document."""
     model = subword.fit(docs, labels, domain(), len(DOMAINS))
     members = cut(subword.posteriors(docs, model, ["doc_id"]))
-    return with_rates(members, fit_rates(members, [weights[d] for d in DOMAINS], slack=slack), ["doc_id"])
+    shares = [weights[d] for d in DOMAINS]
+    return with_rates(members, fit_rates(members, shares, slack=slack), ["doc_id"], slack, int(np.argmax(shares)))
 
 
 def draw(docs: DataFrame, rated: DataFrame) -> DataFrame:
