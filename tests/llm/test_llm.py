@@ -97,6 +97,13 @@ def test_line_dedup(spark):
     assert rows(by_join.toPandas()) == rows(line_dedup.drop_lines(d, found).toPandas())
 
 
+def test_copies_of_a_page_do_not_vote_their_text_out(spark):
+    own = [f"own {i}\nand more {i}" for i in range(20)]
+    d = docs(spark, *["copied\ntext\nof a page"] * 10, *(f"menu\n{x}" if i < 4 else x for i, x in enumerate(own)), None, None, "")
+    got = [r["text"] for r in line_dedup.line_dedup(d).orderBy("doc_id").collect()]
+    assert got == ["copied\ntext\nof a page"] * 10 + own + [None, None, ""]
+
+
 def test_substring_offsets(spark):
     passage = "The first sentence has quite a few words in it to count. And the second one follows it with many more words so that it is long enough."
     d = docs(spark, f"own start {passage} own end.", f"Other intro here, {passage}\nAnd more of it.", "short line.\nshort line.")

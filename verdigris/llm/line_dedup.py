@@ -2,10 +2,11 @@
 
 Pages are grouped by host.  The share of a host's pages that contain a line (trimmed of blanks; a page counts once
 however often it has the line) is compared with ``ratio``; lines above it, found on at least ``min_pages`` pages,
-are boilerplate of that host and are dropped from its pages.  Other lines stay untouched, in order.
+are boilerplate of that host and are dropped from its pages.  Other lines stay untouched, in order.  Pages of one
+host with the same text count as one page, so that copies of a page do not make its lines boilerplate.
 
 Defined results: a null text stays null (no lines); blank lines are never dropped; a null host is a host of its own;
-repeated rows are pages of their own; an empty table gives an empty result; only named columns are read, and
+repeated rows count once and are all returned; an empty table gives an empty result; only named columns are read, and
 ``drop_lines`` returns all input columns with the text replaced.
 """
 
@@ -40,10 +41,11 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site, line digest) of every boilerplate line: counted over all pages, combined before each shuffle."""
+    """(site, line digest) of every boilerplate line: counted over all distinct pages of a host, combined before each shuffle."""
     src = pages.select(_site(F.col(host)).alias("site"), F.col(text).alias("body"))
+    src = src.groupBy("site", F.md5("body").alias("digest")).agg(F.first(_lines(F.col("body"))).alias("lines"))
     totals = src.groupBy("site").agg(F.count("*").alias("pages"))
-    found = src.select("site", F.explode(_lines(F.col("body"))).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
+    found = src.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
     found = found.where(F.col("n") >= min_pages)
     return found.join(totals, "site").where(F.col("n") > F.lit(ratio) * F.col("pages")).select("site", "line")
 
