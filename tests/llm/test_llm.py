@@ -117,6 +117,15 @@ def test_substring_offsets(spark):
         assert r["text"] == "".join(texts[r["doc_id"]][k["start"] : k["start"] + k["length"]] for k in r["kept"])
 
 
+def test_blank_lines_do_not_end_a_repeated_passage(spark):
+    parts = [f"part {i} of a passage in ten short words {'abc'[i]}." for i in range(3)]
+    d = docs(spark, "\n".join(parts), "own words.\n" + "\n\n \n".join(parts), "  ".join(parts))
+    spans = substring_dedup.repeated_spans(d)
+    assert {(s["doc_id"], s["first_doc_id"]) for s in spans.collect()} == {(1, 0), (2, 0)} and spans.count() == 6
+    got = {r["doc_id"]: r["text"].split() for r in substring_dedup.remove_spans(d, spans).collect()}
+    assert got == {0: " ".join(parts).split(), 1: ["own", "words."], 2: []}
+
+
 def test_quality_measures():
     text = "a b c a b c d ## \nline\nline\n\n"
     n, n_chars, symbols, dup, repeat, failed, _, kept = (x[0] for x in quality_rules._measures([text], np.zeros(quality_rules.BUCKETS), 0.0))

@@ -4,7 +4,7 @@ A text is cut at line ends, at blanks after ``.!?`` and at blanks before a capit
 that a passage pasted into a running line still begins and ends at a cut.  Units are normalised (lower case, single
 blanks) and digested; digests are grouped over the whole corpus, and the occurrence with the smallest
 (doc_id, unit number) is kept.  A later occurrence is removed where it stands in a run of consecutive later
-occurrences of at least ``min_run_words`` words, so that short lines which many texts share by nature stay.
+occurrences of at least ``min_run_words`` words, so that short lines which many texts share by nature stay.  Units without a word have no number, so a blank line does not end a run.
 
 Defined results: null or empty texts have no units; rows without doc_id take no part and stay whole; rows repeated
 with the same doc_id count as one document; an empty table gives an empty result; only named columns are read.
@@ -31,11 +31,12 @@ CUT = re.compile(rf"\n|(?<=[.!?])[ \t\x0b\x0c\r]|[ \t\x0b\x0c\r](?=[{UPPER}])")
 
 def units_of(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
     """(number, start, length, words, digest) of each unit that has a word; offsets are in code points of the text."""
-    at = 0
-    for number, unit in enumerate(CUT.split(text)):
+    at = number = 0
+    for unit in CUT.split(text):
         words = unit.lower().encode("utf-8", "surrogatepass").split()
         if words:
             yield number, at, len(unit), len(words), hashlib.md5(b" ".join(words)).digest()
+            number += 1
         at += len(unit) + 1
 
 
