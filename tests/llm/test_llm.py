@@ -15,6 +15,11 @@ from verdigris.llm import chars, components, jaccard_join, license_scan, line_de
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
+#: Names that operators use inside, or add.
+INNER = (
+    "rep", "token", "_id", "_y", "site", "key", "cuts", "version", "out", "out_", "Out__", "p", "n", "n_words", "score", "kept", "bucket", "_text", "text_", "_out", "_site_", "_row_", "_cut_id", "_cuts", "lines", "line", "digest",
+    "rate", "n_lines", "n_dropped", "comp", "component_id", "n_shingles", "unit", "grams", "size", "dotted.name",
+)
 
 
 def docs(spark, *texts, source="s"):
@@ -31,7 +36,7 @@ def odd(spark):
     """Nulls in every column, empty, blank, repeated, tied and long texts, and a column that clashes with inner names."""
     long = "word " * 30_000
     data = [(0, None, None, None, None), (None, "a b c", "en", None, 1), (1, "", "en", "s", 0), (2, " \n\t", "en", "s", 3), (3, long, "en", "s", len(long)), (4, "same text here\nsame text here", "en", "s", 1), (4, "same text here\nsame text here", "en", "s", 1), (5, "same text here\nsame text here", "en", "t", 1)]
-    return spark.createDataFrame(data, DOCS).withColumns({c: F.lit("x") for c in ("rep", "token", "_id", "site", "p", "n_words", "score", "kept", "bucket")})
+    return spark.createDataFrame(data, DOCS).withColumns({c: F.lit("x") for c in INNER})
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +56,7 @@ def operators(labels):
         1: lambda d: mixing.mix(d, labels),
         2: lambda d: toxicity.toxicity(d, labels),
         3: lambda d: line_dedup.line_dedup(d),
-        4: lambda d: substring_dedup.remove_spans(d, substring_dedup.repeated_spans(d)),
+        4: lambda d: substring_dedup.substring_dedup(d),
         5: lambda d: subword.quality(d, labels),
         6: lambda d: quality_rules.quality_rules(d, labels),
         8: lambda d: jaccard_join.similar_components(d, 3, 90, 100),
@@ -106,24 +111,35 @@ def test_copies_of_a_page_do_not_vote_their_text_out(spark):
 
 def test_substring_offsets(spark):
     passage = "The first sentence has quite a few words in it to count. And the second one follows it with many more words so that it is long enough."
-    d = docs(spark, f"own start {passage} own end.", f"Other intro here, {passage}\nAnd more of it.", "short line.\nshort line.")
-    spans = substring_dedup.repeated_spans(d).collect()
+    d = docs(spark, f"own start. {passage} own end.", f"Other intro here. {passage}\nAnd more of it.", "short line.\nshort line.")
     texts = {r["doc_id"]: r["text"] for r in d.collect()}
-    assert {s["doc_id"] for s in spans} == {1} and {s["first_doc_id"] for s in spans} == {0}
-    assert [texts[1][s["start"] : s["start"] + s["length"]] for s in sorted(spans, key=lambda s: s["start"])] == ["The first sentence has quite a few words in it to count.", "And the second one follows it with many more words so that it is long enough."]
-    out = {r["doc_id"]: r for r in substring_dedup.remove_spans(d, substring_dedup.repeated_spans(d)).collect()}
-    assert out[1]["text"] == "Other intro here, And more of it." and out[0]["text"] == texts[0]
+    found = {r["doc_id"]: r["cuts"] for r in substring_dedup.repeats(d, "sentence", 3).collect()}
+    assert set(found) == {1} and {c["first_doc_id"] for c in found[1]} == {0}
+    assert " ".join(texts[1][c["start"] : c["start"] + c["length"]] for c in found[1]) == passage
+    out = {r["doc_id"]: r for r in substring_dedup.substring_dedup(d, "sentence").collect()}
+    assert out[1]["text"] == "Other intro here. And more of it." and out[0]["text"] == texts[0] and out[2]["text"] == "short line.\n"
     for r in out.values():
         assert r["text"] == "".join(texts[r["doc_id"]][k["start"] : k["start"] + k["length"]] for k in r["kept"])
 
 
-def test_blank_lines_do_not_end_a_repeated_passage(spark):
-    parts = [f"part {i} of a passage in ten short words {'abc'[i]}." for i in range(3)]
-    d = docs(spark, "\n".join(parts), "own words.\n" + "\n\n \n".join(parts), "  ".join(parts))
-    spans = substring_dedup.repeated_spans(d)
-    assert {(s["doc_id"], s["first_doc_id"]) for s in spans.collect()} == {(1, 0), (2, 0)} and spans.count() == 6
-    got = {r["doc_id"]: r["text"].split() for r in substring_dedup.remove_spans(d, spans).collect()}
-    assert got == {0: " ".join(parts).split(), 1: ["own", "words."], 2: []}
+@pytest.mark.parametrize("unit,left", [("line", ["a b\nc d\n\ne f", "x", "\n\ny"]), ("paragraph", ["a b\nc d\n\ne f", "a b\nx", "\n\ny"])])
+def test_lines_and_paragraphs(spark, unit, left):
+    d = docs(spark, "a b\nc d\n\ne f", "a b\nx", "A  b\nc d\n\n\nE F\ny" if unit == "line" else "A  b\nc d\n\n\ny\n\ne f")
+    got = [r["text"] for r in substring_dedup.substring_dedup(d, unit).orderBy("doc_id").collect()]
+    assert got[:2] == left[:2] and got[2] == ("\n\ny" if unit == "line" else "\n\ny\n\n")
+
+
+def test_texts_that_share_a_doc_id_keep_their_own(spark):
+    d = spark.createDataFrame([(1, "one text\nwith lines"), (1, "another text"), (1, None), (1, "one text\nwith lines"), (2, "with lines\nof its own"), (None, "one text")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.substring_dedup(d).collect()), key=str)
+    assert got == sorted([(1, "one text\nwith lines"), (1, "another text"), (1, None), (1, "one text\nwith lines"), (2, "of its own"), (None, "one text")], key=str)
+
+
+def test_cuts_beyond_the_broadcast(spark, monkeypatch):
+    d = docs(spark, "a b\nc d", "c d\ne f", "e f")
+    by_hash = rows(substring_dedup.substring_dedup(d).drop("kept").toPandas())
+    monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", 0)
+    assert rows(substring_dedup.substring_dedup(d).drop("kept").toPandas()) == by_hash
 
 
 def test_quality_measures():

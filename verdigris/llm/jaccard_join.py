@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .chars import chunks, mix, small, Words
 from .components import relabel
-from .tables import cut, few, table
+from .tables import cut, few, free, table
 
 LEVELS = 6
 HUB_ROUNDS = 3
@@ -271,8 +271,9 @@ def _assembled(profile: DataFrame, ends: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without those that link, over any path, to one of smaller id."""
     groups = cut(similar_components(docs, n, num, den))
-    out = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_out"))
-    return docs.join(few(out), docs["doc_id"] == F.col("_out"), "left_anti")
+    name = free(docs.columns, "out")
+    out = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(name))
+    return docs.join(few(out), docs["doc_id"] == F.col(name), "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import subword
 from .chars import small
-from .tables import cut, few, table
+from .tables import cut, few, free, in_arrow, named, table
 
 #: Domains of the labelled table, in the order of the classes.
 DOMAINS = ("clean", "low", "toxic")
@@ -104,8 +105,8 @@ def with_rates(members: DataFrame, steps: np.ndarray, keep: list[str], slack: fl
             rate = rates_of(_matrix(batch.column(width), k), steps, slack, main)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate, pa.float64())], names=[*batch.schema.names, "rate"])
 
-    schema = ", ".join([*(f"`{c}` {members.schema[c].dataType.simpleString()}" for c in keep), "p array<double>", "n_words long", "rate double"])
-    return members.select(*keep, "p", "n_words").mapInArrow(run, schema)
+    schema = T.StructType([*(members.schema[c] for c in keep), T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("n_words", T.LongType()), T.StructField("rate", T.DoubleType())])
+    return in_arrow(members.select(*map(named, keep), "p", "n_words"), run, schema)
 
 
 def chance(doc_id: Column) -> Column:
@@ -123,8 +124,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGH
 
 def draw(docs: DataFrame, rated: DataFrame) -> DataFrame:
     """Each document at most once: surely if its rate is one or more, else with its rate as the chance."""
-    out = rated.where((F.col("rate") < 1) & (chance(F.col("doc_id")) >= F.col("rate"))).select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(few(out), docs["doc_id"].eqNullSafe(F.col("_out")), "left_anti")
+    name = free(docs.columns, "out")
+    out = rated.where((F.col("rate") < 1) & (chance(F.col("doc_id")) >= F.col("rate"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(few(out), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

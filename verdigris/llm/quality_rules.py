@@ -20,15 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chars import BASE, chunks, small, sum_by, Words
-from .tables import table
+from .tables import few, in_arrow, table
 
 BUCKETS = 1 << 16
 #: Multipliers of a word's hash, and of the two words of a bigram; the bucket is the product's top 16 bits.
 K1, K2, K3 = 0x1B873593CC9E2D51, 0x27220A9585EBCA6B, 0x165667B19E3779F9
 ALPHA = 1.0
 THRESHOLD = -0.18
-#: Target ids are sent to the executors up to this many; beyond it they meet the documents in a shuffle join.
-BROADCAST_IDS = 2_000_000
 SYMBOLS = np.array(sorted(map(ord, "#*$%&|<>")), np.uint32)
 _SHIFT = np.uint64(48)
 
@@ -55,11 +53,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
-    """Log ratio of each bucket.  The driver receives at most ``BUCKETS`` rows whatever the input."""
+    """Log ratio of each bucket.  The driver receives at most ``BUCKETS`` rows whatever the input; target ids are sent
+    to the executors if they are few, and meet the documents in a shuffle join otherwise."""
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("_id")).where("_id is not null").distinct()
-    ids = ids.withColumn("_trusted", F.lit(True))
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    joined = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_id"), "left")
+    joined = docs.select("doc_id", "text").join(few(ids).withColumn("_trusted", F.lit(True)), F.col("doc_id") == F.col("_id"), "left")
     parts = joined.select("text", "_trusted").mapInArrow(_counts, "bucket long, raw long, target long")
     rows = parts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -135,7 +132,7 @@ def keep(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> Da
             if batch.num_rows:
                 yield batch.filter(pa.array(_measures([t or "" for t in batch.column(at).to_pylist()], shared.value, threshold)[-1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

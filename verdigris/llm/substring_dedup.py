@@ -1,13 +1,15 @@
-"""Substring dedup by hashing of sentence-like units.
-
-A text is cut at line ends, at blanks after ``.!?`` and at blanks before a capital letter (one character each), so
-that a passage pasted into a running line still begins and ends at a cut.  Units are normalised (lower case, single
-blanks) and digested; digests are grouped over the whole corpus, and the occurrence with the smallest
-(doc_id, unit number) is kept.  A later occurrence is removed where it stands in a run of consecutive later
-occurrences of at least ``min_run_words`` words, so that short lines which many texts share by nature stay.  Units without a word have no number, so a blank line does not end a run.
-
-Defined results: null or empty texts have no units; rows without doc_id take no part and stay whole; rows repeated
-with the same doc_id count as one document; an empty table gives an empty result; only named columns are read.
+"""Substring dedup by hashing of paragraphs, lines or sentences.
+
+A text is cut into units: ``paragraph`` (lines up to a blank one), ``line``, or ``sentence`` (lines that are cut at a
+blank after ``.!?`` as well, so that of a passage pasted into a running line all but its edges are units).  Units are
+normalised (lower case, single blanks) and digested (128 bits).  Digests are grouped over the whole corpus; the
+occurrence that ranks first by (doc_id, hash of the text, offset) is kept, and every other one is removed together with
+the one character that parts it from the next unit.  Units under ``min_words`` words take no part; by default all do.
+
+Defined results: null or empty texts and those without words have no units and stay as they are; rows without doc_id
+take no part and stay whole; rows with the same doc_id and text count as one document and are all cut alike; texts
+that share a doc_id are documents of their own; of equal units of one text the first stays; very long texts are read
+whole; an empty table gives an empty result; other columns of the input, of any names, are kept (``kept`` is replaced).
 """
 
 from __future__ import annotations
@@ -17,106 +19,164 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chars import small
-from .tables import table
+from .tables import BROADCAST_IDS, cut, free, in_arrow, table
+
+#: Words that a unit of the query has at least: shorter sentences recur by nature.
+MIN_WORDS = 15
+SENTENCE = re.compile(r"\n|(?<=[.!?])[ \t\x0b\x0c\r]")
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def pieces(text: str, unit: str) -> Iterator[str]:
+    """Parts that make up the text again with one character between each two."""
+    if unit == "sentence":
+        yield from SENTENCE.split(text)
+    elif unit == "line":
+        yield from text.split("\n")
+    elif unit == "paragraph":
+        held: list[str] = []
+        for line in text.split("\n"):
+            if line.strip(BLANKS):
+                held.append(line)
+                continue
+            if held:
+                yield "\n".join(held)
+            held = []
+            yield line
+        if held:
+            yield "\n".join(held)
+    else:
+        raise ValueError(f"unknown unit: {unit}")
+
+
+def units_of(text: str, unit: str = "line", min_words: int = 1) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, length, words, digest) of each unit that has enough words; offsets are in code points of the text."""
+    at = 0
+    for piece in pieces(text, unit):
+        words = piece.lower().encode("utf-8", "surrogatepass").split()
+        if words and len(words) >= min_words:
+            yield at, len(piece), len(words), hashlib.md5(b" ".join(words)).digest()
+        at += len(piece) + 1
+
+
+UNITS = "doc_id long, version long, start int, length int, n_words int, d1 long, d2 long"
+
+
+def _units(unit: str, min_words: int):
+    types = [pa.int32() if x.endswith(" int") else pa.int64() for x in UNITS.split(", ")]
+    names = [x.split()[0] for x in UNITS.split(", ")]
 
-MIN_RUN_WORDS = 25
-UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
-CUT = re.compile(rf"\n|(?<=[.!?])[ \t\x0b\x0c\r]|[ \t\x0b\x0c\r](?=[{UPPER}])")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in small(batches):
+            for doc_id, version, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for start, length, n, d in units_of(text, unit, min_words):
+                    rows.append((doc_id, version, start, length, n, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                if len(rows) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    return run
 
-def units_of(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(number, start, length, words, digest) of each unit that has a word; offsets are in code points of the text."""
-    at = number = 0
-    for unit in CUT.split(text):
-        words = unit.lower().encode("utf-8", "surrogatepass").split()
-        if words:
-            yield number, at, len(unit), len(words), hashlib.md5(b" ".join(words)).digest()
-            number += 1
-        at += len(unit) + 1
 
+def _version(text: Column) -> Column:
+    return F.xxhash64(text)
 
-UNITS = "doc_id long, unit int, start int, length int, n_words int, digest binary"
 
+def repeats(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
+    """(doc_id, version, cuts) of every document that has later occurrences; ``cuts``: (start, length, n_words,
+    first_doc_id, first_start) by start.
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    names = [x.split()[0] for x in UNITS.split(", ")]
-    rows: list[tuple] = []
-    for batch in small(batches):
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows += [(doc_id, *u) for u in units_of(text)]
-            if len(rows) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-
-def repeated_spans(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """(doc_id, start, length, n_words, first_doc_id, first_start) of every unit to remove.
-
-    The global grouping is a minimum per digest, combined before the shuffle; the join back to occurrences is left to
-    adaptive skew splitting; the run rule groups one document's repeated units.
+    Units are computed and written once.  The first occurrence is a minimum for each digest, combined before the
+    shuffle; the join back to the occurrences deals both sides out anew, so that adaptive execution can split a digest
+    which many documents share.  What is collected belongs to one document.
     """
-    src = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    units = src.mapInArrow(_units, UNITS)
-    first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "unit", "start")).alias("k"), F.count("*").alias("c")).where("c > 1")
-    later = units.join(first.select("digest", "k"), "digest").where("doc_id <> k.doc_id or unit <> k.unit")
-    later = later.groupBy("doc_id", "unit").agg(*[F.first(c).alias(c) for c in ("start", "length", "n_words", "k")])
-    order = Window.partitionBy("doc_id").orderBy("unit")
-    runs = later.withColumn("run", F.col("unit") - F.row_number().over(order))
-    runs = runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
-    return runs.where(F.col("run_words") >= min_run_words).select("doc_id", "start", "length", "n_words", F.col("k.doc_id").alias("first_doc_id"), F.col("k.start").alias("first_start"))
-
-
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The documents with the spans cut out of ``text``; ``kept`` has (start, length) of what stays, in the original."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version(F.col("text")).alias("version"), "text").where("doc_id is not null and text is not null")
+    units = cut(src.mapInArrow(_units(unit, min_words), UNITS))
+    first = units.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "version", "start")).alias("k"), F.count("*").alias("c")).where("c > 1")
+    fresh = first.select((F.col("d1") + F.lit(0).cast("long")).alias("d1"), "d2", "k")
+    later = units.join(fresh, ["d1", "d2"]).where("doc_id <> k.doc_id or version <> k.version or start <> k.start")
+    span = F.struct("start", "length", "n_words", F.col("k.doc_id").alias("first_doc_id"), F.col("k.start").alias("first_start"))
+    return cut(later.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(span)).alias("cuts")))
+
+
+def removed(docs: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
+    """The documents with the cuts taken out of ``text``; ``kept`` has (start, length) of what stays, in the original.
+    ``how``: ``left`` for all documents, ``inner`` for those that lose something.  Cuts are sent to the executors if
+    their number is small, and else meet the documents in a shuffle join."""
     docs = docs.drop("kept")  # a column of that name is replaced
     kept_type = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("length", T.IntegerType()))
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", kept_type)])
     at, width = docs.columns.index("text"), len(docs.columns)
-    cuts = spans.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cuts"))
-    joined = docs.join(cuts, docs["doc_id"] == F.col("_cut_id"), "left").select(*[docs[c] for c in docs.columns], "_cuts")
+    key, cuts = (free(docs.columns, c) for c in ("key", "cuts"))
+    side = found.select(F.struct("doc_id", "version").alias(key), F.col("cuts").alias(cuts))
+    spans = found.agg(F.sum(F.size("cuts"))).first()[0] or 0
+    mine = F.struct(docs["doc_id"].cast("long").alias("doc_id"), _version(docs["text"]).alias("version"))
+    joined = docs.join(F.broadcast(side) if spans <= BROADCAST_IDS else side, mine == F.col(key), how)
+    joined = joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.transform(cuts, lambda x: F.struct(x["start"], x["length"])).alias(cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts, kept = [], []
-            for text, cut in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
-                spans, end = [], 0
-                for c in cut or ():
-                    if c["start"] > end:
-                        spans.append({"start": end, "length": c["start"] - end})
-                    end = max(end, min(len(text), c["start"] + c["length"] + 1))
+            for text, gone in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
+                stay, end = [], 0
+                for c in gone or ():
+                    start, length = c.values()
+                    if start > end:
+                        stay.append({"start": end, "length": start - end})
+                    end = max(end, min(len(text), start + length + 1))
                 if text and end < len(text):
-                    spans.append({"start": end, "length": len(text) - end})
-                texts.append(None if text is None else "".join(text[s["start"] : s["start"] + s["length"]] for s in spans))
-                kept.append(None if text is None else spans)
+                    stay.append({"start": end, "length": len(text) - end})
+                texts.append(None if text is None else "".join(text[s["start"] : s["start"] + s["length"]] for s in stay))
+                kept.append(None if text is None else stay)
             cols = [batch.column(i) for i in range(width)]
             cols[at] = pa.array(texts, batch.schema.field(at).type)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, kind)], names=[f.name for f in schema])
 
-    return joined.mapInArrow(run, schema)
+    return in_arrow(joined, run, schema)
+
+
+def substring_dedup(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
+    """All documents, without the later occurrences of their units, and ``kept``."""
+    return removed(docs, repeats(docs, unit, min_words))
+
+
+def _told(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat(x["start"].cast("string"), F.lit("+"), x["length"].cast("string"))), " ")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    """Every document that loses a repeated sentence of ``MIN_WORDS`` words or more: the digest of what is left of its
+    text, and the kept and removed spans (``start+length``, in code points of the original) in order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeats(docs, "sentence", MIN_WORDS)
+    version = free(docs.columns, "version")
+    left = removed(docs.withColumn(version, _version(F.col("text"))), found, "inner")
+    cuts = found.select(F.col("doc_id"), F.col("version").alias(version), F.size("cuts").cast("long").alias("n_removed"), _told(F.col("cuts")).alias("removed"))
+    return left.select("doc_id", version, F.md5("text").alias("text_md5"), _told(F.col("kept")).alias("kept")).join(cuts, ["doc_id", version]).drop(version)
 
 
 _B = "[ \\t\\x0b\\x0c\\r]"
 ORACLE = f"""
-WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-s AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(replace(text, chr(10), chr(31)), '([.!?]){_B}', '\\1' || chr(31), 'g'), '{_B}([{UPPER}])', chr(31) || '\\1', 'g'), chr(31)) AS p FROM d),
-u0 AS (SELECT doc_id, unnest(p) AS part, unnest(range(len(p))) AS unit FROM s),
-u1 AS (SELECT doc_id, unit, part, (sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(part) - 1)::INT AS start,
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS rid, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+s AS (SELECT rid, doc_id, text, string_split(regexp_replace(replace(text, chr(10), chr(31)), '([.!?]){_B}', '\\1' || chr(31), 'g'), chr(31)) AS p FROM d),
+u0 AS (SELECT rid, doc_id, text, unnest(p) AS part, unnest(range(len(p))) AS unit FROM s),
+u1 AS (SELECT rid, doc_id, text, unit, part, (sum(length(part) + 1) OVER (PARTITION BY rid ORDER BY unit) - length(part) - 1)::INT AS start,
   trim(regexp_replace(lower(part), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS n FROM u0),
-u AS (SELECT *, len(string_split(n, ' '))::INT AS n_words, first_value(doc_id) OVER w AS first_doc_id, first_value(unit) OVER w AS k_unit, first_value(start) OVER w AS first_start
-  FROM u1 WHERE n <> '' WINDOW w AS (PARTITION BY n ORDER BY doc_id, unit)),
-l AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM u WHERE doc_id <> first_doc_id OR unit <> k_unit),
-r AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS run_words FROM l)
-SELECT doc_id, start, length(part)::INT AS length, n_words, first_doc_id, first_start FROM r WHERE run_words >= {MIN_RUN_WORDS}"""
+u AS (SELECT rid, unit, n <> '' AND len(string_split(n, ' ')) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY n ORDER BY doc_id, rid, unit) > 1 AS gone FROM u1),
+a AS (SELECT u1.*, length(part)::INT AS size, gone FROM u1 JOIN u USING (rid, unit)),
+g AS (SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(start || '+' || size, ' ' ORDER BY unit) FILTER (gone) AS removed,
+  md5(coalesce(string_agg(part || substr(text, start + size + 1, 1), '' ORDER BY unit) FILTER (NOT gone), '')) AS text_md5 FROM a GROUP BY rid HAVING bool_or(gone)),
+b AS (SELECT rid, start AS here, start + size + 1 AS next FROM a WHERE gone UNION ALL SELECT rid, length(text), length(text) FROM d SEMI JOIN g USING (rid)),
+k AS (SELECT rid, coalesce(lag(next) OVER (PARTITION BY rid ORDER BY here, next), 0) AS start, here FROM b),
+h AS (SELECT rid, string_agg(start || '+' || (here - start), ' ' ORDER BY start) AS kept FROM k WHERE here > start GROUP BY rid),
+c AS (SELECT doc_id, text, count(*) AS copies FROM documents GROUP BY ALL)
+SELECT d.doc_id, g.n_removed, g.removed, coalesce(h.kept, '') AS kept, g.text_md5 FROM g JOIN d USING (rid) LEFT JOIN h USING (rid) JOIN c ON c.doc_id = d.doc_id AND c.text = d.text, unnest(range(copies))"""

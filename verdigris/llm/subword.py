@@ -1,16 +1,18 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors, averaged per document, softmax output.
 
-Features of a text, all with their multiplicity: each word (hashed to ``WORD_BUCKETS``); each run of 3 or 4
-characters of a word with its edges marked by one boundary (hashed to ``GRAM_BUCKETS``); and one shared feature for
-each word bigram that says a word twice (of word bigrams, only this back-reference recurs across vocabularies).  The document vector is the
-mean of the feature vectors; output weights and feature vectors are learned by stochastic gradient descent in numpy
-on the driver, from at most ``TRAIN_ROWS`` labelled rows (the smallest by a hash of their id), whose feature counts
-the executors compute.  As output is linear in the mean, a text is scored exactly by averaging each feature's
-projection on the output weights, so executors only need one number per bucket and class.
-
-Defined results: null texts count as empty; a text without features gets the class prior; texts are read whole;
-repeated rows are scored as often as they occur; if fewer than two classes are labelled every score is the prior;
-an empty table gives an empty result; only named columns are read.
+Features of a text, all with their multiplicity: each word; each run of two words; each run of 3 or 4 characters of a
+word with its edges marked by one boundary.  Each kind is hashed to ``BUCKETS_EACH`` buckets of its own.  The document
+vector is the mean of the feature vectors; output weights and feature vectors are learned by stochastic gradient
+descent in numpy, in one task, from a bounded sample of labelled rows: the smallest by a hash of their id, at most
+``TRAIN_ROWS`` of them and as long as their texts have ``TRAIN_CHARS`` characters together.  Executors compute their
+feature counts; the driver only receives the model.  As output is linear in the mean, a text is scored exactly by
+averaging each feature's projection on the output weights, so executors only need one number per bucket and class.
+
+Defined results: null texts count as empty; a text without features gets the class prior; texts are read whole, also
+for training (a single text that is longer than ``TRAIN_CHARS`` is not learned from); repeated rows are scored as
+often as they occur, and all rows of a chosen id are learned from; an id with several labels has the smallest; if
+fewer than two classes are labelled every score is the prior; an empty table gives an empty result; only named columns
+are read, and kept columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,18 +23,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chars import chunks, mix, _powers, small, Words
-from .tables import table
+from .tables import free, in_arrow, named, table
 
-WORD_BUCKETS = 1 << 17
-GRAM_BUCKETS = 1 << 17
-BUCKETS = WORD_BUCKETS + GRAM_BUCKETS + 1
+BUCKETS_EACH = 1 << 17
+BUCKETS = 3 * BUCKETS_EACH
 GRAMS = (3, 4)
 DIM = 8
 EPOCHS = 8
-RATE = 0.5
+RATE = 1.0
 TRAIN_ROWS = 4000
+TRAIN_CHARS = 16_000_000
 FOLDS = 5
 _U = np.uint64
 
@@ -49,16 +52,16 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     of = np.repeat(np.arange(w.n_docs, dtype=np.int32), np.diff(w.doc_start))
     buckets = [(mix(w.hash) >> _U(47)).astype(np.int32)]
     docs = [w.doc.astype(np.int32)]
-    twice = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1]))
-    buckets.append(np.full(len(twice), BUCKETS - 1, np.int32))
-    docs.append(docs[0][twice])
+    pair, first = w.grams(2)
+    buckets.append((pair >> _U(47)).astype(np.int32) + BUCKETS_EACH)
+    docs.append(docs[0][first])
     for n in GRAMS:
         m = len(marked) - n + 1
         if m <= 0:
             continue
         at = np.flatnonzero(blanks[n - 1 : n - 1 + m] == blanks[1 : 1 + m])
         h = mix((sums[at + n] - sums[at]) * inverse[at] + _U(n))
-        buckets.append((h >> _U(47)).astype(np.int32) + WORD_BUCKETS)
+        buckets.append((h >> _U(47)).astype(np.int32) + 2 * BUCKETS_EACH)
         docs.append(of[at + 1])
     return np.concatenate(buckets), np.concatenate(docs)
 
@@ -68,15 +71,35 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_ids(labels: DataFrame, target: Column, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(id, target) of at most ``rows`` labelled rows outside the held-out fold; one row for each id."""
+    """(_id, _y) of at most ``rows`` labelled rows outside the held-out fold; one row for each id."""
     src = labels.select(F.col("doc_id").alias("_id"), target.cast("int").alias("_y")).where("_id is not null and _y is not null")
     src = src.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("_y").alias("_y"))
     return src.orderBy(F.xxhash64("_id"), "_id").limit(rows)
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, target: Column, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """(_id, _y, text) of the sample.  The driver receives an id and a length for each of at most ``rows`` ids."""
+    spark = docs.sparkSession
+    ids = training_ids(labels, target, rows)  # bounded by ``rows``
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
+    sizes = found.groupBy("_id", "_y").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()
+    chosen, left = [], chars
+    for r in sizes:
+        if r["n"] <= left:
+            chosen.append((r["_id"], r["_y"]))
+            left -= r["n"]
+    schema = T.StructType([T.StructField("_id", docs.schema["doc_id"].dataType), T.StructField("_y", T.IntegerType())])
+    few = spark.createDataFrame(chosen, schema)
+    return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
+
+
+COUNTS = "id long, y int, at binary, n binary"
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct buckets (32 bits each) and their counts (16 bits each, or 32 where one needs them)."""
     for batch in small(batches):
-        texts = [t or "" for t in batch.column(0).to_pylist()]
+        texts = [t or "" for t in batch.column(2).to_pylist()]
         at, n = [], []
         for lo, hi in chunks(texts):
             bucket, doc = features(Words(texts[lo:hi]))
@@ -84,8 +107,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge = np.searchsorted(key, np.arange(hi - lo + 1, dtype=np.int64) * BUCKETS)
             for a, b in zip(edge, edge[1:], strict=False):
                 at.append((key[a:b] % BUCKETS).astype(np.int32).tobytes())
-                n.append(np.minimum(count[a:b], 65535).astype(np.uint16).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["y", "at", "n"])
+                wide = a < b and count[a:b].max() >= 1 << 16
+                n.append(count[a:b].astype(np.uint32 if wide else np.uint16).tobytes())
+        if texts:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["id", "y", "at", "n"])
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
@@ -108,7 +133,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, dim: int
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             y, at, n = rows[i]
-            share = n.astype(np.float32) / n.sum()
+            share = n.astype(np.float32) / n.sum(dtype=np.int64)
             x = share @ vectors[at]
             z = weights @ x + bias
             g = np.exp(z - z.max())
@@ -125,20 +150,31 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, dim: int
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: Column, classes: int, rows: int = TRAIN_ROWS) -> np.ndarray:
-    ids = training_ids(labels, target, rows)  # bounded by ``rows``
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "_y", "_id")
-    got = found.select("text", "_y").mapInArrow(_counts, "y int, at binary, n binary").toArrow()
-    data = [(y, np.frombuffer(a, np.int32), np.frombuffer(n, np.uint16).astype(np.int64)) for y, a, n in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
-    data.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # whatever the order of arrival
-    return train(data, classes)
+def _trained(classes: int):
+    """Learns from all rows of one partition; yields the model as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(i, y, a, n) for b in batches for i, y, a, n in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        got.sort()  # whatever the order of arrival
+        model = train([(y, np.frombuffer(a, np.int32), np.frombuffer(n, np.uint16 if len(n) * 2 == len(a) else np.uint32)) for _, y, a, n in got], classes)
+        yield pa.RecordBatch.from_arrays([pa.array([model.astype(np.float32).tobytes()], pa.binary())], ["model"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: Column, classes: int, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> np.ndarray:
+    """The model, ``(BUCKETS + 1) * classes`` numbers of 32 bits whatever the input."""
+    sample = training_rows(docs, labels, target, rows, chars).mapInArrow(_counts, COUNTS)
+    got = sample.repartition(1).mapInArrow(_trained(classes), "model binary").toArrow()  # bounded by ``rows`` and ``chars``
+    if not got.num_rows:
+        return train([], classes).astype(np.float32)
+    return np.frombuffer(got.column(0)[0].as_py(), np.float32).reshape(-1, classes)
 
 
-def posteriors(docs: DataFrame, model: np.ndarray, keep: list[str], words: bool = False) -> DataFrame:
+def posteriors(docs: DataFrame, model: np.ndarray, keep: list[str]) -> DataFrame:
     """Columns ``keep``, then ``p`` (array of doubles, one per class) and the number of words.  The model is
     ``BUCKETS + 1`` rows of one number per class whatever the input."""
-    table32 = model[:-1].astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(table32.T), model[-1]))
+    shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(model[:-1].T), model[-1].astype(float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns, bias = shared.value
@@ -157,8 +193,9 @@ def posteriors(docs: DataFrame, model: np.ndarray, keep: list[str], words: bool
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(bias)), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), lists, pa.array(np.concatenate(counts).astype(np.int64))], names=[*keep, "p", "n_words"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "p array<double>", "n_words long"])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("n_words", T.LongType())])
+    text = free(keep, "text")
+    return in_arrow(docs.select(*map(named, keep), F.col("text").alias(text)), run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -7,8 +7,9 @@ product is made deterministic, so that all words of a batch walk one table in st
 the ``WINDOW`` characters on each side: quoted (inside quotation marks or beside a word of reporting), directed
 (beside a second person) or plain.  A logistic model over sums by context gives the score.
 
-At most ``TRAIN_ROWS`` labelled rows (the smallest by a hash of their id) are learned from, and at most ``MAX_TERMS``
-terms are kept.
+At most ``TRAIN_ROWS`` labelled rows (the smallest by a hash of their id) are learned from.  Every word of theirs is a
+candidate; thresholds on support and log odds decide, and of those that pass the ``MAX_TERMS`` with the largest product
+of support and log odds are kept, which bounds the automaton.
 
 Defined results: null and empty texts have no hits and get the score of none; texts are read whole; repeated rows are
 scored as often as they occur; with one class labelled the score is the prior; an empty table gives an empty result;
@@ -31,14 +32,13 @@ from .subword import held_out, training_ids
 from .tables import table
 
 TRAIN_ROWS = 20_000
-MAX_CANDIDATES = 20_000
 MAX_TERMS = 200
 MIN_LOG_ODDS = 3.0
 #: The least lower end of a term's log odds: 1.64 standard errors below them.
 MIN_LOWER = 1.6
 #: Weight of a near spelling against the exact one.
 NEAR_WEIGHT = 0.8
-FUZZY_LENGTH = 5
+FUZZY_LENGTH = 4
 WINDOW = 48
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting")
 QUOTES = re.compile("[\"“”„«»‹›]")
@@ -210,22 +210,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def _vocabulary(rows: DataFrame, known: list[str] | None) -> DataFrame:
-    """(word, n): documents with each word, of the known ones if given; summed within each task first."""
+def _vocabulary(rows: DataFrame) -> DataFrame:
+    """(word, n0, n1): rows of either class with each word; summed within each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = None if known is None else set(known)
-        count: Counter = Counter()
+        def flush() -> pa.RecordBatch:
+            words = list(count[0].keys() | count[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in count)], ["word", "n0", "n1"])
+            for c in count:
+                c.clear()
+            return out
+
+        count = (Counter(), Counter())
         for batch in small(batches):
-            for text in batch.column(0).to_pylist():
-                words = set(TOKEN.findall((text or "").lower()))
-                count.update(words if only is None else words & only)
-            if len(count) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-                count = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                count[y].update(set(TOKEN.findall((text or "").lower())))
+            if len(count[0]) + len(count[1]) > 200_000:
+                yield flush()
+        yield flush()
 
-    return rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("text", "_y").mapInArrow(run, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def lexicon(train: DataFrame, n0: int, n1: int) -> dict[str, float]:
+    """Log odds of the words that pass the thresholds, at most ``MAX_TERMS`` with the seeds."""
+    support = max(3, round(0.002 * n1))
+    ours, theirs = F.col("n1"), F.col("n0")
+    odds = F.log((ours + 0.5) / (n1 - ours + 0.5)) - F.log((theirs + 0.5) / (n0 - theirs + 0.5))
+    error = F.sqrt(1 / (ours + 0.5) + 1 / (theirs + 0.5) + 1 / (n1 - ours + 0.5))
+    words = _vocabulary(train).where((F.length("word") > 2) & (ours >= support)).withColumn("odds", odds)
+    words = words.where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("odds") - 1.64 * error >= MIN_LOWER))
+    return dict(words.orderBy(F.desc(ours * F.col("odds")), "word").limit(MAX_TERMS - len(SEEDS)).select("word", "odds").collect())
 
 
 class Model:
@@ -244,14 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame, target: Column, rows: int = TRAIN_
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     log_odds = {s: MIN_LOG_ODDS for s in SEEDS}
     if n1 and n0:
-        support = max(3, round(0.002 * n1))
-        frequent = _vocabulary(train.where("_y = 1"), None).where((F.length("word") > 2) & (F.col("n") >= support))
-        ours = dict(frequent.orderBy(F.desc("n"), "word").limit(MAX_CANDIDATES).collect())
-        theirs = dict(_vocabulary(train.where("_y = 0"), list(ours)).collect())
-        error = {w: (1 / (n + 0.5) + 1 / (theirs.get(w, 0) + 0.5) + 1 / (n1 - n + 0.5)) ** 0.5 for w, n in ours.items()}
-        odds = {w: np.log((n + 0.5) / (n1 - n + 0.5)) - np.log((theirs.get(w, 0) + 0.5) / (n0 - theirs.get(w, 0) + 0.5)) for w, n in ours.items()}
-        best = sorted((w for w in odds if odds[w] >= MIN_LOG_ODDS and odds[w] - 1.64 * error[w] >= MIN_LOWER), key=lambda w: (-ours[w] * odds[w], w))[: MAX_TERMS - len(SEEDS)]
-        log_odds |= {w: float(odds[w]) for w in best}
+        log_odds |= lexicon(train, n0, n1)
     terms = sorted(log_odds)
     weights = np.array([log_odds[t] * f for t in terms for f in (1.0, NEAR_WEIGHT)])
     fuzzy = [len(t) >= FUZZY_LENGTH for t in terms]
