@@ -1,6 +1,7 @@
 """Operators against SQL and brute force, with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verdigris import llm
-from verdigris.llm import chars, components, jaccard_join, license_scan, line_dedup, mixing, neighbours, packing, quality_rules, substring_dedup, subword, toxicity
+from verdigris.llm import chars, components, jaccard_join, license_scan, line_dedup, mixing, neighbours, packing, quality_rules, substring_dedup, subword, tables, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -72,6 +73,12 @@ def test_odd_rows(n, spark, odd, labels):
         assert len(got) == odd.count()
     if n in (2, 5):
         assert got["score"].between(0, 1).all() and set(got["predicted"]) <= {0, 1}
+    if n == 9:
+        texts = [(r["doc_id"], r["text"]) for r in odd.collect()]
+        assert got.groupby("doc_id", dropna=False)["length"].sum().sum() == got.drop_duplicates(["doc_id", "doc_tokens"])["doc_tokens"].sum() + got[got["doc_id"] == 4]["doc_tokens"].max()
+        assert len(got["doc_id"].drop_duplicates()) == len({i for i, _ in texts})
+    if n == 10:
+        assert len(got) == 0
     if n == 8:
         assert dict(zip(got["doc_id"], got["component_id"], strict=True)) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
 
@@ -135,13 +142,6 @@ def test_texts_that_share_a_doc_id_keep_their_own(spark):
     assert got == sorted([(1, "one text\nwith lines"), (1, "another text"), (1, None), (1, "one text\nwith lines"), (2, "of its own"), (None, "one text")], key=str)
 
 
-def test_cuts_beyond_the_broadcast(spark, monkeypatch):
-    d = docs(spark, "a b\nc d", "c d\ne f", "e f")
-    by_hash = rows(substring_dedup.substring_dedup(d).drop("kept").toPandas())
-    monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", 0)
-    assert rows(substring_dedup.substring_dedup(d).drop("kept").toPandas()) == by_hash
-
-
 def test_quality_measures():
     text = "a b c a b c d ## \nline\nline\n\n"
     n, n_chars, symbols, dup, repeat, failed, _, kept = (x[0] for x in quality_rules._measures([text], np.zeros(quality_rules.BUCKETS), 0.0))
@@ -151,10 +151,26 @@ def test_quality_measures():
 def test_classifiers_on_held_out_rows(spark):
     sf = str(SF).replace("0.001", "0.01")
     lab = spark.read.parquet(f"{sf}/labels.parquet")
+    balanced = lambda got, want: np.mean([(got[want == y] == y).mean() for y in (0, 1)])
     q = subword.op5_quality_classifier(spark, sf).where("held_out").join(lab, "doc_id").toPandas()
-    assert (q["predicted"] == q["quality"]).mean() > 0.9
+    assert balanced(q["predicted"], q["quality"]) > 0.75  # 85 % of the labels are 1: plain accuracy says little
     x = toxicity.op2_toxicity(spark, sf).where("held_out").join(lab, "doc_id").toPandas()
-    assert (x["predicted"] == x["toxic"]).mean() > 0.85
+    assert balanced(x["predicted"], x["toxic"]) > 0.85 and x["predicted"][x["toxic"] == 0].mean() < 0.05
+
+
+def test_toxicity_spans(spark):
+    model = toxicity.Model(toxicity.Automaton(["idiot", "scum"], [True, True]), np.ones(4), np.zeros(toxicity.N_FEATURES + 1))
+    got = toxicity.spans(docs(spark, "You Idiott! no", 'he said "scum" to', None, "clean words"), model).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(0, 4, 10, "idiot", 1, 1), (1, 9, 13, "scum", 0, 2)]
+
+
+def test_lexicon_by_plain_counts(spark):
+    bad = [f"vile{i % 4} words here" for i in range(40)]
+    good = [f"fine{i} words here" for i in range(400)]
+    train = spark.createDataFrame([(x, 1) for x in bad] + [(x, 0) for x in good], "text string, _y int")
+    got = toxicity.lexicon(train, len(good), len(bad))
+    want = {f"vile{i}": np.log(10.5 / 30.5) - np.log(0.5 / 400.5) for i in range(4)}
+    assert got == pytest.approx({w: x for w, x in want.items() if x >= toxicity.MIN_LOG_ODDS})
 
 
 def edits(a, b):
@@ -192,13 +208,78 @@ def test_mixing_meets_targets(spark):
     n = rng.integers(1, 500, 300)
     members = spark.createDataFrame([(i, [float(y) for y in x], int(k)) for i, (x, k) in enumerate(zip(p, n, strict=True))], "doc_id long, p array<double>, n_words long")
     want = [0.5, 0.3, 0.2]
-    steps = mixing.fit_rates(members, want)
-    r = mixing.rates_of(p, steps)
+    steps, _, _, residual = mixing.fit_rates(members, want)
+    assert residual <= mixing.TOLERANCE
+    r, _ = mixing.rates_of(p, steps)
     assert (r >= 0).all() and (r * n) @ p / n.sum() == pytest.approx(want, abs=2e-3)
     got = mixing.with_rates(members, steps, ["doc_id"]).orderBy("doc_id").toPandas()
     assert np.allclose(got["rate"], r)
 
 
+def test_mixing_query_by_an_independent_solver(spark):
+    """The query's rates give the target shares, as do those of a plain non-negative least squares fit on its posteriors."""
+    got = mixing.op1_mixing(spark, str(SF)).toPandas()
+    p, n, r = got[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy(), got["n_tokens"].to_numpy(float), got["rate"].to_numpy()
+    want = np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS])
+    shares = (r * n) @ p / n.sum()
+    assert (r >= 0).all() and shares == pytest.approx(want, abs=2e-3) and got["residual"].iloc[0] <= 2e-3
+    a, x = (n[:, None] * p).T / n.sum(), np.ones(len(n))
+    for _ in range(400):  # one document at a time, exactly
+        for i in range(len(n)):
+            x[i] = max(0.0, x[i] - a[:, i] @ (a @ x - want) / max(a[:, i] @ a[:, i], 1e-300))
+    assert a @ x == pytest.approx(shares, abs=3e-3)
+    assert (np.abs(got["copies"] - r) < 1).all()
+
+
+def plain_features(text):
+    """Buckets of a text with their counts, one character and word at a time."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m64
+        return x ^ (x >> 31)
+
+    def poly(points):
+        return sum((c + 1) * pow(chars.BASE, i, 1 << 64) for i, c in enumerate(points)) & m64
+
+    out = Counter()
+    words = text.split()
+    hashes = [mix(poly(map(ord, w))) for w in words]
+    for h in hashes:
+        out[h >> 47] += 1
+    for a, b in zip(hashes, hashes[1:], strict=False):
+        out[(mix((a * 0x9E3779B97F4A7C15 + b) & m64) >> 47) + subword.BUCKETS_EACH] += 1
+    for w in words:
+        marked = [0, *map(ord, w), 0]
+        for n in subword.GRAMS:
+            for i in range(len(marked) - n + 1):
+                out[(mix((poly(marked[i : i + n]) + n) & m64) >> 47) + 2 * subword.BUCKETS_EACH] += 1
+    return out
+
+
+def test_posteriors_by_direct_averaging(spark):
+    texts = [" Ab  cde ab\nx", "", "the the the", "Ünï cödé x y", "a b", " one"]
+    texts = [f" {t} " for t in texts]  # a word at the edge of a text has no boundary there
+    rng = np.random.default_rng(8)
+    model = rng.normal(size=(subword.BUCKETS + 1, 2)).astype(np.float32)
+    got = [r["p"] for r in subword.posteriors(docs(spark, *texts), model, ["doc_id"]).orderBy("doc_id").collect()]
+    for text, p in zip(texts, got, strict=True):
+        f = plain_features(text)
+        z = model[-1].astype(float) + sum((n * model[b].astype(float) for b, n in f.items()), np.zeros(2)) / max(sum(f.values()), 1)
+        assert p == pytest.approx(np.exp(z) / np.exp(z).sum(), abs=1e-9)
+
+
+def test_training_sample_is_bounded(spark, labels):
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], LABELS)
+    d = docs(spark, *["x" * 10] * 39, "y" * 500)
+    target = F.col("quality")
+    assert subword.training_rows(d, lab, target).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40))
+    few = subword.training_rows(d, lab, target, chars=100).collect()
+    assert len(few) == 10 and not any("y" in r["text"] for r in few)
+    assert subword.training_rows(d, lab, target, rows=7).count() == 7
+
+
 @pytest.mark.parametrize("toxic", [0, 2, 5, 20, 60])
 def test_scarce_domain_does_not_thin_the_main_one(spark, toxic):
     rng = np.random.default_rng(toxic)
@@ -206,7 +287,7 @@ def test_scarce_domain_does_not_thin_the_main_one(spark, toxic):
     n = rng.integers(50, 500, 500)
     members = spark.createDataFrame([(i, [float(y) for y in x], int(k)) for i, (x, k) in enumerate(zip(p, n, strict=True))], "doc_id long, p array<double>, n_words long")
     weights = [corpus_pipeline.TARGETS[d] for d in mixing.DOMAINS]
-    steps = mixing.fit_rates(members, weights, slack=corpus_pipeline.SLACK)
+    steps = mixing.fit_rates(members, weights, slack=corpus_pipeline.SLACK).steps
     rated = mixing.with_rates(members, steps, ["doc_id"], corpus_pipeline.SLACK)
     r = rated.orderBy("doc_id").toPandas()["rate"].to_numpy()
     assert (r[: 500 - toxic] >= 1).all()
@@ -262,6 +343,34 @@ def test_one_document_with_two_texts_ties_groups(spark):
     assert got == {5: 5, 6: 5, 7: 5, 8: 8}
 
 
+def test_paths_beyond_the_broadcast(spark, monkeypatch):
+    """The same results where id lists are too long to broadcast."""
+    texts = [f"some words of text number {i // 3} which is a copy of others" + " more" * (i // 3) for i in range(30)]
+    d = docs(spark, *texts)
+    lab = spark.createDataFrame([(i, i % 2, int(i % 7 == 0)) for i in range(20)], LABELS)
+    runs = (
+        lambda: quality_rules.quality_rules(d, lab),
+        lambda: jaccard_join.similar_components(d, 3, 90, 100),
+        lambda: jaccard_join.without_copies(d, 3, 90, 100),
+        lambda: mixing.draw(d, d.select("doc_id", (F.col("doc_id") % 3 / 2).alias("rate"))),
+    )
+    want = [rows(f().toPandas()) for f in runs]
+    monkeypatch.setattr(tables, "BROADCAST_IDS", 0)
+    assert [rows(f().toPandas()) for f in runs] == want
+
+
+def test_checkpoint_folder_is_shared_on_a_cluster(spark):
+    class Cluster:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Cluster
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+
+    with pytest.raises(ValueError):
+        tables.checkpoint_dir(Session)
+
+
 def test_components_of_long_paths(spark):
     ids = spark.createDataFrame([(i, i) for i in range(60)], "id long, comp long")
     links = spark.createDataFrame([(i, i + 1) for i in range(40)][::-1] + [(50, 55)], "a long, b long")
@@ -269,11 +378,23 @@ def test_components_of_long_paths(spark):
     assert all(got[i] == 0 for i in range(41)) and got[55] == 50 and got[59] == 59
 
 
-def test_packing_round_trip(spark):
+def test_step_groups():
+    steps = packing.Steps(100, 2048)
+    got = [(tier, steps.of(tier)) for tier in [1024, 256, 1024, 1024, *[256] * 8, 2048, 2048, 1024]]
+    used = Counter()
+    for tier, group in got:
+        used[group] += tier
+        assert group >= 100
+    assert max(used.values()) <= 2048 and all(len({t for t, g in got if g == group}) == 1 for group in used)
+    assert sorted(used.values())[-4:] == [2048] * 4
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_round_trip(spark, name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = public_tokenizers.path(name)
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()] + ["", None, "Ünï cödé, it's 42! x\x1cy <|endoftext|> Á İ don't.,", "hello, WORLD. hello"]
     got = packing.pack_documents(docs(spark, *texts), path).toPandas()
     tokenizer = Tokenizer.from_file(path)
@@ -310,6 +431,44 @@ def test_neighbours_against_brute_force(spark):
     assert hits / (20 * (ids % 20 == 0).sum()) >= 0.9
 
 
+def recall_of(spark, x, **settings):
+    got = neighbours.nearest(vectors(spark, list(enumerate(x.tolist()))), **settings).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argpartition(-s, 20)[:20]) & set(g["vec_id"]))
+    assert got["query_id"].nunique() == -(-len(x) // 20)
+    return hits / len(got)
+
+
+@pytest.mark.parametrize("kind", ["hard", "easy"])
+def test_recall_of_a_full_shard(spark, kind):
+    """At the production shard size: independent Gaussian components, and noisy points around few centres."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(neighbours.SHARD_ROWS, 64))
+    if kind == "easy":
+        x = rng.normal(size=(200, 64))[rng.integers(0, 200, len(x))] + 0.3 * x
+    assert recall_of(spark, x) >= 0.9
+
+
+def test_neighbours_of_huge_vectors(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, (rng.normal(size=8) * 1e301).tolist()) for i in range(45)]
+    counts = neighbours.nearest(vectors(spark, data)).groupBy("query_id").count().collect()
+    assert sorted(map(tuple, counts)) == [(0, 20), (20, 20), (40, 20)]
+
+
+def test_shard_round_trip():
+    rng = np.random.default_rng(2)
+    raw = rng.normal(size=(300, 5))
+    a = neighbours.Shard(np.arange(300) * 3, raw, *neighbours.build(neighbours.lifted(raw)), 64)
+    b = neighbours.Shard.unpack(a.pack())
+    q = rng.normal(size=(9, 5))
+    for beam in (0, 64):
+        assert all(np.array_equal(x, y) for x, y in zip(a.best(q, 7, beam), b.best(q, 7, beam), strict=True))
+
+
 def test_neighbours_odd_vectors(spark):
     same_ = [(i, [1.0, 0.0]) for i in range(40, 80)]
     data = [*same_, (0, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0]), (6, [float("inf"), 1.0])]
@@ -330,10 +489,22 @@ def test_anchors_lose_nothing():
         assert 2 * len(rest) < license_scan.THRESHOLD * (len(rest) + len(grams))
 
 
+@pytest.mark.parametrize("name", ["MIT", "BSD-2-Clause", "BSD-3-Clause", "AGPL-3.0", "Unlicense"])
+def test_wrapped_licence_in_a_source_file(spark, name):
+    words = license_scan.TEXTS[name].split()
+    wrapped = [f"# {' '.join(words[i : i + 11])}" for i in range(0, len(words), 11)]
+    code = [f"def f{i}(x): return x[{i}] + g{i}(y)" for i in range(60)]
+    changed = [*wrapped[:4], "# with a line of its own", *wrapped[4:]]
+    prose = ["it is one of the many texts that say what is in the book"] * 3
+    d = docs(spark, "\n".join([*code, *wrapped, "", *code]), "\n".join([*code, *changed, *code]), "\n".join([*prose, *wrapped, *prose]), "\n".join(code + prose))
+    got = {r["doc_id"]: (r["licence"], r["line"]) for r in license_scan.license_scan(d).collect()}
+    assert got == {0: (name, 60), 1: (name, 60), 2: (name, 3)}
+
+
 def test_license_scan_is_native(spark):
     full = license_scan.TEXTS["MIT"].replace(" ", "\n")
     got = {r["doc_id"]: (r["licence"], r["n_lines"]) for r in license_scan.license_scan(docs(spark, full, "x\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", "plain words", None)).collect()}
-    assert got == {0: ("MIT", 0), 1: ("CC-BY-NC-4.0", 2)}
+    assert got == {0: ("MIT", 2), 1: ("CC-BY-NC-4.0", 2)}  # the whole text, and the span from its first bigram on
     plan = license_scan.op10_license_scan(spark, str(SF))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
@@ -363,3 +534,17 @@ def test_pipeline_stages(spark):
     assert drawn.columns == columns and sure <= {r["doc_id"] for r in drawn.collect()} <= {r["doc_id"] for r in single.collect()}
     packed = stage["packing"](spark, drawn, str(SF)).toPandas()
     assert set(packed["doc_id"]) == {r["doc_id"] for r in drawn.collect()}
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows_and_none(spark, odd, none, stage):
+    """Nulls, empty, long, tied and repeated rows and clashing names: no crash; what stays is some of the input."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    got = run(spark, odd, str(SF))
+    if stage == "packing":
+        assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in odd.collect()}
+    else:
+        assert got.columns == odd.columns and {r["doc_id"] for r in got.collect()} <= {r["doc_id"] for r in odd.collect()}
+        if stage == "jaccard_join":
+            assert sorted(r["doc_id"] for r in got.where("doc_id > 0").collect()) == [1, 2, 3, 4, 4]
+    assert run(spark, none[0], str(SF)).count() == 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 #: Odd, so that it has an inverse mod 2**64; under 2**62, so that SQL engines with 128-bit integers can follow.
 BASE = 0x2545F4914F6CDD1D
-CHUNK_CHARS = 1 << 18
+CHUNK_CHARS = 1 << 17
 #: Rows whose texts a worker holds as strings at a time.
 ROWS = 1024
 _U = np.uint64

@@ -14,7 +14,8 @@ like of y, in any order common to all and for any l.
    prefix tokens.  Links merge components, and only tokens that join two components go on.
 5. Every pair left, of different components, meets on its prefix tokens.  Each document lengthens its prefix to the l
    of least estimated cost (entries read, plus ``VERIFY_COST`` for each of at most entries / l candidates), asks for l
-   shared tokens; each pair comes up once, at its first shared token, and what passes is verified.
+   shared tokens; each pair comes up once, at its first shared token, and what passes is verified.  Entries meet by
+   token and band of sizes, which parts the documents of a frequent token.
 
 So a group of m copies needs about m verifications, no link between different components is lost, and nothing is
 capped: hub rounds only save work.
@@ -26,6 +27,7 @@ each of its texts (its size is the largest); an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,8 +186,12 @@ def _pairs(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     side = cut(live.join(cost.select("rep", best.alias("l")).join(heads, "rep"), "rep"))
     most = side.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
     side = side.join(_fresh(most, "token"), "token")
-    x, y = side.where("comp <> main").alias("x"), _fresh(side, "token").alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+    # Similar sizes lie in the same band or in neighbours; so a token's documents only meet those of about their size.
+    width = max(math.log(den / num), 1e-6) * (1 + 1e-6)
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    near = F.explode(F.array(*[band + d for d in (-1, 0, 1)]))
+    x, y = _fresh(side.where("comp <> main").withColumn("band", near), "token").alias("x"), _fresh(side.withColumn("band", band), "token").alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
     l = F.when(F.struct("x.n", "x.rep") > F.struct("y.n", "y.rep"), F.col("x.l")).otherwise(F.col("y.l"))
     at = lambda d: F.col(f"{d}.place") + F.col(f"{d}.alone")
     room = F.least(at("x"), at("y")) + 1 + F.least(F.col("x.n") - 1 - at("x"), F.col("y.n") - 1 - at("y"))

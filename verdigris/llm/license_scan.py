@@ -1,14 +1,19 @@
 """License scans: normalised text against licence templates, by the Dice coefficient over distinct word bigrams.
 
-Units are every line of a text and the text as a whole.  A unit is normalised to lower-case runs of letters and
-digits; a template can only reach ``threshold`` if the unit's bigram count lies within
-``threshold / (2 - threshold)`` and its inverse times the template's, so units meet templates in an equi-join on the
-size.  Before that, a lossless word test: anchor words are chosen such that a unit without any of them stays below
-the threshold for every template.  DataFrame functions only.
-
-Defined results: null and empty texts and texts under two words match nothing; repeated rows with one doc_id count as
-one document; rows without doc_id form one; ties go to the smaller template name; only documents with a match are
-returned; an empty table gives an empty result; only named columns are read.
+Units of a text are every line, the text as a whole, and spans of lines.  A line is likely if at least half of its
+bigrams (with the one that leads into it from the line before; blank lines are passed over) occur in a template.  A
+span reaches from the first line of a run of likely lines to the last line of the same or a later run, over two lines or
+more and as many words as the largest template can be met with; so a licence that is wrapped over lines is found
+inside a longer text, also with a few foreign lines in it.
+
+A unit is normalised to lower-case runs of letters and digits; a template can only reach ``threshold`` if the unit's
+bigram count lies within ``threshold / (2 - threshold)`` and its inverse times the template's, so units meet templates
+in an equi-join on the size.  Before that, a lossless word test: anchor words are chosen such that a unit without any of
+them stays below the threshold for every template.  DataFrame functions only.
+
+Defined results: null and empty texts and texts under two words match nothing; texts are read whole; repeated rows with
+one doc_id count as one document; rows without doc_id form one; ties go to the smaller template name, then the earlier
+line; only documents with a match are returned; an empty table gives an empty result; only named columns are read.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import operator
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +31,7 @@ from .tables import table
 
 THRESHOLD = 0.8
 
-#: Full texts and standard notices, as published by their stewards.
+#: Texts of short licences and the notices by which long ones ask to be applied, as published by their stewards.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
@@ -35,6 +41,14 @@ TEXTS = {
     "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
+#: The third clause, which stands before the disclaimer.
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", _THIRD + "THIS SOFTWARE IS PROVIDED", 1)
+TEXTS["GPL-2.0"] = TEXTS["GPL-3.0"].replace("either version 3 of", "either version 2 of").replace("If not, see <https://www.gnu.org/licenses/>.", "if not, see <https://www.gnu.org/licenses/>.")
+TEXTS["LGPL-3.0"] = TEXTS["GPL-3.0"].replace("GNU General", "GNU Lesser General")
+TEXTS["AGPL-3.0"] = TEXTS["GPL-3.0"].replace("GNU General", "GNU Affero General")
+TEXTS["Unlicense"] = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"""
+
 #: One-line notices: every form with every name of a licence.
 FORMS = ("Licensed under {}", "Released under {}", "Distributed under {}", "This work is licensed under {}", "This project is licensed under {}")
 NAMES = {
@@ -97,34 +111,81 @@ def _holds(text: Column, words: list[str]) -> Column:
     return F.transform(F.array(F.lower(text)), lambda low: reduce(operator.or_, (F.contains(low, F.lit(w)) for w in words)))[0]
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def longest(known: list[tuple[str, str, str]], threshold: float = THRESHOLD) -> int:
+    """Words of a span at most."""
+    most = max((len(bigrams(normalise(t))) for _, _, t in known), default=0)
+    return int(most * (2 - threshold) / threshold) + 2
+
+
+def spans(text: Column, known: list[str], most: int) -> Column:
+    """Spans of lines: array of (line, words).  ``known``: bigrams of the templates."""
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), _words(x).alias("words")))
+    filled = F.filter(numbered, lambda x: x["words"][0] != "")
+
+    def likely(rows: Column) -> Column:
+        def of(x: Column, k: Column) -> Column:
+            before = F.when(k > 0, F.slice(F.get(rows, k - 1)["words"], -1, 1)).otherwise(F.array().cast("array<string>"))
+            words = F.concat(before, x["words"])
+            pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+            return _bound(pairs, lambda p: (F.size(p) > 0) & (2 * F.size(F.filter(p, lambda g: g.isin(known))) >= F.size(p)))
+
+        return F.transform(rows, of)
+
+    def pairs(rows: Column, sure: Column) -> Column:
+        def edge(step: int) -> Column:
+            other = lambda k: F.coalesce(F.when(k + step >= 0, F.get(sure, k + step)), F.lit(False))
+            return F.filter(F.transform(sure, lambda x, k: F.when(x & ~other(k), k)), lambda k: k.isNotNull())
+
+        def from_start(ends: Column):
+            def of(s: Column) -> Column:
+                near = F.filter(ends, lambda e: (e > s) & (e < s + most))
+                sized = F.transform(near, lambda e: F.struct(F.get(rows, s)["line"].alias("line"), F.flatten(F.transform(F.slice(rows, s + 1, e - s + 1), lambda x: x["words"])).alias("words")))
+                return F.filter(sized, lambda x: F.size(x["words"]) <= most)
+
+            return of
+
+        return _bound(edge(1), lambda ends: F.flatten(F.transform(edge(-1), from_start(ends))))
+
+    return _bound(filled, lambda rows: _bound(likely(rows), lambda sure: pairs(rows, sure)))
+
+
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD, known: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """Per document with a match: best licence, template, coefficient, number of matching lines, and first line.
+    """Per document with a match: best licence, template, coefficient, first line of the best unit (0 for the whole
+    text), number of lines at which matching units begin, and the first of them.
 
     The template side is a constant (a few thousand rows of name and size), so its broadcast does not grow.
     """
     spark = docs.sparkSession
     known = templates() if known is None else known
     low = threshold / (2 - threshold)
-    rows = []
+    rows, every = [], set()
     for name, licence, text in known:
-        words = normalise(text)
-        grams = sorted(" ".join(g) for g in bigrams(words))
+        grams = sorted(" ".join(g) for g in bigrams(normalise(text)))
+        every.update(grams)
         if grams:
             rows.append(F.struct(F.lit(name).alias("template"), F.lit(licence).alias("licence"), F.array(*map(F.lit, grams)).alias("t_grams")))
     side = spark.range(1).select(F.inline(F.array(*rows))).withColumn("t_size", F.size("t_grams"))
     side = side.withColumn("size", F.explode(F.sequence(F.ceil(F.lit(low - 1e-9) * F.col("t_size")).cast("int"), F.floor(F.col("t_size") / F.lit(low - 1e-9)).cast("int"))))
     words = anchors([t for _, _, t in known], threshold)
     src = docs.select("doc_id", "text").where(_holds(F.col("text"), words))
+    several = src.where(F.instr("text", "\n") > 0)
     units = src.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
-    units = units.unionByName(src.where(F.instr("text", "\n") > 0).select("doc_id", F.lit(-1).alias("line"), F.col("text").alias("unit")))
+    units = units.unionByName(several.select("doc_id", F.lit(0).alias("line"), F.col("text").alias("unit")))
     units = units.where(_holds(F.col("unit"), words)).select("doc_id", "line", _words(F.col("unit")).alias("words"))
+    found = F.inline(spans(F.col("text"), sorted(every), longest(known, threshold)))
+    units = units.unionByName(several.select("doc_id", found).select("doc_id", "line", "words"))
     units = units.where((F.size("words") > 1) & F.arrays_overlap("words", F.array(*map(F.lit, words))))
     units = units.select("doc_id", "line", _grams(F.col("words")).alias("grams")).withColumn("size", F.size("grams"))
     hits = units.join(F.broadcast(side), "size")
     hits = hits.withColumn("dice", 2.0 * F.size(F.array_intersect("grams", "t_grams")) / (F.col("size") + F.col("t_size"))).where(F.col("dice") >= threshold)
     best = F.struct((-F.col("dice")).alias("d"), "template", "licence", "line")
-    out = hits.groupBy("doc_id").agg(F.min(best).alias("b"), F.countDistinct(F.when(F.col("line") >= 0, F.col("line"))).alias("n_lines"), F.min("line").alias("first_line"))
-    return out.select("doc_id", F.col("b.licence").alias("licence"), F.col("b.template").alias("template"), (-F.col("b.d")).alias("dice"), "n_lines", "first_line")
+    out = hits.groupBy("doc_id").agg(F.min(best).alias("b"), F.countDistinct("line").alias("n_lines"), F.min("line").alias("first_line"))
+    return out.select("doc_id", F.col("b.licence").alias("licence"), F.col("b.template").alias("template"), (-F.col("b.d")).alias("dice"), F.col("b.line").alias("line"), "n_lines", "first_line")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,12 +198,23 @@ def oracle(threshold: float = THRESHOLD) -> str:
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""
 WITH t AS (SELECT template, licence, {grams} AS tg FROM (SELECT template, licence, {norm.format('txt')} AS w FROM (VALUES {rows}) AS v(template, licence, txt))),
-u0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents
-  UNION ALL SELECT doc_id, text, -1 FROM documents WHERE contains(text, chr(10))),
-u AS (SELECT doc_id, line, {grams} AS g FROM (SELECT doc_id, line, {norm.format('unit')} AS w FROM u0) WHERE len(w) > 1),
+known AS (SELECT DISTINCT unnest(tg) AS gram FROM t),
+d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+l0 AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS unit, unnest(range(len(string_split(text, chr(10))))) AS line FROM d),
+l1 AS (SELECT rid, doc_id, line, {norm.format('unit')} AS w FROM l0),
+l2 AS (SELECT *, row_number() OVER o AS k, lag(w[-1]) OVER o AS before, sum(len(w)) OVER o AS upto FROM l1 WHERE w[1] <> '' WINDOW o AS (PARTITION BY rid ORDER BY line)),
+l3 AS (SELECT rid, k, CASE WHEN before IS NULL THEN w ELSE list_prepend(before, w) END AS w FROM l2),
+l4 AS (SELECT rid, k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM l3),
+l5 AS (SELECT rid, k, 2 * count(known.gram) >= count(*) AS sure FROM l4 LEFT JOIN known USING (gram) GROUP BY ALL),
+l6 AS (SELECT l2.*, coalesce(sure, false) AS sure, coalesce(lag(sure) OVER o, false) AS sure_before, coalesce(lead(sure) OVER o, false) AS sure_after FROM l2 LEFT JOIN l5 USING (rid, k) WINDOW o AS (PARTITION BY l2.rid ORDER BY l2.k)),
+p AS (SELECT a.rid, a.doc_id, a.line, a.k AS k1, b.k AS k2 FROM l6 a JOIN l6 b ON a.rid = b.rid AND b.k > a.k AND b.upto - a.upto + len(a.w) <= {longest(templates(), threshold)}
+  WHERE a.sure AND NOT a.sure_before AND b.sure AND NOT b.sure_after),
+u0 AS (SELECT doc_id, line, w FROM l1 UNION ALL SELECT doc_id, 0, {norm.format('text')} FROM d WHERE contains(text, chr(10))
+  UNION ALL SELECT p.doc_id, p.line, flatten(list(l2.w ORDER BY l2.k)) FROM p JOIN l2 ON l2.rid = p.rid AND l2.k BETWEEN k1 AND k2 GROUP BY p.rid, p.doc_id, p.line, k1, k2),
+u AS (SELECT doc_id, line, {grams} AS g FROM u0 WHERE len(w) > 1),
 h AS (SELECT doc_id, line, template, licence, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM u JOIN t
   ON len(g) BETWEEN floor(len(tg) * {threshold / (2 - threshold)}) AND ceil(len(tg) / {threshold / (2 - threshold)})),
 m AS (SELECT * FROM h WHERE dice >= {threshold}),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, template, line) AS k FROM m)
-SELECT m.doc_id, b.licence, b.template, b.dice, count(DISTINCT CASE WHEN m.line >= 0 THEN m.line END) AS n_lines, min(m.line)::INT AS first_line
+SELECT m.doc_id, b.licence, b.template, b.dice, b.line::INT AS line, count(DISTINCT m.line) AS n_lines, min(m.line)::INT AS first_line
 FROM m JOIN b ON b.k = 1 AND b.doc_id IS NOT DISTINCT FROM m.doc_id GROUP BY ALL"""

@@ -51,16 +51,17 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
     return found.join(totals, "site").where(F.col("n") > F.lit(ratio) * F.col("pages")).select("site", "line")
 
 
-def drop_lines(pages: DataFrame, found: DataFrame, host: str = "source", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """The pages without their host's boilerplate, with ``n_lines`` and ``n_dropped`` (long) appended.
+def drop_lines(pages: DataFrame, found: DataFrame, host: str = "source", text: str = "text", broadcast_lines: int = BROADCAST_LINES, counts: bool = True) -> DataFrame:
+    """The pages without their host's boilerplate, with ``n_lines`` and ``n_dropped`` (long) appended if ``counts``.
 
     The lines of all hosts are sent to the executors if they are few.  Otherwise each page's own ones are joined to it
     by host and text, which are the same for copies of a page, so that the join needs no row numbers.
     """
     spark = pages.sparkSession
-    pages = pages.drop("n_lines", "n_dropped")  # columns of these names are replaced
+    extra = ["n_lines", "n_dropped"] if counts else []
+    pages = pages.drop(*extra)  # columns of these names are replaced
     rows = found.limit(broadcast_lines + 1).toArrow()
-    schema = T.StructType([*pages.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*pages.schema.fields, *(T.StructField(c, T.LongType()) for c in extra)])
     at, site_at = pages.columns.index(text), len(pages.columns)
     site, key = (free(pages.columns, c) for c in ("site", "key"))
     if rows.num_rows <= broadcast_lines:
@@ -92,13 +93,14 @@ def drop_lines(pages: DataFrame, found: DataFrame, host: str = "source", text: s
                 drops.append(len(lines) - len(kept))
             cols = [batch.column(i) for i in range(site_at)]
             cols[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(totals, pa.int64()), pa.array(drops, pa.int64())], names=[f.name for f in schema])
+            cols += [pa.array(totals, pa.int64()), pa.array(drops, pa.int64())][: len(extra)]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
     return in_arrow(src, run, schema)
 
 
-def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    return drop_lines(pages, boilerplate(pages, host, text, ratio, min_pages), host, text)
+def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+    return drop_lines(pages, boilerplate(pages, host, text, ratio, min_pages), host, text, counts=counts)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,20 @@
 Vectors get one more component that turns largest inner product into least distance.  In a shard, greedy beam
 searches from fixed entries propose neighbours of each point; pruning walks them from near to far and drops those
 that a kept one covers (``ALPHA`` times nearer to it), which keeps edges diverse; edges are made mutual and pruned
-again.  A beam search then takes blocks of queries through every shard, and the exact scores decide.
+again.  A beam search then takes the queries through every shard, and the exact scores decide.
+
+Each shard measures its own recall against brute force on ``SAMPLE`` of the queries when it is built: its beam is
+doubled from ``SEARCH_BEAM`` until recall reaches ``RECALL``; a shard whose points no beam up to an eighth of them
+can serve is scanned instead, which is exact.
 
 Equal vectors are one point: it answers with its ``K + 1`` smallest ids, which is exact, however many copies.  Shards
-hold about ``SHARD_ROWS`` points by a hash of their id, and search tasks hold one shard and ``BLOCK`` queries.
+hold about ``SHARD_ROWS`` points by a hash of their id.  A search task loads its shard once and streams all queries past
+it in Arrow batches; work and rows moved grow with queries times shards.
 
 Defined results: rows without id, and vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; ids that occur twice stand as they are (each row is a candidate); with fewer
-candidates than ``K`` all are returned; an empty table gives an empty result; only named columns are read.
+candidates than ``K`` all are returned; ties go to the smaller id; components of any finite size are fine (a score that
+overflows is infinite); an empty table gives an empty result; only named columns are read.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,23 +34,32 @@ from .tables import cut, table
 K = 20
 QUERY_EVERY = 20
 SHARD_ROWS = 16_384
-BLOCK = 4096
 DEGREE = 24
 BUILD_BEAM = 40
 SEARCH_BEAM = 128
 ALPHA = 1.2
 ENTRIES = 8
 EXPAND = 4
+#: Queries on which each shard measures its recall, and the recall that it asks for.
+SAMPLE = 64
+RECALL = 0.95
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
     """Unit-free: the nearest point to (q, 0) is the one with the largest inner product with q."""
     x = x.astype(np.float64)
+    x = x / max(np.abs(x).max(), 5e-324)  # before squaring, which could overflow
     x = x / max(np.sqrt(np.einsum("ij,ij->i", x, x).max()), 1e-300)
     rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", x, x)))
     return np.hstack([x, rest[:, None]]).astype(np.float32)
 
 
+def directions(q: np.ndarray) -> np.ndarray:
+    """Queries in the space of ``lifted`` points, at unit length."""
+    q = q / np.abs(q).max(1, keepdims=True)
+    return np.hstack([q / np.sqrt(np.square(q).sum(1, keepdims=True)), np.zeros((len(q), 1))]).astype(np.float32)
+
+
 def beam_search(points: np.ndarray, norms: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int) -> np.ndarray:
     """For each row of q, the ``width`` nearest points met, nearest first; -1 fills up."""
     b, w = len(q), graph.shape[1]
@@ -171,41 +187,98 @@ def _add(points: np.ndarray, graph: np.ndarray, to: np.ndarray, edge: np.ndarray
         graph[node[at], :degree] = kept
 
 
-def _build_shard(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("vec_id")
-    raw = np.stack(group["embedding"].to_numpy()).astype(np.float64)
-    graph, entries = build(lifted(raw))
-    return pd.DataFrame([{"shard": int(group["shard"].iloc[0]), "ids": group["vec_id"].to_numpy(np.int64).tobytes(), "raw": raw.tobytes(), "graph": graph.astype(np.int32).tobytes(), "entries": entries.astype(np.int64).tobytes()}])
-
+class Shard:
+    """Points of a shard with their graph; ``beam`` 0: they are scanned."""
 
-def _search(k: int, beam: int):
-    def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        if not len(index) or not len(queries):
-            return empty
-        row = index.iloc[0]
-        ids = np.frombuffer(row["ids"], np.int64)
-        raw = np.frombuffer(row["raw"], np.float64).reshape(len(ids), -1)
-        graph = np.frombuffer(row["graph"], np.int32).reshape(len(ids) + 1, -1).astype(np.int64)
-        entries = np.frombuffer(row["entries"], np.int64)
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, graph: np.ndarray, entries: np.ndarray, beam: int):
+        self.ids, self.raw, self.graph, self.entries, self.beam = ids, raw, graph, entries, beam
+        self.scaled: np.ndarray | None = None
         points = lifted(raw)
-        norms = np.append(np.square(points).sum(1), np.float32(0))
-        points = np.vstack([points, np.zeros((1, points.shape[1]), np.float32)])
-        q = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-        unit = np.hstack([q / np.sqrt(np.square(q).sum(1, keepdims=True)), np.zeros((len(q), 1))]).astype(np.float32)
-        qid = queries["query_id"].to_numpy(np.int64)
-        out = []
-        step = max(1, min(256, (1 << 26) // len(ids)))
-        for lo in range(0, len(q), step):
-            found = beam_search(points, norms, graph, entries, unit[lo : lo + step], max(beam, k))
+        self.norms = np.append(np.square(points).sum(1), np.float32(0))
+        self.points = np.vstack([points, np.zeros((1, points.shape[1]), np.float32)])
+
+    def best(self, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, point, score) of the ``k`` best that are found for each of some queries, by row, score and id."""
+        if beam:
+            found = beam_search(self.points, self.norms, self.graph, self.entries, directions(q), max(beam, k))
             r, c = np.nonzero(found >= 0)
             at = found[r, c]
-            score = np.einsum("ij,ij->i", raw[at], q[lo + r])
-            best = np.lexsort((ids[at], -score, r))
-            place = np.arange(len(r)) - np.searchsorted(r[best], r[best])
-            best = best[place < k]
-            out.append(pd.DataFrame({"query_id": qid[lo + r[best]], "vec_id": ids[at[best]], "score": score[best]}))
-        return pd.concat(out) if out else empty
+        else:
+            if self.scaled is None:
+                self.scaled = self.raw / np.abs(self.raw).max()
+            score = (q / np.abs(q).max(1, keepdims=True)) @ self.scaled.T
+            nth = min(k, len(self.ids)) - 1
+            last = -np.partition(-score, nth, axis=1)[:, nth] - 1e-9 * np.abs(score).max(1)
+            r, at = np.nonzero(score >= last[:, None])
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.einsum("ij,ij->i", self.raw[at], q[r])
+        order = np.lexsort((self.ids[at], -score, r))
+        place = np.arange(len(r)) - np.searchsorted(r[order], r[order])
+        order = order[place < k]
+        return r[order], at[order], score[order]
+
+    def tune(self, sample: np.ndarray, k: int, beam: int) -> None:
+        """Sets the least beam that reaches ``RECALL`` on the sample, or 0."""
+        self.beam = 0
+        if not len(sample):
+            return
+        r, at, _ = self.best(sample, k, 0)
+        truth = r * len(self.ids) + at
+        while 8 * beam <= len(self.ids):
+            r, at, _ = self.best(sample, k, beam)
+            if np.isin(truth, r * len(self.ids) + at).mean() >= RECALL:
+                self.beam = beam
+                return
+            beam *= 2
+
+    def pack(self) -> bytes:
+        head = np.array([len(self.ids), self.raw.shape[1], self.graph.shape[1], len(self.entries), self.beam], np.int64)
+        return b"".join(x.tobytes() for x in (head, self.ids, self.raw, self.entries.astype(np.int64), self.graph.astype(np.int32)))
+
+    @staticmethod
+    def unpack(blob: bytes) -> Shard:
+        n, width, degree, entries, beam = np.frombuffer(blob, np.int64, 5).tolist()
+        at, parts = 40, []
+        for kind, shape in ((np.int64, (n,)), (np.float64, (n, width)), (np.int64, (entries,)), (np.int32, (n + 1, degree))):
+            size = int(np.prod(shape))
+            parts.append(np.frombuffer(blob, kind, size, at).reshape(shape))
+            at += size * np.dtype(kind).itemsize
+        ids, raw, first, graph = parts
+        return Shard(ids, raw, graph.astype(np.int64), first, beam)
+
+
+def _build_shard(sample: np.ndarray, k: int, beam: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id")
+        raw = np.stack(group["embedding"].to_numpy()).astype(np.float64)
+        shard = Shard(group["vec_id"].to_numpy(np.int64), raw, *build(lifted(raw)), 0)
+        shard.tune(sample, k, beam)
+        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "packed": [shard.pack()], "beam": [shard.beam]})
+
+    return run
+
+
+def _search(k: int):
+    """Rows of one shard after the other: first the packed shard, then its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: Shard | None = None
+        for batch in batches:
+            packed, ids, vectors = batch.column(0), batch.column(1), batch.column(2)
+            edges = [*np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]
+            lo = 0
+            for edge in edges:
+                if edge > lo and shard is not None:
+                    part = vectors.slice(lo, edge - lo)
+                    q = part.flatten().to_numpy(zero_copy_only=False).reshape(edge - lo, -1)
+                    qid = ids.slice(lo, edge - lo).to_numpy(zero_copy_only=False)
+                    step = max(1, min(256, (1 << 24) // len(shard.ids)))
+                    for a in range(0, len(q), step):
+                        r, at, score = shard.best(q[a : a + step], k, shard.beam)
+                        yield pa.RecordBatch.from_arrays([pa.array(qid[a + r]), pa.array(shard.ids[at]), pa.array(score)], ["query_id", "vec_id", "score"])
+                if edge < batch.num_rows:
+                    shard = Shard.unpack(packed[edge].as_py())
+                lo = edge + 1
 
     return run
 
@@ -224,13 +297,13 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, shar
     points = members.where("place = 1").select("vec_id", "embedding", "key")
     shards = max(1, -(-points.count() // shard_rows))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    index = cut(points.select("vec_id", "embedding", shard.alias("shard")).groupBy("shard").applyInPandas(_build_shard, "shard int, ids binary, raw binary, graph binary, entries binary"))
     asked = src.where(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    hits = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search(k + 1, beam), "query_id long, vec_id long, score double")
+    sample = [r[0] for r in asked.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE).select("embedding").collect()]
+    index = points.select("vec_id", "embedding", shard.alias("shard")).groupBy("shard").applyInPandas(_build_shard(np.array(sample, float), k + 1, beam), "shard int, packed binary, beam int")
+    index = cut(index).select("shard", "packed", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("embedding"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(None).cast("binary").alias("packed"), "query_id", "embedding")
+    dealt = index.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("packed").isNull())
+    hits = dealt.select("packed", "query_id", "embedding").mapInArrow(_search(k + 1), "query_id long, vec_id long, score double")
     nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     hits = hits.distinct().withColumn("r", F.row_number().over(nearest_first)).where(F.col("r") <= k + 1).drop("r")
     key = points.select(F.col("vec_id").alias("rep"), "key", "embedding")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chars import small
-from .tables import BROADCAST_IDS, cut, free, in_arrow, table
+from .tables import cut, free, in_arrow, table
 
 #: Words that a unit of the query has at least: shorter sentences recur by nature.
 MIN_WORDS = 15
@@ -109,17 +109,16 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFram
 
 def removed(docs: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
     """The documents with the cuts taken out of ``text``; ``kept`` has (start, length) of what stays, in the original.
-    ``how``: ``left`` for all documents, ``inner`` for those that lose something.  Cuts are sent to the executors if
-    their number is small, and else meet the documents in a shuffle join."""
+    ``how``: ``left`` for all documents, ``inner`` for those that lose something.  Cuts grow with the documents and meet
+    them in a shuffle join, whose sides adaptive execution may split."""
     docs = docs.drop("kept")  # a column of that name is replaced
     kept_type = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("length", T.IntegerType()))
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", kept_type)])
     at, width = docs.columns.index("text"), len(docs.columns)
     key, cuts = (free(docs.columns, c) for c in ("key", "cuts"))
     side = found.select(F.struct("doc_id", "version").alias(key), F.col("cuts").alias(cuts))
-    spans = found.agg(F.sum(F.size("cuts"))).first()[0] or 0
     mine = F.struct(docs["doc_id"].cast("long").alias("doc_id"), _version(docs["text"]).alias("version"))
-    joined = docs.join(F.broadcast(side) if spans <= BROADCAST_IDS else side, mine == F.col(key), how)
+    joined = docs.join(side, mine == F.col(key), how)
     joined = joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.transform(cuts, lambda x: F.struct(x["start"], x["length"])).alias(cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,13 @@
 """A tokenizer whose ids of blank-delimited chunks are remembered.
 
 Exact for tokenizers that treat blank-delimited chunks apart from each other, as word-level BPE does that drops white
-space and whose words never cross it: the ids of a text are those of its chunks in order.
+space and whose words never cross it: the ids of a text are those of its chunks in order.  A tokenizer that is not known
+to be one of these by its normaliser and pre-tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -13,8 +15,22 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Chunks remembered by a worker, in two generations of this size.
-GENERATION = 300_000
+GENERATION = 200_000
+#: Of the private use area: a word of its own.
+MARK = "\ue000"
 _LETTERS = re.compile(rb"[a-z]+")
+#: Normalisers, and the words, of tokenizers whose chunks stand apart: lower case, no white space in a word.
+APART = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Texts and characters that are encoded at a time where they are not.
+TEXTS, CHARS = 64, 1 << 20
+
+
+def apart(spec: dict) -> bool:
+    parts = (spec.get("normalizer") or {}).get("normalizers", [])
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    words = [s["pattern"].get("Regex") for s in splits if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
+    blanks = all(p["pattern"] == {"Regex": r"\s+"} and p["content"] == " " for p in parts if p["type"] == "Replace")
+    return [p["type"] for p in parts] == APART[0] and blanks and words == [APART[1]] and spec["model"].get("end_of_word_suffix") == "</w>"
 
 
 class CachedTokenizer:
@@ -25,6 +41,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.apart = apart(json.loads(self.tokenizer.to_str()))
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -53,9 +71,24 @@ class CachedTokenizer:
                 lo_byte = hi_byte
 
     def _each(self, chunks: list[bytes]) -> None:
+        """Chunks of any kind, many in one text: between each two stands a mark that no other chunk holds."""
         for lo in range(0, len(chunks), 1000):
             part = chunks[lo : lo + 1000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False), strict=True):
+            texts = [c.decode("utf-8", "surrogatepass") for c in part]
+            joined = f" {MARK} ".join(texts)
+            if joined.count(MARK) == len(part) - 1:
+                ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.uint32)
+                width = len(self.mark)
+                at = np.flatnonzero(ids == self.mark[0])
+                at = at[at <= len(ids) - width]
+                for k in range(1, width):
+                    at = at[ids[at + k] == self.mark[k]]
+                if len(at) == len(part) - 1:
+                    raw = ids.tobytes()
+                    for chunk, a, b in zip(part, [0, *((at + width) * 4).tolist()], [*(at * 4).tolist(), len(raw)], strict=True):
+                        self.new[chunk] = raw[a:b]
+                    continue
+            for chunk, e in zip(part, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
                 self.new[chunk] = np.array(e.ids, np.uint32).tobytes()
 
     def _learn(self, chunks: set[bytes]) -> None:
@@ -90,6 +123,15 @@ class CachedTokenizer:
     def encode(self, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
         """Ids of each text, then ``end_id``."""
         end = np.array([end_id], np.uint32).tobytes()
+        if not self.apart:
+            lo, size = 0, 0
+            for i, text in enumerate([*texts, None]):
+                if i > lo and (i == len(texts) or i - lo >= TEXTS or size + len(text or "") > CHARS):
+                    for e in self.tokenizer.encode_batch([x or "" for x in texts[lo:i]], add_special_tokens=False):
+                        yield np.array([*e.ids, end_id], np.uint32)
+                    lo, size = i, 0
+                size += len(text or "")
+            return
         for lo in range(0, len(texts), 256):
             part = []
             for text in texts[lo : lo + 256]:
