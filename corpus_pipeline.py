@@ -1,13 +1,16 @@
 """The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir).  All but the last return the columns of documents; what a stage rejects, cuts
-or leaves out is gone for the next one.  Null and empty texts fail the quality rules' word count, so that later
-stages meet none from here; an empty table gives an empty result at every stage.
+or leaves out is gone for the next one.
+
+Defined results, for each stage: an empty table gives an empty result; texts are read whole; repeated rows are judged
+alike; other columns, of any names, are kept as they are, but by packing.  Null and empty texts fail the quality rules;
+they stay in line dedup, the Jaccard join (linked with nothing) and mixing (by the rate of the prior), and packing gives
+each the end id.  Rows without doc_id stay, but the Jaccard join links them with nothing.  Ties go to the smaller doc_id.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source go; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs).drop("n_lines", "n_dropped")
+    out = line_dedup.line_dedup(docs, counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -44,6 +47,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
+    import public_tokenizers
+
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -1,6 +1,9 @@
 """Golden rows of single operators; expected values follow from the semantics."""
 
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +101,46 @@ def test_question_families(spark):
     assert one(spark, generate.is_valid_qa(F.lit("What is the next thing?"), F.lit("Some long answer."))) is False
 
 
+#: The families written without thought of speed, as Python would run them: openings, sentences of an answer.
+SLOW = [
+    r"(?is)(?:Q|Question)[:\s]+(.+?)(?:A|Answer)[:\s]+(.+?)(?=(?:Q|Question)[:\s]|$)",
+    *(rf"(?i)({opening} [^?]+\?)\s*([^.!?]+[.!?]{'(?:[^.!?]+[.!?])?' if n == 2 else ''})" for opening, n in generate.OPENINGS),
+]
+
+
+def test_linear_families_find_the_same(spark):
+    rng = random.Random(5)
+    parts = ["What is", "How to", "Which", "Why are", "When do", "Q:", "A:", "Question ", "answer: ", " a ", " q ", "?", "? ", ".", "!", "\n", "  ", "some longer words here", "another thing entirely", "yes indeed it is so"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(2, 25))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = {r["i"]: r for r in rows.select("i", *[F.expr("null").alias("x")], *[F.regexp_extract_all("s", F.lit(p), F.lit(g)).alias(f"g{k}_{g}") for k, p in enumerate(generate.families()) for g in (1, 2)]).collect()}
+    for i, text in enumerate(texts):
+        for k, slow in enumerate(SLOW):
+            want = [(q.strip(), a.strip()) for q, a in re.findall(slow, text) if len(q.strip()) > 5 and len(a.strip()) > 5]
+            mine = [(q.strip(), a.strip()) for q, a in zip(got[i][f"g{k}_1"], got[i][f"g{k}_2"], strict=True) if len(q.strip()) > 5 and len(a.strip()) > 5]
+            assert mine == want, (k, text)
+
+
+@pytest.mark.parametrize("text", ["Foo " * 50_000, "q " * 70_000, "what is " * 25_000, "how to x? " * 20_000, "q a " * 40_000, "can go " * 30_000 + "\n", "never " * 30_000, "which" + " " * 150_000 + "x", "Q" + " " * 150_000, "only that " * 20_000 + "\n" + "only this"])
+def test_long_texts(spark, text):
+    began = time.time()
+    r = prompts.analyse(spark.createDataFrame([(text,)], "prompt string")).first()
+    assert r["role"] and len(r["keywords"]) <= 20
+    one(spark, generate.qa_patterns(F.lit(text)))
+    assert time.time() - began < 20
+
+
+def test_phrases_are_what_the_patterns_capture(spark):
+    rng = random.Random(6)
+    parts = ["can ", "will ", "only ", "never ", "and ", "within ", ". ", ", ", "\n", "walk the dog", "sandy", "x", "\r", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(800)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    for patterns in (prompts.CAPABILITY_PATTERNS, prompts.CONSTRAINT_PATTERNS):
+        for i, found in rows.select("i", prompts.phrases(F.col("s"), patterns)).collect():
+            want = [x.strip()[:100] for p in patterns for x in re.findall(f"(?i){p}", texts[i]) if len(x.strip()) > 5][:10]
+            assert found == want, texts[i]
+
+
 def test_cloze_restores_the_sentence(spark):
     s = "The quick engine of Apache plans 1234 queries before breakfast today."
     rows = generate.cloze_tests(spark.createDataFrame([(1, s)], "id int, text string"), "Data").collect()
@@ -178,7 +221,18 @@ def test_stored_state(spark, tmp_path):
     suites.write_baseline(s, str(tmp_path / "b"), "t2")
     suites.write_baseline(s, str(tmp_path / "b"), "t1")
     assert suites.read_baseline(spark, str(tmp_path / "b"), "t1").count() == 1 and suites.baseline_tags(spark, str(tmp_path / "b")).count() == 2
+    assert suites.delete_baseline(spark, str(tmp_path / "b"), "t2") and not suites.delete_baseline(spark, str(tmp_path / "b"), "t2")
+    assert [r["tag"] for r in suites.baseline_tags(spark, str(tmp_path / "b")).collect()] == ["t1"]
     assert suites.read_history(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "x.parquet").write_text("no table")
+    assert suites.read_history(spark, str(tmp_path / "h")).count() == 0
+    contents = spark.createDataFrame([("http://h/1", "Apache Spark is an engine for large data that runs on clusters. The quick engine of Apache plans 1234 queries before breakfast.")], "url string, text string")
+    made = generate.process(contents, "Big data")
+    kept = suites.write_generated({k: made[k] for k in ("benchmark", "masked", "roleplay", "finetune")}, str(tmp_path / "g"), "Big data")
+    assert set(kept) == {"benchmark", "masked", "roleplay", "finetune"}
+    assert sorted(c["id"] for r in spark.read.text(kept["masked"]).collect() for c in json.loads(r[0])["cases"]) == ["big-data-cloze-1", "big-data-cloze-2"]
+    assert set(generate.process(contents, "x", "roleplay")) == {"roleplay"}
     suites.write_suite(spark.createDataFrame([("c1", "p")], "id string, prompt string"), str(tmp_path / "s"), "n")
     assert json.loads(spark.read.text(str(tmp_path / "s")).first()[0])["cases"] == [{"id": "c1", "prompt": "p"}]
 
@@ -205,6 +259,37 @@ def test_completion_and_validation(spark):
     assert got["passed"] and got["improvement"] == pytest.approx(0.4) and got["push"]
 
 
+def test_retries():
+    waits, calls = [], []
+
+    def flaky(row):
+        calls.append(row)
+        if len(calls) < 3:
+            raise ValueError("status 429")
+        return {"response": "ok"}
+
+    assert runs.retrying(flaky, sleep=waits.append)({"a": 1}) == {"response": "ok"} and waits == [2.0, 4.0]
+    calls.clear()
+    with pytest.raises(ValueError):
+        runs.retrying(flaky, attempts=2, sleep=waits.append)({})
+    with pytest.raises(KeyError):
+        runs.retrying(lambda row: row["x"], sleep=waits.append)({})
+
+
+@pytest.mark.parametrize("kind", ["ollama", "openai", "anthropic", "google"])
+def test_request_bodies(spark, kind):
+    got = json.loads(one(spark, runs.request_body(kind, F.lit("m"), F.lit('say "x"'), F.lit("be brief"), F.lit(0.5), F.lit(9))))
+    text = json.dumps(got)
+    assert "be brief" in text and 'say \\"x\\"' in text and "9" in text
+    assert "system" not in json.dumps(json.loads(one(spark, runs.request_body(kind, F.lit("m"), F.lit("p"), F.lit(""), F.lit(0.0), F.lit(9)))))
+
+
+def test_numbered_in_order(spark):
+    rows = spark.range(100, numPartitions=7).withColumn("k", F.hash("id"))
+    got = [r["n"] for r in t.numbered(rows, ["k"]).orderBy("k").collect()]
+    assert got == list(range(1, 101)) and t.numbered(rows.limit(0), ["k"]).count() == 0
+
+
 def test_provider_replies(spark):
     body = json.dumps({"content": [{"type": "text", "text": "a"}, {"type": "tool"}, {"type": "text", "text": "b"}], "usage": {"input_tokens": 3, "output_tokens": 4}})
     assert one(spark, runs.unpack_reply(F.lit(body), "anthropic"))[:] == ("ab", 3, 4)

@@ -11,6 +11,7 @@ from .functions import text as t
 from .functions import urls
 from .operators import assertions, baselines, generate, html, judges, prompts
 from .plans import runs
+from .sources import suites
 from .streaming import scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,11 +150,17 @@ def url_fields(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", urls.authority(u).alias("host"), urls.normalise(u).alias("normal"), urls.is_valid(u).alias("valid"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title,
-  len(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]+)"', 1))) AS n_links, regexp_matches(lower(html), 'id="__next"|id="app"|id="root"|please enable javascript|this site requires javascript|noscript|loading\\.\\.\\.|cloudflare') AS javascript FROM pages""")
+_DECODED = "replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_TRIM = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+
+
+@query(f"""SELECT page_id, {_DECODED.format("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")} AS title, len(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]+)"', 1))) AS n_links,
+  list_sum(list_transform(string_split(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)', 1), '<[^>]*>', chr(31), 'g'), chr(31)), lambda x: length(trim({_DECODED.format('x')}, {_TRIM})))) < 200
+  OR regexp_matches(lower(html), 'id="__next"|id="app"|id="root"|please enable javascript|this site requires javascript|noscript|loading\\.\\.\\.|cloudflare') AS javascript FROM pages""")
 def page_fields(spark, sf_dir):
-    h = F.col("html")
-    return read(spark, sf_dir, "pages").select("page_id", html.title(h).alias("title"), F.size(html.links(h)).cast("long").alias("n_links"), html.has_javascript_sign(h).alias("javascript"))
+    p = read(spark, sf_dir, "pages")
+    parsed = html.extract(p, least=0).select("page_id", "title", F.col("needs_javascript").alias("javascript"))
+    return parsed.join(p.select("page_id", F.size(html.links(F.col("html"))).cast("long").alias("n_links")), "page_id")
 
 
 @query("""WITH l AS (SELECT url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]+)"', 1)) AS href FROM pages)
@@ -168,20 +175,19 @@ def page_text(spark, sf_dir):
     return out.select("page_id", "title", "text", F.size("hrefs").alias("n_hrefs"), "content_length")
 
 
-@query("""WITH p AS (SELECT DISTINCT url FROM pages), e AS (SELECT a.url, b.url AS link, row_number() OVER (PARTITION BY a.url ORDER BY b.url) AS place FROM p a JOIN p b
-  ON regexp_extract(a.url, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(b.url, '^[a-z]+://([^/?#]*)', 1) AND a.url <> b.url),
-s AS (SELECT min(url) AS url FROM p), n AS (SELECT e.link AS url FROM s JOIN e USING (url) WHERE place <= 10),
-m AS (SELECT DISTINCT e.link AS url FROM n JOIN e USING (url) WHERE place <= 10 AND e.link NOT IN (SELECT url FROM n UNION SELECT url FROM s))
-SELECT url, 0 AS depth FROM s UNION ALL SELECT url, 1 FROM n UNION ALL SELECT url, 2 FROM m""")
-def crawl_by_host(spark, sf_dir):
-    """A bounded crawl from the smallest URL; pages of one host, in order, stand for links."""
-    pages = read(spark, sf_dir, "pages").select("url").distinct()
-    host = urls.authority(F.col("url"))
-    near = pages.select("url", host.alias("h"))
-    edges = near.alias("a").join(near.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.url") != F.col("b.url")))
-    edges = edges.select("a.url", F.col("b.url").alias("link")).withColumn("place", F.row_number().over(Window.partitionBy("url").orderBy("link")))
-    starts = pages.agg(F.min("url").alias("url")).withColumn("rank", F.lit(0))
-    return html.crawl(starts, pages, edges, max_pages=10_000).select("url", "depth")
+@query("""WITH p AS (SELECT page_id AS id, min(url) AS url FROM pages GROUP BY 1), f AS (SELECT min(id) AS id FROM p),
+a AS (SELECT p.id, p.url, p.id - 12 * f.id AS place FROM p, f WHERE p.id BETWEEN 12 * f.id + 1 AND 12 * f.id + 10),
+b AS (SELECT p.id, p.url, a.place, p.id - 12 * a.id AS pos FROM p JOIN a ON p.id BETWEEN 12 * a.id + 1 AND 12 * a.id + 10 WHERE p.id NOT IN (SELECT id FROM a UNION SELECT id FROM f)),
+s AS (SELECT url, 0 AS depth, 0 AS x, 0 AS y FROM p JOIN f USING (id) UNION ALL SELECT url, 1, place, 0 FROM a UNION ALL SELECT url, 2, place, pos FROM b)
+SELECT url, depth, row_number() OVER (ORDER BY depth, x, y) AS rank FROM s QUALIFY rank <= 40""")
+def crawl(spark, sf_dir):
+    """A crawl that stops at 40 pages, over the links of a tree: page n links to the twelve pages from 12 n + 1 on."""
+    pages = read(spark, sf_dir, "pages").groupBy("page_id").agg(F.min("url").alias("url"))
+    place = F.explode(F.sequence(F.lit(1), F.lit(12)))
+    links = pages.select("url", "page_id", place.alias("place")).withColumn("to", F.col("page_id") * 12 + F.col("place"))
+    edges = links.join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("link")), "to").select("url", "link", "place")
+    starts = pages.groupBy().agg(F.min_by("url", "page_id").alias("url")).withColumn("rank", F.lit(0))
+    return html.crawl(starts, pages, edges, max_pages=40).select("url", "depth", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH r AS (SELECT page_id // 5 AS query, ['serp', 'duck', 'brave'][1 + page_id % 3] AS provider, page_id AS rank, url FROM pages),
@@ -196,8 +202,20 @@ def search_provider(spark, sf_dir):
 
 @query("""SELECT page_id, url FROM pages WHERE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) NOT IN (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) FROM pages WHERE page_id % 7 = 0)""")
 def unseen_domains(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select("page_id", "url", urls.authority(F.col("url")).alias("host"))
-    return p.join(p.where("page_id % 7 = 0").select("host").distinct(), "host", "left_anti").select("page_id", "url")
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    return html.unseen_domains(p, p.where("page_id % 7 = 0"))
+
+
+@query("""WITH r AS (SELECT page_id // 5 AS query, ['serp', 'brave'][1 + page_id % 2] AS provider, page_id AS rank, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages),
+v AS (SELECT * FROM r WHERE host NOT IN (SELECT host FROM r WHERE rank % 11 = 0)), b AS (SELECT query, max(provider) AS provider FROM v GROUP BY 1),
+u AS (SELECT query, url, min(rank) AS rank FROM v JOIN b USING (query, provider) GROUP BY ALL), k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, url) <= 2)
+SELECT DISTINCT page_id, url FROM pages WHERE regexp_replace(url, '#.*$', '') IN (SELECT regexp_replace(url, '#.*$', '') FROM k)""")
+def result_pages(spark, sf_dir):
+    """Pages of search results of hosts that no earlier run has seen; serp before brave, two of each query."""
+    p = read(spark, sf_dir, "pages")
+    provider = F.element_at(F.array(F.lit("serp"), F.lit("brave")), (F.col("page_id") % 2 + 1).cast("int"))
+    results = p.select(F.floor(F.col("page_id") / 5).alias("query"), provider.alias("provider"), F.col("page_id").alias("rank"), "url")
+    return html.result_pages(results, p, 2, p.where("page_id % 11 = 0").select("url"), ["serp", "brave"]).select("page_id", "url")
 
 
 # Text: sentences, definitions, questions, cloze tests.
@@ -217,35 +235,55 @@ _GENERIC = ", ".join(f"'{x}'" for x in generate.GENERIC_SUBJECTS)
 _DEF = "^((?:The\\s+)?[A-Z][A-Za-z0-9\\s]+?) (?:is|are) (?:a |an |the )?(.+)"
 
 
-@query(f"""WITH {SENTENCES}, m AS (SELECT doc_id, position, trim(regexp_extract(sentence, '{_DEF}', 1)) AS subject, trim(regexp_extract(sentence, '{_DEF}', 2)) AS what FROM s WHERE position < 30 AND regexp_matches(sentence, '{_DEF}')),
+DEFINITIONS = f"""m AS (SELECT doc_id, position, trim(regexp_extract(sentence, '{_DEF}', 1)) AS subject, trim(regexp_extract(sentence, '{_DEF}', 2)) AS what FROM s WHERE position < 30 AND regexp_matches(sentence, '{_DEF}')),
 q AS (SELECT doc_id, position, 'What is ' || subject || '?' AS question, CASE WHEN length(what) > 150 THEN substr(what, 1, 150) || '...' ELSE what END AS answer FROM m
   WHERE length(subject) BETWEEN 4 AND 50 AND length(what) >= 20 AND lower(subject) NOT IN ({_GENERIC})),
-v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(question) ORDER BY position) AS k FROM q WHERE NOT regexp_matches(lower(question), '{_NOISE}') AND NOT regexp_matches(lower(answer), '{_NOISE}') AND length(question) > 15 AND length(answer) > 10 AND length(answer) < 250)
-SELECT doc_id, question, answer FROM v WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY position) <= 25""")
+v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(question) ORDER BY position) AS k FROM q WHERE NOT regexp_matches(lower(question), '{_NOISE}') AND NOT regexp_matches(lower(answer), '{_NOISE}') AND length(question) > 15 AND length(answer) > 10 AND length(answer) < 250),
+qa AS (SELECT doc_id, question, answer, row_number() OVER (PARTITION BY doc_id ORDER BY v.position) - 1 AS position FROM v WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v.position) <= 25)"""
+
+
+@query(f"WITH {SENTENCES}, {DEFINITIONS} SELECT doc_id, question, answer FROM qa")
 def definition_questions(spark, sf_dir):
     return generate.qa_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"), "General").select("doc_id", "question", "answer")
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' ') AS w FROM documents WHERE lang = 'en'),
-p AS (SELECT doc_id, array_to_string(w[2:5], ' ') AS a, array_to_string(w[6:9], ' ') AS b FROM w WHERE len(w) > 12), x AS (SELECT doc_id, 'How to ' || a || '?' AS question, b || ' ' || a || '.' AS answer FROM p)
-SELECT doc_id, question, answer FROM x WHERE length(question) > 15 AND length(answer) BETWEEN 11 AND 249 AND NOT regexp_matches(lower(question), '""" + _NOISE + """') AND NOT regexp_matches(lower(answer), '""" + _NOISE + """')""")
+_HOW = "(How (?:to|do|does|can) [^?]+\\?)\\s*([^.!?]+[.!?](?:[^.!?]+[.!?])?)"
+
+
+@query(f"""WITH x AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda s: 'How to ' || s || '? ' || s || '.'), ' ') AS text FROM documents),
+p AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){_HOW}', 1)) AS question, unnest(regexp_extract_all(text, '(?i){_HOW}', 2)) AS answer, unnest(range(len(regexp_extract_all(text, '(?i){_HOW}', 1)))) AS pos FROM x),
+t AS (SELECT doc_id, pos, trim(question, {_TRIM}) AS question, trim(answer, {_TRIM}) AS answer FROM p)
+SELECT doc_id, question, answer FROM t WHERE length(question) > 15 AND length(answer) BETWEEN 11 AND 249 AND NOT contains(question, chr(10)) AND NOT contains(question, '|') AND NOT regexp_matches(lower(question), '{_NOISE}') AND NOT regexp_matches(lower(answer), '{_NOISE}')
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 20""")
 def pattern_questions(spark, sf_dir):
-    w = F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")
-    d = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", w.alias("w")).where(F.size("w") > 12)
-    a, b = F.array_join(F.slice("w", 2, 4), " "), F.array_join(F.slice("w", 6, 4), " ")
-    text = F.concat(F.lit("How to "), a, F.lit("? "), b, F.lit(" "), a, F.lit("."))
-    return d.select("doc_id", F.explode(generate.qa_patterns(text)).alias("p")).select("doc_id", "p.question", "p.answer")
+    """Every line of every text as a question and, again, as its answer."""
+    lines = F.transform(F.split("text", "\n"), lambda s: F.concat(F.lit("How to "), s, F.lit("? "), s, F.lit(".")))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, " ").alias("text"))
+    return d.select("doc_id", F.explode(generate.qa_patterns(F.col("text"))).alias("p")).select("doc_id", "p.question", "p.answer")
+
+
+_ARTEFACTS = "— The guide documentation 3.12.1 Documentation Navigation  index modules | next | Theme  Dark "
+
+
+@query(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('{_ARTEFACTS}' || text || ' Theme Auto', '(?i)—[^—]+documentation', '', 'g'), '\\d+\\.\\d+(\\.\\d+)?\\s+Documentation', '', 'g'),
+  '(?i)Navigation\\s+index\\s+modules', '', 'g'), '(?i)\\|\\s*(next|previous|home|index)\\s*\\|', '', 'g'), '(?i)Theme\\s+(Auto|Light|Dark)', '', 'g'), {_TRIM}) AS text FROM documents""")
+def clean_texts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", t.clean(F.concat(F.lit(_ARTEFACTS), "text", F.lit(" Theme Auto"))).alias("text"))
 
 
 _STOP = ", ".join(f"'{x}'" for x in generate.CLOZE_STOP)
 
 
-@query(f"""WITH {SENTENCES}, f AS (SELECT doc_id, position, sentence, string_split(regexp_replace(sentence, '\\s+', ' ', 'g'), ' ') AS w FROM s WHERE position < 30 AND length(sentence) BETWEEN 40 AND 300),
+CLOZE = f"""f AS (SELECT doc_id, position, sentence, string_split(regexp_replace(sentence, '\\s+', ' ', 'g'), ' ') AS w FROM s WHERE position < 30 AND length(sentence) BETWEEN 40 AND 300),
 c0 AS (SELECT doc_id, position, sentence, w, unnest(w) AS word, unnest(range(len(w))) AS i FROM f WHERE len(w) >= 6),
 c1 AS (SELECT *, regexp_replace(word, '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS bare FROM c0),
 c2 AS (SELECT *, CASE WHEN regexp_matches(bare, '\\p{{Lu}}|_') THEN 'medium' WHEN regexp_matches(bare, '^\\p{{Nd}}+$') THEN 'easy' WHEN length(bare) >= 6 THEN 'hard' END AS difficulty FROM c1 WHERE length(bare) >= 4 AND lower(bare) NOT IN ({_STOP})),
-c3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, position ORDER BY md5('0|' || sentence || '|' || i::VARCHAR)) AS k FROM c2 WHERE difficulty IS NOT NULL)
-SELECT doc_id, array_to_string(list_transform(w, lambda x, j: CASE WHEN j = i + 1 THEN '____' ELSE x END), ' ') AS masked_text, bare AS answer, i::INT AS mask_position, difficulty FROM c3 WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY position) <= 15""")
+c3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, position ORDER BY md5('0|' || sentence || '|' || i::VARCHAR)) AS k FROM c2 WHERE difficulty IS NOT NULL),
+c4 AS (SELECT doc_id, array_to_string(list_transform(w, lambda x, j: CASE WHEN j = i + 1 THEN '____' ELSE x END), ' ') AS masked_text, bare AS answer, i::INT AS mask_position, difficulty, row_number() OVER (PARTITION BY doc_id ORDER BY c3.position) - 1 AS position
+  FROM c3 WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c3.position) <= 15)"""
+
+
+@query(f"WITH {SENTENCES}, {CLOZE} SELECT doc_id, masked_text, answer, mask_position, difficulty FROM c4")
 def cloze(spark, sf_dir):
     return generate.cloze_tests(read(spark, sf_dir, "documents").select("doc_id", "text"), "General").select("doc_id", "masked_text", "answer", "mask_position", "difficulty")
 
@@ -266,21 +304,44 @@ def quota_cases(spark, sf_dir):
     return out.select("id", "a.type", "a.value", "a.chars")
 
 
-@query(f"""WITH {SENTENCES} SELECT '{{"messages":[{{"role":"user","content":"Say it"}},{{"role":"assistant","content":' || to_json(sentence) || '}}]}}' AS value FROM s WHERE position < 2""")
+@query(f"""WITH {SENTENCES}, {DEFINITIONS}, {CLOZE} SELECT '{{{{"messages":[{{{{"role":"user","content":' || to_json(question) || '}}}},{{{{"role":"assistant","content":' || to_json(answer) || '}}}}]}}}}' AS value FROM qa
+UNION ALL SELECT '{{{{"messages":[{{{{"role":"user","content":' || to_json('Fill in the blank: ' || masked_text) || '}}}},{{{{"role":"assistant","content":' || to_json(answer) || '}}}}]}}}}' FROM c4""".replace("{{", "{").replace("}}", "}"))
 def finetune_messages(spark, sf_dir):
-    rows = sentence_split(spark, sf_dir).where("position < 2").select(F.lit("Say it").alias("question"), F.col("sentence").alias("answer"), F.lit("").alias("masked_text"))
-    return generate.finetune(rows, rows.where("false"))
+    """All questions and all cloze tests of the documents."""
+    return generate.process(read(spark, sf_dir, "documents").select("doc_id", "text"), "General")["finetune"]
+
+
+@query(f"""WITH {SENTENCES}, {DEFINITIONS}, {CLOZE},
+asked AS (SELECT * FROM qa QUALIFY row_number() OVER (PARTITION BY lower(trim(question, {_TRIM})) ORDER BY doc_id, position) = 1 ORDER BY doc_id, position LIMIT 30),
+z AS (SELECT * FROM c4 QUALIFY row_number() OVER (PARTITION BY lower(trim(masked_text, {_TRIM})) ORDER BY doc_id, position) = 1 ORDER BY doc_id, position LIMIT 20)
+SELECT 'general-qa-' || row_number() OVER (ORDER BY doc_id, position) AS id, question AS prompt, answer AS expected, CASE WHEN length(answer) < 100 THEN substr(split_part(answer, '.', 1), 1, 50) END AS value FROM asked
+UNION ALL SELECT 'general-cloze-' || row_number() OVER (ORDER BY doc_id, position), 'Fill in the blank with the correct word or phrase:' || chr(10) || chr(10) || masked_text, answer, answer FROM z""")
+def generated_suite(spark, sf_dir):
+    """A suite of 50 cases out of all documents."""
+    out = generate.generated_suite(read(spark, sf_dir, "documents").select("doc_id", "text"), "General", order=["doc_id"])
+    return out.select("id", "prompt", "expected", F.col("assertions")[0]["value"].alias("value"))
+
+
+@query(f"""WITH {SENTENCES}, {DEFINITIONS} SELECT 'general-' || row_number() OVER (ORDER BY doc_id, position) AS id, question AS prompt, trim(answer, {_TRIM}) AS value FROM qa""")
+def answer_cases(spark, sf_dir):
+    qa = generate.qa_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"), "General")
+    return generate.answer_cases(qa, "General", ["doc_id", "position"]).select("id", "prompt", F.col("assertions")[0]["value"].alias("value"))
+
+
+@query("""SELECT 'tax-law-roleplay-1' AS id, 'You are a helpful Tax law expert. Answer questions accurately and concisely.' AS system_prompt, 'Tell me about Tax law' AS prompt, 50 AS chars""")
+def persona(spark, sf_dir):
+    return generate.persona_cases(spark, "Tax law").select("id", "system_prompt", "prompt", F.col("assertions")[0]["chars"].alias("chars"))
 
 
 # System prompts.
 
-PROMPT = "'You are a ' || split_part(text, ' ', 2) || ' tutor who can help with code review, ' || split_part(text, ' ', 3) || '. Never mention \"' || split_part(text, ' ', 4) || 'x\". Only answer questions about ' || lower(split_part(text, ' ', 5)) || ' law.'"
+PROMPT = "'You are a ' || split_part(text, ' ', 2) || ' tutor who can help with code review, ' || split_part(text, ' ', 3) || '. Never mention \"' || split_part(text, ' ', 4) || 'x\". Only answer questions about ' || lower(split_part(text, ' ', 5)) || ' law.' || chr(10) || text"
 _DOMAINS = ", ".join(f"('{d}', {i}, '{w}', {len(w.split())})" for i, (d, ws) in enumerate(prompts.DOMAIN_KEYWORDS.items()) for w in ws)
 
 
 def system_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
-    text = F.concat(F.lit("You are a "), w(2), F.lit(" tutor who can help with code review, "), w(3), F.lit('. Never mention "'), w(4), F.lit('x". Only answer questions about '), F.lower(w(5)), F.lit(" law."))
+    text = F.concat(F.lit("You are a "), w(2), F.lit(" tutor who can help with code review, "), w(3), F.lit('. Never mention "'), w(4), F.lit('x". Only answer questions about '), F.lower(w(5)), F.lit(" law.\n"), "text")
     return read(spark, sf_dir, "documents").select("doc_id", text.alias("prompt"))
 
 
@@ -291,12 +352,57 @@ def prompt_domain(spark, sf_dir):
     return system_prompts(spark, sf_dir).select("doc_id", prompts.domain(F.col("prompt")).alias("domain"), t.prompt_hash(F.col("prompt")).alias("hash"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, {PROMPT} AS prompt FROM documents)
-SELECT doc_id, substr(trim(regexp_extract(prompt, '(?i)you are (?:a |an )?(.+?)(?:\\.|,|who|that|$)', 1)), 1, 100) AS role,
-  array_to_string(list_transform(list_filter(list_transform(regexp_extract_all(prompt, '(?i)(?:only|exclusively|solely) (.+?)(?:\\.|,|$)', 1), lambda x: trim(x)), lambda x: length(x) > 5), lambda x: substr(x, 1, 100)), '|') AS only_ FROM p WHERE NOT regexp_matches(prompt, '[\\n\\t]')""")
+_ROLES = [p.replace("'", "''") for p in prompts.ROLE_PATTERNS]
+_ROLE = " ".join(f"WHEN regexp_matches(prompt, '(?i){p}') THEN substr(trim(regexp_extract(prompt, '(?i){p}', 1)), 1, 100)" for p in _ROLES)
+
+
+def _phrases(patterns: tuple[str, ...]) -> str:
+    every = " || ".join("regexp_extract_all(prompt, '(?i)" + p.replace("'", "''") + "', 1)" for p in patterns)
+    return f"array_to_string(list_transform(list_filter(list_transform({every}, lambda x: trim(x, {_TRIM})), lambda x: length(x) > 5)[1:10], lambda x: substr(x, 1, 100)), '|')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {PROMPT} AS prompt FROM documents) SELECT doc_id, CASE {_ROLE} ELSE coalesce(nullif(substr(split_part(prompt, '.', 1), 1, 100), ''), 'AI Assistant') END AS role FROM p""")
 def prompt_role(spark, sf_dir):
-    p = system_prompts(spark, sf_dir).where(~F.col("prompt").rlike(r"[\n\t]"))
-    return p.select("doc_id", prompts.role(F.col("prompt")).alias("role"), F.array_join(prompts.phrases(F.col("prompt"), prompts.CONSTRAINT_PATTERNS[1:2]), "|").alias("only_"))
+    return system_prompts(spark, sf_dir).select("doc_id", prompts.role(F.col("prompt")).alias("role"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, {PROMPT} AS prompt FROM documents) SELECT doc_id, {_phrases(prompts.CAPABILITY_PATTERNS)} AS capabilities, {_phrases(prompts.CONSTRAINT_PATTERNS)} AS constraints FROM p""")
+def prompt_phrases(spark, sf_dir):
+    p = system_prompts(spark, sf_dir)
+    return p.select("doc_id", *[F.array_join(prompts.phrases(F.col("prompt"), x), "|").alias(n) for n, x in (("capabilities", prompts.CAPABILITY_PATTERNS), ("constraints", prompts.CONSTRAINT_PATTERNS))])
+
+
+_KEYWORD_STOP = ", ".join(f"'{x}'" for x in prompts.KEYWORD_STOP)
+
+
+@query(f"""WITH p AS (SELECT doc_id, {PROMPT} || ' uses snake_case and camelCase' AS prompt FROM documents), a AS (SELECT doc_id, prompt, regexp_replace(prompt, '[À-ÖØ-öø-ÿ]', '0', 'g') AS ascii FROM p),
+w AS (SELECT doc_id, list_filter(regexp_extract_all(ascii, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), lambda x: length(x) > 3) || regexp_extract_all(ascii, '\\b[a-z]+_[a-z]+\\b|\\b[a-z]+[A-Z][a-z]+\\b')
+  || list_filter(regexp_extract_all(prompt, '[\"'']([^\"'']+)[\"'']', 1), lambda x: length(x) BETWEEN 3 AND 49) AS w FROM a),
+u AS (SELECT doc_id, lower(unnest(w)) AS word, unnest(range(len(w))) AS pos FROM w), o AS (SELECT doc_id, word, min(pos) AS pos FROM u WHERE length(word) > 2 AND word NOT IN ({_KEYWORD_STOP}) GROUP BY ALL),
+k AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 20) SELECT doc_id, coalesce(string_agg(word, '|' ORDER BY pos), '') AS keywords FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""")
+def prompt_keywords(spark, sf_dir):
+    p = system_prompts(spark, sf_dir).withColumn("prompt", F.concat("prompt", F.lit(" uses snake_case and camelCase")))
+    return p.select("doc_id", F.array_join(prompts.keywords(F.col("prompt")), "|").alias("keywords"))
+
+
+_SEARCHED = """x AS (SELECT doc_id, ['code_review', 'medical', 'general'][1 + doc_id % 3] AS d, CASE WHEN doc_id % 4 = 0 THEN 'AI Assistant' ELSE coalesce(split_part(text, '.', 1), '') END AS r,
+  string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'), ' ') AS w FROM documents)"""
+_CASES = " ".join(f"WHEN '{k}' THEN {v}" for k, v in prompts.DOMAIN_TESTS.items())
+
+
+@query(f"""WITH {_SEARCHED}, y AS (SELECT doc_id, d, r, w, replace(d, '_', ' ') AS e, substr(replace(replace(r, 'a ', ''), 'an ', ''), 1, 50) AS s FROM x),
+z AS (SELECT doc_id, d, w, [{', '.join("'" + q.replace("{}", "' || e || '") + "'" for q in prompts.DOMAIN_QUERIES)}] || CASE WHEN r IN ('', 'AI Assistant') THEN [] ELSE [{', '.join("'" + q.replace("{}", "' || s || '") + "'" for q in prompts.ROLE_QUERIES)}] END
+  || list_transform(list_filter(w, lambda a: length(a) > 4)[1:3], lambda a: a || ' best practices') AS q FROM y),
+u AS (SELECT doc_id, unnest(q) AS q, unnest(range(len(q))) AS pos FROM z), k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, lower(q) ORDER BY pos) = 1),
+f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 12), g AS (SELECT doc_id, string_agg(q, '|' ORDER BY pos) AS queries FROM f GROUP BY 1)
+SELECT doc_id, queries, array_to_string(list_sort(list_distinct(['knowledge'] || CASE WHEN len(w) > 3 THEN ['capability'] ELSE [] END || CASE WHEN len(w) > 90 THEN ['constraint'] ELSE [] END || CASE d {_CASES} ELSE [] END)), '|') AS categories FROM z JOIN g USING (doc_id)""")
+def prompt_searches(spark, sf_dir):
+    d = F.element_at(F.array(*map(F.lit, ("code_review", "medical", "general"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    r = F.when(F.col("doc_id") % 4 == 0, "AI Assistant").otherwise(F.coalesce(F.substring_index("text", ".", 1), F.lit("")))
+    w = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "), " ")
+    x = read(spark, sf_dir, "documents").select("doc_id", d.alias("d"), r.alias("r"), w.alias("w"))
+    some = lambda n: F.when(F.size("w") > n, F.col("w")).otherwise(F.array().cast("array<string>"))
+    return x.select("doc_id", F.array_join(prompts.search_queries(F.col("d"), F.col("r"), F.col("w")), "|").alias("queries"), F.array_join(prompts.categories(F.col("d"), some(3), some(90)), "|").alias("categories"))
 
 
 @query()
@@ -304,15 +410,16 @@ def prompt_analysis(spark, sf_dir):
     return prompts.analyse(read(spark, sf_dir, "conversations").where("role = 'system'").select("conv_id", F.col("text").alias("prompt"))).drop("prompt")
 
 
-_FALLBACK = " ".join(f"WHEN key = '{k}' THEN {len(u)}" for k, u in prompts.FALLBACK_URLS.items()) + " " + " ".join(f"WHEN contains(d, '{k}') OR contains('{k}', d) THEN {len(u)}" for k, u in prompts.FALLBACK_URLS.items())
+_URLS = {k: " ".join(u) for k, u in prompts.FALLBACK_URLS.items()}
+_FALLBACK = " ".join(f"WHEN key = '{k}' THEN '{u}'" for k, u in _URLS.items()) + " " + " ".join(f"WHEN contains(d, '{k}') OR contains('{k}', d) THEN '{u}'" for k, u in _URLS.items())
 
 
-@query(f"""SELECT doc_id, CASE {_FALLBACK} ELSE 3 END::BIGINT AS n_urls FROM (SELECT doc_id, replace(x, '_', ' ') AS d, replace(replace(x, '_', ' '), ' ', '_') AS key
+@query(f"""SELECT doc_id, CASE {_FALLBACK} ELSE '{" ".join(prompts.DEFAULT_URLS)}' END AS urls FROM (SELECT doc_id, replace(x, '_', ' ') AS d, replace(replace(x, '_', ' '), ' ', '_') AS key
   FROM (SELECT doc_id, lower(['Code_Review', 'legal', 'java', 'python web', 'Medical', 'script'][1 + doc_id % 6]) AS x FROM documents))""")
 def fallback_pages(spark, sf_dir):
     names = F.array(*map(F.lit, ["Code_Review", "legal", "java", "python web", "Medical", "script"]))
     d = F.element_at(names, (F.col("doc_id") % 6 + 1).cast("int"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(prompts.fallback_urls(d)).cast("long").alias("n_urls"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(prompts.fallback_urls(d), " ").alias("urls"))
 
 
 @query(f"""WITH {CASES} SELECT conv_id, turn, CASE WHEN length(response) >= 200 THEN 'PASSED' ELSE 'FAILED' END AS mark, CASE WHEN length(response) >= 200 THEN '' ELSE 'min_length failed' END AS detail FROM c""")
@@ -382,8 +489,72 @@ def batch_verdicts(spark, sf_dir):
 
 @query(f"""WITH {PARSED}, a AS (SELECT l_orderkey AS run_id, unnest(areas) AS area FROM s) SELECT run_id, area, count(*) AS n FROM a GROUP BY ALL HAVING count(*) >= 2""")
 def weak_areas(spark, sf_dir):
-    rows = replies(spark, sf_dir).withColumn("s", judges.batch_reply(F.col("reply"))).select(F.col("l_orderkey").alias("run_id"), F.explode("s.weak_areas").alias("area"))
-    return rows.groupBy("run_id", "area").agg(F.count("*").alias("n")).where("n >= 2")
+    rows = replies(spark, sf_dir).withColumn("s", judges.batch_reply(F.col("reply"))).select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("judge"), "s.weak_areas")
+    return judges.weak_areas(rows, ["run_id"], least=2).select("run_id", "area", "n")
+
+
+@query("""WITH v AS (SELECT l_orderkey AS case_id, avg(1 - 5 * l_discount) AS mean FROM lineitem GROUP BY 1)
+SELECT case_id, round(CASE WHEN case_id % 3 = 0 THEN 0.25 WHEN case_id % 3 = 1 THEN 1.5 ELSE mean END, 6) AS final_score, CASE case_id % 3 WHEN 0 THEN 'high' ELSE 'medium' END AS confidence, CASE case_id % 3 WHEN 0 THEN 'fine' ELSE '' END AS summary FROM v""")
+def chairman_verdicts(spark, sf_dir):
+    """The chairman's score counts as told, also above one; without one, the mean of the judges."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), (1 - 5 * F.col("l_discount")).alias("score"))
+    told = F.when(F.col("case_id") % 3 == 0, "FINAL_SCORE: 0.25\nCONFIDENCE: High\nSUMMARY: fine").when(F.col("case_id") % 3 == 1, "FINAL_SCORE: 1.5\nCONFIDENCE: unsure").otherwise("no verdict")
+    chairman = rows.select("case_id").distinct().withColumn("reply", told)
+    return judges.synthesise(rows, ["case_id"], chairman).select("case_id", F.round("final_score", 6).alias("final_score"), "confidence", "summary")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity / 40, 6) AS role_adherence, 0.5::DOUBLE AS consistency, CASE WHEN l_linenumber % 2 = 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS final_score,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'low' ELSE 'medium' END AS confidence, 'a: b' AS summary, 'x|' || l_returnflag AS recommendations FROM lineitem""")
+def strict_replies(spark, sf_dir):
+    text = F.concat(F.lit(" ROLE_ADHERENCE: "), (F.col("l_quantity") / 40).cast("string"), F.lit("\nCONSISTENCY: high\nfinal_score: 1\nSUMMARY: a: b\nRECOMMENDATIONS: x, , "), "l_returnflag", F.when(F.col("l_linenumber") % 2 == 0, "\nFINAL_SCORE: of 1: 0.75\nCONFIDENCE: Low").otherwise("\nCONFIDENCE: certain"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", judges.strict_reply(text).alias("s"))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("s.role_adherence", 6).alias("role_adherence"), "s.consistency", "s.final_score", "s.confidence", "s.summary", F.array_join("s.recommendations", "|").alias("recommendations"))
+
+
+MEMBERS = ["a/x", "b/y", "c/z"]
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """What judges are shown, and judges that answer by rule; the last one fails in every fifth conversation."""
+    shown = cases(spark, sf_dir).select("conv_id", "turn", F.col("response").alias("text"))
+    score = F.when(F.col("judge") == "a/x", F.col("conv_id") % 10).when(F.col("judge") == "b/y", F.length("text") % 10).otherwise(F.col("turn") % 10) / 10
+    told = F.concat(F.lit("SCORE: "), score.cast("string"), F.lit("\nREASONING: r"))
+    merged = F.concat(F.lit("FINAL_SCORE: "), (F.col("conv_id") % 4 / 4).cast("string"), F.lit("\nSUMMARY: "), F.replace("text", F.lit("\n"), F.lit("; ")))
+    reply = F.when(F.col("text").rlike("^- a/x: "), merged).when(F.col("text").rlike("^Judge 1: "), "too kind").when((F.col("judge") == "c/z") & (F.col("conv_id") % 5 == 0), None).otherwise(told)
+    return shown, lambda d: d.withColumn("reply", reply)
+
+
+_SCORES = f"""{CASES}, s AS (SELECT conv_id, turn, conv_id % 10 / 10 AS a, length(response) % 10 / 10 AS b, CASE WHEN conv_id % 5 = 0 THEN 0.5 ELSE turn % 10 / 10 END AS z, CASE WHEN conv_id % 5 = 0 THEN 'Error' ELSE 'r' END AS rz FROM c)"""
+
+
+@query(f"""WITH {_SCORES} SELECT conv_id, turn, (a >= 0.7)::BIGINT + (b >= 0.7)::BIGINT + (z >= 0.7)::BIGINT AS in_favour, round((a + b + z) / 3, 6) AS final_score FROM s""")
+def council_votes(spark, sf_dir):
+    shown, ask = _asked(spark, sf_dir)
+    return runs.council(shown, ["conv_id", "turn"], MEMBERS, ask, "vote").select("conv_id", "turn", "in_favour", F.round("final_score", 6).alias("final_score"))
+
+
+@query(f"""WITH {_SCORES} SELECT conv_id, turn, conv_id % 4 / 4 AS final_score, conv_id % 4 / 4 >= 0.7 AS passed,
+  printf('- a/x: Score %.2f - r; - b/y: Score %.2f - r; - c/z: Score %.2f - %s; ; CRITIQUES:; too kind', a, b, z, rz) AS summary FROM s""")
+def council_verdicts(spark, sf_dir):
+    """Judges, the chairman's critique of their evaluations, and the chairman's verdict."""
+    shown, ask = _asked(spark, sf_dir)
+    return runs.council(shown, ["conv_id", "turn"], MEMBERS, ask, "full").select("conv_id", "turn", "final_score", "passed", "summary")
+
+
+@query(f"""WITH {CASES}, g AS (SELECT (conv_id % 8)::VARCHAR AS run_id, count(*) AS n FROM c GROUP BY 1), h AS (SELECT max_by(value, (ts, -event_id)) AS previous FROM events WHERE event_type = 'click')
+SELECT run_id, 0.8::DOUBLE AS final_score, true AS passed, 'high' AS confidence, round(0.8 - previous / 100, 6) AS improvement, 0.8 - previous / 100 > 0.1 AS push, 'd' AS how FROM g, h
+UNION ALL SELECT run_id, 0.0, false, 'low', round(0.0 - previous / 100, 6), 0.0 - previous / 100 > 0.1, 'none' FROM g, h UNION ALL SELECT run_id, 0.5, false, 'medium', round(0.5 - previous / 100, 6), 0.5 - previous / 100 > 0.1, 'one' FROM g, h""")
+def validated_runs(spark, sf_dir):
+    """Runs before a council, before none, and before one judge whose reply cannot be read."""
+    outputs = cases(spark, sf_dir).select((F.col("conv_id") % 8).cast("string").alias("run_id"), F.concat_ws("-", "conv_id", "turn").alias("test_id"), "prompt", "response", F.lit(None).cast("string").alias("expected"))
+    past = read(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("ts").cast("string").alias("timestamp"), F.col("event_id").alias("position"), (F.col("value") / 100).alias("score"))
+    ask = lambda d: d.withColumn("reply", F.when(F.col("judge") == "one", "?").otherwise("OVERALL_SCORE: 0.8"))
+    out = None
+    for how, members, single in (("d", MEMBERS, None), ("none", [], None), ("one", [], "one")):
+        got = runs.validate(outputs, members, ask, past, threshold=0.1, single=single)
+        got = got.select("run_id", "final_score", "passed", "confidence", F.round("improvement", 6).alias("improvement"), "push", F.lit(how).alias("how"))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query(f"""WITH {CASES}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) AS n, count(*) OVER (PARTITION BY conv_id % 8) AS total FROM c),
@@ -407,6 +578,42 @@ def recorded_completions(spark, sf_dir):
     return runs.from_recordings(rows.drop("response"), rec).select("conv_id", "turn", "response", "error")
 
 
+# Suites: texts of suites, exchanges and tables of cases.
+
+
+@query(f"""WITH {CASES} SELECT conv_id::VARCHAR AS path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS position, 's' || conv_id % 3 AS stage, conv_id || '-' || turn AS id, prompt, 'contains' AS type, substr(response, 1, 20) AS value, true AS case_sensitive, 30000 AS timeout_ms FROM c""")
+def suite_rows(spark, sf_dir):
+    """A suite file for each conversation, parsed."""
+    check = F.struct(F.lit("contains").alias("type"), F.substring("response", 1, 20).alias("value"))
+    each = F.struct("turn", F.concat_ws("-", "conv_id", "turn").alias("id"), "prompt", F.array(check).alias("assertions"))
+    text = F.to_json(F.struct(F.concat(F.lit("s"), (F.col("conv_id") % 3).cast("string")).alias("stage"), F.struct(F.lit(1).alias("temperature")).alias("defaults"), "cases"))
+    files = cases(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(each)).alias("cases")).select(F.col("conv_id").cast("string").alias("path"), text.alias("text"))
+    return suites.cases(suites.parse(files)).select("path", "position", "stage", "id", "prompt", F.col("assertions")[0]["type"].alias("type"), F.col("assertions")[0]["value"].alias("value"), F.col("assertions")[0]["case_sensitive"].alias("case_sensitive"), "defaults.timeout_ms")
+
+
+@query(f"""WITH {CASES}, n AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS n FROM c) SELECT 'captured-' || n AS id, prompt, nullif(CASE WHEN n % 3 = 0 THEN '' ELSE response END, '') AS expected, CASE WHEN n % 3 = 0 THEN 0 ELSE 1 END AS checks FROM n WHERE n % 5 <> 0 AND n % 7 <> 0""")
+def captured_exchanges(spark, sf_dir):
+    """Lines of recorded exchanges; every fifth has no prompt, every seventh is broken, every third has no response."""
+    rows = t.numbered(cases(spark, sf_dir), ["conv_id", "turn"], "_i")
+    line = F.to_json(F.struct(F.when(F.col("_i") % 5 != 0, F.col("prompt")).alias("prompt"), F.when(F.col("_i") % 3 == 0, "").otherwise(F.col("response")).alias("response")))
+    rows = rows.select("_i", F.when(F.col("_i") % 7 == 0, "{broken").otherwise(line).alias("value"))
+    return suites.exchange_cases(rows).select("id", "prompt", "expected", F.size("assertions").alias("checks"))
+
+
+@query(f"""WITH {CASES}, n AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS n FROM c) SELECT 'imported-' || n AS id, prompt, CASE WHEN n % 3 <> 0 THEN response END AS expected, CASE WHEN n % 3 = 0 THEN 0 ELSE 1 END AS checks, 'a|' || conv_id AS tags, (SELECT 's' || conv_id FROM n WHERE n = 1) AS stage FROM n""")
+def imported_cases(spark, sf_dir):
+    rows = t.numbered(cases(spark, sf_dir), ["conv_id", "turn"], "_i")
+    rows = rows.select("_i", F.col("prompt").alias("input"), F.when(F.col("_i") % 3 == 0, "").otherwise(F.col("response")).alias("expected"), F.concat(F.lit("a, ,"), F.col("conv_id").cast("string")).alias("tags"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("stage"))
+    return suites.csv_cases(rows).select("id", "prompt", "expected", F.size("assertions").alias("checks"), F.array_join("tags", "|").alias("tags"), "stage")
+
+
+@query("""SELECT CASE WHEN event_type = 'click' THEN '{"model":"m","messages":[{"role":"system","content":' || to_json(props) || '},{"role":"user","content":"p"}],"temperature":0.5,"max_tokens":' || event_id || '}' ELSE '{"model":"m","messages":[{"role":"user","content":"p"}],"temperature":0.5,"max_tokens":' || event_id || '}' END AS body FROM events""")
+def request_bodies(spark, sf_dir):
+    system = F.when(F.col("event_type") == "click", F.col("props"))
+    body = runs.request_body("openai", F.lit("m"), F.lit("p"), system, F.lit(0.5), F.col("event_id"))
+    return read(spark, sf_dir, "events").select(body.alias("body"))
+
+
 # Baselines: events as results.  A case is (user, type); runs are the two halves of the events.
 
 STATUS = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'error' ELSE 'passed' END"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a number looks like, and the signs that normalising drops.
@@ -70,5 +72,18 @@ def prompt_hash(c: Column) -> Column:
     return F.substring(F.sha2(c.cast("binary"), 256), 1, 12)
 
 
+def numbered(rows: DataFrame, order: list[str] | None = None, name: str = "n") -> DataFrame:
+    """Rows numbered from 1: in the given order, or as their files are read.
+
+    Each task counts its rows and the driver gets one number from each; so no task sees more than its part.  Sorted rows
+    are kept (in memory and on disk), as the two passes must see the same parts.
+    """
+    src = rows.orderBy(*order).persist() if order else rows
+    sizes = dict(src.groupBy(F.spark_partition_id().alias("part")).count().collect())
+    before = [0, *accumulate(sizes.get(p, 0) for p in range(max(sizes, default=0) + 1))]
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return src.withColumn(name, F.element_at(F.array(*map(F.lit, before)).cast("array<long>"), F.spark_partition_id() + 1) + within + 1)
+
+
 def two_decimals(c: Column) -> Column:
     return F.replace(F.format_number(c, 2), F.lit(","), F.lit(""))

@@ -32,8 +32,8 @@ def compare(current: DataFrame, baseline: DataFrame, key: str = "case_id") -> Da
 
 def latest(history: DataFrame, keys: list[str] = ()) -> DataFrame:
     """The latest entry by timestamp; of equal ones the earliest stored."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    return history.withColumn("_r", F.row_number().over(w.orderBy(F.desc("timestamp"), "position"))).where("_r = 1").drop("_r")
+    last = F.max_by(F.struct(*history.columns), F.struct("timestamp", -F.col("position")))
+    return history.groupBy(*keys).agg(last.alias("r")).where("r is not null").select("r.*")
 
 
 def score_history(history: DataFrame, limit: int = 10, tag: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -21,15 +21,30 @@ CLOZE_STOP = (
     "could", "should", "may", "might", "must", "can", "this", "that", "these", "those", "it", "its", "for", "with", "to",
     "of", "in", "on", "at", "by", "from", "up", "about", "into", "over", "after", "and", "but", "or", "if", "then", "so", "as",
 )
-#: Question families; the flags are (?iuU), and (?s) for the first.
-FAMILIES = (
-    r"(?iuUs)(?:Q|Question)[:\s]+(.+?)(?:A|Answer)[:\s]+(.+?)(?=(?:Q|Question)[:\s]|$)",
-    r"(?iuU)(What (?:is|are|does|do) [^?]+\?)\s*([^.!?]+[.!?])",
-    r"(?iuU)(How (?:to|do|does|can) [^?]+\?)\s*([^.!?]+[.!?](?:[^.!?]+[.!?])?)",
-    r"(?iuU)(Why (?:is|are|do|does|should|would|can) [^?]+\?)\s*([^.!?]+[.!?](?:[^.!?]+[.!?])?)",
-    r"(?iuU)(When (?:should|do|does|is|are|to) [^?]+\?)\s*([^.!?]+[.!?](?:[^.!?]+[.!?])?)",
-    r"(?iuU)(Which [^?]+\?)\s*([^.!?]+[.!?])",
+#: How questions of a family begin, and how many sentences an answer has at most.
+OPENINGS = (
+    (r"What (?:is|are|does|do)", 1),
+    (r"How (?:to|do|does|can)", 2),
+    (r"Why (?:is|are|do|does|should|would|can)", 2),
+    (r"When (?:should|do|does|is|are|to)", 2),
+    (r"Which", 1),
 )
+#: Marks of a question and of its answer.
+ASKED, TOLD = r"(?:Q|Question)[:\s]", r"(?:A|Answer)[:\s]"
+_SENTENCE = "[^.!?]++[.!?]"
+
+
+def families() -> list[str]:
+    """A pattern for each family; its groups are question and answer.
+
+    Each reads a text once: what can be repeated is possessive, and where an opening finds no end the pattern takes the
+    rest of the text (then group 1 has no question mark, or both groups are empty), since no later opening finds one.
+    """
+    marked = rf"(?iuUs){ASKED}++(?:(.+?){TOLD}++(.+?)(?={ASKED}|$)|.*+)"
+    answer = {1: rf"({_SENTENCE})", 2: rf"({_SENTENCE}(?:{_SENTENCE})?+)"}
+    return [marked, *(rf"(?iuU)({opening} [^?]++(?:\?|\z)){answer[n]}?+" for opening, n in OPENINGS)]
+
+
 #: Fixed value: a sentence that defines its subject.
 DEFINITION = r"(?U)^((?:The\s+)?[A-Z][A-Za-z0-9\s]+?) (?:is|are) (?:a |an |the )?(.+)"
 PAIR = "array<struct<question:string,answer:string>>"
@@ -44,13 +59,19 @@ def is_valid_qa(question: Column, answer: Column) -> Column:
 
 def qa_patterns(text: Column, most: int = 20) -> Column:
     """Pairs that match the question families, family by family; the first ``most`` valid ones."""
-    def pairs(x: Column, k: int) -> Column:
-        q, a = (F.regexp_extract_all(x, F.lit(FAMILIES[k]), F.lit(g)) for g in (1, 2))
+    none = F.array().cast(PAIR)
+
+    def pairs(x: Column, k: int, pattern: str) -> Column:
+        q, a = (F.regexp_extract_all(x, F.lit(pattern), F.lit(g)) for g in (1, 2))
         cut = (lambda x, n: F.substring(t.strip(x), 1, n)) if k == 0 else (lambda x, n: t.strip(x))
         return F.zip_with(q, a, lambda x, y: F.struct(cut(x, 200).alias("question"), cut(y, 500).alias("answer")))
 
-    found = t.bound(text, lambda x: F.concat(*[pairs(x, k) for k in range(len(FAMILIES))]))
-    return F.slice(F.filter(found, lambda p: is_valid_qa(p["question"], p["answer"])), 1, most)
+    def of(x: Column) -> Column:
+        marked, *open_ = (pairs(x, k, p) for k, p in enumerate(families()))
+        # Cheap tests first: most texts ask nothing.
+        return F.concat(F.when(x.rlike(r"[qQ][:\su]"), marked).otherwise(none), F.when(F.contains(x, F.lit("?")), F.concat(*open_)).otherwise(none))
+
+    return F.slice(F.filter(t.bound(text, of), lambda p: is_valid_qa(p["question"], p["answer"])), 1, most)
 
 
 def definitions(text: Column) -> Column:
@@ -96,43 +117,93 @@ def cloze_tests(contents: DataFrame, domain: str, text: str = "text", seed: int
 
 
 def first_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each normalised key."""
-    w = Window.partitionBy(t.strip(F.lower(F.col(key)))).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The first row of each normalised key; a minimum that is combined before the shuffle, so that a key which many
+    rows share is no burden."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(t.strip(F.lower(F.col(key))).alias("k")).agg(first.alias("r")).select("r.*")
 
 
-def quota(qa: DataFrame, cloze: DataFrame, target: int, kinds: str = "all", order: list[str] = ("url", "position")) -> tuple[DataFrame, DataFrame]:
+def shares(target: int, kinds: str = "all") -> tuple[int, int]:
     """60 % questions and 40 % cloze tests, rounded down; one kind alone gets the whole target."""
-    share = {"all": (int(target * 0.6), int(target * 0.4)), "benchmark": (target, 0), "masked": (0, target)}[kinds]
+    return {"all": (int(target * 0.6), int(target * 0.4)), "benchmark": (target, 0), "masked": (0, target)}[kinds]
+
+
+def quota(qa: DataFrame, cloze: DataFrame, target: int, kinds: str = "all", order: list[str] = ("url", "position")) -> tuple[DataFrame, DataFrame]:
+    """The first pairs and tests, in their shares."""
+    share = shares(target, kinds)
     return qa.orderBy(*order).limit(share[0]), cloze.orderBy(*order).limit(share[1])
 
 
+def _check(kind: str, value: Column | None, chars: int | None) -> Column:
+    text = F.lit(None).cast("string") if value is None else value
+    return F.struct(F.lit(kind).alias("type"), text.alias("value"), F.lit(chars).cast("int").alias("chars"), F.lit(value is None).alias("case_sensitive"))
+
+
 def qa_cases(qa: DataFrame, domain: str, order: list[str]) -> DataFrame:
     """Suite rows: a short answer must hold the beginning of its first sentence, a long one a minimum length."""
-    slug = domain.lower().replace(" ", "-")
-    n = F.row_number().over(Window.orderBy(*order))
     start = F.substring(F.substring_index("answer", ".", 1), 1, 50)
-    short = F.struct(F.lit("contains").alias("type"), start.alias("value"), F.lit(None).cast("int").alias("chars"), F.lit(False).alias("case_sensitive"))
-    long = F.struct(F.lit("min_length").alias("type"), F.lit(None).cast("string").alias("value"), F.lit(50).alias("chars"), F.lit(True).alias("case_sensitive"))
-    return qa.select(F.concat(F.lit(f"{slug}-qa-"), n.cast("string")).alias("id"), F.col("question").alias("prompt"), F.col("answer").alias("expected"), F.array(F.when(F.length("answer") < 100, short).otherwise(long)).alias("assertions"), "tags")
+    check = F.when(F.length("answer") < 100, _check("contains", start, None)).otherwise(_check("min_length", None, 50))
+    return t.numbered(qa, order, "n").select(F.concat(F.lit(f"{slug(domain)}-qa-"), F.col("n").cast("string")).alias("id"), F.col("question").alias("prompt"), F.col("answer").alias("expected"), F.array(check).alias("assertions"), "tags")
 
 
-def cloze_cases(cloze: DataFrame, domain: str, order: list[str]) -> DataFrame:
-    slug = domain.lower().replace(" ", "-")
-    n = F.row_number().over(Window.orderBy(*order))
-    prompt = F.concat(F.lit("Fill in the blank with the correct word or phrase:\n\n"), F.col("masked_text"))
-    check = F.struct(F.lit("contains").alias("type"), F.col("answer").alias("value"), F.lit(None).cast("int").alias("chars"), F.lit(False).alias("case_sensitive"))
-    return cloze.select(F.concat(F.lit(f"{slug}-cloze-"), n.cast("string")).alias("id"), prompt.alias("prompt"), F.col("answer").alias("expected"), F.array(check).alias("assertions"), "tags")
+def answer_cases(qa: DataFrame, domain: str, order: list[str]) -> DataFrame:
+    """Suite rows that ask for the whole answer."""
+    check = _check("contains", t.strip(F.col("answer")), None)
+    tags = F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit(domain.lower())))
+    return t.numbered(qa, order, "n").select(F.concat(F.lit(f"{slug(domain)}-"), F.col("n").cast("string")).alias("id"), F.col("question").alias("prompt"), F.lit(None).cast("string").alias("expected"), F.array(check).alias("assertions"), tags.alias("tags"))
 
 
-def finetune(qa: DataFrame, cloze: DataFrame) -> DataFrame:
-    """One JSON text of messages for each pair and test."""
+def cloze_cases(cloze: DataFrame, domain: str, order: list[str]) -> DataFrame:
+    prompt = F.concat(F.lit("Fill in the blank with the correct word or phrase:\n\n"), F.col("masked_text"))
+    check = _check("contains", F.col("answer"), None)
+    return t.numbered(cloze, order, "n").select(F.concat(F.lit(f"{slug(domain)}-cloze-"), F.col("n").cast("string")).alias("id"), prompt.alias("prompt"), F.col("answer").alias("expected"), F.array(check).alias("assertions"), "tags")
+
+
+def slug(domain: str) -> str:
+    return domain.lower().replace(" ", "-")
+
+
+def process(contents: DataFrame, domain: str, output: str = "all", order: list[str] = ("url",)) -> dict[str, DataFrame]:
+    """What can be made of contents (text and the columns of ``order``), by kind of output: ``benchmark`` and ``masked``
+    pairs and tests, ``roleplay`` cases and ``finetune`` messages; the kinds that are not asked for are missing."""
+    made: dict[str, DataFrame] = {}
+    qa = qa_pairs(contents, domain) if output in ("benchmark", "finetune", "all") else None
+    cloze = cloze_tests(contents, domain) if output in ("masked", "all") else None
+    if qa is not None:
+        made["benchmark"] = qa
+    if cloze is not None:
+        made["masked"] = cloze
+    if output in ("roleplay", "all"):
+        made["roleplay"] = persona_cases(contents.sparkSession, domain)
+    if output in ("finetune", "all"):
+        made["finetune"] = finetune(qa, cloze)
+    return made
+
+
+def generated_suite(contents: DataFrame, domain: str, target: int = 50, kinds: str = "all", order: list[str] = ("url",), seed: int = 0) -> DataFrame:
+    """A suite of at most ``target`` cases: pairs and tests that differ, the first by ``order``, in the shares of
+    ``quota``, then in an order that follows from a hash of seed and id."""
+    by = [*order, "position"]
+    qa = first_by_key(qa_pairs(contents, domain), "question", by) if kinds != "masked" else None
+    cloze = first_by_key(cloze_tests(contents, domain), "masked_text", by) if kinds != "benchmark" else None
+    share_qa, share_cloze = shares(target, kinds)
+    parts = []
+    if qa is not None:
+        parts.append(qa_cases(qa.orderBy(*by).limit(share_qa), domain, by))
+    if cloze is not None:
+        parts.append(cloze_cases(cloze.orderBy(*by).limit(share_cloze), domain, by))
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return every.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id"))))
+
+
+def finetune(qa: DataFrame, cloze: DataFrame | None) -> DataFrame:
+    """One JSON text of messages for each pair and, if there are any, each test."""
     def messages(user: Column, assistant: Column) -> Column:
         turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
         return F.to_json(F.struct(F.array(turn("user", user), turn("assistant", assistant)).alias("messages")))
 
     a = qa.select(messages(F.col("question"), F.col("answer")).alias("value"))
-    return a.unionByName(cloze.select(messages(F.concat(F.lit("Fill in the blank: "), F.col("masked_text")), F.col("answer")).alias("value")))
+    return a if cloze is None else a.unionByName(cloze.select(messages(F.concat(F.lit("Fill in the blank: "), F.col("masked_text")), F.col("answer")).alias("value")))
 
 
 def persona(domain: str) -> dict:
@@ -148,7 +219,5 @@ def persona(domain: str) -> dict:
 
 def persona_cases(spark, domain: str) -> DataFrame:
     p = persona(domain)
-    slug = domain.lower().replace(" ", "-")
     src = spark.range(1).select(F.posexplode(F.array(*map(F.lit, p["dialogues"]))).alias("i", "prompt"))
-    check = F.struct(F.lit("min_length").alias("type"), F.lit(None).cast("string").alias("value"), F.lit(50).alias("chars"), F.lit(True).alias("case_sensitive"))
-    return src.select(F.concat(F.lit(f"{slug}-persona-"), (F.col("i") + 1).cast("string")).alias("id"), "prompt", F.lit(None).cast("string").alias("expected"), F.array(check).alias("assertions"), F.array(F.lit(domain.lower()), F.lit("roleplay")).alias("tags"))
+    return src.select(F.concat(F.lit(f"{slug(domain)}-roleplay-"), (F.col("i") + 1).cast("string")).alias("id"), F.lit(p["system_prompt"]).alias("system_prompt"), "prompt", F.lit(None).cast("string").alias("expected"), F.array(_check("min_length", None, 50)).alias("assertions"), F.array(F.lit("roleplay"), F.lit(domain.lower())).alias("tags"))

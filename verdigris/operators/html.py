@@ -16,6 +16,7 @@ REMOVED_TAGS = {"script", "style", "nav", "header", "footer", "aside", "meta", "
 REMOVED_CLASSES = {"nav", "menu", "sidebar", "footer", "header", "breadcrumb", "advertisement", "ad", "cookie"}
 REMOVED_IDS = {"nav", "menu", "sidebar", "footer", "header"}
 JAVASCRIPT_SIGNS = ('id="__next"', 'id="app"', 'id="root"', "please enable javascript", "this site requires javascript", "noscript", "loading...", "cloudflare")
+BODY_CHARS = 200
 BULLETS = "|-•><»« \t\r\n"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES_P = {"p", "div", "article", "section", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "main", "nav", "header", "footer", "aside", "form", "pre", "blockquote"}
@@ -74,7 +75,8 @@ class Page(HTMLParser):
         piece = data.strip()
         if not piece or (self.stack and self.stack[-1][0] == "title"):
             return
-        self.everything.append(piece)
+        if not any(tag == "head" for tag, _, _ in self.stack):
+            self.everything.append(piece)
         if self.stack and self.stack[-1][1]:
             return
         self.body.append(piece)
@@ -91,7 +93,8 @@ class Page(HTMLParser):
 
 
 def extract(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(page_id, url, title, text, hrefs, content_length, needs_javascript); pages with less text are dropped."""
+    """(page_id, url, title, text, hrefs, content_length, needs_javascript, method); pages with less text are dropped.
+    A page needs JavaScript if its body holds under 200 characters or it shows one of the signs."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -99,10 +102,11 @@ def extract(pages: DataFrame, least: int = 100) -> DataFrame:
             text = [p.text() for p in parsed]
             yield pd.DataFrame({
                 "page_id": part["page_id"], "url": part["url"], "title": [p.heading_or_title() for p in parsed], "text": text, "hrefs": [list(dict.fromkeys(p.hrefs)) for p in parsed],
-                "content_length": [len(x) for x in text], "body_length": [sum(map(len, p.everything)) for p in parsed],
+                "content_length": [len(x) for x in text], "method": "table",
+                "needs_javascript": [sum(map(len, p.everything)) < BODY_CHARS or any(s in low for s in JAVASCRIPT_SIGNS) for p, low in zip(parsed, (str(h or "").lower() for h in part["html"]), strict=True)],
             })
 
-    out = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, text string, hrefs array<string>, content_length int, body_length int")
+    out = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, text string, hrefs array<string>, content_length int, needs_javascript boolean, method string")
     return out.where(F.col("content_length") >= least) if least else out
 
 
@@ -111,13 +115,6 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'<a\s[^>]*?href="([^"]+)"'), F.lit(1)))
 
 
-def title(html: Column) -> Column:
-    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        raw = F.replace(raw, F.lit(entity), F.lit(c))
-    return raw
-
-
 def has_javascript_sign(html: Column) -> Column:
     low = F.lower(html)
     out = F.lit(False)
@@ -136,23 +133,43 @@ def page_links(pages: DataFrame) -> DataFrame:
 def crawl(starts: DataFrame, pages: DataFrame, edges: DataFrame, max_pages: int, depth: int = 2, per_page: int = 10) -> DataFrame:
     """Breadth first over known pages: (url, depth, rank).  ``starts``: (url, rank); ``edges``: (url, link, place).
 
-    Each round is one join of the frontier; ids already seen are left out; the first ``max_pages`` pages that exist are
-    returned.  Rounds are cut by checkpoints, so that lineage does not grow.
+    Each round is one join of the frontier; pages already seen are left out; the first ``max_pages`` pages that exist
+    are returned.  ``depth`` rounds make one plan, so it should be small.
     """
     known = pages.select("url").distinct()
     frontier = starts.select("url", F.col("rank").cast("string").alias("path"), F.lit(0).alias("depth"))
     order = F.struct(F.length("path"), "path")
     seen = frontier.groupBy("url").agg(F.min_by("path", order).alias("path"), F.lit(0).alias("depth"))
     frontier = seen
+    firsts = edges.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy("place", "link"))).where(F.col("_n") <= per_page)
     for d in range(1, depth + 1):
-        best = Window.partitionBy("url").orderBy("place")
-        firsts = edges.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= per_page)
         found = frontier.join(known, "url").join(firsts, "url").select(F.col("link").alias("url"), F.concat("path", F.lit("/"), F.lpad(F.col("_n").cast("string"), 4, "0")).alias("path"))
         found = found.groupBy("url").agg(F.min("path").alias("path"), F.lit(d).alias("depth")).join(seen.select("url"), "url", "left_anti")
         frontier = found
         seen = seen.unionByName(found)
-    rank = F.row_number().over(Window.orderBy("depth", "path"))
-    return seen.join(known, "url").withColumn("rank", rank).where(F.col("rank") <= max_pages).select("url", "depth", "rank")
+    first = seen.join(known, "url").orderBy("depth", "path", "url").limit(max_pages)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("depth", "path", "url"))).select("url", "depth", "rank")  # of ``max_pages`` rows
+
+
+def unseen_domains(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows (url, ...) whose host no row of ``seen`` (url) has."""
+    host = lambda df: df.withColumn("_host", urls.authority(F.col("url")))
+    return host(rows).join(host(seen).select("_host").distinct(), "_host", "left_anti").select(rows.columns)
+
+
+def new_pages(rows: DataFrame, visited: DataFrame) -> DataFrame:
+    """Rows (url, ...) to fetch: valid, not visited in this run or an earlier one, each address once."""
+    todo = rows.where(urls.is_valid(F.col("url"))).withColumn("url", urls.normalise(F.col("url"))).dropDuplicates(["url"])
+    return todo.join(visited.select(urls.normalise(F.col("url")).alias("url")).distinct(), "url", "left_anti")
+
+
+def result_pages(results: DataFrame, pages: DataFrame, per_query: int, visited: DataFrame, priority: list[str]) -> DataFrame:
+    """Pages of search results: the first provider's, of hosts not seen yet, ``per_query`` of each query; ``extract``
+    makes contents of them."""
+    fresh = unseen_domains(results, visited)
+    picked = new_pages(pick_provider(fresh, priority, per_query).select("query", "url"), visited)
+    wanted = picked.select(F.col("url").alias("_normal")).distinct()
+    return pages.withColumn("_normal", urls.normalise(F.col("url"))).join(wanted, "_normal", "left_semi").select(pages.columns)
 
 
 def pick_provider(results: DataFrame, priority: list[str], per_query: int) -> DataFrame:

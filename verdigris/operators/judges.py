@@ -49,11 +49,15 @@ def single_reply(c: Column) -> Column:
     return F.struct(value.alias("score"), F.coalesce(reason, c).alias("reasoning"), (value >= 0.7).alias("passed"))
 
 
-def _named(lines: Column, *names: str) -> Column:
-    """Of the lines with one of these names in front, the number after the last colon; the last that parses."""
-    mine = F.filter(lines, lambda x: F.upper(x).rlike("^(" + "|".join(names) + "):"))
-    value = lambda x: F.regexp_extract(F.substring_index(x, ":", -1), r"[\d.]+", 0)
-    return clamp(_last(F.transform(mine, lambda x: _as_number(value(x)))))
+def _after(c: Column, name: str, rest: str = r"([^\n]*)") -> Column:
+    """What stands behind ``name:`` in the lines that begin with it, in any case; one pass over the text."""
+    return F.regexp_extract_all(c, F.lit(rf"(?iUmd)^\s*(?:{name}):{rest}$"), F.lit(1))
+
+
+def _named(c: Column, name: str) -> Column:
+    """Of the lines with this name in front, the number after the last colon; the last that parses."""
+    tails = _after(c, name, r"(?:[^\n]*:)?([^\n:]*)")
+    return clamp(_last(F.transform(tails, lambda x: _as_number(F.regexp_extract(x, r"[\d.]+", 0)))))
 
 
 def sentiment(c: Column) -> Column:
@@ -70,11 +74,10 @@ def _scaled(c: Column) -> Column:
 def batch_reply(c: Column) -> Column:
     """struct(overall_score, role_adherence, response_quality, consistency, reasoning, weak_areas): named lines, else
     scaled numbers near known words, else sentiment."""
-    reason = lambda lines: _last(F.transform(F.filter(lines, lambda x: F.upper(x).startswith("REASONING:")), _after_first_colon))
-    listed = lambda lines: F.transform(F.filter(lines, lambda x: F.upper(x).rlike("^WEAK[_ ]AREAS:")), _after_first_colon)
-    named = lambda lines: F.struct(
-        _named(lines, "OVERALL_SCORE", "OVERALL SCORE").alias("overall"), _named(lines, "ROLE_ADHERENCE", "ROLE ADHERENCE").alias("role"), _named(lines, "RESPONSE_QUALITY", "RESPONSE QUALITY").alias("quality"),
-        _named(lines, "CONSISTENCY").alias("consistency"), reason(lines).alias("reason"), _last(F.filter(listed(lines), lambda x: F.lower(x) != "none")).alias("areas"),
+    areas = F.filter(F.transform(_after(c, "WEAK[_ ]AREAS"), t.strip), lambda x: F.lower(x) != "none")
+    named = F.struct(
+        _named(c, "OVERALL[_ ]SCORE").alias("overall"), _named(c, "ROLE[_ ]ADHERENCE").alias("role"), _named(c, "RESPONSE[_ ]QUALITY").alias("quality"), _named(c, "CONSISTENCY").alias("consistency"),
+        _last(F.transform(_after(c, "REASONING"), t.strip)).alias("reason"), _last(areas).alias("areas"),
     )
     told = F.filter(F.split(c, r"\."), lambda s: F.lower(s).rlike("overall|summary|conclusion|score"))
     found = [_scaled(_as_number(F.regexp_extract(c, p, 1))) for p in SCORE_PATTERNS]
@@ -89,7 +92,7 @@ def batch_reply(c: Column) -> Column:
             F.filter(F.transform(F.split(F.coalesce(x["areas"], F.lit("")), ","), t.strip), lambda a: a != "").alias("weak_areas"),
         )))
 
-    return t.bound(_lines(c, True), lambda lines: t.bound(named(lines), whole))
+    return t.bound(named, whole)
 
 
 def synthesis_reply(c: Column, mean: Column) -> Column:
@@ -104,11 +107,13 @@ def synthesis_reply(c: Column, mean: Column) -> Column:
 def strict_reply(c: Column) -> Column:
     """Upper-case names only, the whole rest after the last colon a number, not clamped, 0.5 by default."""
     lines = _lines(c, True)
-    value = lambda name: F.coalesce(_last(F.transform(F.filter(lines, lambda x: x.startswith(name + ":")), lambda x: _as_number(F.substring_index(x, ":", -1)))), F.lit(0.5))
-    told = _last(F.transform(F.filter(lines, lambda x: x.startswith("RECOMMENDATIONS:")), _after_first_colon))
+    rest = lambda name: F.filter(lines, lambda x: x.startswith(name + ":"))
+    value = lambda name: F.coalesce(_last(F.transform(rest(name), lambda x: _as_number(F.substring_index(x, ":", -1)))), F.lit(0.5))
+    sure = _last(F.filter(F.transform(rest("CONFIDENCE"), lambda x: F.lower(t.strip(F.substring_index(x, ":", -1)))), lambda x: x.isin("high", "medium", "low")))
+    told = _last(F.transform(rest("RECOMMENDATIONS"), _after_first_colon))
     advice = F.filter(F.transform(F.split(F.coalesce(told, F.lit("")), ","), t.strip), lambda x: x != "")
-    names = ("OVERALL_SCORE", "ROLE_ADHERENCE", "RESPONSE_QUALITY", "CONSISTENCY")
-    return F.struct(*[value(n).alias(n.lower()) for n in names], advice.alias("recommendations"))
+    names = ("OVERALL_SCORE", "ROLE_ADHERENCE", "RESPONSE_QUALITY", "CONSISTENCY", "APPROPRIATENESS", "FINAL_SCORE")
+    return F.struct(*[value(n).alias(n.lower()) for n in names], F.coalesce(sure, F.lit("medium")).alias("confidence"), F.coalesce(_last(F.transform(rest("SUMMARY"), _after_first_colon)), F.lit("")).alias("summary"), advice.alias("recommendations"))
 
 
 def mean_std(score: str = "score") -> tuple[Column, Column]:
@@ -134,24 +139,69 @@ def synthesise(scores: DataFrame, keys: list[str], chairman: DataFrame | None =
     return out.select(*keys, F.col("s.final_score").alias("final_score"), (F.col("s.final_score") >= min_score).alias("passed"), F.col("s.confidence").alias("confidence"), F.col("s.summary").alias("summary"), "std", told.alias("disagreement"))
 
 
-def batch_verdict(scores: DataFrame, keys: list[str], min_score: float = 0.7) -> DataFrame:
+def weak_areas(scores: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
+    """(keys, area, n, first) of the areas that ``least`` judges or more name; ``first``: (judge, place) of the first."""
+    named = scores.select(*keys, "judge", F.posexplode("weak_areas").alias("at", "area"))
+    return named.groupBy(*keys, "area").agg(F.count("*").alias("n"), F.min(F.struct("judge", "at")).alias("first")).where(F.col("n") >= least)
+
+
+def batch_verdict(scores: DataFrame, keys: list[str], min_score: float = 0.7, runs: DataFrame | None = None) -> DataFrame:
     """``scores``: keys, judge (order), the four scores and weak_areas.  Recommendations: areas that two judges name,
-    else the first three, in order of first mention."""
+    else the first three, in order of first mention.  ``runs`` (keys): these without a judge score nothing and fail.
+
+    Replies are parsed once: each gives a row for its scores and one for each area, which are summed by area first and
+    then by run, so that what is collected for a run are its different areas."""
     four = ("overall_score", "role_adherence", "response_quality", "consistency")
-    out = scores.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in four], F.coalesce(F.stddev_pop("overall_score"), F.lit(0.0)).alias("std"))
-    areas = scores.select(*keys, "judge", F.posexplode("weak_areas").alias("at", "area")).groupBy(*keys, "area").agg(F.count("*").alias("n"), F.min(F.struct("judge", "at")).alias("first"))
-    areas = areas.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", "area", "n"))).alias("areas"))
+    marked = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("weak_areas", F.array().cast("array<string>")))
+    rows = scores.select(*keys, "judge", *four, F.posexplode(marked).alias("at", "area"))
+    own = F.col("area").isNull()
+    once = rows.groupBy(*keys, "area").agg(
+        F.count("*").alias("n"), F.min(F.when(~own, F.struct("judge", "at"))).alias("first"), *[F.avg(F.when(own, F.col(c))).alias(c) for c in four],
+        F.var_pop(F.when(own, F.col(four[0]))).alias("spread"),
+    )
+    listed = F.sort_array(F.collect_list(F.when(~own, F.struct("first", "area", "n"))))
+    only = lambda c: F.max(F.when(own, c))
+    out = once.groupBy(*keys).agg(*[only(F.col(c)).alias(c) for c in four], F.sqrt(F.coalesce(only(F.col("spread")), F.lit(0.0))).alias("std"), listed.alias("areas"))
     twice = F.transform(F.filter("areas", lambda x: x["n"] >= 2), lambda x: x["area"])
     advice = F.when(F.size(twice) > 0, twice).otherwise(F.slice(F.transform("areas", lambda x: x["area"]), 1, 3))
-    out = out.join(areas, keys, "left").withColumn("recommendations", F.coalesce(advice, F.array().cast("array<string>")))
     sure = F.when(F.col("std") < 0.1, "high").when(F.col("std") < 0.2, "medium").otherwise("low")
     label = zip(("Score: ", " | Role: ", " | Quality: ", " | Consistency: "), four, strict=True)
     told = F.concat(*[x for name, c in label for x in (F.lit(name), t.two_decimals(F.col(c)))])
-    return out.select(*keys, F.col("overall_score").alias("final_score"), (F.col("overall_score") >= min_score).alias("passed"), sure.alias("confidence"), told.alias("summary"), "recommendations", F.struct(*four[1:]).alias("breakdown"))
+    out = out.select(*keys, F.col("overall_score").alias("final_score"), (F.col("overall_score") >= min_score).alias("passed"), sure.alias("confidence"), told.alias("summary"), advice.alias("recommendations"), F.struct(*four[1:]).alias("breakdown"))
+    if runs is None:
+        return out
+    none = F.array().cast("array<string>")
+    full = runs.select(*keys).distinct().join(out, keys, "left")
+    return full.select(
+        *keys, F.coalesce("final_score", F.lit(0.0)).alias("final_score"), F.coalesce("passed", F.lit(False)).alias("passed"), F.coalesce("confidence", F.lit("low")).alias("confidence"),
+        F.coalesce("summary", F.lit("No judges available")).alias("summary"), F.coalesce("recommendations", none).alias("recommendations"), "breakdown",
+    )
+
+
+def critique_prompt(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text): the evaluations of a case without the judges' names, for the chairman to criticise.  ``scores``:
+    keys, judge (order), score, reasoning; a case has a handful of judges."""
+    return _evaluations(scores, keys, lambda x, i: F.concat(F.lit("Judge "), (i + 1).cast("string"), F.lit(": Score "), t.two_decimals(x["score"]), F.lit(" - "), x["reasoning"]))
+
+
+def synthesis_prompt(scores: DataFrame, keys: list[str], critiques: DataFrame | None = None) -> DataFrame:
+    """(keys, text): the evaluations with the judges' names, and the critiques (keys, reply) if there are any."""
+    out = _evaluations(scores, keys, lambda x, i: F.concat(F.lit("- "), x["judge"], F.lit(": Score "), t.two_decimals(x["score"]), F.lit(" - "), x["reasoning"]))
+    if critiques is None:
+        return out
+    text = F.concat("text", F.when(F.coalesce("reply", F.lit("")) != "", F.concat(F.lit("\n\nCRITIQUES:\n"), "reply")).otherwise(""))
+    return out.join(critiques.select(*keys, "reply"), keys, "left").select(*keys, text.alias("text"))
+
+
+def _evaluations(scores: DataFrame, keys: list[str], line) -> DataFrame:
+    each = F.struct("judge", F.coalesce("score", F.lit(0.5)).alias("score"), F.coalesce("reasoning", F.lit("")).alias("reasoning"))
+    return scores.groupBy(*keys).agg(F.sort_array(F.collect_list(each)).alias("e")).select(*keys, F.array_join(F.transform("e", line), "\n").alias("text"))
 
 
-def batch_prompt(outputs: DataFrame, keys: list[str], order: str, most: int = 25) -> DataFrame:
-    """The numbered blocks of the first ``most`` outputs of a run, and how many more there are: (keys, text)."""
+def batch_prompt(outputs: DataFrame, keys: list[str], order: str, most: int = 25, response: int = 400, expected: int = 150, told: bool = True) -> DataFrame:
+    """The numbered blocks of the first ``most`` outputs of a run, with so many characters of response and expectation,
+    and (``told``) how many more there are: (keys, text).  A single judge sees 20 outputs, 500 and 200 characters, and
+    is not told of others."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy(order)
@@ -159,13 +209,13 @@ def batch_prompt(outputs: DataFrame, keys: list[str], order: str, most: int = 25
     total = outputs.groupBy(*keys).agg(F.count("*").alias("_total"))
     block = F.concat(
         F.lit("\n### Test "), F.col("_n").cast("string"), F.lit(": "), F.col("test_id"), F.lit("\n**Prompt:** "), F.substring(F.coalesce("prompt", F.lit("")), 1, 200),
-        F.lit("\n**Response:** "), F.substring(F.coalesce("response", F.lit("")), 1, 400),
-        F.when(F.coalesce("expected", F.lit("")) != "", F.concat(F.lit("\n**Expected:** "), F.substring("expected", 1, 150))).otherwise(""),
+        F.lit("\n**Response:** "), F.substring(F.coalesce("response", F.lit("")), 1, response),
+        F.when(F.coalesce("expected", F.lit("")) != "", F.concat(F.lit("\n**Expected:** "), F.substring("expected", 1, expected))).otherwise(""),
     )
     shown = ranked.where(F.col("_n") <= most).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_n", block.alias("b")))).alias("_b"))
     more = F.col("_total") - most
     blocks = F.transform("_b", lambda x: x["b"])
-    blocks = F.when(more > 0, F.array_append(blocks, F.concat(F.lit("\n... and "), more.cast("string"), F.lit(" more tests (showing representative sample)")))).otherwise(blocks)
+    blocks = F.when((more > 0) & F.lit(told), F.array_append(blocks, F.concat(F.lit("\n... and "), more.cast("string"), F.lit(" more tests (showing representative sample)")))).otherwise(blocks)
     return shown.join(total, keys).select(*keys, F.array_join(blocks, "\n---").alias("text"))
 
 

@@ -44,6 +44,7 @@ CONSTRAINT_PATTERNS = (
 )
 #: Fixed values.
 KEYWORD_STOP = ("your", "you", "the", "and", "for", "with", "that", "this", "are", "have", "will", "should", "must", "can", "may", "rules", "format", "response", "end", "start", "list")
+#: Fixed values.
 DOMAIN_TESTS = {
     "code": ["code_generation", "debugging", "explanation"],
     "medical": ["accuracy", "safety", "disclaimer"],
@@ -54,6 +55,12 @@ DOMAIN_TESTS = {
 }
 
 
+#: Searches of a domain, of a role and of a keyword.
+DOMAIN_QUERIES = ("{} best practices", "{} checklist", "{} common mistakes", "{} tips and tricks", "how to do {}", "{} guide", "{} examples")
+ROLE_QUERIES = ("{} guide", "{} tips", "what does a {} do")
+KEYWORD_QUERY = "{} best practices"
+
+
 #: Pages to fall back to, by domain; the order decides between partial matches.
 FALLBACK_URLS = {
     "code": ["https://google.github.io/styleguide/", "https://docs.python.org/3/tutorial/", "https://developer.mozilla.org/en-US/docs/Web/JavaScript/Guide", "https://wiki.c2.com/?CodeSmell"],
@@ -90,12 +97,12 @@ def fallback_urls(domain_: Column) -> Column:
 def role(prompt: Column) -> Column:
     def cut(c: Column) -> Column:
         for word in ("who", "that"):
-            c = F.regexp_replace(c, rf"(?iU)\s+{word}\s.*$", "")
+            c = F.regexp_replace(c, rf"(?iUd)\s+{word}\s.*$", "")
         return F.substring(c, 1, 100)
 
     out = None
     for p in ROLE_PATTERNS:
-        found, value = prompt.rlike(f"(?iu){p}"), cut(t.strip(F.regexp_extract(prompt, f"(?iu){p}", 1)))
+        found, value = prompt.rlike(f"(?iud){p}"), cut(t.strip(F.regexp_extract(prompt, f"(?iud){p}", 1)))
         out = F.when(found, value) if out is None else out.when(found, value)
     first = F.substring(F.substring_index(prompt, ".", 1), 1, 100)
     return out.otherwise(F.coalesce(t.blank_to_null(first), F.lit("AI Assistant")))
@@ -114,7 +121,8 @@ def domain(prompt: Column) -> Column:
 
 def keywords(prompt: Column, most: int = 20) -> Column:
     all_ = lambda p, g: F.regexp_extract_all(prompt, F.lit(p), F.lit(g))
-    caps = F.filter(all_(r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", 1), lambda x: F.length(x) > 3)
+    # Possessive, as the engine would recurse for each word of a run otherwise; a word of a run always ends at a boundary.
+    caps = F.filter(all_(r"(?U)\b([A-Z][a-z]++\b(?:\s++[A-Z][a-z]++\b)*+)", 1), lambda x: F.length(x) > 3)
     tech = all_(r"(?U)\b[a-z]+_[a-z]+\b|\b[a-z]+[A-Z][a-z]+\b", 0)
     quoted = F.filter(all_(r"[\"']([^\"']+)[\"']", 1), lambda x: (F.length(x) > 2) & (F.length(x) < 50))
     low = F.array_distinct(F.transform(F.concat(caps, tech, quoted), lambda x: F.lower(x)))
@@ -122,19 +130,25 @@ def keywords(prompt: Column, most: int = 20) -> Column:
 
 
 def phrases(prompt: Column, patterns: tuple[str, ...], most: int = 10) -> Column:
-    """What the patterns capture, pattern by pattern, if longer than five characters; not made distinct."""
-    found = F.concat(*[F.regexp_extract_all(prompt, F.lit(f"(?iu){p}"), F.lit(1)) for p in patterns])
+    """What the patterns capture, pattern by pattern, if longer than five characters; not made distinct.
+
+    A capture ends in its line, or at the end of the text.  What follows the last word or mark that can end one is cut
+    off all other lines first: nothing there can match, and each attempt would read on to the line's end."""
+    ends = r"(?iud)^(.*(?:\.|,|and))" if any("and|$" in p for p in patterns) else r"(?iud)^(.*[.,])"
+    last = lambda lines: F.size(lines) - F.when(F.get(lines, F.size(lines) - 1) == "", 2).otherwise(1)
+    short = lambda lines: F.array_join(F.transform(lines, lambda x, i: F.when(i >= last(lines), x).otherwise(F.regexp_extract(x, ends, 1))), "\n")
+    found = t.bound(t.bound(F.split(prompt, "\n"), short), lambda x: F.concat(*[F.regexp_extract_all(x, F.lit(f"(?iud){p}"), F.lit(1)) for p in patterns]))
     return F.slice(F.transform(F.filter(F.transform(found, t.strip), lambda x: F.length(x) > 5), lambda x: F.substring(x, 1, 100)), 1, most)
 
 
 def search_queries(domain_: Column, role_: Column, keywords_: Column, most: int = 12) -> Column:
     d = F.replace(domain_, F.lit("_"), F.lit(" "))
     r = F.substring(F.replace(F.replace(role_, F.lit("a "), F.lit("")), F.lit("an "), F.lit("")), 1, 50)
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    of_domain = F.array(text(d, " best practices"), text(d, " checklist"), text(d, " common mistakes"), text(d, " tips and tricks"), text("how to do ", d), text(d, " guide"), text(d, " examples"))
+    text = lambda form, x: F.concat(F.lit(form.partition("{}")[0]), x, F.lit(form.partition("{}")[2]))
+    of_domain = F.array(*[text(q, d) for q in DOMAIN_QUERIES])
     named = (role_ != "") & (role_ != "AI Assistant")
-    of_role = F.when(named, F.array(text(r, " guide"), text(r, " tips"), text("what does a ", r, " do"))).otherwise(F.array().cast("array<string>"))
-    of_words = F.transform(F.slice(F.filter(keywords_, lambda x: F.length(x) > 4), 1, 3), lambda x: text(x, " best practices"))
+    of_role = F.when(named, F.array(*[text(q, r) for q in ROLE_QUERIES])).otherwise(F.array().cast("array<string>"))
+    of_words = F.transform(F.slice(F.filter(keywords_, lambda x: F.length(x) > 4), 1, 3), lambda x: text(KEYWORD_QUERY, x))
     return F.slice(t.distinct_by(F.concat(of_domain, of_role, of_words), lambda x: F.lower(x)), 1, most)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -58,6 +59,44 @@ def complete(cases: DataFrame, function: Callable[[dict], dict], partitions: int
     return src.mapInPandas(run, T.StructType([*src.schema.fields, *extra.fields])).select(*names, *extra.names)
 
 
+def retrying(function: Callable[[dict], dict], attempts: int = 5, delay: float = 2.0, again: Callable[[Exception], float | None] = lambda e: 0.0 if "429" in str(e) else None, sleep: Callable[[float], None] = time.sleep) -> Callable[[dict], dict]:
+    """The function, called up to ``attempts`` times with waits that double from ``delay`` seconds.  ``again`` gives the
+    seconds to wait at least after an exception, or None if another call is of no use."""
+
+    def call(row: dict) -> dict:
+        for k in range(attempts):
+            try:
+                return function(row)
+            except Exception as e:
+                wait = again(e)
+                if wait is None or k == attempts - 1:
+                    raise
+                sleep(max(wait, delay * 2**k))
+        raise ValueError("attempts must be positive")
+
+    return call
+
+
+def request_body(kind: str, model: Column, prompt: Column, system: Column, temperature: Column, max_tokens: Column) -> Column:
+    """The JSON body of a provider's request; a blank system prompt is left out."""
+    said = lambda role, x: F.struct(F.lit(role).alias("role"), x.alias("content"))
+    has = F.coalesce(system, F.lit("")) != ""
+    messages = F.when(has, F.array(said("system", system), said("user", prompt))).otherwise(F.array(said("user", prompt)))
+    if kind == "ollama":
+        body = F.struct(model.alias("model"), messages.alias("messages"), F.lit(False).alias("stream"), F.struct(temperature.alias("temperature"), max_tokens.alias("num_predict")).alias("options"))
+    elif kind == "openai":
+        body = F.struct(model.alias("model"), messages.alias("messages"), temperature.alias("temperature"), max_tokens.alias("max_tokens"))
+    elif kind == "anthropic":
+        body = F.struct(model.alias("model"), max_tokens.alias("max_tokens"), F.array(said("user", prompt)).alias("messages"), F.when(has, system).alias("system"), F.when(temperature > 0, temperature).alias("temperature"))
+    elif kind == "google":
+        text = F.when(has, F.concat(system, F.lit("\n\n"), prompt)).otherwise(prompt)
+        parts = F.array(F.struct(F.array(F.struct(text.alias("text"))).alias("parts")))
+        body = F.struct(parts.alias("contents"), F.struct(temperature.alias("temperature"), max_tokens.alias("maxOutputTokens")).alias("generationConfig"))
+    else:
+        raise ValueError(f"unknown provider: {kind}")
+    return F.to_json(body)
+
+
 def from_recordings(cases: DataFrame, recordings: DataFrame) -> DataFrame:
     """Responses recorded for (model, system_prompt, prompt); the key is a hash, so that the join moves no prompts."""
     key = lambda: F.xxhash64("model", F.coalesce("system_prompt", F.lit("")), "prompt")
@@ -91,12 +130,43 @@ def suite_run(cases: DataFrame, keys: list[str], verdicts: DataFrame | None = No
     return checks, statuses, assertions.run_summary(statuses)
 
 
-def validate(outputs: DataFrame, members: list[str], ask: Callable[[DataFrame], DataFrame], history: DataFrame, min_score: float = 0.7, threshold: float = 0.0) -> DataFrame:
+def council(outputs: DataFrame, keys: list[str], members: list[str], ask: Callable[[DataFrame], DataFrame], mode: str = "fast", chairman: str | None = None, min_score: float = 0.7) -> DataFrame:
+    """The verdict on each output (keys, text: what the judges are shown).  ``ask`` adds ``reply`` to (keys, judge,
+    text), null where a judge failed, which counts as 0.5.  ``vote``: the majority; ``fast``: the chairman merges the
+    evaluations; ``full``: after having criticised them.  The chairman is the first member unless named."""
+    asked = ask(judges.matrix(outputs.select(*keys, "text"), members))
+    parsed = asked.select(*keys, "judge", F.when(F.col("reply").isNotNull(), judges.single_reply(F.col("reply"))).alias("s"))
+    scores = parsed.select(*keys, "judge", F.coalesce("s.score", F.lit(0.5)).alias("score"), F.coalesce("s.reasoning", F.lit("Error")).alias("reasoning"))
+    if mode == "vote":
+        return judges.vote(scores, keys, min_score)
+    head = F.lit(chairman or members[0])
+    critiques = ask(judges.critique_prompt(scores, keys).withColumn("judge", head)) if mode == "full" else None
+    merged = ask(judges.synthesis_prompt(scores, keys, critiques).withColumn("judge", head))
+    return judges.synthesise(scores, keys, merged.select(*keys, "reply"), min_score)
+
+
+def single_judge(outputs: DataFrame, model: str, ask: Callable[[DataFrame], DataFrame], min_score: float = 0.7) -> DataFrame:
+    """The verdict of one model on each run, where no council is wanted."""
+    shown = judges.batch_prompt(outputs, ["run_id"], "test_id", most=20, response=500, expected=200, told=False)
+    replies = ask(shown.withColumn("judge", F.lit(model))).withColumn("s", judges.strict_reply(F.coalesce("reply", F.lit(""))))
+    summary = F.coalesce(t.blank_to_null(F.col("s.summary")), F.substring(F.coalesce("reply", F.lit("")), 1, 500))
+    score = F.col("s.final_score")
+    return replies.select("run_id", score.alias("final_score"), (score >= min_score).alias("passed"), F.col("s.confidence").alias("confidence"), summary.alias("summary"), F.col("s.recommendations").alias("recommendations"))
+
+
+def validate(outputs: DataFrame, members: list[str], ask: Callable[[DataFrame], DataFrame], history: DataFrame, min_score: float = 0.7, threshold: float = 0.0, single: str | None = None) -> DataFrame:
     """The verdict of each run against the latest stored score: one prompt for each judge and run, however many
-    outputs it has.  ``ask`` adds a column ``reply`` to (run_id, judge, text)."""
-    asked = judges.matrix(judges.batch_prompt(outputs, ["run_id"], "test_id"), members)
-    scores = ask(asked).withColumn("s", judges.batch_reply(F.col("reply"))).select("run_id", "judge", "s.*")
-    verdict = judges.batch_verdict(scores, ["run_id"], min_score)
+    outputs it has.  ``ask`` adds a column ``reply`` to (run_id, judge, text).  Runs without judges score nothing;
+    ``single`` names one model that judges in the council's place."""
+    if single is not None:
+        verdict = single_judge(outputs, single, ask, min_score)
+    elif not members:
+        none = outputs.limit(0).select("run_id", F.lit(None).cast("string").alias("judge"), *[F.lit(None).cast("double").alias(c) for c in ("overall_score", "role_adherence", "response_quality", "consistency")], F.lit(None).cast("array<string>").alias("weak_areas"))
+        verdict = judges.batch_verdict(none, ["run_id"], min_score, outputs)
+    else:
+        asked = judges.matrix(judges.batch_prompt(outputs, ["run_id"], "test_id"), members)
+        scores = ask(asked).withColumn("s", judges.batch_reply(F.coalesce("reply", F.lit("")))).select("run_id", "judge", "s.*")
+        verdict = judges.batch_verdict(scores, ["run_id"], min_score, outputs)
     last = baselines.latest(history).select(F.col("score").alias("previous"))
     out = verdict.join(F.broadcast(last), F.lit(True), "left")  # one row at most
     out = out.withColumn("improvement", F.col("final_score") - F.col("previous"))

@@ -12,6 +12,9 @@ NAME = "verdigris.yaml"
 _WHOLE = re.compile(r"\$\{(\w+)\}")
 
 
+# The defaults below.
+
+
 @dataclass
 class Models:
     default: str = "ollama/llama3.1:8b"
@@ -37,13 +40,43 @@ class Prompt:
     auto_generate_count: int = 50
 
 
+@dataclass
+class Testing:
+    parallelism: int = 4
+    timeout_ms: int = 30000
+    retries: int = 2
+
+
+@dataclass
+class Store:
+    storage_dir: str = ".verdigris/baselines"
+    auto_update: bool = False
+    min_improvement: float = 0.0
+
+
+@dataclass
+class Pages:
+    fallback_search: str = "searxng"
+    max_pages: int = 5
+    timeout: int = 30
+
+
 @dataclass
 class Config:
     models: Models = field(default_factory=Models)
     council: Council = field(default_factory=Council)
     bsp: Prompt = field(default_factory=Prompt)
-    parallelism: int = 4
-    min_improvement: float = 0.0
+    testing: Testing = field(default_factory=Testing)
+    baseline: Store = field(default_factory=Store)
+    scraper: Pages = field(default_factory=Pages)
+
+    @property
+    def parallelism(self) -> int:
+        return self.testing.parallelism
+
+    @property
+    def min_improvement(self) -> float:
+        return self.baseline.min_improvement
 
 
 def _known(cls, data: dict) -> dict:
@@ -60,11 +93,11 @@ def load(path: str | Path | None = None, env: dict[str, str] | None = None) -> C
 
     env = dict(os.environ) if env is None else env
     data = yaml.safe_load(file.read_text(encoding="utf-8")) or {}
-    models, council, bsp = (cls(**_known(cls, data.get(k) or {})) for k, cls in (("models", Models), ("council", Council), ("bsp", Prompt)))
-    for p in models.providers.values():
+    config = Config(**{f.name: f.default_factory(**_known(f.default_factory, data.get(f.name) or {})) for f in fields(Config)})
+    for p in config.models.providers.values():
         if isinstance(p, dict) and isinstance(p.get("api_key"), str) and (m := _WHOLE.fullmatch(p["api_key"])):
             p["api_key"] = env.get(m[1], "")
-    return Config(models, council, bsp, (data.get("testing") or {}).get("parallelism", 4), (data.get("baseline") or {}).get("min_improvement", 0.0))
+    return config
 
 
 def root(start: str | Path | None = None) -> Path | None:

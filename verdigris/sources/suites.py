@@ -10,10 +10,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import generate
 from ..operators.assertions import ASSERTION, KINDS
 
 CASE = f"struct<id:string,prompt:string,input:string,input_file:string,expected:string,assertions:array<{ASSERTION}>,tags:array<string>,model:string,temperature:double,max_tokens:int,timeout_ms:int>"
@@ -97,26 +98,30 @@ def errors(suites: DataFrame) -> DataFrame:
     return suites.where("error is not null").select("path", "error")
 
 
-def _numbered(rows: DataFrame, order: list) -> DataFrame:
-    return rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)))
-
-
 def import_csv(spark: SparkSession, path: str, input_column: str = "input", expected_column: str = "expected", stage_column: str = "stage", tags_column: str = "tags") -> DataFrame:
     """Cases of a CSV file with a header: a text that is expected must be contained; the first row sets the stage."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("_at", F.monotonically_increasing_id())
+    return csv_cases(t.numbered(spark.read.csv(path, header=True, multiLine=True, escape='"'), name="_i"), input_column, expected_column, stage_column, tags_column)
+
+
+def csv_cases(rows: DataFrame, input_column: str = "input", expected_column: str = "expected", stage_column: str = "stage", tags_column: str = "tags") -> DataFrame:
+    """Cases of rows that are numbered from 1 in ``_i``; a column that is not there is empty."""
     col = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
-    rows = _numbered(rows, ["_at"])
     expected = t.blank_to_null(col(expected_column))
     check = F.when(expected.isNotNull(), F.array(F.struct(F.lit("contains").alias("type"), expected.alias("value")))).otherwise(F.array().cast("array<struct<type:string,value:string>>"))
     tags = F.filter(F.transform(F.split(F.coalesce(col(tags_column), F.lit("")), ","), t.strip), lambda x: x != "")
-    stage = F.first(col(stage_column)).over(Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    head = rows.where("_i = 1").select(col(stage_column)).first()
+    stage = F.lit(head[0] if head else None).cast("string")
     return rows.select(F.concat(F.lit("imported-"), F.col("_i").cast("string")).alias("id"), F.coalesce(col(input_column), F.lit("")).alias("prompt"), expected.alias("expected"), check.alias("assertions"), tags.alias("tags"), stage.alias("stage"))
 
 
 def import_jsonl(spark: SparkSession, path: str, prompt_key: str = "prompt", response_key: str = "response") -> DataFrame:
     """Cases of captured exchanges, one JSON object a line.  Blank and broken lines and empty prompts are skipped, but
     counted in the ids."""
-    rows = _numbered(spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()), ["_at"])
+    return exchange_cases(t.numbered(spark.read.text(path), name="_i"), prompt_key, response_key)
+
+
+def exchange_cases(rows: DataFrame, prompt_key: str = "prompt", response_key: str = "response") -> DataFrame:
+    """Cases of lines (``value``) that are numbered from 1 in ``_i``."""
     parsed = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
     rows = rows.withColumn("_m", parsed)
     prompt, response = F.try_element_at("_m", F.lit(prompt_key)), t.blank_to_null(F.try_element_at("_m", F.lit(response_key)))
@@ -133,9 +138,10 @@ def write_outputs(outputs: DataFrame, path: str) -> None:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The score history with its order of storage; a store that does not exist is empty."""
+    """The score history with its order of storage; a store that does not exist is empty, and files in it that cannot
+    be read are passed over."""
     try:
-        rows = spark.read.schema(HISTORY + ", position bigint").parquet(path)
+        rows = spark.read.schema(HISTORY + ", position bigint").option("ignoreCorruptFiles", True).parquet(path)
         rows.schema  # noqa: B018  resolves the path
         return rows
     except Exception as e:
@@ -157,6 +163,14 @@ def read_baseline(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("tag") == tag).drop("tag")
 
 
+def delete_baseline(spark: SparkSession, path: str, tag: str) -> bool:
+    """Removes the rows of one tag; whether there were any."""
+    jvm = spark.sparkContext._jvm
+    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(tag)
+    folder = jvm.org.apache.hadoop.fs.Path(path, f"tag={escaped}")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def baseline_tags(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("tag").distinct()
 
@@ -173,6 +187,27 @@ def write_suite(rows: DataFrame, path: str, name: str, stage: str | None = None)
     packed.mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
 
+def write_generated(made: dict[str, DataFrame], path: str, domain: str) -> dict[str, str]:
+    """Writes what ``generate.process`` has made, each kind to a folder of its own and only if it has rows:
+    ``benchmark``, ``masked`` and ``roleplay`` as suites, ``finetune`` as lines of JSON.  The folders by kind."""
+    slug = domain.lower().replace(" ", "_")
+    rows = {
+        "benchmark": lambda x: generate.answer_cases(x, domain, [*[c for c in x.columns if c in ("url", "doc_id")], "position"]),
+        "masked": lambda x: generate.cloze_cases(x, domain, [*[c for c in x.columns if c in ("url", "doc_id")], "position"]),
+        "roleplay": lambda x: x,
+    }
+    out = {}
+    for kind, found in made.items():
+        if found.isEmpty():
+            continue
+        out[kind] = f"{path}/{slug}_{'cloze' if kind == 'masked' else kind}"
+        if kind == "finetune":
+            found.select("value").write.mode("overwrite").text(out[kind])
+        else:
+            write_suite(rows[kind](found), out[kind], f"{domain.title()} - {kind}")
+    return out
+
+
 def stages(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Pipeline stages (name, prompt_template, prompt_file, position): of one name the last wins, at the first's place."""
     every = spark.createDataFrame([(r["name"], r.get("prompt_template"), r.get("prompt_file"), i) for i, r in enumerate(rows)], "name string, prompt_template string, prompt_file string, at int")
