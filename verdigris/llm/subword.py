@@ -1,7 +1,7 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors, averaged per document, softmax output.
 
-Features of a text, all with their multiplicity: each word; each run of two words; each run of 3 or 4 characters of a
-word with its edges marked by one boundary.  Each kind is hashed to ``BUCKETS_EACH`` buckets of its own.  The document
+Features of a text, all with their multiplicity: each word; each run of two words; each run of 3 or 5 characters, in
+which line ends differ from other white space.  Each kind is hashed to ``BUCKETS_EACH`` buckets of its own.  The document
 vector is the mean of the feature vectors; output weights and feature vectors are learned by stochastic gradient
 descent in numpy, in one task, from a bounded sample of labelled rows: the smallest by a hash of their id, at most
 ``TRAIN_ROWS`` of them and as long as their texts have ``TRAIN_CHARS`` characters together.  Executors compute their
@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chars import chunks, mix, _powers, small, Words
+from .chars import BASE, chunks, mix, _powers, small, Words
 from .tables import free, in_arrow, named, table
 
 BUCKETS_EACH = 1 << 17
 BUCKETS = 3 * BUCKETS_EACH
-GRAMS = (3, 4)
+GRAMS = (3, 5)
 DIM = 8
 EPOCHS = 8
 RATE = 1.0
@@ -42,14 +42,13 @@ _U = np.uint64
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text index) of every feature of a chunk of texts."""
-    space = (w.cp == 32) | ((w.cp - np.uint32(9)) <= 4)
+    space = ((w.cp == 32) | ((w.cp - np.uint32(9)) <= 4)) & (w.cp != 10)
     marked = np.where(space, np.uint32(0), w.cp)
     sums = np.zeros(len(marked) + 1, _U)
-    np.cumsum((marked.astype(_U) + _U(1)) * _powers("p", 0x2545F4914F6CDD1D, len(marked)), out=sums[1:])
-    inverse = _powers("q", pow(0x2545F4914F6CDD1D, -1, 2**64), len(marked) + 1)
-    blanks = np.zeros(len(marked) + 1, np.int32)
-    np.cumsum(space, out=blanks[1:])
+    np.cumsum((marked.astype(_U) + _U(1)) * _powers("p", BASE, len(marked)), out=sums[1:])
+    inverse = _powers("q", pow(BASE, -1, 2**64), len(marked) + 1)
     of = np.repeat(np.arange(w.n_docs, dtype=np.int32), np.diff(w.doc_start))
+    of[w.doc_start[1:] - 1] = -1  # what parts two texts belongs to neither
     buckets = [(mix(w.hash) >> _U(47)).astype(np.int32)]
     docs = [w.doc.astype(np.int32)]
     pair, first = w.grams(2)
@@ -59,10 +58,10 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
         m = len(marked) - n + 1
         if m <= 0:
             continue
-        at = np.flatnonzero(blanks[n - 1 : n - 1 + m] == blanks[1 : 1 + m])
+        at = np.flatnonzero((of[:m] == of[n - 1 :]) & (of[:m] >= 0))
         h = mix((sums[at + n] - sums[at]) * inverse[at] + _U(n))
         buckets.append((h >> _U(47)).astype(np.int32) + 2 * BUCKETS_EACH)
-        docs.append(of[at + 1])
+        docs.append(of[at])
     return np.concatenate(buckets), np.concatenate(docs)
 
 
@@ -117,8 +116,15 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, dim: int
     """Projection of each bucket on each class, and the bias in the last row: (BUCKETS + 1, classes).
 
     The step along a document's vector is the same for short and long ones: feature steps are divided by the sum of
-    squared shares.
+    squared shares.  A rate that makes the numbers overflow is halved and learning begins anew.
     """
+    with np.errstate(over="ignore", invalid="ignore"):
+        while not np.isfinite(out := _descend(rows, classes, dim, epochs, rate)).all():
+            rate /= 2
+    return out
+
+
+def _descend(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, dim: int, epochs: int, rate: float) -> np.ndarray:
     rng = np.random.default_rng(7)
     prior = np.bincount([y for y, _, _ in rows], minlength=classes) + 0.5
     out = np.zeros((BUCKETS + 1, classes))
