@@ -247,11 +247,12 @@ def definition_questions(spark, sf_dir):
     return generate.qa_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"), "General").select("doc_id", "question", "answer")
 
 
-_HOW = "(How (?:to|do|does|can) [^?]+\\?)\\s*([^.!?]+[.!?](?:[^.!?]+[.!?])?)"
+_ASKED = [f"({opening} [^?]+\\?)\\s*([^.!?]+[.!?]{'(?:[^.!?]+[.!?])?' if n == 2 else ''})" for opening, n in generate.OPENINGS]
+_PAIRS = [" || ".join(f"regexp_extract_all(text, '(?i){p}', {g})" for p in _ASKED) for g in (1, 2)]
 
 
 @query(f"""WITH x AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda s: 'How to ' || s || '? ' || s || '.'), ' ') AS text FROM documents),
-p AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){_HOW}', 1)) AS question, unnest(regexp_extract_all(text, '(?i){_HOW}', 2)) AS answer, unnest(range(len(regexp_extract_all(text, '(?i){_HOW}', 1)))) AS pos FROM x),
+l AS (SELECT doc_id, {_PAIRS[0]} AS q, {_PAIRS[1]} AS a FROM x), p AS (SELECT doc_id, unnest(q) AS question, unnest(a) AS answer, unnest(range(len(q))) AS pos FROM l),
 t AS (SELECT doc_id, pos, trim(question, {_TRIM}) AS question, trim(answer, {_TRIM}) AS answer FROM p)
 SELECT doc_id, question, answer FROM t WHERE length(question) > 15 AND length(answer) BETWEEN 11 AND 249 AND NOT contains(question, chr(10)) AND NOT contains(question, '|') AND NOT regexp_matches(lower(question), '{_NOISE}') AND NOT regexp_matches(lower(answer), '{_NOISE}')
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 20""")
