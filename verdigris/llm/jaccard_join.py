@@ -232,7 +232,7 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     profile = cut(src.mapInArrow(_profile(n), "doc_id long, n long, d1 long, d2 long").distinct())
     full = profile.where("n > 0")
     classes = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    same = cut(full.join(classes.where("copies > 1").drop("copies"), ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "rep"))
+    same = cut(full.join(_fresh(classes.where("copies > 1").drop("copies"), "d1"), ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "rep"))
     reps = src.join(few(same.select("doc_id").distinct()), "doc_id", "left_anti")
     ids = cut(candidates(reps, n, num, den))
     chosen = src.join(few(ids.distinct().withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
