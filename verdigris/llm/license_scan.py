@@ -173,12 +173,14 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, known: list[tupl
     side = side.withColumn("size", F.explode(F.sequence(F.ceil(F.lit(low - 1e-9) * F.col("t_size")).cast("int"), F.floor(F.col("t_size") / F.lit(low - 1e-9)).cast("int"))))
     words = anchors([t for _, _, t in known], threshold)
     src = docs.select("doc_id", "text").where(_holds(F.col("text"), words))
-    several = src.where(F.instr("text", "\n") > 0)
-    units = src.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
-    units = units.unionByName(several.select("doc_id", F.lit(0).alias("line"), F.col("text").alias("unit")))
+    # All units of a text at once, so that it is read and tested only once.
+    kind = "array<struct<line:int,unit:string>>"
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("unit")))
+    whole = F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("unit")))
+    runs = F.transform(spans(F.col("text"), sorted(every), longest(known, threshold)), lambda x: F.struct(x["line"].alias("line"), F.array_join(x["words"], " ").alias("unit")))
+    more = F.when(F.instr("text", "\n") > 0, F.concat(whole.cast(kind), runs.cast(kind))).otherwise(F.array().cast(kind))
+    units = src.select("doc_id", F.inline(F.concat(lines.cast(kind), more)))
     units = units.where(_holds(F.col("unit"), words)).select("doc_id", "line", _words(F.col("unit")).alias("words"))
-    found = F.inline(spans(F.col("text"), sorted(every), longest(known, threshold)))
-    units = units.unionByName(several.select("doc_id", found).select("doc_id", "line", "words"))
     units = units.where((F.size("words") > 1) & F.arrays_overlap("words", F.array(*map(F.lit, words))))
     units = units.select("doc_id", "line", _grams(F.col("words")).alias("grams")).withColumn("size", F.size("grams"))
     hits = units.join(F.broadcast(side), "size")

@@ -6,8 +6,8 @@ that a kept one covers (``ALPHA`` times nearer to it), which keeps edges diverse
 again.  A beam search then takes the queries through every shard, and the exact scores decide.
 
 Each shard measures its own recall against brute force on ``SAMPLE`` of the queries when it is built: its beam is
-doubled from ``SEARCH_BEAM`` until recall reaches ``RECALL``; a shard whose points no beam up to an eighth of them
-can serve is scanned instead, which is exact.
+doubled from ``SEARCH_BEAM`` until recall reaches ``RECALL``; a shard that no beam up to ``MOST_BEAM`` can serve, or that
+has under twice as many points, is scanned instead, which is exact.
 
 Equal vectors are one point: it answers with its ``K + 1`` smallest ids, which is exact, however many copies.  Shards
 hold about ``SHARD_ROWS`` points by a hash of their id.  A search task loads its shard once and streams all queries past
@@ -34,10 +34,13 @@ from .tables import cut, table
 K = 20
 QUERY_EVERY = 20
 SHARD_ROWS = 16_384
-DEGREE = 24
-BUILD_BEAM = 40
+DEGREE = 32
+BUILD_BEAM = 64
 SEARCH_BEAM = 128
-ALPHA = 1.2
+#: The widest beam; beyond it a scan of the shard costs less.
+MOST_BEAM = 512
+#: Of squared distances.
+ALPHA = 1.44
 ENTRIES = 8
 EXPAND = 4
 #: Queries on which each shard measures its recall, and the recall that it asks for.
@@ -224,7 +227,7 @@ class Shard:
             return
         r, at, _ = self.best(sample, k, 0)
         truth = r * len(self.ids) + at
-        while 8 * beam <= len(self.ids):
+        while beam <= min(MOST_BEAM, len(self.ids) // 2):
             r, at, _ = self.best(sample, k, beam)
             if np.isin(truth, r * len(self.ids) + at).mean() >= RECALL:
                 self.beam = beam
