@@ -251,12 +251,17 @@ class Shard:
 
 
 def _build_shard(sample: np.ndarray, k: int, beam: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
+    """For the rows of one shard, in any number of batches."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [p for p in parts if len(p)]
+        if not found:
+            return
+        group = pd.concat(found).sort_values("vec_id")
         raw = np.stack(group["embedding"].to_numpy()).astype(np.float64)
         shard = Shard(group["vec_id"].to_numpy(np.int64), raw, *build(lifted(raw)), 0)
         shard.tune(sample, k, beam)
-        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "packed": [shard.pack()], "beam": [shard.beam]})
+        yield pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "packed": [shard.pack()], "beam": [shard.beam]})
 
     return run
 
@@ -302,7 +307,8 @@ def nearest(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, shar
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     asked = src.where(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     sample = [r[0] for r in asked.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE).select("embedding").collect()]
-    index = points.select("vec_id", "embedding", shard.alias("shard")).groupBy("shard").applyInPandas(_build_shard(np.array(sample, float), k + 1, beam), "shard int, packed binary, beam int")
+    index = points.select("vec_id", "embedding", shard.alias("shard")).repartitionById(shards, "shard")  # one task for each
+    index = index.mapInPandas(_build_shard(np.array(sample, float), k + 1, beam), "shard int, packed binary, beam int")
     index = cut(index).select("shard", "packed", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("embedding"))
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(None).cast("binary").alias("packed"), "query_id", "embedding")
     dealt = index.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("packed").isNull())
