@@ -239,6 +239,7 @@ def test_stored_state(spark, tmp_path):
 
 def test_stages(spark):
     st = suites.stages(spark, [{"name": "a", "prompt_template": "x"}, {"name": "b", "prompt_file": "f"}, {"name": "a"}])
+    assert suites.stage_names(st) == ["a", "b"] and suites.stage(st, "b").first()["prompt_file"] == "f" and suites.stage(st, "z").isEmpty()
     files = spark.createDataFrame([("g", "text")], "path string, text string")
     assert [r["name"] for r in st.orderBy("position").collect()] == ["a", "b"]
     assert sorted(r["name"] for r in suites.stage_problems(st, files).collect()) == ["a", "b"]

@@ -329,6 +329,25 @@ def answer_cases(spark, sf_dir):
     return generate.answer_cases(qa, "General", ["doc_id", "position"]).select("id", "prompt", F.col("assertions")[0]["value"].alias("value"))
 
 
+_NO_TERMS = ", ".join(f"'{x}'" for x in generate.NO_TERMS)
+
+
+@query(f"""WITH a AS (SELECT doc_id, regexp_replace(text || ' uses snake_case and Menu', '[À-ÖØ-öø-ÿ]', '0', 'g') AS text FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), lambda x: length(x) > 3 AND x NOT IN ({_NO_TERMS})) || regexp_extract_all(text, '\\b[a-z]+_[a-z]+\\b|\\b[a-z]+[A-Z][a-z]+\\b') AS w FROM a),
+u AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM w), o AS (SELECT doc_id, term, min(pos) AS pos FROM u GROUP BY ALL),
+k AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 20) SELECT doc_id, coalesce(string_agg(term, '|' ORDER BY pos), '') AS terms FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""")
+def key_terms(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" uses snake_case and Menu")).alias("text"))
+    return d.select("doc_id", F.array_join(generate.key_terms(F.col("text")), "|").alias("terms"))
+
+
+@query(f"""WITH {SENTENCES}, {DEFINITIONS}, {CLOZE}, totals AS (SELECT (SELECT count(*) FROM qa) AS a, (SELECT count(*) FROM c4) AS b, (SELECT count(*) FROM documents) AS c)
+SELECT 'sources' AS name, c AS n FROM totals UNION ALL SELECT 'benchmark', a FROM totals UNION ALL SELECT 'masked', b FROM totals UNION ALL SELECT 'roleplay', 1 FROM totals UNION ALL SELECT 'finetune', a + b FROM totals""")
+def generated_counters(spark, sf_dir):
+    contents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return generate.counters(contents, generate.process(contents, "General"))
+
+
 @query("""SELECT 'tax-law-roleplay-1' AS id, 'You are a helpful Tax law expert. Answer questions accurately and concisely.' AS system_prompt, 'Tell me about Tax law' AS prompt, 50 AS chars""")
 def persona(spark, sf_dir):
     return generate.persona_cases(spark, "Tax law").select("id", "system_prompt", "prompt", F.col("assertions")[0]["chars"].alias("chars"))

@@ -48,6 +48,17 @@ def clean(c: Column) -> Column:
     return strip(c)
 
 
+def capitalised(c: Column) -> Column:
+    """Runs of capitalised words.  Possessive, as the engine would recurse for each word of a run otherwise; a word of a
+    run always ends at a boundary."""
+    return F.regexp_extract_all(c, F.lit(r"(?U)\b([A-Z][a-z]++\b(?:\s++[A-Z][a-z]++\b)*+)"), F.lit(1))
+
+
+def technical(c: Column) -> Column:
+    """Names in snake case and camel case."""
+    return F.regexp_extract_all(c, F.lit(r"(?U)\b[a-z]+_[a-z]+\b|\b[a-z]+[A-Z][a-z]+\b"), F.lit(0))
+
+
 def shorten(c: Column, most: int = 200, mark: str = "...") -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(mark))).otherwise(c)
 

@@ -50,6 +50,25 @@ DEFINITION = r"(?U)^((?:The\s+)?[A-Z][A-Za-z0-9\s]+?) (?:is|are) (?:a |an |the )
 PAIR = "array<struct<question:string,answer:string>>"
 
 
+#: Capitalised words that are no terms.
+NO_TERMS = ("Navigation", "Index", "Next", "Previous", "Home", "Menu", "Search", "Click", "See", "Also")
+
+
+def key_terms(text: Column, most: int = 20) -> Column:
+    """Capitalised and technical terms of a text, each once, in order: the capitalised ones first."""
+    caps = F.filter(t.capitalised(text), lambda x: (F.length(x) > 3) & ~x.isin(*NO_TERMS))
+    return F.slice(F.array_distinct(F.concat(caps, t.technical(text))), 1, most)
+
+
+def counters(contents: DataFrame, made: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the sources, and what ``process`` has made of them by kind."""
+    counts = [x.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, x in {"sources": contents, **made}.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 def is_valid_qa(question: Column, answer: Column) -> Column:
     noise = "(?U)" + "|".join(NOISE)
     low_q, low_a = t.strip(F.lower(question)), t.strip(F.lower(answer))

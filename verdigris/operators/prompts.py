@@ -120,11 +120,9 @@ def domain(prompt: Column) -> Column:
 
 
 def keywords(prompt: Column, most: int = 20) -> Column:
-    all_ = lambda p, g: F.regexp_extract_all(prompt, F.lit(p), F.lit(g))
-    # Possessive, as the engine would recurse for each word of a run otherwise; a word of a run always ends at a boundary.
-    caps = F.filter(all_(r"(?U)\b([A-Z][a-z]++\b(?:\s++[A-Z][a-z]++\b)*+)", 1), lambda x: F.length(x) > 3)
-    tech = all_(r"(?U)\b[a-z]+_[a-z]+\b|\b[a-z]+[A-Z][a-z]+\b", 0)
-    quoted = F.filter(all_(r"[\"']([^\"']+)[\"']", 1), lambda x: (F.length(x) > 2) & (F.length(x) < 50))
+    caps = F.filter(t.capitalised(prompt), lambda x: F.length(x) > 3)
+    tech = t.technical(prompt)
+    quoted = F.filter(F.regexp_extract_all(prompt, F.lit(r"[\"']([^\"']+)[\"']"), F.lit(1)), lambda x: (F.length(x) > 2) & (F.length(x) < 50))
     low = F.array_distinct(F.transform(F.concat(caps, tech, quoted), lambda x: F.lower(x)))
     return F.slice(F.filter(low, lambda x: (F.length(x) > 2) & ~x.isin(*KEYWORD_STOP)), 1, most)
 

@@ -215,6 +215,16 @@ def stages(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return every.groupBy("name").agg(F.min("at").alias("position"), last.alias("s")).select("name", "position", "s.*")
 
 
+def stage(stages_: DataFrame, name: str) -> DataFrame:
+    """The stage of this name, if there is one."""
+    return stages_.where(F.col("name") == name)
+
+
+def stage_names(stages_: DataFrame) -> list[str]:
+    """In order; a pipeline has a handful of stages."""
+    return [r["name"] for r in stages_.orderBy("position").select("name").collect()]
+
+
 def stage_prompts(stages_: DataFrame, files: DataFrame) -> DataFrame:
     """The prompt of each stage: its template, else its file's text.  ``files``: (path, text)."""
     f = files.select(F.col("path").alias("prompt_file"), F.col("text").alias("_text"))
