@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chars import BASE, chunks, mix, _powers, small, Words
+from .chars import BASE, chunks, give_back, mix, _powers, small, Words
 from .tables import free, in_arrow, named, table
 
 BUCKETS_EACH = 1 << 17
@@ -35,7 +35,7 @@ DIM = 8
 EPOCHS = 8
 RATE = 1.0
 TRAIN_ROWS = 4000
-TRAIN_CHARS = 16_000_000
+TRAIN_CHARS = 8_000_000
 FOLDS = 5
 _U = np.uint64
 
@@ -162,7 +162,10 @@ def _trained(classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(i, y, a, n) for b in batches for i, y, a, n in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         got.sort()  # whatever the order of arrival
-        model = train([(y, np.frombuffer(a, np.int32), np.frombuffer(n, np.uint16 if len(n) * 2 == len(a) else np.uint32)) for _, y, a, n in got], classes)
+        got = [(y, np.frombuffer(a, np.int32), np.frombuffer(n, np.uint16 if len(n) * 2 == len(a) else np.uint32)) for _, y, a, n in got]
+        model = train(got, classes)
+        del got
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model.astype(np.float32).tobytes()], pa.binary())], ["model"])
 
     return run
