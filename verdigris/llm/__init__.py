@@ -1,6 +1,6 @@
 """Operators for preparing training data at scale.  Nothing else in the library imports this subpackage."""
 
-from . import byte_bpe, centroids, jaccard_join, license_scan, line_dedup, mixing, neighbours, packing, quality_rules, substring_dedup, subword, toxicity
+from . import byte_bpe, centroids, jaccard_join, license_scan, line_dedup, mixing, neighbours, packing, prefix_trie, quality_rules, substring_dedup, subword, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_packing": packing.op9_packing,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_centroids": centroids.op12_centroids,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op6_quality_rules": quality_rules.oracle(),
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_license_scan": license_scan.oracle(),
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op12_centroids": centroids.oracle(),
 }
