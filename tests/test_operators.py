@@ -179,6 +179,25 @@ def test_urls(spark):
     assert one(spark, urls.is_valid(F.lit("https://a.b/x"), ("b",))) is True and one(spark, urls.is_valid(F.lit("ftp://h/"))) is False
 
 
+@pytest.mark.parametrize("run", [" ", "7", "—", "- ", "\t\n", "1.", "| ", "Theme ", "Navigation ", "9.9 "])
+def test_text_functions_read_a_text_once(spark, run):
+    text = "a" + run * (400_000 // len(run)) + "x"
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "s string").select(F.length(t.strip(F.col("s"))), F.length(t.clean(F.col("s"))), F.size(t.sentences(F.col("s"))), F.size(t.numbers(F.col("s")))).first()
+    assert got[0] == len(text) and time.time() - began < 10
+
+
+def test_strip_and_clean_as_before(spark):
+    blanks = " \t\n\r\x0b\x0c\u2003\u00a0\x1c\x85"
+    rng = random.Random(7)
+    texts = ["", blanks, *("".join(rng.choice("ab1." + blanks) for _ in range(rng.randrange(30))) for _ in range(500))]
+    numbers = ["3.14 Documentation", "1.2.3  Documentation x", "1.2.3.4 Documentation", "v10.2.33\tDocumentation.", "12.34.Documentation", "5.6 documentation", "11 Documentation", "0.1.2.3.4.5 Documentation 6.7 Documentation"]
+    rows = spark.createDataFrame([(x,) for x in texts + numbers], "s string")
+    slow = F.regexp_replace(F.regexp_replace("s", r"(?U)\d+\.\d+(\.\d+)?\s+Documentation", ""), r"(?U)^\s+|\s+\z", "")
+    for r in rows.select("s", t.strip(F.col("s")).alias("strip"), F.regexp_replace("s", r"(?U)^\s+|\s+\z", "").alias("want"), t.clean(F.col("s")).alias("clean"), slow.alias("slow")).collect():
+        assert r["strip"] == r["want"] and r["clean"] == r["slow"], r["s"]
+
+
 def test_page_extraction(spark):
     page = '<html><head><title> T &amp; U </title></head><body><nav>' + "menu " * 20 + '</nav><article><h1>H</h1><p>' + "Some real text of the page. " * 8 + '</p><a href="/x">more</a><a href="/x">again</a></article><div class="ad">' + "buy " * 50 + "</div></body></html>"
     r = html.extract(spark.createDataFrame([(1, "http://h/", page), (2, "http://h/2", None)], "page_id long, url string, html string")).collect()

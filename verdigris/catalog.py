@@ -190,6 +190,27 @@ def crawl(spark, sf_dir):
     return html.crawl(starts, pages, edges, max_pages=40).select("url", "depth", F.col("rank").cast("long").alias("rank"))
 
 
+_LEVEL = """m{0} AS (SELECT l.link AS url, min((f.rank, l.place)) AS pos FROM f{1} AS f JOIN l USING (url) WHERE l.link NOT IN (SELECT url FROM s{1}) GROUP BY 1),
+f{0} AS (SELECT url, {0} AS depth, (SELECT count(*) FROM g{1}) + row_number() OVER (ORDER BY pos) AS rank FROM m{0} JOIN p USING (url)), g{0} AS (SELECT url, depth, rank FROM g{1} UNION ALL SELECT * FROM f{0}), s{0} AS (SELECT url FROM s{1} UNION ALL SELECT url FROM m{0})"""
+
+
+@query(f"""WITH p AS (SELECT url, min(page_id) AS id FROM pages WHERE page_id % 7 <> 3 GROUP BY url), n AS (SELECT max(page_id) + 1 AS n FROM pages),
+a AS (SELECT page_id AS id, min(url) AS url FROM pages GROUP BY 1), e AS (SELECT a.url, a.id, unnest(range(1, 13)) AS place FROM a),
+l AS (SELECT e.url, coalesce(b.url, 'https://nowhere/' || e.place) AS link, e.place FROM e, n LEFT JOIN a AS b ON b.id = (e.id * e.place + 5 * e.place) % (n.n + 9) WHERE e.place <= 10),
+s0 AS (SELECT url FROM a WHERE id < 15), f0 AS (SELECT a.url, 0 AS depth, row_number() OVER (ORDER BY 15 - a.id) AS rank FROM a JOIN p USING (url) WHERE a.id < 15), g0 AS (SELECT * FROM f0),
+{", ".join(_LEVEL.format(k, k - 1) for k in (1, 2, 3))} SELECT * FROM g3 WHERE rank <= 120""")
+def crawl_frontiers(spark, sf_dir):
+    """Three levels from fifteen starts, over shared links, links to nowhere and addresses without a page."""
+    every = read(spark, sf_dir, "pages").groupBy("page_id").agg(F.min("url").alias("url"))
+    n = F.broadcast(every.agg((F.max("page_id") + 1).alias("n")))
+    links = every.join(n).select("url", "page_id", "n", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("place"))
+    links = links.withColumn("to", (F.col("page_id") * F.col("place") + 5 * F.col("place")) % (F.col("n") + 9))
+    edges = links.join(every.select(F.col("page_id").alias("to"), F.col("url").alias("link")), "to", "left").select("url", F.coalesce("link", F.concat(F.lit("https://nowhere/"), F.col("place"))).alias("link"), "place")
+    starts = every.where("page_id < 15").select("url", (15 - F.col("page_id")).alias("rank"))
+    there = read(spark, sf_dir, "pages").where("page_id % 7 <> 3").select("url")
+    return html.crawl(starts, there, edges, max_pages=120, depth=3).select("url", "depth", F.col("rank").cast("long").alias("rank"))
+
+
 @query("""WITH r AS (SELECT page_id // 5 AS query, ['serp', 'duck', 'brave'][1 + page_id % 3] AS provider, page_id AS rank, url FROM pages),
 v AS (SELECT *, CASE provider WHEN 'brave' THEN 1 WHEN 'duck' THEN 2 END AS p FROM r WHERE provider <> 'serp'),
 b AS (SELECT query, min(p) AS p FROM v GROUP BY query), u AS (SELECT query, provider, url, min(rank) AS rank FROM v JOIN b USING (query, p) GROUP BY ALL)

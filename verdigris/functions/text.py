@@ -7,14 +7,17 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import keep
+
 #: What a number looks like, and the signs that normalising drops.
 NUMBER = r"[$€£¥₹]?[\d,]+\.?\d*"
 SIGNS = r"(?U)[$€£¥₹\s]"
 
 
 def strip(c: Column) -> Column:
-    """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Without leading and trailing white space of any kind.  Only the first blank of a run begins an attempt, and an
+    attempt gives nothing back, so that a text is read once however long its runs are."""
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++\z", "")
 
 
 def normalise_number(c: Column) -> Column:
@@ -37,9 +40,9 @@ def sentences(c: Column, most: int = 50) -> Column:
 def clean(c: Column) -> Column:
     """Without the artefacts of site navigation."""
     for pattern in (
-        # Fixed values.
+        # Fixed values; the numbers begin where no digit stands before, and give nothing back.
         r"(?iu)—[^—]+documentation",
-        r"(?U)\d+\.\d+(\.\d+)?\s+Documentation",
+        r"(?U)(?<!\d)\d++\.\d++(?:\.\d++)?+\s++Documentation",
         r"(?iuU)Navigation\s+index\s+modules",
         r"(?iuU)\|\s*(next|previous|home|index)\s*\|",
         r"(?iuU)Theme\s+(Auto|Light|Dark)",
@@ -87,9 +90,9 @@ def numbered(rows: DataFrame, order: list[str] | None = None, name: str = "n") -
     """Rows numbered from 1: in the given order, or as their files are read.
 
     Each task counts its rows and the driver gets one number from each; so no task sees more than its part.  Sorted rows
-    are kept (in memory and on disk), as the two passes must see the same parts.
+    are written to the shared folder, as the two passes must see the same parts.
     """
-    src = rows.orderBy(*order).persist() if order else rows
+    src = keep(rows.orderBy(*order)) if order else rows
     sizes = dict(src.groupBy(F.spark_partition_id().alias("part")).count().collect())
     before = [0, *accumulate(sizes.get(p, 0) for p in range(max(sizes, default=0) + 1))]
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.store import keep
 
 #: Fixed values.
 REMOVED_TAGS = {"script", "style", "nav", "header", "footer", "aside", "meta", "link", "noscript", "iframe", "svg", "button", "form"}
@@ -130,25 +131,55 @@ def page_links(pages: DataFrame) -> DataFrame:
     return rows.groupBy("url", "link").agg(F.min("place").alias("place"))
 
 
-def crawl(starts: DataFrame, pages: DataFrame, edges: DataFrame, max_pages: int, depth: int = 2, per_page: int = 10) -> DataFrame:
-    """Breadth first over known pages: (url, depth, rank).  ``starts``: (url, rank); ``edges``: (url, link, place).
+def crawl(starts: DataFrame, pages: DataFrame, edges: DataFrame, max_pages: int | str, depth: int = 2, per_page: int = 10, visited: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """First in, first out over known pages: (by, url, depth, rank), rank from 1 in the order of visits.
 
-    Each round is one join of the frontier; pages already seen are left out; the first ``max_pages`` pages that exist
-    are returned.  ``depth`` rounds make one plan, so it should be small.
+    ``starts``: (by, url, rank); ``edges``: (url, link, place), of which the first ``per_page`` of a page are followed;
+    ``visited``: (by, url) of earlier runs, which give no page.  ``by`` names columns of crawls that run side by side, as
+    many as there are; ``max_pages`` may then name a column of ``starts`` that is the same for all starts of a crawl.
+    A crawl ends when it has found that many pages.
+
+    One round for each level: the frontier and what it finds are written to the shared folder, so the plan stays as
+    short at any depth, and the loop ends with the last crawl that still looks for pages.  An address belongs to the
+    frontier of the first page that links to it; its place there is (rank of that page, place of the link), as numbers.
     """
+    by = list(by)
     known = pages.select("url").distinct()
-    frontier = starts.select("url", F.col("rank").cast("string").alias("path"), F.lit(0).alias("depth"))
-    order = F.struct(F.length("path"), "path")
-    seen = frontier.groupBy("url").agg(F.min_by("path", order).alias("path"), F.lit(0).alias("depth"))
-    frontier = seen
-    firsts = edges.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy("place", "link"))).where(F.col("_n") <= per_page)
-    for d in range(1, depth + 1):
-        found = frontier.join(known, "url").join(firsts, "url").select(F.col("link").alias("url"), F.concat("path", F.lit("/"), F.lpad(F.col("_n").cast("string"), 4, "0")).alias("path"))
-        found = found.groupBy("url").agg(F.min("path").alias("path"), F.lit(d).alias("depth")).join(seen.select("url"), "url", "left_anti")
-        frontier = found
-        seen = seen.unionByName(found)
-    first = seen.join(known, "url").orderBy("depth", "path", "url").limit(max_pages)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("depth", "path", "url"))).select("url", "depth", "rank")  # of ``max_pages`` rows
+    firsts = edges.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy("place", "link"))).where(F.col("_n") <= per_page).select("url", "link", "_n")
+    most = F.col(max_pages) if isinstance(max_pages, str) else F.lit(max_pages)
+    limits = keep(starts.groupBy(*by).agg(F.max(most).cast("long").alias("_most"))) if by else None
+    at = F.struct(F.col("rank").cast("long").alias("page"), F.lit(0).alias("n"))
+    frontier = keep(starts.groupBy(*by, "url").agg(F.min(at).alias("_at")))
+    seen, out = frontier.select(*by, "url"), None
+    total = None if by else (max_pages if isinstance(max_pages, int) else starts.agg(F.max(most)).first()[0])
+    for d in range(depth + 1):
+        hits = frontier.join(known, "url")
+        if visited is not None:
+            hits = hits.join(visited.select(*by, "url").distinct(), [*by, "url"], "left_anti")
+        if by:
+            so_far = out.groupBy(*by).agg(F.count("*").alias("_had")) if out is not None else limits.select(*by).limit(0).withColumn("_had", F.lit(0))
+            place = F.row_number().over(Window.partitionBy(*by).orderBy("_at", "url"))
+            ranked = hits.join(limits, by).join(so_far, by, "left").withColumn("rank", place + F.coalesce("_had", F.lit(0)))
+            found = ranked.where(F.col("rank") <= F.col("_most"))
+        else:
+            had = out.count() if out is not None else 0
+            first = hits.orderBy("_at", "url").limit(max(0, total - had))
+            found = first.withColumn("rank", F.row_number().over(Window.orderBy("_at", "url")) + had)  # of ``max_pages`` rows
+        found = keep(found.select(*by, "url", F.lit(d).alias("depth"), "rank"))
+        out = found if out is None else out.unionByName(found)
+        if d == depth:
+            break
+        if by:
+            full = out.groupBy(*by).agg(F.count("*").alias("_had")).join(limits, by).where("_had >= _most").select(*by)
+            open_ = found.join(full, by, "left_anti")
+        else:
+            open_ = found.where(F.lit(out.count() < total))
+        links = open_.join(firsts, "url").select(*by, F.col("link").alias("url"), F.struct(F.col("rank").cast("long").alias("page"), F.col("_n").alias("n")).alias("_at"))
+        frontier = keep(links.groupBy(*by, "url").agg(F.min("_at").alias("_at")).join(seen, [*by, "url"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.select(*by, "url"))
+    return out
 
 
 def unseen_domains(rows: DataFrame, seen: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import assertions, baselines, judges
+from ..sources.store import keep
 
 COMPLETION = "response string, latency_ms int, tokens_in int, tokens_out int, error string"
 
@@ -36,18 +38,42 @@ def provider(model: Column) -> Column:
     return F.when(at > 0, F.struct(F.substring_index(model, "/", 1).alias("provider"), F.substring(model, at + 1, F.length(model)).alias("name"))).otherwise(F.struct(F.lit("ollama").alias("provider"), model.alias("name")))
 
 
-def complete(cases: DataFrame, function: Callable[[dict], dict], partitions: int | None = None) -> DataFrame:
+class Pace:
+    """Least seconds between the calls of one task: they double with each reply that asks for patience (``slow``), and
+    shrink back with the others."""
+
+    def __init__(self, gap: float, slow: Callable[[Exception], bool] = lambda e: "429" in str(e), clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.least, self.gap, self.slow, self.clock, self.sleep, self.next = gap, gap, slow, clock, sleep, None
+
+    def __enter__(self):
+        now = self.clock()
+        if self.next is not None and self.next > now:
+            self.sleep(self.next - now)
+            now = self.next
+        self.next = now + self.gap
+        return self
+
+    def __exit__(self, kind, error, trace):
+        self.gap = min(self.gap * 2, self.least * 64) if error is not None and self.slow(error) else max(self.least, self.gap * 0.9)
+
+
+def complete(cases: DataFrame, function: Callable[[dict], dict], partitions: int | None = None, per_minute: float | None = None) -> DataFrame:
     """Calls a function for each case; an exception becomes the response ``ERROR: ...``.  ``partitions`` bounds how
-    many calls run at once; rate limits and repeats belong into the function."""
+    many calls run at once.  ``per_minute`` bounds the calls of all tasks together: each of ``partitions`` (1 unless
+    told) tasks has its share of them.  The plan calls again whenever it is run; ``ledger.Ledger`` keeps the replies."""
+    if per_minute is not None:
+        partitions = partitions or 1
     src = cases.repartition(partitions) if partitions else cases
     names = src.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = Pace(60 * partitions / per_minute) if per_minute else nullcontext()
         for part in parts:
             rows = []
             for row in part.to_dict("records"):
                 try:
-                    rows.append({"error": None, **function(row)})
+                    with pace:
+                        rows.append({"error": None, **function(row)})
                 except Exception as e:  # noqa: BLE001  whatever the function raises is this case's result
                     rows.append({"response": f"ERROR: {e}", "error": str(e)})
             got = pd.DataFrame(rows, columns=["response", "latency_ms", "tokens_in", "tokens_out", "error"], index=part.index)
@@ -122,7 +148,8 @@ def unpack_reply(body: Column, kind: str) -> Column:
 
 
 def suite_run(cases: DataFrame, keys: list[str], verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Checks, case statuses and the summary of cases that have responses."""
+    """Checks, case statuses and the summary of cases that have responses.  Three plans over the same cases: responses
+    that a model gives come from a ledger or are kept before."""
     checks = assertions.evaluate(cases)
     if verdicts is not None:
         checks = assertions.with_verdicts(checks, verdicts, keys)
@@ -133,22 +160,23 @@ def suite_run(cases: DataFrame, keys: list[str], verdicts: DataFrame | None = No
 def council(outputs: DataFrame, keys: list[str], members: list[str], ask: Callable[[DataFrame], DataFrame], mode: str = "fast", chairman: str | None = None, min_score: float = 0.7) -> DataFrame:
     """The verdict on each output (keys, text: what the judges are shown).  ``ask`` adds ``reply`` to (keys, judge,
     text), null where a judge failed, which counts as 0.5.  ``vote``: the majority; ``fast``: the chairman merges the
-    evaluations; ``full``: after having criticised them.  The chairman is the first member unless named."""
-    asked = ask(judges.matrix(outputs.select(*keys, "text"), members))
+    evaluations; ``full``: after having criticised them.  The chairman is the first member unless named.  Each round of
+    replies is kept before it is used, so every judge is asked once."""
+    asked = keep(ask(judges.matrix(outputs.select(*keys, "text"), members)))
     parsed = asked.select(*keys, "judge", F.when(F.col("reply").isNotNull(), judges.single_reply(F.col("reply"))).alias("s"))
     scores = parsed.select(*keys, "judge", F.coalesce("s.score", F.lit(0.5)).alias("score"), F.coalesce("s.reasoning", F.lit("Error")).alias("reasoning"))
     if mode == "vote":
         return judges.vote(scores, keys, min_score)
     head = F.lit(chairman or members[0])
-    critiques = ask(judges.critique_prompt(scores, keys).withColumn("judge", head)) if mode == "full" else None
-    merged = ask(judges.synthesis_prompt(scores, keys, critiques).withColumn("judge", head))
+    critiques = keep(ask(judges.critique_prompt(scores, keys).withColumn("judge", head))) if mode == "full" else None
+    merged = keep(ask(judges.synthesis_prompt(scores, keys, critiques).withColumn("judge", head)))
     return judges.synthesise(scores, keys, merged.select(*keys, "reply"), min_score)
 
 
 def single_judge(outputs: DataFrame, model: str, ask: Callable[[DataFrame], DataFrame], min_score: float = 0.7) -> DataFrame:
     """The verdict of one model on each run, where no council is wanted."""
     shown = judges.batch_prompt(outputs, ["run_id"], "test_id", most=20, response=500, expected=200, told=False)
-    replies = ask(shown.withColumn("judge", F.lit(model))).withColumn("s", judges.strict_reply(F.coalesce("reply", F.lit(""))))
+    replies = keep(ask(shown.withColumn("judge", F.lit(model)))).withColumn("s", judges.strict_reply(F.coalesce("reply", F.lit(""))))
     summary = F.coalesce(t.blank_to_null(F.col("s.summary")), F.substring(F.coalesce("reply", F.lit("")), 1, 500))
     score = F.col("s.final_score")
     return replies.select("run_id", score.alias("final_score"), (score >= min_score).alias("passed"), F.col("s.confidence").alias("confidence"), summary.alias("summary"), F.col("s.recommendations").alias("recommendations"))
@@ -165,7 +193,7 @@ def validate(outputs: DataFrame, members: list[str], ask: Callable[[DataFrame],
         verdict = judges.batch_verdict(none, ["run_id"], min_score, outputs)
     else:
         asked = judges.matrix(judges.batch_prompt(outputs, ["run_id"], "test_id"), members)
-        scores = ask(asked).withColumn("s", judges.batch_reply(F.coalesce("reply", F.lit("")))).select("run_id", "judge", "s.*")
+        scores = keep(ask(asked)).withColumn("s", judges.batch_reply(F.coalesce("reply", F.lit("")))).select("run_id", "judge", "s.*")
         verdict = judges.batch_verdict(scores, ["run_id"], min_score, outputs)
     last = baselines.latest(history).select(F.col("score").alias("previous"))
     out = verdict.join(F.broadcast(last), F.lit(True), "left")  # one row at most
