@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,8 @@ from .tables import in_arrow, table
 FIRST = 1 << 31
 #: Pieces remembered by a worker, in two generations of this size, and pairs of tokens.
 GENERATION, PAIRS = 200_000, 1_000_000
+#: Bytes of pieces that are worked on side by side; longer ones go one by one.
+SIDE_BY_SIDE = 64
 #: Endings after an apostrophe that the pattern takes as pieces.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 LETTER, NUMBER, BLANK, OTHER, EDGE = range(5)
@@ -43,16 +44,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def shared(a: str, b: str) -> int:
-    """Length of the prefix that two strings share, by halves."""
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if a[:mid] == b[:mid]:
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
+def trie_of(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Children of inner nodes by byte, the row of each node in that table (leaves share an empty one), and the token
+    that ends at each node; -1 for none.  The root is 0."""
+    edges, token_at = {}, [-1]
+    for token, i in ranks.items():
+        node = 0
+        for byte in token:
+            key = node << 8 | byte
+            if (to := edges.get(key)) is None:
+                to = edges[key] = len(token_at)
+                token_at.append(-1)
+            node = to
+        token_at[node] = i
+    keys, to = np.array(list(edges), np.int64), np.array(list(edges.values()), np.int32)
+    inner = np.unique(keys >> 8)
+    row = np.full(len(token_at), len(inner), np.int32)
+    row[inner] = np.arange(len(inner))
+    child = np.full((len(inner) + 1, 256), -1, np.int32)
+    child[row[keys >> 8], keys & 255] = to
+    return child, row, np.array(token_at, np.int32)
 
 
 class Vocabulary:
@@ -73,6 +84,9 @@ class Vocabulary:
         for token, i in ranks.items():
             self.ends.add_word(token.decode("latin-1"), (i, len(token)))
         self.ends.make_automaton()
+        self.size = np.zeros(max(self.tokens) + 1, np.int64)
+        self.size[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.child, self.row, self.token_at = trie_of(ranks)
         self.pairs: dict[int, bool] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -132,22 +146,68 @@ class Vocabulary:
             at -= len(self.tokens[last[at - 1]])
         return out[::-1]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of pieces as little-endian 32-bit numbers.  One that is a token itself is that token,
-        whatever merging gives.  In order of their bytes, each goes on from the prefix that it shares with the one
-        before it."""
-        before, last = "", []
-        for piece in sorted(pieces):
+    def matches(self, flat: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each token begins in the bytes, its length and the token; ``room``: bytes to the end of the piece."""
+        at, node, size, found = np.arange(len(flat)), np.zeros(len(flat), np.int32), 0, []
+        while len(at):
+            node = self.child[self.row[node], flat[at + size]]
+            size += 1
+            at, node = at[node >= 0], node[node >= 0]
+            token = self.token_at[node]
+            hit = token >= 0
+            found.append((at[hit], np.full(hit.sum(), size), token[hit]))
+            more = room[at] > size
+            at, node = at[more], node[more]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def encode_many(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of pieces as little-endian 32-bit numbers: their tables are filled side by side, a byte at a time."""
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        flat = np.frombuffer(b"".join(raws), np.uint8)
+        piece = np.repeat(np.arange(len(raws)), size)
+        begin = np.cumsum(size) - size
+        offset = np.arange(len(flat)) - begin[piece]
+        start, length, token = self.matches(flat, size[piece] - offset)
+        # A piece of n bytes has n + 1 places, that of its empty prefix first.
+        before, after, end = start + piece[start], start + piece[start] + length, offset[start] + length
+        order = np.argsort(end, kind="stable")
+        before, after, token = before[order], after[order], token[order].astype(np.int64)
+        steps = np.searchsorted(end[order], np.arange(1, size.max() + 2))
+        last, get = np.full(len(flat) + len(raws), -1, np.int64), self.pairs.get
+        for lo, hi in zip(steps, steps[1:], strict=False):
+            left = last[before[lo:hi]]
+            known = list(map(get, ((left << 32) + token[lo:hi]).tolist()))
+            if None in known:
+                known = [self.follows(a, b) if k is None else k for k, a, b in zip(known, left.tolist(), token[lo:hi].tolist(), strict=True)]
+            right = np.array(known, bool)
+            last[after[lo:hi][right]] = token[lo:hi][right]
+        own = np.arange(len(raws))
+        place, first, out = begin + own + size, begin + own, []
+        while len(own):
+            t = last[place[own]]
+            out.append((own, t))
+            place[own] -= self.size[t]
+            own = own[place[own] > first[own]]
+        whose = np.concatenate([p for p, _ in out])
+        step = np.repeat(np.arange(len(out)), [len(p) for p, _ in out])
+        ids = np.concatenate([t for _, t in out])[np.lexsort((-step, whose))].astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(whose, minlength=len(raws))) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remembers the ids of pieces.  One that is a token itself is that token, whatever merging gives."""
+        short = []
+        for piece in pieces:
             raw = piece.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(raw)
             if whole is not None:
                 self.new[piece] = whole.to_bytes(4, "little")
-                continue
-            plain = piece if piece.isascii() else raw.decode("latin-1")
-            last = self.last_tokens(plain, last[: shared(before, plain)])
-            before = plain
-            ids = self.walk(last)
-            self.new[piece] = pack(f"<{len(ids)}I", *ids)
+            elif len(raw) <= SIDE_BY_SIDE:
+                short.append((piece, raw))
+            else:
+                self.new[piece] = np.array(self.walk(self.last_tokens(raw.decode("latin-1"))), "<u4").tobytes()
+        if short:
+            self.new.update(zip((p for p, _ in short), self.encode_many([r for _, r in short]), strict=True))
 
     def table_of(self, piece: str, have: list[int] | None = None) -> list[int]:
         """``last_tokens`` of a piece with its first byte marked; a piece that is a token itself ends with it."""
@@ -162,9 +222,9 @@ class Vocabulary:
         if len(self.new) > GENERATION:
             self.old, self.new = self.new, {}
         missing = pieces.difference(self.new)
-        known = missing.intersection(self.old)
-        self.new.update((p, self.old[p]) for p in known)
-        self.learn(missing - known)
+        known = {p: ids for p in missing if (ids := self.old.get(p))}
+        self.new.update(known)
+        self.learn(missing.difference(known))
 
 
 _kinds: np.ndarray | None = None
