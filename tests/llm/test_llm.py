@@ -506,10 +506,47 @@ def test_wrapped_licence_in_a_source_file(spark, name):
     assert got == {0: (name, 60), 1: (name, 60), 2: (name, 3)}
 
 
+def test_notices_inside_lines(spark):
+    around = "some words that stand before it and "
+    d = docs(spark, f"{around * 9}licensed under the MIT License, {around * 9}", f"{around}\n{around} this project is licensed under\n# the GNU Lesser General Public License, version 2.1 {around}", around * 50, "Licensed under")
+    got = {r["doc_id"]: (r["licence"], r["line"]) for r in license_scan.license_scan(d).collect()}
+    assert got == {0: ("MIT", 0), 1: ("LGPL-2.1", 1)}
+
+
+@pytest.mark.parametrize("a,b,n", [("the software", "xyz", 50_000), ("the", "software", 20_000), ("licensed under the", "mit", 20_000)])
+def test_alternating_lines_are_read_in_time(spark, a, b, n):
+    """A span for each run of words and gap: many short runs cost no more than many words."""
+    import time
+
+    began = time.time()
+    license_scan.license_scan(docs(spark, f"{a}\n{b}\n" * n)).collect()
+    assert time.time() - began < 60
+
+
+def test_versions_of_one_family(spark):
+    texts = {k: license_scan.TEXTS[k] for k in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause")}
+    got = {r["doc_id"]: r["licence"] for r in license_scan.license_scan(docs(spark, *texts.values())).collect()}
+    assert got == dict(enumerate(texts))
+
+
+def test_full_texts(spark):
+    """Long texts that a user adds as templates are found without their appendix, and inside other text."""
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    full = {licence: (folder / name).read_text() for name, licence in names.items() if (folder / name).exists()}
+    if not full:
+        pytest.skip("no folder of licences here")
+    texts = [t for t in full.values()] + ["\n".join(["x = f(y)"] * 200 + [t] + ["return z"] * 200) for t in full.values()] + [t[: int(len(t) * 0.85)] for t in full.values()]
+    got = {r["doc_id"]: r["licence"] for r in license_scan.license_scan(docs(spark, *texts), known=license_scan.templates(full)).collect()}
+    assert got == {i: licence for i, licence in enumerate(list(full) * 3)}
+
+
 def test_license_scan_is_native(spark):
     full = license_scan.TEXTS["MIT"].replace(" ", "\n")
     got = {r["doc_id"]: (r["licence"], r["n_lines"]) for r in license_scan.license_scan(docs(spark, full, "x\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", "plain words", None)).collect()}
-    assert got == {0: ("MIT", 2), 1: ("CC-BY-NC-4.0", 2)}  # the whole text, and the span from its first bigram on
+    assert got == {0: ("MIT", 1), 1: ("CC-BY-NC-4.0", 2)}
     plan = license_scan.op10_license_scan(spark, str(SF))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 

@@ -1,10 +1,9 @@
 """License scans: normalised text against licence templates, by the Dice coefficient over distinct word bigrams.
 
-Units of a text are every line, the text as a whole, and spans of lines.  A line is likely if at least half of its
-bigrams (with the one that leads into it from the line before; blank lines are passed over) occur in a template.  A
-span reaches from the first line of a run of likely lines to the last line of the same or a later run, over two lines or
-more and as many words as the largest template can be met with; so a licence that is wrapped over lines is found
-inside a longer text, also with a few foreign lines in it.
+Units of a text are every line, the text as a whole, and spans of words.  A span is a run of words whose bigrams occur in
+templates, with at most ``GAPS`` other bigrams in a row: one set of spans for each of the gaps, so a text has a few spans
+for each of its words, whatever its lines are.  A licence that is wrapped over lines is found inside a longer text, a
+notice inside a longer line, both also with a few foreign words or lines in them.
 
 A unit is normalised to lower-case runs of letters and digits; a template can only reach ``threshold`` if the unit's
 bigram count lies within ``threshold / (2 - threshold)`` and its inverse times the template's, so units meet templates
@@ -30,6 +29,8 @@ from pyspark.sql import functions as F
 from .tables import table
 
 THRESHOLD = 0.8
+#: Bigrams of no template in a row that a span passes over.
+GAPS = (0, 4, 16, 64)
 
 #: Texts of short licences and the notices by which long ones ask to be applied, as published by their stewards.
 TEXTS = {
@@ -46,6 +47,8 @@ _THIRD = "3. Neither the name of the copyright holder nor the names of its contr
 TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", _THIRD + "THIS SOFTWARE IS PROVIDED", 1)
 TEXTS["GPL-2.0"] = TEXTS["GPL-3.0"].replace("either version 3 of", "either version 2 of").replace("If not, see <https://www.gnu.org/licenses/>.", "if not, see <https://www.gnu.org/licenses/>.")
 TEXTS["LGPL-3.0"] = TEXTS["GPL-3.0"].replace("GNU General", "GNU Lesser General")
+_FREE = TEXTS["GPL-3.0"].replace("GNU General", "GNU Lesser General").replace("either version 3 of", "either version 2.1 of").replace("program", "library")
+TEXTS["LGPL-2.1"] = _FREE[: _FREE.index("If not, see")] + "If not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
 TEXTS["AGPL-3.0"] = TEXTS["GPL-3.0"].replace("GNU General", "GNU Affero General")
 TEXTS["Unlicense"] = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"""
 
@@ -59,6 +62,7 @@ NAMES = {
     "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0"),
     "GPL-2.0": ("the GNU General Public License, version 2",),
     "GPL-3.0": ("the GNU General Public License, version 3",),
+    "LGPL-2.1": ("the GNU Lesser General Public License, version 2.1",),
     "LGPL-3.0": ("the GNU Lesser General Public License, version 3",),
     "AGPL-3.0": ("the GNU Affero General Public License, version 3",),
     "MPL-2.0": ("the Mozilla Public License, version 2.0",),
@@ -71,9 +75,10 @@ NAMES = {
 COMMON = {"a", "an", "and", "any", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with"}
 
 
-def templates() -> list[tuple[str, str, str]]:
-    """(template, licence, text); the notices follow from the forms and names."""
-    out = [(f"{k}/text", k, t) for k, t in TEXTS.items()]
+def templates(full: dict[str, str] | None = None) -> list[tuple[str, str, str]]:
+    """(template, licence, text); the notices follow from the forms and names.  ``full``: long texts by licence, which a
+    user who has them may add."""
+    out = [(f"{k}/text", k, t) for k, t in TEXTS.items()] + [(f"{k}/full", k, t) for k, t in (full or {}).items()]
     return out + [(f"{k}/notice{i}.{j}", k, form.format(name)) for k, names in NAMES.items() for j, name in enumerate(names) for i, form in enumerate(FORMS)]
 
 
@@ -116,49 +121,52 @@ def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def longest(known: list[tuple[str, str, str]], threshold: float = THRESHOLD) -> int:
-    """Words of a span at most."""
-    most = max((len(bigrams(normalise(t))) for _, _, t in known), default=0)
-    return int(most * (2 - threshold) / threshold) + 2
+def bounds(known: list[tuple[str, str, str]], threshold: float = THRESHOLD) -> tuple[int, int]:
+    """Bigrams of a unit that reaches the threshold for a template, at least and at most."""
+    sizes = [n for _, _, t in known if (n := len(bigrams(normalise(t))))]
+    low = threshold / (2 - threshold)
+    return max(1, int(min(sizes, default=1) * low)), int(max(sizes, default=0) / low) + 1
 
 
-def spans(text: Column, known: list[str], most: int) -> Column:
-    """Spans of lines: array of (line, words).  ``known``: bigrams of the templates."""
-    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), _words(x).alias("words")))
-    filled = F.filter(numbered, lambda x: x["words"][0] != "")
+def spans(words: Column, known: list[str], least: int, most: int) -> Column:
+    """Spans of words: array of (first, last), places of their first and last bigrams from 0."""
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    kept = lambda places: F.filter(places, lambda k: k.isNotNull())
+
+    def runs(hits: Column) -> Column:
+        def of(gap: int) -> Column:
+            begins = kept(F.transform(hits, lambda k, j: F.when((j == 0) | (k - F.get(hits, j - 1) > gap + 1), k)))
+            ends = kept(F.transform(hits, lambda k, j: F.when((j == F.size(hits) - 1) | (F.get(hits, j + 1) - k > gap + 1), k)))
+            return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
 
-    def likely(rows: Column) -> Column:
-        def of(x: Column, k: Column) -> Column:
-            before = F.when(k > 0, F.slice(F.get(rows, k - 1)["words"], -1, 1)).otherwise(F.array().cast("array<string>"))
-            words = F.concat(before, x["words"])
-            pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-            return _bound(pairs, lambda p: (F.size(p) > 0) & (2 * F.size(F.filter(p, lambda g: g.isin(known))) >= F.size(p)))
+        return F.array_distinct(F.filter(F.concat(*map(of, GAPS)), lambda x: (x["last"] - x["first"] + 1).between(least, most)))
 
-        return F.transform(rows, of)
+    return F.when(F.size(words) > 1, _bound(kept(F.transform(pairs, lambda g, i: F.when(g.isin(known), i))), runs)).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
 
-    def pairs(rows: Column, sure: Column) -> Column:
-        def edge(step: int) -> Column:
-            other = lambda k: F.coalesce(F.when(k + step >= 0, F.get(sure, k + step)), F.lit(False))
-            return F.filter(F.transform(sure, lambda x, k: F.when(x & ~other(k), k)), lambda k: k.isNotNull())
 
-        def from_start(ends: Column):
-            def of(s: Column) -> Column:
-                near = F.filter(ends, lambda e: (e > s) & (e < s + most))
-                sized = F.transform(near, lambda e: F.struct(F.get(rows, s)["line"].alias("line"), F.flatten(F.transform(F.slice(rows, s + 1, e - s + 1), lambda x: x["words"])).alias("words")))
-                return F.filter(sized, lambda x: F.size(x["words"]) <= most)
+def units(text: Column, known: list[str], least: int, most: int) -> Column:
+    """Units of a text: array of (line, words)."""
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), _words(x).alias("words")))
+
+    def of(lines: Column) -> Column:
+        at = F.flatten(F.transform(lines, lambda x: F.array_repeat(x["line"], F.size(x["words"]))))
 
-            return of
+        def with_words(words: Column) -> Column:
+            whole = F.array(F.struct(F.lit(0).alias("line"), words.alias("words")))
+            some = _bound(at, lambda at: F.transform(spans(words, known, least, most), lambda x: F.struct(F.get(at, x["first"]).alias("line"), F.slice(words, x["first"] + 1, x["last"] - x["first"] + 2).alias("words"))))
+            return F.concat(lines, whole, some)
 
-        return _bound(edge(1), lambda ends: F.flatten(F.transform(edge(-1), from_start(ends))))
+        return _bound(F.flatten(F.transform(lines, lambda x: x["words"])), with_words)
 
-    return _bound(filled, lambda rows: _bound(likely(rows), lambda sure: pairs(rows, sure)))
+    return _bound(F.filter(numbered, lambda x: x["words"][0] != ""), of)
 
 
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD, known: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """Per document with a match: best licence, template, coefficient, first line of the best unit (0 for the whole
     text), number of lines at which matching units begin, and the first of them.
 
-    The template side is a constant (a few thousand rows of name and size), so its broadcast does not grow.
+    The template side is a constant (some thousand rows of name and size, and the bigrams of each template), so its
+    broadcast does not grow.
     """
     spark = docs.sparkSession
     known = templates() if known is None else known
@@ -170,20 +178,14 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, known: list[tupl
         if grams:
             rows.append(F.struct(F.lit(name).alias("template"), F.lit(licence).alias("licence"), F.array(*map(F.lit, grams)).alias("t_grams")))
     side = spark.range(1).select(F.inline(F.array(*rows))).withColumn("t_size", F.size("t_grams"))
-    side = side.withColumn("size", F.explode(F.sequence(F.ceil(F.lit(low - 1e-9) * F.col("t_size")).cast("int"), F.floor(F.col("t_size") / F.lit(low - 1e-9)).cast("int"))))
+    sizes = side.select("template", F.explode(F.sequence(F.ceil(F.lit(low - 1e-9) * F.col("t_size")).cast("int"), F.floor(F.col("t_size") / F.lit(low - 1e-9)).cast("int"))).alias("size"))
     words = anchors([t for _, _, t in known], threshold)
     src = docs.select("doc_id", "text").where(_holds(F.col("text"), words))
-    # All units of a text at once, so that it is read and tested only once.
-    kind = "array<struct<line:int,unit:string>>"
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("unit")))
-    whole = F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("unit")))
-    runs = F.transform(spans(F.col("text"), sorted(every), longest(known, threshold)), lambda x: F.struct(x["line"].alias("line"), F.array_join(x["words"], " ").alias("unit")))
-    more = F.when(F.instr("text", "\n") > 0, F.concat(whole.cast(kind), runs.cast(kind))).otherwise(F.array().cast(kind))
-    units = src.select("doc_id", F.inline(F.concat(lines.cast(kind), more)))
-    units = units.where(_holds(F.col("unit"), words)).select("doc_id", "line", _words(F.col("unit")).alias("words"))
-    units = units.where((F.size("words") > 1) & F.arrays_overlap("words", F.array(*map(F.lit, words))))
-    units = units.select("doc_id", "line", _grams(F.col("words")).alias("grams")).withColumn("size", F.size("grams"))
-    hits = units.join(F.broadcast(side), "size")
+    anchor = F.array(*map(F.lit, words))
+    # All units of a text at once, so that it is read only once.
+    likely = F.filter(units(F.col("text"), sorted(every), *bounds(known, threshold)), lambda x: (F.size(x["words"]) > 1) & F.arrays_overlap(x["words"], anchor))
+    found = src.select("doc_id", F.inline(likely)).select("doc_id", "line", _grams(F.col("words")).alias("grams")).withColumn("size", F.size("grams"))
+    hits = found.join(F.broadcast(sizes), "size").join(F.broadcast(side), "template")
     hits = hits.withColumn("dice", 2.0 * F.size(F.array_intersect("grams", "t_grams")) / (F.col("size") + F.col("t_size"))).where(F.col("dice") >= threshold)
     best = F.struct((-F.col("dice")).alias("d"), "template", "licence", "line")
     out = hits.groupBy("doc_id").agg(F.min(best).alias("b"), F.countDistinct("line").alias("n_lines"), F.min("line").alias("first_line"))
@@ -195,6 +197,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
+    least, most = bounds(templates(), threshold)
     rows = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in templates())
     norm = "string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
@@ -204,15 +207,13 @@ known AS (SELECT DISTINCT unnest(tg) AS gram FROM t),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 l0 AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS unit, unnest(range(len(string_split(text, chr(10))))) AS line FROM d),
 l1 AS (SELECT rid, doc_id, line, {norm.format('unit')} AS w FROM l0),
-l2 AS (SELECT *, row_number() OVER o AS k, lag(w[-1]) OVER o AS before, sum(len(w)) OVER o AS upto FROM l1 WHERE w[1] <> '' WINDOW o AS (PARTITION BY rid ORDER BY line)),
-l3 AS (SELECT rid, k, CASE WHEN before IS NULL THEN w ELSE list_prepend(before, w) END AS w FROM l2),
-l4 AS (SELECT rid, k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM l3),
-l5 AS (SELECT rid, k, 2 * count(known.gram) >= count(*) AS sure FROM l4 LEFT JOIN known USING (gram) GROUP BY ALL),
-l6 AS (SELECT l2.*, coalesce(sure, false) AS sure, coalesce(lag(sure) OVER o, false) AS sure_before, coalesce(lead(sure) OVER o, false) AS sure_after FROM l2 LEFT JOIN l5 USING (rid, k) WINDOW o AS (PARTITION BY l2.rid ORDER BY l2.k)),
-p AS (SELECT a.rid, a.doc_id, a.line, a.k AS k1, b.k AS k2 FROM l6 a JOIN l6 b ON a.rid = b.rid AND b.k > a.k AND b.upto - a.upto + len(a.w) <= {longest(templates(), threshold)}
-  WHERE a.sure AND NOT a.sure_before AND b.sure AND NOT b.sure_after),
-u0 AS (SELECT doc_id, line, w FROM l1 UNION ALL SELECT doc_id, 0, {norm.format('text')} FROM d WHERE contains(text, chr(10))
-  UNION ALL SELECT p.doc_id, p.line, flatten(list(l2.w ORDER BY l2.k)) FROM p JOIN l2 ON l2.rid = p.rid AND l2.k BETWEEN k1 AND k2 GROUP BY p.rid, p.doc_id, p.line, k1, k2),
+wd AS (SELECT rid, doc_id, flatten(list(w ORDER BY line)) AS w, flatten(list(list_transform(w, lambda x: line) ORDER BY line)) AS places FROM l1 WHERE w[1] <> '' GROUP BY rid, doc_id),
+b0 AS (SELECT rid, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM wd),
+b1 AS (SELECT rid, i, unnest({list(GAPS)}) AS gap FROM b0 SEMI JOIN known USING (gram)),
+b2 AS (SELECT *, lag(i) OVER (PARTITION BY rid, gap ORDER BY i) AS prev FROM b1),
+b3 AS (SELECT *, sum(CASE WHEN i - prev <= gap + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY rid, gap ORDER BY i) AS run FROM b2),
+b4 AS (SELECT DISTINCT rid, s, e FROM (SELECT rid, min(i) AS s, max(i) AS e FROM b3 GROUP BY rid, gap, run) WHERE e - s + 1 BETWEEN {least} AND {most}),
+u0 AS (SELECT doc_id, line, w FROM l1 UNION ALL SELECT doc_id, 0, w FROM wd UNION ALL SELECT wd.doc_id, wd.places[s], wd.w[s:e + 1] FROM b4 JOIN wd USING (rid)),
 u AS (SELECT doc_id, line, {grams} AS g FROM u0 WHERE len(w) > 1),
 h AS (SELECT doc_id, line, template, licence, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM u JOIN t
   ON len(g) BETWEEN floor(len(tg) * {threshold / (2 - threshold)}) AND ceil(len(tg) / {threshold / (2 - threshold)})),
