@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as t
 from .functions import urls
 from .operators import assertions, baselines, generate, html, judges, prompts
-from .plans import runs
+from .plans import generation, runs
 from .sources import suites
 from .streaming import scores
 
@@ -344,6 +344,38 @@ def generated_suite(spark, sf_dir):
     return out.select("id", "prompt", "expected", F.col("assertions")[0]["value"].alias("value"))
 
 
+_SUITES = f"""xp AS (SELECT conv_id, min(text) AS prompt FROM conversations WHERE role = 'system' GROUP BY 1),
+g AS (SELECT conv_id AS prompt_id, ['Tax law', 'code_review', 'general'][1 + conv_id % 3] AS domain, 3 + conv_id % 8 AS n_queries FROM xp),
+xo AS (SELECT *, greatest(2, 20 // n_queries) AS most FROM (SELECT *, unnest(range(n_queries)) AS search FROM g)),
+xd AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS n FROM documents),
+xb AS (SELECT *, (prompt_id + search) % 6 * 3 AS bucket, row_number() OVER (PARTITION BY prompt_id, (prompt_id + search) % 6 ORDER BY search) - 1 AS turn FROM xo),
+xr0 AS (SELECT prompt_id, search, most, d.doc_id, d.n - turn * most AS rank FROM xb JOIN xd AS d ON d.doc_id % 20 = bucket AND d.n > turn * most AND d.n <= least((turn + 1) * most, most + 2)),
+xc0 AS (SELECT prompt_id, search, count(*) AS n FROM xr0 GROUP BY ALL), xc1 AS (SELECT prompt_id, search, coalesce(sum(n) OVER (PARTITION BY prompt_id ORDER BY search ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM xc0),
+r AS (SELECT xr0.* FROM xr0 JOIN xc1 USING (prompt_id, search) WHERE before < 20)"""
+
+
+@query(f"""WITH {SENTENCES}, {DEFINITIONS}, {CLOZE}, {_SUITES},
+q1 AS (SELECT prompt_id, search, rank, qa.* FROM r JOIN qa USING (doc_id) QUALIFY row_number() OVER (PARTITION BY prompt_id, lower(trim(question, {_TRIM})) ORDER BY search, rank, position) = 1),
+q2 AS (SELECT prompt_id, row_number() OVER (PARTITION BY prompt_id ORDER BY search, rank, position) AS n, question AS prompt, answer AS expected, CASE WHEN length(answer) < 100 THEN substr(split_part(answer, '.', 1), 1, 50) END AS value, 'qa' AS kind FROM q1 QUALIFY n <= 30),
+z1 AS (SELECT prompt_id, search, rank, c4.* FROM r JOIN c4 USING (doc_id) QUALIFY row_number() OVER (PARTITION BY prompt_id, lower(trim(masked_text, {_TRIM})) ORDER BY search, rank, position) = 1),
+z2 AS (SELECT prompt_id, row_number() OVER (PARTITION BY prompt_id ORDER BY search, rank, position) AS n, 'Fill in the blank with the correct word or phrase:' || chr(10) || chr(10) || masked_text AS prompt, answer AS expected, answer AS value, 'cloze' AS kind FROM z1 QUALIFY n <= 20),
+e AS (SELECT prompt_id, replace(lower(domain), ' ', '-') || '-' || kind || '-' || n AS id, prompt, expected, value FROM (SELECT * FROM q2 UNION ALL SELECT * FROM z2) JOIN g USING (prompt_id))
+SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY md5('0|' || id), id) AS position FROM e""")
+def prompt_suites(spark, sf_dir):
+    """A suite for every system prompt at once: three to ten searches each, whose results are documents of hosts of their own."""
+    some = F.element_at(F.array(*map(F.lit, ("Tax law", "code_review", "general"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    heads = read(spark, sf_dir, "conversations").where("role = 'system'").select("conv_id").distinct()
+    searches = F.transform(F.sequence(F.lit(0), (2 + F.col("conv_id") % 8).cast("int")), lambda k: F.concat(F.lit("search "), (F.col("conv_id") + k) % 6))
+    analysed = heads.select(F.col("conv_id").alias("prompt_id"), some.alias("domain"), searches.alias("queries"))
+    contents = read(spark, sf_dir, "documents").select(F.concat(F.lit("https://h"), "doc_id", F.lit(".example.org/")).alias("url"), "doc_id", "text")
+    asked = spark.range(6).select(F.concat(F.lit("search "), "id").alias("query"), (F.col("id") * 3).alias("bucket"))
+    results = contents.withColumn("bucket", F.col("doc_id") % 20).join(asked, "bucket").select("query", F.lit("brave").alias("provider"), F.col("doc_id").alias("rank"), "url")
+    edges = contents.select("url", F.col("url").alias("link"), F.lit(1).alias("place")).limit(0)
+    found = generation.sources(analysed, results, contents, edges)
+    out = generation.suites(analysed, found, contents)
+    return out.select("prompt_id", F.col("position").cast("long").alias("position"), "id", "prompt", "expected", F.col("assertions")[0]["value"].alias("value"))
+
+
 @query(f"""WITH {SENTENCES}, {DEFINITIONS} SELECT 'general-' || row_number() OVER (ORDER BY doc_id, position) AS id, question AS prompt, trim(answer, {_TRIM}) AS value FROM qa""")
 def answer_cases(spark, sf_dir):
     qa = generate.qa_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"), "General")

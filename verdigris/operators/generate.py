@@ -158,10 +158,23 @@ def _check(kind: str, value: Column | None, chars: int | None) -> Column:
     return F.struct(F.lit(kind).alias("type"), text.alias("value"), F.lit(chars).cast("int").alias("chars"), F.lit(value is None).alias("case_sensitive"))
 
 
+def answer_check(answer: Column) -> Column:
+    """A short answer must hold the beginning of its first sentence, a long one a minimum length."""
+    start = F.substring(F.substring_index(answer, ".", 1), 1, 50)
+    return F.when(F.length(answer) < 100, _check("contains", start, None)).otherwise(_check("min_length", None, 50))
+
+
+def word_check(answer: Column) -> Column:
+    return _check("contains", answer, None)
+
+
+def blank_prompt(masked: Column) -> Column:
+    return F.concat(F.lit("Fill in the blank with the correct word or phrase:\n\n"), masked)
+
+
 def qa_cases(qa: DataFrame, domain: str, order: list[str]) -> DataFrame:
-    """Suite rows: a short answer must hold the beginning of its first sentence, a long one a minimum length."""
-    start = F.substring(F.substring_index("answer", ".", 1), 1, 50)
-    check = F.when(F.length("answer") < 100, _check("contains", start, None)).otherwise(_check("min_length", None, 50))
+    """Suite rows of questions and answers."""
+    check = answer_check(F.col("answer"))
     return t.numbered(qa, order, "n").select(F.concat(F.lit(f"{slug(domain)}-qa-"), F.col("n").cast("string")).alias("id"), F.col("question").alias("prompt"), F.col("answer").alias("expected"), F.array(check).alias("assertions"), "tags")
 
 
@@ -173,8 +186,7 @@ def answer_cases(qa: DataFrame, domain: str, order: list[str]) -> DataFrame:
 
 
 def cloze_cases(cloze: DataFrame, domain: str, order: list[str]) -> DataFrame:
-    prompt = F.concat(F.lit("Fill in the blank with the correct word or phrase:\n\n"), F.col("masked_text"))
-    check = _check("contains", F.col("answer"), None)
+    prompt, check = blank_prompt(F.col("masked_text")), word_check(F.col("answer"))
     return t.numbered(cloze, order, "n").select(F.concat(F.lit(f"{slug(domain)}-cloze-"), F.col("n").cast("string")).alias("id"), prompt.alias("prompt"), F.col("answer").alias("expected"), F.array(check).alias("assertions"), "tags")
 
 
