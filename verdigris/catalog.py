@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions import text as t
 from .functions import urls
 from .operators import assertions, baselines, generate, html, judges, prompts
-from .plans import generation, runs
-from .sources import suites
+from .plans import generation, ledger, runs, validation
+from .sources import store, suites
+from .sources.history import History
 from .streaming import scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -743,5 +744,169 @@ def windowed_scores(spark, sf_dir):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+# Stores, written and read back in the shared folder.
+
+@query(f"""WITH {CASES} SELECT conv_id % 8 AS run, conv_id || '-' || turn AS test_id, prompt, response, length(response) AS latency_ms, 'be kind' AS bsp, substr(sha256('be kind'), 1, 12) AS bsp_hash, count(*) OVER (PARTITION BY conv_id % 8) AS total_tests FROM c""")
+def stored_outputs(spark, sf_dir):
+    """Outputs of eight runs, a document for each run."""
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = cases(spark, sf_dir).select((F.col("conv_id") % 8).cast("string").alias("run_id"), F.lit("2024").alias("timestamp"), F.concat_ws("-", "conv_id", "turn").alias("test_id"), "prompt", F.lit("be kind").alias("bsp"), "response", null("string").alias("expected"), F.length("response").alias("latency_ms"), null("int").alias("tokens_in"), null("int").alias("tokens_out"))
+    path = store.scratch(spark)
+    suites.write_outputs(validation.batch(rows, "be kind", "v1", "m"), path)
+    found = suites.read_outputs(spark, path).select(F.col("run_id").cast("long").alias("run"), "bsp_hash", F.col("total_tests").cast("long").alias("total_tests"), F.inline("outputs"))
+    return found.select("run", "test_id", "prompt", "response", F.col("latency_ms").cast("long").alias("latency_ms"), "bsp", "bsp_hash", "total_tests")
+
+
+@query(f"""WITH {SNAPSHOTS} SELECT 'first' AS tag, case_id, status, latency_ms, score FROM l WHERE run = 1 UNION ALL SELECT 'other', case_id, status, latency_ms, score FROM l WHERE run = 0""")
+def stored_baselines(spark, sf_dir):
+    """Three tags are written, one of them again, and one is deleted."""
+    rows, path = results(spark, sf_dir), store.scratch(spark)
+    run = lambda n: rows.where(F.col("run") == n).drop("run")
+    for tag, n in (("first", 0), ("gone", 0), ("other", 0), ("first", 1)):
+        suites.write_baseline(run(n), path, tag)
+    suites.delete_baseline(spark, path, "gone")
+    tags = [r["tag"] for r in suites.baseline_tags(spark, path).orderBy("tag").collect()]
+    out = None
+    for tag in tags:
+        got = suites.read_baseline(spark, path, tag).select(F.lit(tag).alias("tag"), "case_id", "status", "latency_ms", "score")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(f"""WITH {HISTORY} SELECT tag, timestamp, position, score, passed FROM h QUALIFY row_number() OVER (PARTITION BY tag ORDER BY timestamp DESC, position) <= 3""")
+def stored_history(spark, sf_dir):
+    """A history that is stored in two parts; the last three entries of each tag."""
+    rows, path = history(spark, sf_dir).withColumn("run_id", F.col("position").cast("string")), store.scratch(spark)
+    for part in (0, 1):
+        suites.append_history(rows.where(F.col("position") % 2 == part), path)
+    n = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("timestamp"), "position"))
+    return suites.read_history(spark, path).withColumn("n", n).where("n <= 3").select("tag", "timestamp", "position", "score", "passed")
+
+
+@query("""WITH m AS (SELECT event_type, round(avg(value), 6) AS score, row_number() OVER (ORDER BY event_type) AS n FROM events GROUP BY 1),
+above AS (SELECT a.* FROM m AS a WHERE NOT EXISTS (SELECT 1 FROM m AS b WHERE b.n < a.n AND b.score >= a.score))
+SELECT row_number() OVER (ORDER BY n) AS version, event_type AS run, score FROM above""")
+def improved_versions(spark, sf_dir):
+    """The mean of each kind of event, in their order, stored if it is above the last one that was; then all once more."""
+    means = read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("score")).orderBy("event_type").collect()  # a handful of kinds
+    book = History(spark, store.scratch(spark))
+    for again in range(2):
+        for k, r in enumerate(means):
+            book.append_if_improved({"run_id": r["event_type"], "timestamp": f"2024-{again}-{k:04d}", "score": r["score"], "passed": True})
+    return book.entries().select(F.col("position").alias("version"), F.col("run_id").alias("run"), "score")
+
+
+@query(f"""WITH {CASES} SELECT conv_id || '-' || turn AS id, prompt, substr(response, 1, 30) AS value, 's1' AS stage FROM c""")
+def suite_files(spark, sf_dir):
+    """Suite files that are written by all tasks, found again, read and cut to a stage."""
+    check = F.array(F.struct(F.lit("contains").alias("type"), F.substring("response", 1, 30).alias("value")))
+    rows = cases(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "prompt", check.alias("assertions"))
+    path = store.scratch(spark)
+    for stage in ("s0", "s1"):
+        suites.write_suite(rows.repartition(4), f"{path}/{stage}", "all cases", stage)
+    found = suites.parse(suites.discover(spark, path, "*.txt"))
+    return suites.cases(found, "s1").select("id", "prompt", F.col("assertions")[0]["value"].alias("value"), "stage")
+
+
+@query(f"""WITH {SENTENCES}, {DEFINITIONS}, {CLOZE} SELECT 'benchmark' AS kind, 'general-' || row_number() OVER (ORDER BY doc_id, position) AS id, question AS prompt FROM qa
+UNION ALL SELECT 'masked', 'general-cloze-' || row_number() OVER (ORDER BY doc_id, position), 'Fill in the blank with the correct word or phrase:' || chr(10) || chr(10) || masked_text FROM c4
+UNION ALL SELECT 'roleplay', 'general-roleplay-1', 'Tell me about General' UNION ALL SELECT 'finetune', NULL, question FROM qa UNION ALL SELECT 'finetune', NULL, 'Fill in the blank: ' || masked_text FROM c4""")
+def generated_files(spark, sf_dir):
+    """What is made of all documents, written as four outputs and read again."""
+    made = generate.process(read(spark, sf_dir, "documents").select("doc_id", "text"), "General")
+    folders = suites.write_generated(made, store.scratch(spark), "General")
+    lines = spark.read.text(folders["finetune"]).select(F.lit("finetune").alias("kind"), F.lit(None).cast("string").alias("id"), F.get_json_object("value", "$.messages[0].content").alias("prompt"))
+    for kind in ("benchmark", "masked", "roleplay"):
+        found = suites.cases(suites.parse(suites.discover(spark, folders[kind], "*.txt")))
+        lines = lines.unionByName(found.select(F.lit(kind).alias("kind"), "id", "prompt"))
+    return lines
+
+
+@query("""WITH r AS (SELECT 'stage ' || c_custkey // 3 AS name, c_custkey AS pos, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 5 = 0 THEN c_name END AS template, CASE WHEN c_custkey % 3 = 1 THEN 'f' || c_nationkey || '.txt' END AS file FROM customer),
+s AS (SELECT name, min(pos) AS position, arg_max({'t': template, 'f': file}, pos) AS l FROM r GROUP BY 1), f AS (SELECT 'f' || n_nationkey || '.txt' AS file, n_name AS text FROM nation WHERE n_nationkey % 4 <> 2)
+SELECT name, position, coalesce(nullif(l.t, ''), f.text) AS prompt, CASE WHEN coalesce(l.t, '') = '' AND l.f IS NULL THEN 'Stage ' || chr(39) || name || chr(39) || ' has no prompt source' WHEN l.f IS NOT NULL AND f.file IS NULL THEN 'Stage ' || chr(39) || name || chr(39) || ': file not found: ' || l.f END AS problem
+FROM s LEFT JOIN f ON s.l.f = f.file""")
+def pipeline_stages(spark, sf_dir):
+    """Stages whose last row wins, their prompts and what is wrong with them."""
+    key = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select(F.concat(F.lit("stage "), F.floor(key / 3)).alias("name"), key.alias("at"), F.when(key % 3 == 0, "").when(key % 5 == 0, F.col("c_name")).alias("prompt_template"), F.when(key % 3 == 1, F.concat(F.lit("f"), "c_nationkey", F.lit(".txt"))).alias("prompt_file"))
+    files = read(spark, sf_dir, "nation").where("n_nationkey % 4 <> 2").select(F.concat(F.lit("f"), "n_nationkey", F.lit(".txt")).alias("path"), F.col("n_name").alias("text"))
+    known = suites.stage_rows(rows)
+    return suites.stage_prompts(known, files).select("name", "position", "prompt").join(suites.stage_problems(known, files), "name", "left")
+
+
+@query("SELECT DISTINCT source AS domain, lower(source) || '-roleplay-1' AS id, 'You are a helpful ' || source || ' expert. Answer questions accurately and concisely.' AS system_prompt, 'Tell me about ' || source AS prompt, 50 AS chars FROM documents")
+def personas(spark, sf_dir):
+    """A persona for each source."""
+    domains = read(spark, sf_dir, "documents").select(F.col("source").alias("domain")).distinct()
+    return generate.personas(domains).select("domain", "id", "system_prompt", "prompt", F.col("assertions")[0]["chars"].alias("chars"))
+
+
+@query(f"""WITH {CASES}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id || '-' || turn) AS n FROM c)
+SELECT conv_id % 8 AS run_id, string_agg(chr(10) || '### Test ' || n || ': ' || conv_id || '-' || turn || chr(10) || '**Prompt:** ' || substr(prompt, 1, 200) || chr(10) || '**Response:** ' || substr(response, 1, 500) || chr(10) || '**Expected:** ' || substr(prompt, 1, 200), chr(10) || '---' ORDER BY n) AS text FROM n WHERE n <= 20 GROUP BY 1""")
+def single_judge_prompts(spark, sf_dir):
+    """What one judge is shown of each run."""
+    rows = cases(spark, sf_dir).select((F.col("conv_id") % 8).alias("run_id"), F.concat_ws("-", "conv_id", "turn").alias("test_id"), "prompt", "response", F.col("prompt").alias("expected"))
+    return judges.batch_prompt(rows, ["run_id"], "test_id", most=20, response=500, expected=200, told=False)
+
+
+@query(f"""WITH p AS (SELECT doc_id, {PROMPT} || ' uses snake_case and camelCase' AS prompt FROM documents), k(name, ord, kw, weight) AS (VALUES {_DOMAINS}),
+s AS (SELECT doc_id, name, ord, sum(weight) AS score FROM p JOIN k ON contains(lower(prompt), kw) GROUP BY ALL),
+dom AS (SELECT p.doc_id, coalesce(name, 'general') AS d FROM p LEFT JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1) USING (doc_id)),
+f AS (SELECT doc_id, CASE {_ROLE} ELSE coalesce(nullif(substr(split_part(prompt, '.', 1), 1, 100), ''), 'AI Assistant') END AS r, {_phrases(prompts.CAPABILITY_PATTERNS)} AS cap, {_phrases(prompts.CONSTRAINT_PATTERNS)} AS con FROM p),
+a AS (SELECT doc_id, prompt, regexp_replace(prompt, '[À-ÖØ-öø-ÿ]', '0', 'g') AS ascii FROM p),
+w AS (SELECT doc_id, list_filter(regexp_extract_all(ascii, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), lambda x: length(x) > 3) || regexp_extract_all(ascii, '\\b[a-z]+_[a-z]+\\b|\\b[a-z]+[A-Z][a-z]+\\b')
+  || list_filter(regexp_extract_all(prompt, '[\"'']([^\"'']+)[\"'']', 1), lambda x: length(x) BETWEEN 3 AND 49) AS w FROM a),
+u AS (SELECT doc_id, lower(unnest(w)) AS word, unnest(range(len(w))) AS pos FROM w), o AS (SELECT doc_id, word, min(pos) AS pos FROM u WHERE length(word) > 2 AND word NOT IN ({_KEYWORD_STOP}) GROUP BY ALL),
+t20 AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 20), kw AS (SELECT doc_id, list(word ORDER BY pos) AS w FROM t20 GROUP BY 1),
+y AS (SELECT p.doc_id, d, r, cap, con, coalesce(kw.w, []) AS w, replace(d, '_', ' ') AS e, substr(replace(replace(r, 'a ', ''), 'an ', ''), 1, 50) AS s FROM p JOIN dom USING (doc_id) JOIN f USING (doc_id) LEFT JOIN kw USING (doc_id)),
+z AS (SELECT *, [{', '.join("'" + q.replace("{}", "' || e || '") + "'" for q in prompts.DOMAIN_QUERIES)}] || CASE WHEN r IN ('', 'AI Assistant') THEN [] ELSE [{', '.join("'" + q.replace("{}", "' || s || '") + "'" for q in prompts.ROLE_QUERIES)}] END
+  || list_transform(list_filter(w, lambda a: length(a) > 4)[1:3], lambda a: a || ' best practices') AS q FROM y),
+uq AS (SELECT doc_id, unnest(q) AS q, unnest(range(len(q))) AS pos FROM z), kq AS (SELECT * FROM uq QUALIFY row_number() OVER (PARTITION BY doc_id, lower(q) ORDER BY pos) = 1),
+fq AS (SELECT * FROM kq QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 12), g AS (SELECT doc_id, string_agg(q, '|' ORDER BY pos) AS queries FROM fq GROUP BY 1)
+SELECT doc_id, d AS domain, r AS role, array_to_string(w, '|') AS keywords, cap AS capabilities, con AS constraints, queries,
+  array_to_string(list_sort(list_distinct(['knowledge'] || CASE WHEN cap <> '' THEN ['capability'] ELSE [] END || CASE WHEN con <> '' THEN ['constraint'] ELSE [] END || CASE d {_CASES} ELSE [] END)), '|') AS categories FROM z JOIN g USING (doc_id)""")
+def prompt_analyses(spark, sf_dir):
+    """All that is found in a system prompt, for a prompt made of each document."""
+    p = system_prompts(spark, sf_dir).withColumn("prompt", F.concat("prompt", F.lit(" uses snake_case and camelCase")))
+    out = prompts.analyse(p)
+    joined = [F.array_join(c, "|").alias(c) for c in ("keywords", "capabilities", "constraints", "queries", "categories")]
+    return out.select("doc_id", "domain", "role", *joined)
+
+
+def _echo(row: dict) -> dict:
+    """Stands for a model: the length of what it is asked."""
+    return {"response": f"{len(row['system_prompt'] or '')}+{len(row['prompt'])}", "latency_ms": 5, "tokens_in": 1, "tokens_out": 2}
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases in the form of ``suites.cases``; a third of them have a model of their own."""
+    defaults = F.struct(F.lit("d/m").alias("model"), F.lit(0.5).alias("temperature"), F.lit(None).cast("int").alias("max_tokens"), F.lit(30000).alias("timeout_ms"), F.lit("suite").alias("system_prompt"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return cases(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "prompt", null("string", "expected"), F.array().cast(f"array<{assertions.ASSERTION}>").alias("assertions"), F.when(F.col("conv_id") % 3 == 0, "c/m").alias("model"), null("double", "temperature"), null("int", "max_tokens"), defaults.alias("defaults"))
+
+
+@query(f"""WITH {CASES} SELECT conv_id || '-' || turn AS test_id, CASE WHEN conv_id % 3 = 0 THEN 'c/m' ELSE 'd/m' END AS model, 'be kind' AS bsp, '7+' || length(prompt) AS response, 5 AS latency_ms, 2 AS tokens_out FROM c""")
+def bsp_outputs(spark, sf_dir):
+    """Every case asked once through a ledger, under the run's system prompt."""
+    book = ledger.Ledger(spark, store.scratch(spark))
+    out = validation.run_cases(_told(spark, sf_dir), book, _echo, "r", "2024", "be kind", "m", per_minute=None, partitions=4)
+    return out.select("test_id", "model", "bsp", "response", "latency_ms", "tokens_out")
+
+
+@query(f"""WITH {CASES}, n AS (SELECT count(*) AS n FROM c) SELECT 'r1' AS run, n AS total, 0.8::DOUBLE AS final_score, true AS passed, 1::BIGINT AS version, NULL::DOUBLE AS improvement FROM n
+UNION ALL SELECT 'r1', n, 0.8, true, NULL, 0.0 FROM n UNION ALL SELECT 'r2', n, 0.9, true, 2, 0.1 FROM n UNION ALL SELECT 'r3', n, 0.85, true, NULL, -0.05 FROM n""")
+def validation_runs(spark, sf_dir):
+    """Runs of all cases one after another: the first is stored, its repetition and a worse one are not."""
+    found, where = _told(spark, sf_dir), store.scratch(spark)
+    book, past, out = ledger.Ledger(spark, f"{where}/calls"), History(spark, f"{where}/scores"), []
+    for k, (run, score) in enumerate((("r1", 0.8), ("r1", 0.8), ("r2", 0.9), ("r3", 0.85))):
+        judge = lambda row, score=score: {"response": f"OVERALL_SCORE: {score}"}
+        got = validation.validate(found, book, _echo, [f"{run}/a", f"{run}/b"], judge, past, run, f"2024-{k}", "be kind", "m", per_minute=None, partitions=4)
+        improvement = got.verdict["improvement"]
+        out.append((run, got.total, round(got.verdict["final_score"], 6), got.verdict["passed"], got.version, None if improvement is None else round(improvement, 6)))
+    return spark.createDataFrame(out, "run string, total long, final_score double, passed boolean, version long, improvement double")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_summary(spark, sf_dir)

@@ -249,6 +249,15 @@ def persona(domain: str) -> dict:
 
 
 def persona_cases(spark, domain: str) -> DataFrame:
-    p = persona(domain)
-    src = spark.range(1).select(F.posexplode(F.array(*map(F.lit, p["dialogues"]))).alias("i", "prompt"))
-    return src.select(F.concat(F.lit(f"{slug(domain)}-roleplay-"), (F.col("i") + 1).cast("string")).alias("id"), F.lit(p["system_prompt"]).alias("system_prompt"), "prompt", F.lit(None).cast("string").alias("expected"), F.array(_check("min_length", None, 50)).alias("assertions"), F.array(F.lit("roleplay"), F.lit(domain.lower())).alias("tags"))
+    return personas(spark.range(1).select(F.lit(domain).alias("domain"))).drop("domain")
+
+
+def personas(domains: DataFrame) -> DataFrame:
+    """Suite rows of the persona of each domain (domain)."""
+    mark = "\x00"
+    p = persona(mark)
+    said = lambda text: F.replace(F.lit(text), F.lit(mark), F.col("domain"))
+    src = domains.select("domain", F.posexplode(F.array(*map(said, p["dialogues"]))).alias("i", "prompt"))
+    low = F.lower("domain")
+    name = F.concat(F.replace(low, F.lit(" "), F.lit("-")), F.lit("-roleplay-"), (F.col("i") + 1).cast("string"))
+    return src.select("domain", name.alias("id"), said(p["system_prompt"]).alias("system_prompt"), "prompt", F.lit(None).cast("string").alias("expected"), F.array(_check("min_length", None, 50)).alias("assertions"), F.array(F.lit("roleplay"), low).alias("tags"))

@@ -210,7 +210,11 @@ def write_generated(made: dict[str, DataFrame], path: str, domain: str) -> dict[
 
 def stages(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Pipeline stages (name, prompt_template, prompt_file, position): of one name the last wins, at the first's place."""
-    every = spark.createDataFrame([(r["name"], r.get("prompt_template"), r.get("prompt_file"), i) for i, r in enumerate(rows)], "name string, prompt_template string, prompt_file string, at int")
+    return stage_rows(spark.createDataFrame([(r["name"], r.get("prompt_template"), r.get("prompt_file"), i) for i, r in enumerate(rows)], "name string, prompt_template string, prompt_file string, at int"))
+
+
+def stage_rows(every: DataFrame) -> DataFrame:
+    """``stages`` of rows (name, prompt_template, prompt_file, at)."""
     last = F.max_by(F.struct("prompt_template", "prompt_file"), "at")
     return every.groupBy("name").agg(F.min("at").alias("position"), last.alias("s")).select("name", "position", "s.*")
 
