@@ -187,6 +187,23 @@ def test_text_functions_read_a_text_once(spark, run):
     assert got[0] == len(text) and time.time() - began < 10
 
 
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<p>a" * 100_000, "<div>" * 50_000 + "</span>" * 50_000 + "t", "<ul>" * 20_000 + "<li>x" * 50_000, "<b>" * 100_000 + "</b>" * 100_000])
+def test_pages_are_parsed_in_one_pass(page):
+    began = time.time()
+    html.Page(page)
+    assert time.time() - began < 6
+
+
+def test_page_parts_in_sql(spark):
+    html.register(spark)
+    page = "<title>T</title><body><main>" + "Words of the page that are long enough. " * 3 + '<a href="/b">b</a><a href="/a">a</a><a href="/b">b</a></main>'
+    spark.createDataFrame([(1, page), (2, None)], "id int, html string").createOrReplaceTempView("some_pages")
+    got = spark.sql("SELECT p.id, x.kind, x.place, x.value FROM some_pages p, LATERAL page_parts(p.html) x").collect()
+    one = {(r["kind"], r["place"]): r["value"] for r in got if r["id"] == 1}
+    assert one["title", 0] == "T" and one["link", 0] == "/b" and one["link", 1] == "/a" and len(one) == 4 and one["text", 0].startswith("Words of")
+    assert sum(r["id"] == 2 for r in got) == 2
+
+
 def test_strip_and_clean_as_before(spark):
     blanks = " \t\n\r\x0b\x0c\u2003\u00a0\x1c\x85"
     rng = random.Random(7)

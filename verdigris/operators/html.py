@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,11 +25,15 @@ CLOSES_P = {"p", "div", "article", "section", "ul", "ol", "table", "h1", "h2", "
 
 
 class Page(HTMLParser):
-    """One pass over a page: title, first heading, text of the body and of the first main element, and hrefs."""
+    """One pass over a page: title, first heading, text of the body and of the first main element, and hrefs.
+
+    Open elements are counted by name, so that an end tag without a beginning and a piece of text cost the same at any
+    depth; each element is put on the stack and taken off it once."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool]] = []  # tag, removed from here, main from here
+        self.open: Counter[str] = Counter()
         self.title: list[str] | None = None
         self.heading: list[str] | None = None
         self.into: list[str] | None = None
@@ -55,28 +60,31 @@ class Page(HTMLParser):
         if main:
             self.main, self.in_main = [], True
         self.stack.append((tag, gone, main))
+        self.open[tag] += 1
         if tag == "title" and self.title is None:
             self.title = self.into = []
         if tag == "h1" and self.heading is None:
             self.heading = self.into = []
 
     def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
-        if at is None:
+        if not self.open[tag]:
             return
-        if any(main for _, _, main in self.stack[at:]):
-            self.in_main = False
-        del self.stack[at:]
+        top = None
+        while top != tag:
+            top, _, main = self.stack.pop()
+            self.open[top] -= 1
+            if main:
+                self.in_main = False
         if tag in ("title", "h1"):
             self.into = None
 
     def handle_data(self, data):
-        if self.into is not None:
-            self.into.append(data.strip())
         piece = data.strip()
+        if self.into is not None:
+            self.into.append(piece)
         if not piece or (self.stack and self.stack[-1][0] == "title"):
             return
-        if not any(tag == "head" for tag, _, _ in self.stack):
+        if not self.open["head"]:
             self.everything.append(piece)
         if self.stack and self.stack[-1][1]:
             return
@@ -93,6 +101,23 @@ class Page(HTMLParser):
         return "".join(self.title if self.title is not None else self.heading or [])
 
 
+@F.udtf(returnType="kind string, place int, value string", useArrow=True)
+class PageParts:
+    """For SQL: the parts of a page as rows: its title, its text, and its links in order, each once."""
+
+    def eval(self, html: str):
+        page = Page(html or "")
+        yield "title", 0, page.heading_or_title()
+        yield "text", 0, page.text()
+        for place, href in enumerate(dict.fromkeys(page.hrefs)):
+            yield "link", place, href
+
+
+def register(spark) -> None:
+    """``SELECT p.url, x.* FROM pages p, LATERAL page_parts(p.html) x``"""
+    spark.udtf.register("page_parts", PageParts)
+
+
 def extract(pages: DataFrame, least: int = 100) -> DataFrame:
     """(page_id, url, title, text, hrefs, content_length, needs_javascript, method); pages with less text are dropped.
     A page needs JavaScript if its body holds under 200 characters or it shows one of the signs."""
