@@ -174,11 +174,11 @@ def test_lexicon_by_plain_counts(spark):
 
 
 def edits(a, b):
-    """At most one edit between two words, by brute force."""
+    """At most one edit or swap of neighbours between two words, by brute force."""
     if a == b:
         return 0
     letters = set(a + b)
-    near = {b[:i] + b[i + 1 :] for i in range(len(b))} | {b[:i] + c + b[i + k :] for i in range(len(b) + 1) for c in letters for k in (0, 1)}
+    near = {b[:i] + b[i + 1 :] for i in range(len(b))} | {b[:i] + c + b[i + k :] for i in range(len(b) + 1) for c in letters for k in (0, 1)} | {b[:i] + b[i + 1] + b[i] + b[i + 2 :] for i in range(len(b) - 1)}
     return 1 if a in near else 2
 
 
@@ -186,7 +186,7 @@ def test_automaton_is_the_edit_distance():
     rng = np.random.default_rng(1)
     terms = ["idiot", "moron", "scum", "idol"]
     auto = toxicity.Automaton(terms, [True, True, False, True])
-    words = sorted({"".join(rng.choice(list("idotlmrnscu"), rng.integers(1, 7))) for _ in range(3000)} | {"idiot", "idot", "idiott", "idxot", "scum", "scu", "moroon"})
+    words = sorted({"".join(rng.choice(list("idotlmrnscu"), rng.integers(1, 7))) for _ in range(3000)} | {"idiot", "idot", "idiott", "idxot", "scum", "scu", "moroon", "diiot", "idoit", "idito", "mroon", "omron", "moorn", "dioit", "csum", "idlo", "diol"})
     doc, _, _, code, tokens = auto.scan(words)
     got = dict(zip(doc.tolist(), code.tolist(), strict=True))
     for i, w in enumerate(words):
@@ -195,6 +195,21 @@ def test_automaton_is_the_edit_distance():
     assert tokens.tolist() == [1] * len(words)
 
 
+def test_repeated_labelled_rows_meet_before_the_driver(spark):
+    """One labelled text a thousand times is one row with a weight; the model is that of the rows themselves."""
+    texts = [f"vile word number {i}" for i in range(30)] + [f"fine word number {i}" for i in range(60)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 1000, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, None, int(i < 30)) for i in range(90)], LABELS)
+    model = toxicity.learn(d, lab, F.col("toxic"), rows=5000)
+    few = toxicity.learn(d, lab, F.col("toxic"), rows=5000)
+    assert np.allclose(model.weights, few.weights)
+    x = toxicity.doc_features(texts, model.automaton, model.term_weights)
+    kept = {r[0] for r in subword.training_ids(lab, F.col("toxic"), 5000).collect()}
+    rows_ = [i for i in range(90) if i in kept] + [3] * 1000 * (3 in kept)
+    y = np.array([float(i < 30) for i in rows_])
+    assert np.allclose(model.weights, toxicity.logistic(x[rows_], y, np.ones(len(y))), atol=1e-6)
+
+
 def test_contexts():
     t = 'he said "you idiot" to him'
     at = t.index("idiot")

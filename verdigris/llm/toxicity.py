@@ -2,14 +2,14 @@
 
 The lexicon is learned from labelled rows outside the held-out fold: words whose document frequency is far higher in
 toxic than in other texts, beside a short list of seeds.  Its trie is intersected with the Levenshtein automaton of
-distance one (for terms of ``FUZZY_LENGTH`` letters or more whose near spellings do not occur in clean texts) and the
-product is made deterministic, so that all words of a batch walk one table in step.  Each hit is put in a context by
+distance one, two neighbours that change places being one edit (for terms of ``FUZZY_LENGTH`` letters or more whose near
+spellings do not occur in clean texts), and the product is made deterministic, so that all words of a batch walk one table in step.  Each hit is put in a context by
 the ``WINDOW`` characters on each side: quoted (inside quotation marks or beside a word of reporting), directed
 (beside a second person) or plain.  A logistic model over sums by context gives the score.
 
 At most ``TRAIN_ROWS`` labelled rows (the smallest by a hash of their id) are learned from.  Every word of theirs is a
-candidate; thresholds on support and log odds decide, and of those that pass the ``MAX_TERMS`` with the largest product
-of support and log odds are kept, which bounds the automaton.
+candidate, and thresholds on support and log odds alone decide.  A term stands in two in a thousand of the toxic rows
+or more, so their texts bound the lexicon.
 
 Defined results: null and empty texts have no hits and get the score of none; texts are read whole; repeated rows are
 scored as often as they occur; with one class labelled the score is the prior; an empty table gives an empty result;
@@ -32,7 +32,6 @@ from .subword import held_out, training_ids
 from .tables import table
 
 TRAIN_ROWS = 20_000
-MAX_TERMS = 200
 MIN_LOG_ODDS = 3.0
 #: The least lower end of a term's log odds: 1.64 standard errors below them.
 MIN_LOWER = 1.6
@@ -57,9 +56,10 @@ def _token_table() -> np.ndarray:
 
 
 class Automaton:
-    """The deterministic product of a lexicon's trie and the Levenshtein automaton of distance at most one.
+    """The deterministic product of a lexicon's trie and the Levenshtein automaton of distance at most one, swaps included.
 
-    ``fuzzy[i]`` says whether term i may be met with one edit.  ``accept[state]`` is 2 * term + edits, or -1.
+    ``fuzzy[i]`` says whether term i may be met with one edit.  ``accept[state]`` is 2 * term + edits, or -1.  A state
+    holds (node, edits, None), and (node, 1, c) where c has been passed over and must come next.
     """
 
     def __init__(self, terms: list[str], fuzzy: list[bool]):
@@ -82,23 +82,31 @@ class Automaton:
         alphabet = sorted({c for t in terms for c in t})
         self.classes = {c: k + 1 for k, c in enumerate(alphabet)}  # 0: any other character
 
-        def closed(pairs: set[tuple[int, int]]) -> frozenset:
-            more = {(child, 1) for node, e in pairs if not e for child in children[node].values() if soft[child]}
+        def closed(pairs: set[tuple[int, int, str | None]]) -> frozenset:
+            more = {(child, 1, None) for node, e, _ in pairs if not e for child in children[node].values() if soft[child]}
             every = pairs | more
-            return frozenset(p for p in every if not p[1] or (p[0], 0) not in every)
+            return frozenset(p for p in every if not p[1] or p[2] is not None or (p[0], 0, None) not in every)
 
         def step(state: frozenset, c: str | None) -> frozenset:
-            out: set[tuple[int, int]] = set()
-            for node, e in state:
+            out: set[tuple[int, int, str | None]] = set()
+            for node, e, due in state:
+                if due is not None:
+                    if c == due:
+                        out.add((node, 1, None))
+                    continue
                 if c in children[node] and (not e or soft[children[node][c]]):
-                    out.add((children[node][c], e))
+                    out.add((children[node][c], e, None))
                 if not e:
                     if soft[node]:
-                        out.add((node, 1))
-                    out.update((child, 1) for child in children[node].values() if soft[child])
+                        out.add((node, 1, None))
+                    for d, child in children[node].items():
+                        if soft[child]:
+                            out.add((child, 1, None))
+                            if c != d and c in children[child] and soft[children[child][c]]:
+                                out.add((children[child][c], 1, d))
             return closed(out)
 
-        start = closed({(0, 0)})
+        start = closed({(0, 0, None)})
         index, queue, moves = {start: 0}, [start], []
         for state in queue:
             row = []
@@ -115,7 +123,7 @@ class Automaton:
         self.moves = np.array(moves, np.int32).reshape(len(queue), len(alphabet) + 1)
         self.accept = np.full(len(queue), -1, np.int32)
         for k, state in enumerate(queue):
-            found = [(e, ends[n]) for n, e in state if ends[n] is not None and (not e or fuzzy[ends[n]])]
+            found = [(e, ends[n]) for n, e, due in state if due is None and ends[n] is not None and (not e or fuzzy[ends[n]])]
             if found:
                 e, i = min(found)
                 self.accept[k] = 2 * i + e
@@ -194,16 +202,16 @@ def _pack(x: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in x], pa.binary())
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights and, last, the intercept, by Newton steps; ``n`` says how often each row stands."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    w[-1] = np.log((n @ y + 0.5) / (n @ (1 - y) + 0.5))
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (n * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -233,14 +241,14 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
 
 
 def lexicon(train: DataFrame, n0: int, n1: int) -> dict[str, float]:
-    """Log odds of the words that pass the thresholds, at most ``MAX_TERMS`` with the seeds."""
+    """Log odds of the words that pass the thresholds."""
     support = max(3, round(0.002 * n1))
     ours, theirs = F.col("n1"), F.col("n0")
     odds = F.log((ours + 0.5) / (n1 - ours + 0.5)) - F.log((theirs + 0.5) / (n0 - theirs + 0.5))
     error = F.sqrt(1 / (ours + 0.5) + 1 / (theirs + 0.5) + 1 / (n1 - ours + 0.5))
     words = _vocabulary(train).where((F.length("word") > 2) & (ours >= support)).withColumn("odds", odds)
     words = words.where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("odds") - 1.64 * error >= MIN_LOWER))
-    return dict(words.orderBy(F.desc(ours * F.col("odds")), "word").limit(MAX_TERMS - len(SEEDS)).select("word", "odds").collect())
+    return dict(words.select("word", "odds").collect())
 
 
 class Model:
@@ -291,17 +299,17 @@ def learn(docs: DataFrame, labels: DataFrame, target: Column, rows: int = TRAIN_
             x = doc_features([t or "" for t in batch.column(0).to_pylist()], automaton, weights)
             yield pa.RecordBatch.from_arrays([batch.column(1), _pack(x)], ["y", "x"])
 
-    got = train.mapInArrow(rowwise, "y int, x binary").toArrow()
-    x = np.frombuffer(b"".join(got.column(1).to_pylist()), float).reshape(-1, N_FEATURES)
-    y = np.array(got.column(0).to_pylist(), float)
-    order = np.lexsort([*x.T, y])  # whatever the order of arrival
-    return Model(automaton, weights, logistic(x[order], y[order]))
+    # Equal rows meet before they reach the driver, and of different ones no more than ``rows`` do.
+    met = train.mapInArrow(rowwise, "y int, x binary").groupBy("y", "x").agg(F.count("*").alias("n")).orderBy(F.xxhash64("x", "y"), "x", "y").limit(rows).toArrow()
+    x = np.frombuffer(b"".join(met.column(1).to_pylist()), float).reshape(-1, N_FEATURES)
+    y, n = (np.array(met.column(c).to_pylist(), float) for c in ("y", "n"))
+    return Model(automaton, weights, logistic(x, y, n))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_hits) of every row; learned only from rows that are not held out.
+    """(doc_id, held_out, score, predicted) of every row; learned only from rows that are not held out.
 
-    The model that executors receive is bounded: ``MAX_TERMS`` terms and their automaton.
+    The model that executors receive, terms and their automaton, is bounded by the rows that are learned from.
     """
     model = learn(docs, labels, F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
