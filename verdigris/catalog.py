@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as t
 from .functions import urls
-from .operators import assertions, baselines, generate, html, judges, prompts
+from .operators import assertions, baselines, dictionary, generate, html, judges, prompts
 from .plans import generation, ledger, runs, validation
 from .sources import store, suites
 from .sources.history import History
@@ -426,6 +426,21 @@ def prompt_domain(spark, sf_dir):
     return system_prompts(spark, sf_dir).select("doc_id", prompts.domain(F.col("prompt")).alias("domain"), t.prompt_hash(F.col("prompt")).alias("hash"))
 
 
+@query(f"""WITH p AS (SELECT doc_id, {PROMPT} AS prompt FROM documents), k(name, ord, kw, weight) AS (VALUES {_DOMAINS}),
+s AS (SELECT doc_id, name, ord, sum(weight) AS score FROM p JOIN k ON contains(lower(prompt), kw) GROUP BY ALL)
+SELECT p.doc_id, coalesce(name, 'general') AS domain, coalesce(score, 0)::BIGINT AS score FROM p LEFT JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1) USING (doc_id)""")
+def dictionary_domains(spark, sf_dir):
+    """Domains by one pass with a table of keywords."""
+    return dictionary.domains(system_prompts(spark, sf_dir), dictionary.domain_words(spark), "doc_id")
+
+
+@query("SELECT doc_id, word, strpos(lower(text), word) + length(word) - 2 AS place FROM documents, (SELECT DISTINCT lower(split_part(text, ' ', 3)) AS word FROM benchmark) WHERE word <> '' AND contains(lower(text), word)")
+def dictionary_hits(spark, sf_dir):
+    """The third words of all benchmark items in all documents."""
+    words = read(spark, sf_dir, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(3)).alias("word"))
+    return dictionary.found(read(spark, sf_dir, "documents"), words, "doc_id")
+
+
 _ROLES = [p.replace("'", "''") for p in prompts.ROLE_PATTERNS]
 _ROLE = " ".join(f"WHEN regexp_matches(prompt, '(?i){p}') THEN substr(trim(regexp_extract(prompt, '(?i){p}', 1)), 1, 100)" for p in _ROLES)
 
