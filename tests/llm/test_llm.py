@@ -136,6 +136,16 @@ def test_lines_and_paragraphs(spark, unit, left):
     assert got[:2] == left[:2] and got[2] == ("\n\ny" if unit == "line" else "\n\ny\n\n")
 
 
+def test_lines_and_their_sentences(spark):
+    """A line repeats as a whole though none of its sentences is long enough, and a sentence within another line."""
+    d = docs(spark, "One two three. Four five six.\nseven eight nine ten eleven", "intro. seven eight nine ten eleven.\nother", "x\nONE two  three. Four five six.\nand. Seven eight nine ten eleven", "seven eight nine ten eleven.")
+    out = {r["doc_id"]: r for r in substring_dedup.removed(d, substring_dedup.repeats(d, "line+sentence", 5), "left", "cuts").collect()}
+    assert [out[i]["text"] for i in range(4)] == ["One two three. Four five six.\nseven eight nine ten eleven", "intro. seven eight nine ten eleven.\nother", "x\nand. ", ""]
+    assert [tuple(c) for c in out[2]["cuts"]] == [(2, 30), (38, 27)] and out[0]["cuts"] is None
+    both = docs(spark, "a b c d e f.\nz", "a b c d e f. a b c d e f.\nz")
+    assert [r["text"] for r in substring_dedup.substring_dedup(both, "line+sentence", 5).orderBy("doc_id").collect()] == ["a b c d e f.\nz", "z"]
+
+
 def test_texts_that_share_a_doc_id_keep_their_own(spark):
     d = spark.createDataFrame([(1, "one text\nwith lines"), (1, "another text"), (1, None), (1, "one text\nwith lines"), (2, "with lines\nof its own"), (None, "one text")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.substring_dedup(d).collect()), key=str)

@@ -1,7 +1,9 @@
 """Substring dedup by hashing of paragraphs, lines or sentences.
 
 A text is cut into units: ``paragraph`` (lines up to a blank one), ``line``, or ``sentence`` (lines that are cut at a
-blank after ``.!?`` as well, so that of a passage pasted into a running line all but its edges are units).  Units are
+blank after ``.!?`` as well, so that of a passage pasted into a running line all but its edges are units).  Several, as
+``line+sentence``, are cut side by side: a line may repeat as a whole, or a sentence of it, and a sentence of one text
+may be a line of another.  Units are
 normalised (lower case, single blanks) and digested (128 bits).  Digests are grouped over the whole corpus; the
 occurrence that ranks first by (doc_id, hash of the text, offset) is kept, and every other one is removed together with
 the one character that parts it from the next unit.  Units under ``min_words`` words take no part; by default all do.
@@ -56,12 +58,17 @@ def pieces(text: str, unit: str) -> Iterator[str]:
 
 def units_of(text: str, unit: str = "line", min_words: int = 1) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, length, words, digest) of each unit that has enough words; offsets are in code points of the text."""
-    at = 0
-    for piece in pieces(text, unit):
-        words = piece.lower().encode("utf-8", "surrogatepass").split()
-        if words and len(words) >= min_words:
-            yield at, len(piece), len(words), hashlib.md5(b" ".join(words)).digest()
-        at += len(piece) + 1
+    seen: set[tuple[int, int]] = set()
+    kinds = unit.split("+")
+    for kind in kinds:
+        at = 0
+        for piece in pieces(text, kind):
+            words = piece.lower().encode("utf-8", "surrogatepass").split()
+            if words and len(words) >= min_words and (at, len(piece)) not in seen:
+                yield at, len(piece), len(words), hashlib.md5(b" ".join(words)).digest()
+                if len(kinds) > 1:
+                    seen.add((at, len(piece)))
+            at += len(piece) + 1
 
 
 UNITS = "doc_id long, version long, start int, length int, n_words int, d1 long, d2 long"
@@ -107,13 +114,13 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFram
     return cut(later.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(span)).alias("cuts")))
 
 
-def removed(docs: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
-    """The documents with the cuts taken out of ``text``; ``kept`` has (start, length) of what stays, in the original.
-    ``how``: ``left`` for all documents, ``inner`` for those that lose something.  Cuts grow with the documents and meet
+def removed(docs: DataFrame, found: DataFrame, how: str = "left", told: str | None = None) -> DataFrame:
+    """The documents with the cuts taken out of ``text``; ``kept`` has (start, length) of what stays, in the original,
+    and a column named ``told`` those of the cuts.  ``how``: ``left`` for all documents, ``inner`` for those that lose something.  Cuts grow with the documents and meet
     them in a shuffle join, whose sides adaptive execution may split."""
     docs = docs.drop("kept")  # a column of that name is replaced
     kept_type = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("length", T.IntegerType()))
-    schema = T.StructType([*docs.schema.fields, T.StructField("kept", kept_type)])
+    schema = T.StructType([*docs.schema.fields, T.StructField("kept", kept_type), *([T.StructField(told, kept_type)] if told else [])])
     at, width = docs.columns.index("text"), len(docs.columns)
     key, cuts = (free(docs.columns, c) for c in ("key", "cuts"))
     side = found.select(F.struct("doc_id", "version").alias(key), F.col("cuts").alias(cuts))
@@ -138,7 +145,8 @@ def removed(docs: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
             cols = [batch.column(i) for i in range(width)]
             cols[at] = pa.array(texts, batch.schema.field(at).type)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, kind)], names=[f.name for f in schema])
+            more = [batch.column(width).cast(kind)] if told else []
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, kind), *more], names=[f.name for f in schema])
 
     return in_arrow(joined, run, schema)
 
@@ -153,29 +161,25 @@ def _told(spans: Column) -> Column:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that loses a repeated sentence of ``MIN_WORDS`` words or more: the digest of what is left of its
-    text, and the kept and removed spans (``start+length``, in code points of the original) in order."""
+    """Every document that loses a repeated line, or sentence of a line, of ``MIN_WORDS`` words or more: the digest of
+    what is left of its text, and the kept and removed spans (``start+length``, in code points of the original) in
+    order; a removed sentence may lie in a removed line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = repeats(docs, "sentence", MIN_WORDS)
-    version = free(docs.columns, "version")
-    left = removed(docs.withColumn(version, _version(F.col("text"))), found, "inner")
-    cuts = found.select(F.col("doc_id"), F.col("version").alias(version), F.size("cuts").cast("long").alias("n_removed"), _told(F.col("cuts")).alias("removed"))
-    return left.select("doc_id", version, F.md5("text").alias("text_md5"), _told(F.col("kept")).alias("kept")).join(cuts, ["doc_id", version]).drop(version)
+    left = removed(docs, repeats(docs, "line+sentence", MIN_WORDS), "inner", "cuts")
+    return left.select("doc_id", F.md5("text").alias("text_md5"), _told(F.col("kept")).alias("kept"), F.size("cuts").cast("long").alias("n_removed"), _told(F.col("cuts")).alias("removed"))
 
 
 _B = "[ \\t\\x0b\\x0c\\r]"
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS rid, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
-s AS (SELECT rid, doc_id, text, string_split(regexp_replace(replace(text, chr(10), chr(31)), '([.!?]){_B}', '\\1' || chr(31), 'g'), chr(31)) AS p FROM d),
-u0 AS (SELECT rid, doc_id, text, unnest(p) AS part, unnest(range(len(p))) AS unit FROM s),
-u1 AS (SELECT rid, doc_id, text, unit, part, (sum(length(part) + 1) OVER (PARTITION BY rid ORDER BY unit) - length(part) - 1)::INT AS start,
-  trim(regexp_replace(lower(part), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS n FROM u0),
-u AS (SELECT rid, unit, n <> '' AND len(string_split(n, ' ')) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY n ORDER BY doc_id, rid, unit) > 1 AS gone FROM u1),
-a AS (SELECT u1.*, length(part)::INT AS size, gone FROM u1 JOIN u USING (rid, unit)),
-g AS (SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(start || '+' || size, ' ' ORDER BY unit) FILTER (gone) AS removed,
-  md5(coalesce(string_agg(part || substr(text, start + size + 1, 1), '' ORDER BY unit) FILTER (NOT gone), '')) AS text_md5 FROM a GROUP BY rid HAVING bool_or(gone)),
-b AS (SELECT rid, start AS here, start + size + 1 AS next FROM a WHERE gone UNION ALL SELECT rid, length(text), length(text) FROM d SEMI JOIN g USING (rid)),
-k AS (SELECT rid, coalesce(lag(next) OVER (PARTITION BY rid ORDER BY here, next), 0) AS start, here FROM b),
-h AS (SELECT rid, string_agg(start || '+' || (here - start), ' ' ORDER BY start) AS kept FROM k WHERE here > start GROUP BY rid),
+s AS (SELECT rid, doc_id, 1 AS kind, string_split(regexp_replace(replace(text, chr(10), chr(31)), '([.!?]){_B}', '\\1' || chr(31), 'g'), chr(31)) AS p FROM d UNION ALL SELECT rid, doc_id, 2, string_split(text, chr(10)) FROM d),
+u0 AS (SELECT rid, doc_id, kind, unnest(p) AS part, unnest(range(len(p))) AS unit FROM s),
+u1 AS (SELECT rid, doc_id, part, (sum(length(part) + 1) OVER (PARTITION BY rid, kind ORDER BY unit) - length(part) - 1)::INT AS start FROM u0),
+u2 AS (SELECT DISTINCT rid, doc_id, start, length(part)::INT AS size, trim(regexp_replace(lower(part), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS n FROM u1),
+u AS (SELECT * FROM u2 WHERE n <> '' AND len(string_split(n, ' ')) >= {MIN_WORDS} QUALIFY row_number() OVER (PARTITION BY n ORDER BY doc_id, rid, start) > 1),
+g AS (SELECT rid, count(*) AS n_removed, string_agg(start || '+' || size, ' ' ORDER BY start, size) AS removed FROM u GROUP BY rid),
+b AS (SELECT rid, start AS here, least(length(text), start + size + 1) AS next FROM u JOIN d USING (rid) UNION ALL SELECT rid, length(text), length(text) FROM d SEMI JOIN g USING (rid)),
+k AS (SELECT rid, coalesce(max(next) OVER (PARTITION BY rid ORDER BY here, next ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, here FROM b),
+h AS (SELECT rid, string_agg(k.start || '+' || (here - k.start), ' ' ORDER BY k.start) AS kept, string_agg(substr(text, k.start + 1, here - k.start), '' ORDER BY k.start) AS rest FROM k JOIN d USING (rid) WHERE here > k.start GROUP BY rid),
 c AS (SELECT doc_id, text, count(*) AS copies FROM documents GROUP BY ALL)
-SELECT d.doc_id, g.n_removed, g.removed, coalesce(h.kept, '') AS kept, g.text_md5 FROM g JOIN d USING (rid) LEFT JOIN h USING (rid) JOIN c ON c.doc_id = d.doc_id AND c.text = d.text, unnest(range(copies))"""
+SELECT d.doc_id, g.n_removed, g.removed, coalesce(h.kept, '') AS kept, md5(coalesce(h.rest, '')) AS text_md5 FROM g JOIN d USING (rid) LEFT JOIN h USING (rid) JOIN c ON c.doc_id = d.doc_id AND c.text = d.text, unnest(range(copies))"""
