@@ -357,6 +357,9 @@ def test_plans(spark):
 
 def test_config(tmp_path):
     assert config.load(tmp_path / "none").council.members == []
+    (tmp_path / "g.yaml").write_text("git: {enabled: true, commit_template: 'to {score:.1f} from {previous_score:.1f}'}\n")
+    g = config.load(tmp_path / "g.yaml").git
+    assert (g.enabled, g.branch, g.message(0.9, 0.8)) == (True, "main", "to 0.9 from 0.8") and "+0.90" in config.Git().message(0.9)
     (tmp_path / "p.txt").write_text("be brief")
     (tmp_path / config.NAME).write_text("models: {providers: {x: {api_key: '${KEY}'}}}\nbsp: {prompt_file: p.txt, min_score: 0.8, odd: 1}\ntesting: {parallelism: 9}\n")
     c = config.load(tmp_path / config.NAME, {"KEY": "k"})

@@ -61,6 +61,18 @@ class Pages:
     timeout: int = 30
 
 
+@dataclass
+class Git:
+    enabled: bool = False
+    branch: str = "main"
+    commit_template: str = "chore: BSP validation passed (score: {score:.2f}, improvement: +{improvement:.2f})"
+    auto_push: bool = False
+
+    def message(self, score: float, previous: float | None = None) -> str:
+        """What a commit of an improved prompt says; a first score improves on zero."""
+        return self.commit_template.format(score=score, previous_score=previous or 0.0, improvement=score - (previous or 0.0))
+
+
 @dataclass
 class Config:
     models: Models = field(default_factory=Models)
@@ -69,6 +81,7 @@ class Config:
     testing: Testing = field(default_factory=Testing)
     baseline: Store = field(default_factory=Store)
     scraper: Pages = field(default_factory=Pages)
+    git: Git = field(default_factory=Git)
 
     @property
     def parallelism(self) -> int:
