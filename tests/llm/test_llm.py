@@ -367,6 +367,21 @@ def test_jaccard_join_loses_no_link(spark, n, num, den):
     assert [tuple(r) for r in got] == brute_components(texts, n, num, den)
 
 
+def test_spread_tokens_change_nothing(spark, monkeypatch):
+    """The candidates are the same whether all, some or no frequent tokens are spread, and one token that every document
+    has in its prefix does not come to one task."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["common words stand first", *(f"w{x}" for x in rng.integers(0, 60, rng.integers(1, 40)))]) for _ in range(300)]
+    d = docs(spark, *texts, *texts[:20]).select("doc_id", "text")
+    got = []
+    for sample, spread in ((1, 10_000), (2, 5), (1, 0)):
+        monkeypatch.setattr(jaccard_join, "SAMPLE", sample)
+        monkeypatch.setattr(jaccard_join, "SPREAD", spread)
+        got.append(sorted(r["rep"] for r in jaccard_join.candidates(d, 2, 60, 100).collect()))
+        assert (jaccard_join.frequent(d, 2, 60, 100).count() > 0) == bool(spread)
+    assert got[0] == got[1] == got[2] and got[0]
+
+
 def test_one_document_with_two_texts_ties_groups(spark):
     d = spark.createDataFrame([(5, "a b c d"), (6, "a b c d"), (6, "x y z w"), (7, "x y z w"), (6, "x y z w"), (8, "other words here")], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(d, 3, 90, 100).collect()}

@@ -6,7 +6,8 @@ like of y, in any order common to all and for any l.
 
 1. Documents with the same set form a class; its smallest id stands for it.
 2. Prefixes in hash order, lengthened to l = a tenth of the document (``LEVELS`` at least): tokens that only one
-   document has there are dropped, and a document stays if l of its own are left.
+   document has there are dropped, and a document stays if l of its own are left.  Tokens that several documents of a
+   sample have are known to be shared; their rows are spread over all tasks, so no frequent token is one task's.
 3. For those that stay, exact frequencies among themselves give the order (rare tokens first).  A token that nobody
    else has lessens what a document can share, which bounds the length of its partners or rules it out; done twice,
    as those ruled out change the frequencies.
@@ -40,6 +41,9 @@ from .components import relabel
 from .tables import cut, few, free, table
 
 LEVELS = 6
+#: One document in so many is looked at for frequent tokens, of which so many at most are spread (8 bytes each are
+#: broadcast).  Neither changes the result: a token that is spread or not is shared all the same.
+SAMPLE, SPREAD = 64, 10_000
 HUB_ROUNDS = 3
 VERIFY_COST = 20.0
 _U = np.uint64
@@ -112,7 +116,7 @@ TOKENS = "token long, rep long, n int"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token has a neighbour row."""
+    """Of rows (token, rep, n, sure) sorted by token, those that are sure or whose token has a neighbour row."""
     held: pa.RecordBatch | None = None  # the last row, not yet decided
     matched = False
     for batch in batches:
@@ -120,9 +124,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         token = batch.column(0).to_numpy()
         same = token[1:] == token[:-1]
-        keep = np.zeros(len(token), bool)
+        keep = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
         keep[1:] |= same
         keep[:-1] |= same
+        batch = batch.select([0, 1, 2])
         if held is not None and held.column(0)[0].as_py() == token[0]:
             keep[0] = matched = True
         if held is not None and matched:
@@ -217,10 +222,20 @@ def _ranked(tokens: DataFrame, num: int, den: int) -> DataFrame:
     return ranked.withColumn("least", need).withColumn("most", most)
 
 
+def frequent(reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The tokens that most documents of a sample have in their prefixes, of those that three rows and two documents have."""
+    some = reps.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    count = some.mapInArrow(_tokens(n, num, den, False), TOKENS).groupBy("token").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    return cut(count.where("c > 2 and lo < hi").orderBy(F.desc("c"), "token").limit(SPREAD).select("token"))
+
+
 def candidates(reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Ids of documents that may link, by prefixes in hash order (step 2)."""
     rows = reps.mapInArrow(_tokens(n, num, den, False), TOKENS)
-    live = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, TOKENS)
+    known = frequent(reps, n, num, den).withColumn("sure", F.lit(True))
+    rows = rows.join(F.broadcast(known), "token", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))  # of SPREAD rows
+    dealt = rows.withColumn("deal", F.when(F.col("sure"), F.xxhash64("token", "rep")).otherwise(F.col("token"))).repartition("deal")
+    live = dealt.select("token", "rep", "n", "sure").sortWithinPartitions("token").mapInArrow(_shared, TOKENS)
     need = _ceil(num, den, F.col("n"))
     shared = F.least(F.greatest(F.lit(LEVELS), F.floor(F.col("n") / 10)), need)
     return live.groupBy("rep", "n").agg(F.count("*").alias("c")).where(F.col("c") >= shared).select("rep")
