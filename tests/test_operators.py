@@ -365,3 +365,16 @@ def test_config(tmp_path):
     c = config.load(tmp_path / config.NAME, {"KEY": "k"})
     assert c.models.providers["x"]["api_key"] == "k" and c.bsp.min_score == 0.8 and c.parallelism == 9
     assert config.root(tmp_path) == tmp_path and config.system_prompt(c, tmp_path) == "be brief"
+
+
+def test_names_of_a_reply_are_found_as_one_by_one(spark):
+    """All names in one pattern find in each line what a pattern for each name finds."""
+    rng = random.Random(11)
+    parts = ["OVERALL_SCORE", "overall score", "Role_Adherence", "RESPONSE QUALITY", "consistency", "REASONING", "weak areas", "WEAK_AREAS", ":", ": ", ":: ", "0.8", " 7/10", "none", "\n", "\n", "\n \n", "  ", "\t", "\r", "x", "a: b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(800)]
+    plain = lambda name: F.regexp_extract_all("s", F.lit(rf"(?iUmd)^\s*(?:{name.replace('_', '[_ ]')}):([^\n]*)$"), F.lit(1))
+    rows = spark.createDataFrame([(x,) for x in texts], "s string")
+    got = rows.select("s", *[plain(n).alias(f"w{k}") for k, n in enumerate(judges.NAMES)], *[t.bound(judges._told(F.col("s")), lambda x, n=n: judges._after(x, n)).alias(f"g{k}") for k, n in enumerate(judges.NAMES)]).collect()
+    for r in got:
+        for k in range(len(judges.NAMES)):
+            assert r[f"g{k}"] == r[f"w{k}"], r["s"]

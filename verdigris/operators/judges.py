@@ -49,15 +49,26 @@ def single_reply(c: Column) -> Column:
     return F.struct(value.alias("score"), F.coalesce(reason, c).alias("reasoning"), (value >= 0.7).alias("passed"))
 
 
-def _after(c: Column, name: str, rest: str = r"([^\n]*)") -> Column:
-    """What stands behind ``name:`` in the lines that begin with it, in any case; one pass over the text."""
-    return F.regexp_extract_all(c, F.lit(rf"(?iUmd)^\s*(?:{name}):{rest}$"), F.lit(1))
+#: Names of lines in a judge's reply, in any case, with a blank or an underscore.
+NAMES = ("OVERALL_SCORE", "ROLE_ADHERENCE", "RESPONSE_QUALITY", "CONSISTENCY", "REASONING", "WEAK_AREAS")
 
 
-def _named(c: Column, name: str) -> Column:
-    """Of the lines with this name in front, the number after the last colon; the last that parses."""
-    tails = _after(c, name, r"(?:[^\n]*:)?([^\n:]*)")
-    return clamp(_last(F.transform(tails, lambda x: _as_number(F.regexp_extract(x, r"[\d.]+", 0)))))
+def _told(c: Column) -> Column:
+    """Lines that begin with one of the names and a colon: array of (name, what stands behind).  All names at once, so a
+    text is read twice, not once for each."""
+    pattern = rf"(?iUmd)^\s*({'|'.join(NAMES).replace('_', '[_ ]')}):([^\n]*)$"
+    part = lambda g: F.regexp_extract_all(c, F.lit(pattern), F.lit(g))
+    return F.zip_with(part(1), part(2), lambda name, rest: F.struct(F.upper(F.lower(F.replace(name, F.lit(" "), F.lit("_")))).alias("name"), rest.alias("rest")))
+
+
+def _after(told: Column, name: str) -> Column:
+    """What stands behind this name, line by line."""
+    return F.transform(F.filter(told, lambda x: x["name"] == name), lambda x: x["rest"])
+
+
+def _named(told: Column, name: str) -> Column:
+    """Of the lines with this name, the number after the last colon; the last that parses."""
+    return clamp(_last(F.transform(_after(told, name), lambda x: _as_number(F.regexp_extract(F.substring_index(x, ":", -1), r"[\d.]+", 0)))))
 
 
 def sentiment(c: Column) -> Column:
@@ -74,11 +85,12 @@ def _scaled(c: Column) -> Column:
 def batch_reply(c: Column) -> Column:
     """struct(overall_score, role_adherence, response_quality, consistency, reasoning, weak_areas): named lines, else
     scaled numbers near known words, else sentiment."""
-    areas = F.filter(F.transform(_after(c, "WEAK[_ ]AREAS"), t.strip), lambda x: F.lower(x) != "none")
-    named = F.struct(
-        _named(c, "OVERALL[_ ]SCORE").alias("overall"), _named(c, "ROLE[_ ]ADHERENCE").alias("role"), _named(c, "RESPONSE[_ ]QUALITY").alias("quality"), _named(c, "CONSISTENCY").alias("consistency"),
-        _last(F.transform(_after(c, "REASONING"), t.strip)).alias("reason"), _last(areas).alias("areas"),
-    )
+    def named(told: Column) -> Column:
+        overall, role, quality, consistency, reasoning, weak = NAMES
+        areas = F.filter(F.transform(_after(told, weak), t.strip), lambda x: F.lower(x) != "none")
+        scores = [_named(told, name).alias(alias) for name, alias in ((overall, "overall"), (role, "role"), (quality, "quality"), (consistency, "consistency"))]
+        return F.struct(*scores, _last(F.transform(_after(told, reasoning), t.strip)).alias("reason"), _last(areas).alias("areas"))
+
     told = F.filter(F.split(c, r"\."), lambda s: F.lower(s).rlike("overall|summary|conclusion|score"))
     found = [_scaled(_as_number(F.regexp_extract(c, p, 1))) for p in SCORE_PATTERNS]
 
@@ -92,7 +104,7 @@ def batch_reply(c: Column) -> Column:
             F.filter(F.transform(F.split(F.coalesce(x["areas"], F.lit("")), ","), t.strip), lambda a: a != "").alias("weak_areas"),
         )))
 
-    return t.bound(named, whole)
+    return t.bound(t.bound(_told(c), named), whole)
 
 
 def synthesis_reply(c: Column, mean: Column) -> Column:
