@@ -374,7 +374,8 @@ def test_names_of_a_reply_are_found_as_one_by_one(spark):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(800)]
     plain = lambda name: F.regexp_extract_all("s", F.lit(rf"(?iUmd)^\s*(?:{name.replace('_', '[_ ]')}):([^\n]*)$"), F.lit(1))
     rows = spark.createDataFrame([(x,) for x in texts], "s string")
-    got = rows.select("s", *[plain(n).alias(f"w{k}") for k, n in enumerate(judges.NAMES)], *[t.bound(judges._told(F.col("s")), lambda x, n=n: judges._after(x, n)).alias(f"g{k}") for k, n in enumerate(judges.NAMES)]).collect()
+    told = rows.withColumn("told", judges._told(F.col("s")))
+    got = told.select("s", *[plain(n).alias(f"w{k}") for k, n in enumerate(judges.NAMES)], *[judges._after(F.col("told"), n).alias(f"g{k}") for k, n in enumerate(judges.NAMES)]).collect()
     for r in got:
         for k in range(len(judges.NAMES)):
             assert r[f"g{k}"] == r[f"w{k}"], r["s"]
