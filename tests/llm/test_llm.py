@@ -401,6 +401,7 @@ def test_paths_beyond_the_broadcast(spark, monkeypatch):
     )
     want = [rows(f().toPandas()) for f in runs]
     monkeypatch.setattr(tables, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "CLASSES", 0)
     assert [rows(f().toPandas()) for f in runs] == want
 
 

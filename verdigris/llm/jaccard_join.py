@@ -44,6 +44,8 @@ LEVELS = 6
 #: One document in so many is looked at for frequent tokens, of which so many at most are spread (8 bytes each are
 #: broadcast).  Neither changes the result: a token that is spread or not is shared all the same.
 SAMPLE, SPREAD = 64, 10_000
+#: Texts with copies that are broadcast at most (28 bytes each).
+CLASSES = 100_000
 HUB_ROUNDS = 3
 VERIFY_COST = 20.0
 _U = np.uint64
@@ -247,7 +249,9 @@ def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     profile = cut(src.mapInArrow(_profile(n), "doc_id long, n long, d1 long, d2 long").distinct())
     full = profile.where("n > 0")
     classes = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    same = cut(full.join(_fresh(classes.where("copies > 1").drop("copies"), "d1"), ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "rep"))
+    # One row for each text that has copies: few even where they are most of the rows, and then no copies meet in a task.
+    classes = cut(classes.where("copies > 1").drop("copies"))
+    same = cut(full.join(few(classes, CLASSES), ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "rep"))
     reps = src.join(few(same.select("doc_id").distinct()), "doc_id", "left_anti")
     ids = cut(candidates(reps, n, num, den))
     chosen = src.join(few(ids.distinct().withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
