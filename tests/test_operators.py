@@ -6,8 +6,10 @@ import re
 import time
 
 import pytest
+from helpers import same
 from pyspark.sql import functions as F
 
+from verdigris import catalog
 from verdigris.functions import text as t
 from verdigris.functions import urls
 from verdigris.operators import assertions, baselines, generate, html, judges, prompts
@@ -222,6 +224,16 @@ def test_page_extraction(spark):
     assert one(spark, html.has_javascript_sign(F.lit('<div ID="App">'))) is True
 
 
+def test_page_fields_as_the_sql_reads_them(spark, duck, tmp_path):
+    title = "<title>a&amp;&quot;&amp&lt b &foo; &#38 &am &&amp</title>"
+    pages = [(7, "http://h/", f"<head>{title}</head><body>" + "x &amp y " * n + "<script>a && b</script><a href='/x'>t</a></body>") for n in (1, 60)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same(catalog.QUERIES["page_fields"](spark, str(tmp_path)), con, catalog.ORACLES["page_fields"])
+    assert html.extract(spark.createDataFrame(pages[:1], "page_id long, url string, html string"), least=0).first()["title"] == 'a&"&< b &foo; & &am &&'
+
+
 def test_crawl(spark):
     pages = spark.createDataFrame([(u,) for u in "abcde"], "url string")
     edges = spark.createDataFrame([("a", "b", 1), ("a", "x", 2), ("b", "c", 1), ("c", "d", 1), ("b", "a", 2)], "url string, link string, place int")

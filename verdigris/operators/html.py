@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,6 +24,14 @@ BODY_CHARS = 200
 BULLETS = "|-•><»« \t\r\n"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES_P = {"p", "div", "article", "section", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "main", "nav", "header", "footer", "aside", "form", "pre", "blockquote"}
+#: What is read as it stands (scripts, styles, comments), and signs that may begin a reference.
+REFERENCE = re.compile(r"<(script|style)\b.*?(?:</\1|\Z)|<!--.*?(?:-->|\Z)|&(#[0-9]+;|#x[0-9a-f]+;|[a-z][a-z0-9]*;)?", re.IGNORECASE | re.DOTALL)
+
+
+def ended_references(html: str) -> str:
+    """The same page, in which only references with a semicolon are such: any other sign is one for itself."""
+    whole = lambda name: name and (name[0] == "#" or name in html5)
+    return REFERENCE.sub(lambda m: m[0] if m[0][0] == "<" or whole(m[2]) else f"&amp;{m[0][1:]}", html)
 
 
 class Page(HTMLParser):
@@ -118,21 +128,25 @@ def register(spark) -> None:
     spark.udtf.register("page_parts", PageParts)
 
 
-def extract(pages: DataFrame, least: int = 100) -> DataFrame:
+def extract(pages: DataFrame, least: int = 100, ended: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, url, title, text, hrefs, content_length, needs_javascript, method); pages with less text are dropped.
-    A page needs JavaScript if its body holds under 200 characters or it shows one of the signs."""
+    A page needs JavaScript if its body holds under 200 characters or it shows one of the signs.  ``ended``: a reference
+    without its semicolon (``&amp`` where a title is cut off) stays as it is, which browsers would read.  ``also``: columns
+    that are kept as they are."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            parsed = [Page(h or "") for h in part["html"]]
+            parsed = [Page(ended_references(h or "") if ended else h or "") for h in part["html"]]
             text = [p.text() for p in parsed]
             yield pd.DataFrame({
                 "page_id": part["page_id"], "url": part["url"], "title": [p.heading_or_title() for p in parsed], "text": text, "hrefs": [list(dict.fromkeys(p.hrefs)) for p in parsed],
                 "content_length": [len(x) for x in text], "method": "table",
                 "needs_javascript": [sum(map(len, p.everything)) < BODY_CHARS or any(s in low for s in JAVASCRIPT_SIGNS) for p, low in zip(parsed, (str(h or "").lower() for h in part["html"]), strict=True)],
+                **{c: part[c] for c in also},
             })
 
-    out = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, text string, hrefs array<string>, content_length int, needs_javascript boolean, method string")
+    kept = "".join(f", {c} {pages.schema[c].dataType.simpleString()}" for c in also)
+    out = pages.select("page_id", "url", "html", *also).mapInPandas(run, f"page_id long, url string, title string, text string, hrefs array<string>, content_length int, needs_javascript boolean, method string{kept}")
     return out.where(F.col("content_length") >= least) if least else out
 
 
