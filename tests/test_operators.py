@@ -254,6 +254,18 @@ def test_suites(spark, tmp_path):
     assert (case["model"], case["temperature"], case["max_tokens"]) == ("m0", 1.0, 1000)
 
 
+def test_written_suites_are_bounded(spark, tmp_path):
+    odd = ["a\u2028b\u0085c", "\x7f", "\U0001f600", "\ufeff x", "tab\there", "- {x: 1}"]
+    rows = spark.range(2 * suites.CASES + 10).coalesce(1).select(F.col("id").cast("string").alias("id"), F.element_at(F.array(*map(F.lit, odd)), (F.col("id") % len(odd) + 1).cast("int")).alias("prompt"))
+    suites.write_suite(rows, str(tmp_path / "s"), "n", "st")
+    parsed = suites.parse(suites.discover(spark, str(tmp_path / "s"), "*.txt"))
+    assert {(len(r["cases"]) <= suites.CASES, r["stage"], r["metadata"]["name"], r["error"]) for r in parsed.collect()} == {(True, "st", "n", None)} and parsed.count() == 3
+    assert {(r["id"], r["prompt"]) for r in suites.cases(parsed).collect()} == {(str(i), odd[i % len(odd)]) for i in range(rows.count())}
+    long = list(suites._suite_texts(['"' + "1" * suites.CHARS + '"', "2", "3"], "n", None))
+    assert [len(json.loads(x)["cases"]) for x in long] == [1, 2]
+    assert suites._suite("{cases: [{id: a, prompt: b}]}")["cases"][0]["id"] == "a"
+
+
 def test_imports(spark, tmp_path):
     (tmp_path / "x.csv").write_text("input,expected,stage,tags\nhi,yo,s1,\"a, b\"\nho,,s2,\n")
     got = suites.import_csv(spark, str(tmp_path / "x.csv")).orderBy("id").collect()
