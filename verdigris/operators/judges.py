@@ -42,11 +42,12 @@ def _after_first_colon(line: Column) -> Column:
 
 def single_reply(c: Column) -> Column:
     """SCORE and REASONING lines: struct(score clamped, 0.5 by default; reasoning, the text by default; passed at 0.7)."""
-    lines = _lines(c, False)
-    score = _last(F.transform(F.filter(lines, lambda x: x.startswith("SCORE:")), lambda x: _as_number(F.substring(x, 7, 1 << 30))))
-    reason = _last(F.transform(F.filter(lines, lambda x: x.startswith("REASONING:")), lambda x: t.strip(F.substring(x, 11, 1 << 30))))
-    value = F.coalesce(clamp(score), F.lit(0.5))
-    return F.struct(value.alias("score"), F.coalesce(reason, c).alias("reasoning"), (value >= 0.7).alias("passed"))
+    def read(lines: Column) -> Column:
+        score = _last(F.transform(F.filter(lines, lambda x: x.startswith("SCORE:")), lambda x: _as_number(F.substring(x, 7, 1 << 30))))
+        reason = _last(F.transform(F.filter(lines, lambda x: x.startswith("REASONING:")), lambda x: t.strip(F.substring(x, 11, 1 << 30))))
+        return t.bound(F.coalesce(clamp(score), F.lit(0.5)), lambda value: F.struct(value.alias("score"), F.coalesce(reason, c).alias("reasoning"), (value >= 0.7).alias("passed")))
+
+    return t.bound(_lines(c, False), read)
 
 
 #: Names of lines in a judge's reply, in any case, with a blank or an underscore.
@@ -109,23 +110,28 @@ def batch_reply(c: Column) -> Column:
 
 def synthesis_reply(c: Column, mean: Column) -> Column:
     """FINAL_SCORE (not clamped; the mean by default), CONFIDENCE if it is a known one, SUMMARY."""
-    lines = _lines(c, False)
-    take = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(name + ":")), lambda x: t.strip(F.substring(x, len(name) + 2, 1 << 30)))
-    score = _last(F.transform(take("FINAL_SCORE"), _as_number))
-    known = _last(F.filter(F.transform(take("CONFIDENCE"), lambda x: F.lower(x)), lambda x: x.isin("high", "medium", "low")))
-    return F.struct(F.coalesce(score, mean).alias("final_score"), F.coalesce(known, F.lit("medium")).alias("confidence"), F.coalesce(_last(take("SUMMARY")), F.lit("")).alias("summary"))
+    def read(lines: Column) -> Column:
+        take = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(name + ":")), lambda x: t.strip(F.substring(x, len(name) + 2, 1 << 30)))
+        score = _last(F.transform(take("FINAL_SCORE"), _as_number))
+        known = _last(F.filter(F.transform(take("CONFIDENCE"), lambda x: F.lower(x)), lambda x: x.isin("high", "medium", "low")))
+        return F.struct(F.coalesce(score, mean).alias("final_score"), F.coalesce(known, F.lit("medium")).alias("confidence"), F.coalesce(_last(take("SUMMARY")), F.lit("")).alias("summary"))
+
+    return t.bound(_lines(c, False), read)
 
 
 def strict_reply(c: Column) -> Column:
-    """Upper-case names only, the whole rest after the last colon a number, not clamped, 0.5 by default."""
-    lines = _lines(c, True)
-    rest = lambda name: F.filter(lines, lambda x: x.startswith(name + ":"))
-    value = lambda name: F.coalesce(_last(F.transform(rest(name), lambda x: _as_number(F.substring_index(x, ":", -1)))), F.lit(0.5))
-    sure = _last(F.filter(F.transform(rest("CONFIDENCE"), lambda x: F.lower(t.strip(F.substring_index(x, ":", -1)))), lambda x: x.isin("high", "medium", "low")))
-    told = _last(F.transform(rest("RECOMMENDATIONS"), _after_first_colon))
-    advice = F.filter(F.transform(F.split(F.coalesce(told, F.lit("")), ","), t.strip), lambda x: x != "")
-    names = ("OVERALL_SCORE", "ROLE_ADHERENCE", "RESPONSE_QUALITY", "CONSISTENCY", "APPROPRIATENESS", "FINAL_SCORE")
-    return F.struct(*[value(n).alias(n.lower()) for n in names], F.coalesce(sure, F.lit("medium")).alias("confidence"), F.coalesce(_last(F.transform(rest("SUMMARY"), _after_first_colon)), F.lit("")).alias("summary"), advice.alias("recommendations"))
+    """Upper-case names only, the whole rest after the last colon a number, not clamped, 0.5 by default.  A text is split
+    once for all names."""
+    def read(lines: Column) -> Column:
+        rest = lambda name: F.filter(lines, lambda x: x.startswith(name + ":"))
+        value = lambda name: F.coalesce(_last(F.transform(rest(name), lambda x: _as_number(F.substring_index(x, ":", -1)))), F.lit(0.5))
+        sure = _last(F.filter(F.transform(rest("CONFIDENCE"), lambda x: F.lower(t.strip(F.substring_index(x, ":", -1)))), lambda x: x.isin("high", "medium", "low")))
+        told = _last(F.transform(rest("RECOMMENDATIONS"), _after_first_colon))
+        advice = F.filter(F.transform(F.split(F.coalesce(told, F.lit("")), ","), t.strip), lambda x: x != "")
+        names = ("OVERALL_SCORE", "ROLE_ADHERENCE", "RESPONSE_QUALITY", "CONSISTENCY", "APPROPRIATENESS", "FINAL_SCORE")
+        return F.struct(*[value(n).alias(n.lower()) for n in names], F.coalesce(sure, F.lit("medium")).alias("confidence"), F.coalesce(_last(F.transform(rest("SUMMARY"), _after_first_colon)), F.lit("")).alias("summary"), advice.alias("recommendations"))
+
+    return t.bound(_lines(c, True), read)
 
 
 def mean_std(score: str = "score") -> tuple[Column, Column]:
