@@ -67,6 +67,13 @@ def test_other_replies(spark):
     assert x["overall_score"] == 0.5 and x["consistency"] == 1.5 and x["recommendations"] == ["a", "b"]
 
 
+def test_lines_of_a_reply_are_split_once(spark):
+    df = spark.createDataFrame([("a",)], "reply string")
+    for x in (judges.strict_reply(F.col("reply")), judges.single_reply(F.col("reply")), judges.synthesis_reply(F.col("reply"), F.lit(0.5))):
+        plan = df.select(x.alias("s")).select("s.*")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"split\(reply", plan)) == 1
+
+
 def test_votes(spark):
     rows = spark.createDataFrame([("a", 0.8), ("a", 0.8), ("a", 0.5), ("b", 0.8), ("b", 0.5)], "id string, score double")
     got = {r["id"]: r for r in judges.vote(rows, ["id"]).collect()}
@@ -254,6 +261,14 @@ def test_suites(spark, tmp_path):
     assert (case["model"], case["temperature"], case["max_tokens"]) == ("m0", 1.0, 1000)
 
 
+def test_pairs_and_tests_are_worked_out_once(spark):
+    contents = spark.createDataFrame([(1, "A prompt is a text that a model is asked to go on with. " * 3)], "doc_id long, text string")
+    made = generate.process(contents, "General")
+    assert all("regexp" not in df._jdf.queryExecution().optimizedPlan().toString() for df in made.values())
+    assert made["finetune"].count() == made["benchmark"].count() + made["masked"].count() > 1
+    assert {k: df.count() for k, df in made.items()} == {r["name"]: r["n"] for r in generate.counters(contents, made).collect() if r["name"] != "sources"}
+
+
 def test_written_suites_are_bounded(spark, tmp_path):
     odd = ["a\u2028b\u0085c", "\x7f", "\U0001f600", "\ufeff x", "tab\there", "- {x: 1}"]
     rows = spark.range(2 * suites.CASES + 10).coalesce(1).select(F.col("id").cast("string").alias("id"), F.element_at(F.array(*map(F.lit, odd)), (F.col("id") % len(odd) + 1).cast("int")).alias("prompt"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.store import keep
 
 #: Noise in a question or answer.
 NOISE = (
@@ -196,10 +197,12 @@ def slug(domain: str) -> str:
 
 def process(contents: DataFrame, domain: str, output: str = "all", order: list[str] = ("url",)) -> dict[str, DataFrame]:
     """What can be made of contents (text and the columns of ``order``), by kind of output: ``benchmark`` and ``masked``
-    pairs and tests, ``roleplay`` cases and ``finetune`` messages; the kinds that are not asked for are missing."""
+    pairs and tests, ``roleplay`` cases and ``finetune`` messages; the kinds that are not asked for are missing.  For
+    ``all``, pairs and tests are worked out once and stored, as messages are made of them as well."""
     made: dict[str, DataFrame] = {}
-    qa = qa_pairs(contents, domain) if output in ("benchmark", "finetune", "all") else None
-    cloze = cloze_tests(contents, domain) if output in ("masked", "all") else None
+    once = keep if output == "all" else lambda rows: rows
+    qa = once(qa_pairs(contents, domain)) if output in ("benchmark", "finetune", "all") else None
+    cloze = once(cloze_tests(contents, domain)) if output in ("masked", "all") else None
     if qa is not None:
         made["benchmark"] = qa
     if cloze is not None:
