@@ -34,6 +34,18 @@ def test_cost_does_not_follow_the_dictionary(spark):
     assert hits.where("word = concat('item', id)").count() == 200 and time.time() - began < 30
 
 
+def test_memory_does_not_follow_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_000)), pa.array(["law " + "x" * 2000] * 20_000)], ["key", "text"])
+    tracemalloc.start()
+    hits = sum(b.num_rows for b in dictionary._scan(iter([batch, batch]), ["law", "w x"]))
+    assert hits == 80_000 and tracemalloc.get_traced_memory()[1] < 25e6 < batch.nbytes
+    tracemalloc.stop()
+
+
 def test_domains_as_by_expressions(spark):
     p = catalog.system_prompts(spark, str(SF))
     got = dictionary.domains(p, dictionary.domain_words(spark), "doc_id").select("doc_id", "domain")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ from . import prompts
 SLICE = 200_000
 #: Distinct words that a batch of texts gives at most before they are handed on.
 ROWS = 50_000
+#: Texts that a worker holds as strings at a time.
+TEXTS = 256
 
 
 def found(texts: DataFrame, words: DataFrame, key: str, text: str = "text", slice_words: int | None = None) -> DataFrame:
@@ -36,32 +38,37 @@ def found(texts: DataFrame, words: DataFrame, key: str, text: str = "text", slic
     return out
 
 
-def _pass(texts: DataFrame, words: list[str], key: str, text: str) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-    src = texts.select(F.col(key).alias("key"), F.lower(text).alias("text"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in shared.value:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
-        rows = []
-        for part in parts:
-            for k, t in zip(part["key"], part["text"], strict=True):
+def _scan(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of batches (key, text) the words found.  Texts are taken out of a batch ``TEXTS`` at a time, so that a worker holds
+    a batch, these and ``ROWS`` words, however many rows a batch has."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for word in words:
+        automaton.add_word(word, word)
+    automaton.make_automaton()
+    rows: list[tuple] = []
+    for batch in batches:
+        pack = lambda rows, kind=batch.schema.field(0).type: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (kind, pa.string(), pa.int64()), strict=True)], ["key", "word", "place"])
+        for lo in range(0, batch.num_rows if words else 0, TEXTS):
+            for k, t in zip(*(c.to_pylist() for c in batch.slice(lo, TEXTS).columns), strict=True):
                 first: dict[str, int] = {}
-                if t and shared.value:
-                    for end, word in automaton.iter(t):
-                        first.setdefault(word, end)
+                for end, word in automaton.iter(t) if t else ():
+                    first.setdefault(word, end)
                 rows += [(k, w, e) for w, e in first.items()]
                 if len(rows) >= ROWS:
-                    yield pd.DataFrame(rows, columns=["key", "word", "place"])
+                    yield pack(rows)
                     rows = []
-        yield pd.DataFrame(rows, columns=["key", "word", "place"])
+        if rows:
+            yield pack(rows)
+            rows = []
 
+
+def _pass(texts: DataFrame, words: list[str], key: str, text: str) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+    src = texts.select(F.col(key).alias("key"), F.lower(text).alias("text"))
     kind = src.schema["key"].dataType.simpleString()
-    return src.mapInPandas(run, f"key {kind}, word string, place long").withColumnRenamed("key", key)
+    return src.mapInArrow(lambda batches: _scan(batches, shared.value), f"key {kind}, word string, place long").withColumnRenamed("key", key)
 
 
 def domain_words(spark) -> DataFrame:
