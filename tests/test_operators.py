@@ -150,6 +150,17 @@ def test_phrases_are_what_the_patterns_capture(spark):
             assert found == want, texts[i]
 
 
+def test_guarded_patterns_find_the_same(spark):
+    rng, words = random.Random(3), ["can", "CAN", "aSſists", "ſhould", "wİthin", "ınside", "\u212aan", "able to", "x", "only", "never", "provide", "helps users to", "limited to", ".", ",", "and", "\n"]
+    rows = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(12)),) for _ in range(300)], "s string")
+    every = prompts.CAPABILITY_PATTERNS + prompts.CONSTRAINT_PATTERNS
+    both = [(F.regexp_extract_all("s", F.lit(prompts._anywhere(p)), F.lit(1)), F.regexp_extract_all("s", F.lit(f"(?iud){p}"), F.lit(1))) for p in every]
+    got = rows.select(*[x.alias(f"a{i}") for i, (x, _) in enumerate(both)], *[y.alias(f"b{i}") for i, (_, y) in enumerate(both)]).collect()
+    assert all(r[f"a{i}"] == r[f"b{i}"] for r in got for i in range(len(both))) and any(r["a1"] for r in got)
+    plan = rows.select(prompts.domain(F.col("s")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(s") == 1
+
+
 def test_cloze_restores_the_sentence(spark):
     s = "The quick engine of Apache plans 1234 queries before breakfast today."
     rows = generate.cloze_tests(spark.createDataFrame([(1, s)], "id int, text string"), "Data").collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,13 +112,15 @@ def role(prompt: Column) -> Column:
 
 def domain(prompt: Column) -> Column:
     """The domain with the largest sum of words of the keywords found as substrings; ties go to the earlier one."""
-    low = F.lower(prompt)
-    rows = []
-    for k, (name, words) in enumerate(DOMAIN_KEYWORDS.items()):
-        score = sum((F.when(F.contains(low, F.lit(w)), len(w.split())).otherwise(0) for w in words), F.lit(0))
-        rows.append(F.struct(score.alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*rows))
-    return F.when(best["score"] > 0, best["name"]).otherwise("general")
+    def best(low: Column) -> Column:
+        rows = []
+        for k, (name, words) in enumerate(DOMAIN_KEYWORDS.items()):
+            score = sum((F.when(F.contains(low, F.lit(w)), len(w.split())).otherwise(0) for w in words), F.lit(0))
+            rows.append(F.struct(score.alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name")))
+        return F.array_max(F.array(*rows))
+
+    # Each step is bound, so that a prompt is lowered and its words are looked for once.
+    return t.bound(t.bound(F.lower(prompt), best), lambda x: F.when(x["score"] > 0, x["name"]).otherwise("general"))
 
 
 def keywords(prompt: Column, most: int = 20) -> Column:
@@ -127,6 +131,16 @@ def keywords(prompt: Column, most: int = 20) -> Column:
     return F.slice(F.filter(low, lambda x: (F.length(x) > 2) & ~x.isin(*KEYWORD_STOP)), 1, most)
 
 
+#: Letters that equal an ASCII one if case is ignored.
+_FOLDS = {"i": "iIİı", "k": "kK\u212a", "s": "sSſ"}
+
+
+def _anywhere(pattern: str) -> str:
+    """The pattern in any case.  Where none of its first letters stands its words are not tried, which takes most places."""
+    first = sorted({word[0] for word in re.match(r"\(\?:([^()]*)\)", pattern)[1].split("|")})
+    return f"(?=[{''.join(_FOLDS.get(x, x + x.upper()) for x in first)}])(?iud){pattern}"
+
+
 def phrases(prompt: Column, patterns: tuple[str, ...], most: int = 10) -> Column:
     """What the patterns capture, pattern by pattern, if longer than five characters; not made distinct.
 
@@ -135,7 +149,7 @@ def phrases(prompt: Column, patterns: tuple[str, ...], most: int = 10) -> Column
     ends = r"(?iud)^(.*(?:\.|,|and))" if any("and|$" in p for p in patterns) else r"(?iud)^(.*[.,])"
     last = lambda lines: F.size(lines) - F.when(F.get(lines, F.size(lines) - 1) == "", 2).otherwise(1)
     short = lambda lines: F.array_join(F.transform(lines, lambda x, i: F.when(i >= last(lines), x).otherwise(F.regexp_extract(x, ends, 1))), "\n")
-    found = t.bound(t.bound(F.split(prompt, "\n"), short), lambda x: F.concat(*[F.regexp_extract_all(x, F.lit(f"(?iud){p}"), F.lit(1)) for p in patterns]))
+    found = t.bound(t.bound(F.split(prompt, "\n"), short), lambda x: F.concat(*[F.regexp_extract_all(x, F.lit(_anywhere(p)), F.lit(1)) for p in patterns]))
     return F.slice(F.transform(F.filter(F.transform(found, t.strip), lambda x: F.length(x) > 5), lambda x: F.substring(x, 1, 100)), 1, most)
 
 
