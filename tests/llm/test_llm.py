@@ -1,5 +1,6 @@
 """Operators against SQL and brute force, with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
+import random
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verdigris import llm
-from verdigris.llm import chars, components, jaccard_join, license_scan, line_dedup, mixing, neighbours, packing, quality_rules, substring_dedup, subword, tables, toxicity
+from verdigris.llm import chars, components, jaccard_join, license_scan, line_dedup, mixing, neighbours, packing, quality_rules, substring_dedup, subword, tables, toxicity, wordcache
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -457,6 +458,32 @@ def test_packing_round_trip(spark, name):
     assert got.groupby("sequence_id")["length"].sum().max() <= 2048
 
 
+def test_remembered_chunks_against_whole_texts():
+    """Cases, composed letters, blanks of other scripts, marks, and added tokens only as they are written."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    parts = ["a", "Word", "ÉTÉ", "été", "ß", "ÿ", "µ", "ª", "×", "÷", "İ", "Σ", "ΑΣ", "H\u0331", "e\u0301", "日本", "ſ", "K", "'s", "'T", "'", "-", "_", "***", "$$$", ".", ",", "…", "7", "½", "<|endoftext|>", "<|EndOfText|>", "\u0085", "\u00a0", "\u2003", "\x1c", "\x0b", " ", " ", "\n"]
+    draw = random.Random(9)
+    texts = ["a <|ENDOFTEXT|> b", "É <|EndOfText|>.", *("".join(draw.choices(parts, k=draw.randrange(30))) for _ in range(1500))]
+    got = wordcache.CachedTokenizer(path).encode(texts, 1)
+    tokenizer = Tokenizer.from_file(path)
+    assert [x.tolist() for x in got] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_words_are_tokenised_once_in_any_case_and_before_any_marks(monkeypatch):
+    import public_tokenizers
+
+    seen = {"_plain": [], "_each": []}
+    for name, kept in seen.items():
+        monkeypatch.setattr(wordcache.CachedTokenizer, name, lambda self, words, f=getattr(wordcache.CachedTokenizer, name), kept=kept: (kept.extend(words), f(self, words))[1])
+    tokenizer = wordcache.CachedTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    list(tokenizer.encode(["Été été ÉTÉ! été, word été***", "WORD;; Word.", "été! word*** mot"], 1))
+    assert sorted(seen["_plain"]) == sorted(w.encode() for w in ("été", "word", "mot"))
+    assert sorted(seen["_each"]) == [b"!", b"***", b",", b".", b";;"]
+
+
 def vectors(spark, data):
     return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in data], "vec_id long, embedding array<double>")
 

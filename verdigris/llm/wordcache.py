@@ -10,7 +10,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 
@@ -18,7 +19,9 @@ import numpy as np
 GENERATION = 200_000
 #: Of the private use area: a word of its own.
 MARK = "\ue000"
-_LETTERS = re.compile(rb"[a-z]+")
+#: In UTF-8: a run of a-z and of small letters of Latin-1, none of which the normaliser changes, and marks of ASCII after
+#: it, which are a word of their own.
+_WORD = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 #: Normalisers, and the words, of tokenizers whose chunks stand apart: lower case, no white space in a word.
 APART = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts and characters that are encoded at a time where they are not.
@@ -29,8 +32,18 @@ def apart(spec: dict) -> bool:
     parts = (spec.get("normalizer") or {}).get("normalizers", [])
     splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     words = [s["pattern"].get("Regex") for s in splits if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
+    rest = [(s["type"], s.get("add_prefix_space"), s.get("use_regex")) for s in splits if s["type"] != "Split"]
     blanks = all(p["pattern"] == {"Regex": r"\s+"} and p["content"] == " " for p in parts if p["type"] == "Replace")
-    return [p["type"] for p in parts] == APART[0] and blanks and words == [APART[1]] and spec["model"].get("end_of_word_suffix") == "</w>"
+    return [p["type"] for p in parts] == APART[0] and blanks and words == [APART[1]] and rest == [("ByteLevel", False, False)] and spec["model"].get("end_of_word_suffix") == "</w>"
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are of Latin-1, where Python's lower case is the tokenizer's and nothing composes."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class CachedTokenizer:
@@ -38,10 +51,16 @@ class CachedTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.apart = apart(json.loads(self.tokenizer.to_str()))
+        spec = json.loads(self.tokenizer.to_str())
+        self.apart = apart(spec)
+        #: The same model for runs of small letters, which need no normaliser and part at blanks.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Added tokens are found before the normaliser, so only as they are written.
+        self.added = [t["content"].lower().encode() for t in spec["added_tokens"]]
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -57,10 +76,10 @@ class CachedTokenizer:
         return cls._shared[path]
 
     def _plain(self, words: list[bytes]) -> None:
-        """Words of a-z only: each is one run of letters, so its last id, and no other, ends a word."""
+        """Runs of small letters: each is one word, so its last id, and no other, ends a word."""
         for lo in range(0, len(words), 1000):
             part = words[lo : lo + 1000]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.bare.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(part):
                 self._each(part)
@@ -91,34 +110,42 @@ class CachedTokenizer:
             for chunk, e in zip(part, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
                 self.new[chunk] = np.array(e.ids, np.uint32).tobytes()
 
-    def _learn(self, chunks: set[bytes]) -> None:
+    def _learn(self, chunks: Iterable[bytes]) -> None:
         new, old = self.new, self.old
-        missing = []
+        plain, other, ending = set(), set(), []
         for c in chunks:
             if (ids := old.get(c)) is not None:
                 new[c] = ids
-            else:
-                missing.append(c)
-        plain, other, ending = set(), [], []
-        for c in missing:
-            if _LETTERS.fullmatch(c):
+            elif c.isalpha():  # of ASCII, and those are in lower case
                 plain.add(c)
-            elif c[-1:] in (b".", b",") and _LETTERS.fullmatch(c[:-1]):
-                ending.append(c)
+            elif not (m := _WORD.fullmatch(c)):
+                other.add(c)
+            elif m[2]:
+                ending.append((c, m[1], m[2]))
             else:
-                other.append(c)
-        for c in ending:
-            if c[:-1] not in new:
-                if (ids := old.get(c[:-1])) is not None:
-                    new[c[:-1]] = ids
-                else:
-                    plain.add(c[:-1])
-        if ending:
-            other += [p for p in (b".", b",") if p not in new]
+                plain.add(c)
+        for _, *parts in ending:
+            for kind, c in zip((plain, other), parts, strict=True):
+                if c not in new:
+                    if (ids := old.get(c)) is not None:
+                        new[c] = ids
+                    else:
+                        kind.add(c)
         self._plain(list(plain))
-        self._each(other)
-        for c in ending:
-            new[c] = new[c[:-1]] + new[c[-1:]]
+        self._each(list(other))
+        for c, word, marks in ending:
+            new[c] = new[word] + new[marks]
+
+    def _chunks(self, text: str) -> list[bytes]:
+        """Chunks between blanks, in lower case where that is sure to change no id."""
+        raw = text.encode("utf-8", "surrogatepass")
+        low = raw.lower()  # A-Z only
+        added = [t for t in self.added if t in low]
+        if not added and raw.isascii():
+            return low.split()
+        if not added and _latin(text):
+            return text.lower().encode().split()
+        return [c.lower() if c.isascii() and not any(t in c.lower() for t in added) else c for c in raw.split()]
 
     def encode(self, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
         """Ids of each text, then ``end_id``."""
@@ -133,14 +160,11 @@ class CachedTokenizer:
                 size += len(text or "")
             return
         for lo in range(0, len(texts), 256):
-            part = []
-            for text in texts[lo : lo + 256]:
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                part.append(raw.lower().split() if raw.isascii() else [c.lower() if c.isascii() else c for c in raw.split()])
+            part = [self._chunks(text or "") for text in texts[lo : lo + 256]]
             if len(self.new) > GENERATION:
                 self.old, self.new = self.new, {}
             wanted = set().union(*part)
-            self._learn(wanted - self.new.keys())
+            self._learn(list(filterfalse(self.new.__contains__, wanted)))
             get = self.new.__getitem__
             for chunks in part:
                 yield np.frombuffer(b"".join(map(get, chunks)) + end, np.uint32)
