@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import SF
@@ -147,6 +148,18 @@ def test_lines_and_their_sentences(spark):
     assert [r["text"] for r in substring_dedup.substring_dedup(both, "line+sentence", 5).orderBy("doc_id").collect()] == ["a b c d e f.\nz", "z"]
 
 
+def test_units_are_the_same_in_any_case_letter_by_letter(spark, tmp_path):
+    """Python's lower case of a capital sigma depends on its place, and that of a dotted I is two characters."""
+    words = " ".join(f"w{i}" for i in range(15))
+    d = docs(spark, f"ΛΌΓΟΣ {words}", f"λόγοσ {words}", f"İstanbul {words}", f"istanbul {words}", f"ΛΌΓΟΣ {words}. x", f"ΕΣ. {words} end")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = substring_dedup.op4_substring_dedup(spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+    same(got, con, substring_dedup.ORACLE)
+
+
 def test_texts_that_share_a_doc_id_keep_their_own(spark):
     d = spark.createDataFrame([(1, "one text\nwith lines"), (1, "another text"), (1, None), (1, "one text\nwith lines"), (2, "with lines\nof its own"), (None, "one text")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.substring_dedup(d).collect()), key=str)
