@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .chars import small
+from .chars import give_back, small
 from .tables import table
 from .wordcache import CachedTokenizer
 
@@ -154,6 +154,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
         packer.finish()
         if rows:
             yield flush()
+        held.clear()
+        tokenizer.old = {}  # the worker lives on
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
