@@ -160,6 +160,18 @@ def test_units_are_the_same_in_any_case_letter_by_letter(spark, tmp_path):
     same(got, con, substring_dedup.ORACLE)
 
 
+def test_first_text_of_a_shared_doc_id_and_unit_separators_are_those_of_the_sql(spark, tmp_path):
+    """Of texts that share a doc_id the first by text keeps a unit, and a unit separator parts sentences."""
+    words, more = (" ".join(f"{c}{i}" for i in range(15)) for c in "wv")
+    texts = [(1, f"{c}. {words}\n{c}") for c in "fbdaec"] + [(2, f"x\n{words}"), (3, more), (4, f"before it\x1f{more}"), (5, f"{more}\x1fafter it"), (1, f"a. {words}\na")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = substring_dedup.op4_substring_dedup(spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 1, 1, 1, 1, 2, 4, 5]
+    same(got, con, substring_dedup.ORACLE)
+
+
 def test_texts_that_share_a_doc_id_keep_their_own(spark):
     d = spark.createDataFrame([(1, "one text\nwith lines"), (1, "another text"), (1, None), (1, "one text\nwith lines"), (2, "with lines\nof its own"), (None, "one text")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.substring_dedup(d).collect()), key=str)
